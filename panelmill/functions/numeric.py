@@ -16,12 +16,18 @@ def exact_cents(c) -> Column:
 
 
 def r4(c) -> Column:
-    """Half-up rounding to 4 decimals, bit-identical with ``floor(x*1e4+0.5)/1e4`` in SQL."""
-    return (F.floor(col(c) * 1e4 + 0.5).cast("double") / 1e4)
+    """Half-up rounding to 4 decimals, bit-identical with ``floor(x*1e4+0.5)/1e4`` in SQL.
+
+    Magnitudes of 1e11 and more already carry no 4th decimal; they pass
+    unchanged (and the 64-bit floor cannot overflow).
+    """
+    c = col(c)
+    return F.when(F.abs(c) < 1e11, F.floor(c * 1e4 + 0.5).cast("double") / 1e4).otherwise(c)
 
 
 def r4_sql(expr: str) -> str:
-    return f"(floor(({expr}) * 1e4 + 0.5) / 1e4)"
+    return (f"(CASE WHEN abs({expr}) < 1e11 THEN floor(({expr}) * 1e4 + 0.5) / 1e4 "
+            f"ELSE ({expr}) END)")
 
 
 def safe_div(a, b) -> Column:

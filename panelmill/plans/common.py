@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from panelmill import bindings as B
-from panelmill.functions.numeric import r4
+from panelmill.functions.numeric import r4, r4_sql
 from panelmill.operators.impute import impute_prices, interpolate_sql
 
 
@@ -26,5 +26,5 @@ B.register_cte("imputed", interpolate_sql("spine"), ("spine",))
 
 def r(expr: str, alias: str | None = None) -> str:
     """SQL half-up rounding to 4 decimals (twin of ``rounded``)."""
-    s = f"floor(({expr}) * 1e4 + 0.5) / 1e4"
+    s = r4_sql(expr)
     return f"{s} AS {alias}" if alias else s
