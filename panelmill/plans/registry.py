@@ -35,4 +35,4 @@ def load_all() -> None:
         importlib.import_module(f"panelmill.plans.{mod}")
 
 
-PLAN_MODULES = ["q_features", "q_joins", "q_metrics"]
+PLAN_MODULES = ["q_features", "q_joins", "q_metrics", "q_policy"]
