@@ -51,9 +51,17 @@ def classify_band(value: Column, lower: Column, upper: Column) -> Column:
     return (F.when(value < lower, "below").when(value > upper, "above").otherwise("within"))
 
 
+# Star thresholds of the reference's coefficient tables:
+# "***" p < 0.001, "**" p < 0.01, "*" p < 0.05, else "".
+STAR_LEVELS = [(0.001, "***"), (0.01, "**"), (0.05, "*")]
+
+
 def significance_stars(p: Column) -> Column:
-    """Conventional stars for a p-value."""
-    return (F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.10, "*").otherwise(""))
+    """Stars for a p-value."""
+    out = F.when(p < STAR_LEVELS[0][0], STAR_LEVELS[0][1])
+    for level, stars in STAR_LEVELS[1:]:
+        out = out.when(p < level, stars)
+    return out.otherwise("")
 
 
 def month_dummies(month: Column, first: int = 2, last: int = 12) -> list[Column]:
