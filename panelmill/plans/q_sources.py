@@ -83,3 +83,17 @@ def f7_event_props(spark, sf_dir):
     ev = B.table(spark, sf_dir, "events", "event_id", "event_type", "props")
     return ev.select("event_id", "event_type",
                      F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("s1_stream_ingest", B.sql_with("panel") + f"""
+  SELECT state, market, date, {r('price_modal', 'price_modal')} FROM panel
+  WHERE {_BAD} NOT IN ('0', '1')""")
+def s1_stream_ingest(spark, sf_dir):
+    """The price files ingested incrementally by Structured Streaming, then read as a table."""
+    from panelmill.sources.files import glob
+    from panelmill.streaming.ingest import ingest_sites
+    root = scratch_path(spark, "prices-stream")
+    prices_csv.write_price_files(B.market_panel(spark, sf_dir), root, "all")
+    table, ckpt = scratch_path(spark, "panel-stream"), scratch_path(spark, "stream-ckpt")
+    ingest_sites(spark, glob(spark, f"{root}/*_all"), table, ckpt)
+    return rounded(spark.read.parquet(table).select("state", "market", "date", "price_modal"))
