@@ -16,18 +16,25 @@ def exact_cents(c) -> Column:
 
 
 def r4(c) -> Column:
-    """Half-up rounding to 4 decimals, bit-identical with ``floor(x*1e4+0.5)/1e4`` in SQL.
+    """Half-up rounding to 4 decimals, bit-identical with its SQL twin ``r4_sql``.
 
     Magnitudes of 1e11 and more already carry no 4th decimal; they pass
     unchanged (and the 64-bit floor cannot overflow).
+
+    Exact decimal ties (common: prices are cents / quantity) would otherwise
+    fall on either side of the boundary depending on the last bit of a sum,
+    which differs between engines; a nudge far above summation error
+    (1e-6 + |x| 1e-8 units of the 4th decimal) sends every tie up in both.
     """
     c = col(c)
-    return F.when(F.abs(c) < 1e11, F.floor(c * 1e4 + 0.5).cast("double") / 1e4).otherwise(c)
+    scaled = ((c * 1e4 + 0.5) + 1e-6) + F.abs(c) * 1e-8
+    return F.when(F.abs(c) < 1e11, F.floor(scaled).cast("double") / 1e4).otherwise(c)
 
 
 def r4_sql(expr: str) -> str:
-    return (f"(CASE WHEN abs({expr}) < 1e11 THEN floor(({expr}) * 1e4 + 0.5) / 1e4 "
-            f"ELSE ({expr}) END)")
+    x = f"({expr})"
+    return (f"(CASE WHEN abs({x}) < 1e11 THEN floor((({x} * 1e4 + 0.5) + 1e-6) + abs({x}) * 1e-8)"
+            f" / 1e4 ELSE {x} END)")
 
 
 def safe_div(a, b) -> Column:

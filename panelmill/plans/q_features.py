@@ -140,10 +140,11 @@ def o4_last_730(spark, sf_dir):
     SELECT market, date,
       list_transform(list(price_modal) OVER (PARTITION BY market ORDER BY date
                      ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
-                     lambda x: floor(x * 1e4 + 0.5) / 1e4) AS seq
+                     lambda x: floor(((x * 1e4 + 0.5) + 1e-6) + abs(x) * 1e-8) / 1e4) AS seq
     FROM imputed) WHERE len(seq) = 30""")
 def w16_lookback(spark, sf_dir):
     df = W.lookback_sequences(imputed_spine(spark, sf_dir), "price_modal", 30, KEYS)
     return df.select("market", "date",
-                     F.transform("seq", lambda x: F.floor(x * 1e4 + 0.5).cast("double") / 1e4)
+                     F.transform("seq", lambda x: F.floor(((x * 1e4 + 0.5) + 1e-6) + F.abs(x) * 1e-8)
+                                 .cast("double") / 1e4)
                      .alias("seq"))
