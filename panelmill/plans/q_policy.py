@@ -21,7 +21,9 @@ from panelmill.params import (CONCAVITY_HIGH, CONCAVITY_LOW, CONCAVITY_POINTS, E
                               ETAS, FALLBACK_PRICE, PROCUREMENT, PRODUCTION, SCENARIOS, STRESS,
                               TEST_START, archetype_params)
 from panelmill.plans.common import r, rounded
+import panelmill.plans.q_joins  # noqa: F401  (registers the feature-panel CTEs)
 from panelmill.plans.registry import query
+from panelmill.session import ensure_checkpoint_dir
 
 CKEYS = ("commodity", "market")
 
@@ -44,16 +46,23 @@ def commodity_forecasts(spark, sf_dir):
                                       F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def crop_params(spark, sf_dir):
+def crop_params(spark, sf_dir, checkpoint: bool = True):
+    """One row per commodity. Small but expensive (it scans the fact table), and
+    reused by several branches of a plan, so its lineage is cut with an eager
+    reliable checkpoint in the shared ``spark.checkpoint.dir``."""
     fc = commodity_forecasts(spark, sf_dir)
     cur = (B.policy(spark, sf_dir).groupBy(F.col("crop").alias("commodity"))
            .agg(F.max_by("msp_rs_per_quintal", "year").alias("current_msp")))
     df = fc.join(cur, "commodity").withColumn("archetype", archetype(F.col("commodity")))
     ap = archetype_params(F.col("archetype"))
-    return df.select("commodity", F.col("forecast_price").alias("p"), "rmse", "current_msp",
-                     "archetype", ap["eps_s"].alias("eps_s"), ap["eps_s_se"].alias("eps_s_se"),
-                     ap["eps_d"].alias("eps_d"), ap["eps_d_se"].alias("eps_d_se"),
-                     ap["q_proc"].alias("q_proc"), ap["q_total"].alias("q_total"))
+    out = df.select("commodity", F.col("forecast_price").alias("p"), "rmse", "current_msp",
+                    "archetype", ap["eps_s"].alias("eps_s"), ap["eps_s_se"].alias("eps_s_se"),
+                    ap["eps_d"].alias("eps_d"), ap["eps_d_se"].alias("eps_d_se"),
+                    ap["q_proc"].alias("q_proc"), ap["q_total"].alias("q_total"))
+    if checkpoint:
+        ensure_checkpoint_dir(spark)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def _arch_case(table: dict) -> str:
