@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.functions.numeric import exact_cents
+from panelmill.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -68,9 +69,11 @@ def spine(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> D
 
     The day list is generated per market with ``sequence`` from a one-row
     global min/max aggregate, so nothing is collected to the driver and no
-    join multiplies data.
+    join multiplies data. The aggregated panel (markets x days, small) feeds
+    three branches, so it is materialised once instead of rescanning the
+    fact table per branch.
     """
-    panel = panel if panel is not None else market_panel(spark, sf_dir)
+    panel = panel if panel is not None else materialize(market_panel(spark, sf_dir))
     bounds = panel.agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
     markets = panel.select("state", "market").distinct()
     cells = (markets.crossJoin(bounds)

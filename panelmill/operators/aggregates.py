@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from panelmill.functions.numeric import safe_div
+from panelmill.session import materialize
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -71,6 +72,7 @@ def density_histogram(df: DataFrame, value: str, keys: Sequence[str], bins: int
     Bounds come from a grouped min/max joined back on the keys; bin counts
     are a grouped count; empty bins are filled from a generated bin list.
     """
+    df = materialize(df)  # read by the bounds and by the bin counts
     bounds = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"),
                                    F.count(value).alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
@@ -103,7 +105,7 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def impute_with_means(df: DataFrame, means: DataFrame, cols: Sequence[str]) -> DataFrame:
+def impute_with_means(df: DataFrame, means: DataFrame, cols: Sequence[str]) -> DataFrame:  # noqa: E501
     """G11 (apply part): coalesce each column with the fitted mean (one-row cross join)."""
     m = means.select(*[F.col(c).alias(f"_m_{c}") for c in cols])
     out = df.crossJoin(m)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from panelmill.functions.numeric import flag, safe_div
 from panelmill.operators.aggregates import group_quantile
 from panelmill.operators.windows import add_rolling_anomaly, add_rolling_sum
+from panelmill.session import materialize
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -25,14 +26,18 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def weather_features(cov: DataFrame, keys=("state",), order="date",
-                     fit_until: str | None = None) -> DataFrame:
+                     fit_until: str | None = None, reuse: bool = True) -> DataFrame:
     """W10, W11, G4 on the covariate table, per state by date (decisions D3/D4).
 
     Adds ``temp_range``, ``temp_anomaly``, ``rainfall_7d_cum`` and the
     (state, month) 25 % rain quantile ``rain_p25`` (J10: group statistic
     joined back). ``fit_until`` restricts the quantile sample to avoid the
-    reference's look-ahead.
+    reference's look-ahead. The covariate table feeds both the rows and the
+    quantile, so with ``reuse`` it is materialised once (it is small:
+    states x days).
     """
+    if reuse:
+        cov = materialize(cov)
     cov = cov.withColumn("temp_range", F.col("max_temp") - F.col("min_temp"))
     cov = add_rolling_anomaly(cov, "max_temp", keys, order, 30, 7, "temp_anomaly")
     cov = add_rolling_sum(cov, "rainfall_daily", keys, order, 7, "rainfall_7d_cum")
@@ -94,12 +99,16 @@ def add_policy_features(df: DataFrame, policy: DataFrame, keys=("commodity", "ma
 
 
 def add_cross_features(df: DataFrame, value: str = "price_modal",
-                       by: Sequence[str] = ("commodity", "date")) -> DataFrame:
+                       by: Sequence[str] = ("commodity", "date"), reuse: bool = True
+                       ) -> DataFrame:
     """Spread from and ratio to the same-day cross-market mean.
 
     Partial aggregate on (commodity, date) joined back: a window partitioned
-    by date would put every market of a day in one task.
+    by date would put every market of a day in one task. The input feeds both
+    sides of the join, so with ``reuse`` it is materialised once.
     """
+    if reuse:
+        df = materialize(df)
     m = df.groupBy(*by).agg(F.avg(value).alias("_day_mean"))
     return (df.join(m, list(by))
             .withColumn("price_spread_from_mean", F.col(value) - F.col("_day_mean"))
@@ -143,6 +152,9 @@ def dense_grid(df: DataFrame, a: str, b: str, value: str, agg=F.sum) -> DataFram
             .withColumn(value, F.coalesce(F.col(value), F.lit(0).cast(vals.schema[value].dataType))))
 
 
-def join_group_stat(df: DataFrame, keys: Sequence[str], stat: Column, out: str) -> DataFrame:
+def join_group_stat(df: DataFrame, keys: Sequence[str], stat: Column, out: str,
+                    reuse: bool = True) -> DataFrame:
     """A grouped statistic joined back to the rows (groupby.transform)."""
+    if reuse:
+        df = materialize(df)
     return df.join(df.groupBy(*keys).agg(stat.alias(out)), list(keys))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from panelmill.session import materialize
+
 
 def _err(y: str, p: str) -> Column:
     return F.col(y) - F.col(p)
@@ -26,23 +28,23 @@ def accuracy(pred: DataFrame, by: Sequence[str] = ("model",), series: Sequence[s
     """Rmse, mae, mape (%), r2 = 1 - SSE/SST, dir_acc (%).
 
     The lag for direction is taken inside each (by, series) run; the first
-    row of a series has no direction and is excluded.
+    row of a series has no direction and is excluded. SST is n * var_pop(y)
+    (a stable one-pass moment), so the table is read once, not joined to its
+    own means.
     """
     w = Window.partitionBy(*by, *series).orderBy(order)
     dy = F.signum(F.col(y) - F.lag(y).over(w))
     dp = F.signum(F.col(p) - F.lag(p).over(w))
     staged = pred.select(*by, y, p, F.when(dy.isNotNull() & dp.isNotNull(),
                                             (dy == dp).cast("double")).alias("_hit"))
-    means = staged.groupBy(*by).agg(F.avg(y).alias("_ybar"))
     e = _err(y, p)
-    agg = (staged.join(means, list(by))
-           .groupBy(*by)
+    agg = (staged.groupBy(*by)
            .agg(F.count(F.lit(1)).alias("n"),
                 F.sqrt(F.avg(e * e)).alias("rmse"),
                 F.avg(F.abs(e)).alias("mae"),
                 (F.avg(F.when(F.col(y) != 0, F.abs(e / F.col(y)))) * 100).alias("mape"),
                 F.sum(e * e).alias("_sse"),
-                F.sum((F.col(y) - F.col("_ybar")) ** 2).alias("_sst"),
+                (F.var_pop(y) * F.count(y)).alias("_sst"),
                 (F.avg("_hit") * 100).alias("dir_acc")))
     r2 = (F.when(F.col("_sst") == 0, F.when(F.col("_sse") == 0, 1.0).otherwise(0.0))
           .otherwise(1 - F.col("_sse") / F.col("_sst")))
@@ -79,15 +81,18 @@ def bandwidth(t: Column) -> Column:
     return F.when(b * b * b > t, b - 1).otherwise(b)
 
 
-def diebold_mariano(d: DataFrame, keys: Sequence[str], t: str = "t", value: str = "d"
-                    ) -> DataFrame:
+def diebold_mariano(d: DataFrame, keys: Sequence[str], t: str = "t", value: str = "d",
+                    reuse: bool = True) -> DataFrame:
     """DM statistic with a Bartlett/Newey-West variance per series.
 
     ``d`` holds one row per (keys, t) with the loss differential. Lag-k
     autocovariances come from a self-join of each row with the row k steps
     earlier, k = 1..b(T): T*b rows per series, distributed by the keys.
-    Variance <= 0 gives NULL.
+    Variance <= 0 gives NULL. ``d`` feeds three branches and is materialised
+    once (``reuse``).
     """
+    if reuse:
+        d = materialize(d)
     base = d.groupBy(*keys).agg(F.count(value).alias("T"), F.avg(value).alias("d_bar"),
                                 F.var_samp(value).alias("gamma0"))
     base = base.withColumn("b", bandwidth(F.col("T")))

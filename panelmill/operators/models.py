@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from panelmill.operators.aggregates import column_means, impute_with_means
 from panelmill.operators.selection import feature_columns, temporal_split
 from panelmill.params import GB_PARAMS, RF_PARAMS
+from panelmill.session import materialize
 
 
 def forest(num_trees: int = RF_PARAMS["num_trees"], max_depth: int = RF_PARAMS["max_depth"],
@@ -45,6 +46,8 @@ def prepare(panel: DataFrame, features: Sequence[str], train_end: str,
             test_start: str | None, checkpoint: bool = True) -> DataFrame:
     """P3 split + G11 train-mean imputation + vector assembly."""
     df = temporal_split(panel, train_end, test_start)
+    if checkpoint:
+        df = materialize(df)  # read by the train means and by the rows
     means = column_means(df.where(F.col("split") == "train"), features)
     df = impute_with_means(df, means, features)
     df = VectorAssembler(inputCols=list(features), outputCol="features",
@@ -52,8 +55,11 @@ def prepare(panel: DataFrame, features: Sequence[str], train_end: str,
     return df.checkpoint(eager=True) if checkpoint else df
 
 
-def standardize(df: DataFrame, cols: Sequence[str], fit_filter=None) -> DataFrame:
+def standardize(df: DataFrame, cols: Sequence[str], fit_filter=None, reuse: bool = True
+                ) -> DataFrame:
     """M4: (x - mean) / sd with population SD from the fit rows; sd 0 -> 1."""
+    if reuse:
+        df = materialize(df)  # read by the statistics and by the rows
     fit = df.where(fit_filter) if fit_filter is not None else df
     stats = fit.agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols],
                     *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols])

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.operators.selection import STAR_LEVELS, month_dummies
+from panelmill.session import materialize
 
 WEATHER_LAGGED = ["rainfall_7d_cum", "temp_anomaly", "extreme_heat_days", "drought_indicator"]
 MONTHS = [f"month_{m}" for m in range(2, 13)]
@@ -38,10 +39,12 @@ def regressors(weather: Sequence[str] = WEATHER_LAGGED) -> list[str]:
 
 
 def prepare_panel(df: DataFrame, keys=("commodity", "market"), order: str = "date",
-                  weather: Sequence[str] = WEATHER_LAGGED, value: str = "price_modal"
-                  ) -> DataFrame:
+                  weather: Sequence[str] = WEATHER_LAGGED, value: str = "price_modal",
+                  reuse: bool = True) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     present = [c for c in weather if c in df.columns]
+    if reuse:
+        df = materialize(df)
     d0 = df.agg(F.min(order).alias("_d0"))
     out = df.select(*keys, order, value,
                     *[F.lag(c, 7).over(w).alias(f"{c}_lag7") for c in present],
@@ -135,7 +138,7 @@ def fit_fixed_effects(panel: DataFrame, xcols: Sequence[str], y: str = "price_mo
     """M10 + M11 + M13: within estimator, clustered SEs, coefficient table."""
     k = len(xcols)
     ent = [*group, entity]
-    dm = within(panel, [y, *xcols], ent)
+    dm = materialize(within(panel, [y, *xcols], ent))  # read by the Gram and the residuals
     g = gram(dm, group, xcols, y)
     gschema = ", ".join(f"{c} string" for c in group)
     sol = g.groupBy(*group).applyInPandas(

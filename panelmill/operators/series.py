@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.session import materialize
+
 PERIOD = 7
 ETS_GRID = list(itertools.product([0.1, 0.3, 0.5, 0.7, 0.9], [0.01, 0.1, 0.3],
                                   [0.01, 0.1, 0.3], [0.8, 0.9, 0.98]))
@@ -35,6 +37,7 @@ ETS_GRID = list(itertools.product([0.1, 0.3, 0.5, 0.7, 0.9], [0.01, 0.1, 0.3],
 def training_windows(df: DataFrame, keys: Sequence[str], value: str, train_end: str,
                      history: int = 730, order: str = "date") -> DataFrame:
     """O4 per series + the global last date (one-row aggregate) as the horizon end."""
+    df = materialize(df)  # read by the horizon aggregate and by the windows
     end = df.agg(F.max(order).alias("horizon_end"))
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     tr = (df.where(F.col(order) <= F.lit(train_end).cast("date"))

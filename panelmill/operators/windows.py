@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions.numeric import safe_div
 from panelmill.params import MOVING_WINDOWS, PRICE_LAGS
+from panelmill.session import materialize
 
 
 def series_window(keys: Sequence[str] = ("market",), order: str = "date"):
@@ -115,7 +116,10 @@ def pad_edge(df: DataFrame, value: str, keys=("market",), order="date", out=None
     return df.withColumn(out, F.last(value, ignorenulls=True).over(frame))
 
 
-def add_time_trend(df: DataFrame, order: str = "date", out: str = "trend") -> DataFrame:
+def add_time_trend(df: DataFrame, order: str = "date", out: str = "trend",
+                   reuse: bool = True) -> DataFrame:
     """Days since the global first date (one-row aggregate, no global window)."""
+    if reuse:
+        df = materialize(df)
     first = df.agg(F.min(order).alias("_d0"))
     return df.crossJoin(first).withColumn(out, F.datediff(order, "_d0")).drop("_d0")

@@ -176,7 +176,8 @@ def w14_time_trend(spark, sf_dir):
              FROM wfeat GROUP BY 1, 2) v ON v.state = s.state AND v.year = y.year""")
 def j9_dense_grid(spark, sf_dir):
     """Heat-day counts for every (state, panel year), 0 where a state has no rows."""
-    wf = B.covariates(spark, sf_dir)
+    from panelmill.session import materialize
+    wf = materialize(B.covariates(spark, sf_dir))
     heat = (wf.select("state", F.year("date").cast("int").alias("year"),
                       (F.col("max_temp") > 40).cast("int").alias("heat"))
             .groupBy("state", "year").agg(F.sum("heat").cast("bigint").alias("heat_days")))

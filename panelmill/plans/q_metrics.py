@@ -55,14 +55,13 @@ def accuracy_sql(src: str, by: str) -> str:
     {r('sqrt(avg((y - y_hat) * (y - y_hat)))', 'rmse')},
     {r('avg(abs(y - y_hat))', 'mae')},
     {r('avg(CASE WHEN y <> 0 THEN abs((y - y_hat) / y) END) * 100', 'mape')},
-    {r('''CASE WHEN sum((y - ybar) * (y - ybar)) = 0
+    {r('''CASE WHEN var_pop(y) * count(y) = 0
            THEN CASE WHEN sum((y - y_hat) * (y - y_hat)) = 0 THEN 1.0 ELSE 0.0 END
-           ELSE 1 - sum((y - y_hat) * (y - y_hat)) / sum((y - ybar) * (y - ybar)) END''', 'r2')},
+           ELSE 1 - sum((y - y_hat) * (y - y_hat)) / (var_pop(y) * count(y)) END''', 'r2')},
     {r('avg(CASE WHEN dy IS NOT NULL AND dp IS NOT NULL THEN CAST(dy = dp AS DOUBLE) END) * 100',
        'dir_acc')}
   FROM (SELECT *, sign(y - lag(y) OVER w) AS dy, sign(y_hat - lag(y_hat) OVER w) AS dp
         FROM {src} WINDOW w AS (PARTITION BY {by}, market ORDER BY date)) a
-  JOIN (SELECT {by}, avg(y) AS ybar FROM {src} GROUP BY {by}) m USING ({by})
   GROUP BY {by}"""
 
 
@@ -150,7 +149,8 @@ IMPUTE_COLS = ["price_std30", "temp_anomaly", "rainfall_7d_cum", "max_temp", "hu
                      c) for c in IMPUTE_COLS) + " FROM fpanel")
 def g11_mean_impute(spark, sf_dir):
     from panelmill.plans.q_joins import feature_panel
-    fp = feature_panel(spark, sf_dir)
+    from panelmill.session import materialize
+    fp = materialize(feature_panel(spark, sf_dir))
     means = column_means(fp.where(F.col("date") <= F.lit(TRAIN_END).cast("date")), IMPUTE_COLS)
     return rounded(impute_with_means(fp, means, IMPUTE_COLS)
                    .select("commodity", "market", "date", *IMPUTE_COLS))

@@ -65,3 +65,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage at a reuse point with a reliable eager checkpoint.
+
+    Used where a small derived table (an aggregated panel, a covariate table)
+    feeds several branches of one plan: without it Spark recomputes the whole
+    upstream (fact-table scans and joins) once per branch. The files go to the
+    shared ``spark.checkpoint.dir``, so a lost executor never forces a rescan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
