@@ -82,18 +82,32 @@ def spine(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> D
     return cells.join(panel, ["state", "market", "date"], "left")
 
 
-def commodity_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(commodity, state, market, date, price_modal) at ISO-week grain."""
+def commodity_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact (commodity, nation, day) sums of cents and quantity.
+
+    Bounded by types x nations x days whatever the fact-table size; both the
+    weekly commodity panel and the yearly policy table are re-aggregations of
+    it, so a plan needing both scans and joins the fact table once.
+    """
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate",
                "l_extendedprice", "l_quantity")
     part = table(spark, sf_dir, "part", "p_partkey", "p_type")
     on = _order_nation(spark, sf_dir)
-    weekly = (li.join(part, li.l_partkey == part.p_partkey)
-              .join(on, li.l_orderkey == on.o_orderkey)
-              .groupBy(F.col("p_type").alias("commodity"), "nationkey",
-                       F.date_trunc("week", "l_shipdate").cast("date").alias("date"))
-              .agg(F.sum(exact_cents("l_extendedprice")).alias("cents"),
-                   F.sum(F.col("l_quantity").cast("bigint")).alias("qty")))
+    return (li.join(part, li.l_partkey == part.p_partkey)
+            .join(on, li.l_orderkey == on.o_orderkey)
+            .groupBy(F.col("p_type").alias("commodity"), "nationkey",
+                     F.col("l_shipdate").cast("date").alias("day"))
+            .agg(F.sum(exact_cents("l_extendedprice")).alias("cents"),
+                 F.sum(F.col("l_quantity").cast("bigint")).alias("qty")))
+
+
+def commodity_panel(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None
+                    ) -> DataFrame:
+    """(commodity, state, market, date, price_modal) at ISO-week grain."""
+    cube = cube if cube is not None else commodity_cube(spark, sf_dir)
+    weekly = (cube.groupBy("commodity", "nationkey",
+                           F.date_trunc("week", "day").cast("date").alias("date"))
+              .agg(F.sum("cents").alias("cents"), F.sum("qty").alias("qty")))
     return (weekly.join(_geo(spark, sf_dir), "nationkey")
             .select("commodity", "state", "market", "date", _price().alias("price_modal")))
 
@@ -121,17 +135,26 @@ def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("tax").cast("double") * 10.0 / F.col("n").cast("double")).alias("humidity"))
 
 
-def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate", "l_extendedprice",
-               "l_quantity")
-    part = table(spark, sf_dir, "part", "p_partkey", "p_type")
-    return (li.join(part, li.l_partkey == part.p_partkey)
-            .groupBy(F.year("l_shipdate").cast("int").alias("year"),
-                     F.col("p_type").alias("crop"))
-            .agg(F.sum(exact_cents("l_extendedprice")).alias("cents"),
-                 F.sum(F.col("l_quantity").cast("bigint")).alias("qty"))
-            .select("year", "crop", _price().alias("msp_rs_per_quintal"),
-                    (F.col("qty").cast("double") / 1000.0).alias("fci_procurement_mmt")))
+def policy(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None) -> DataFrame:
+    """(year, crop, msp_rs_per_quintal, fci_procurement_mmt) by ship year and part type.
+
+    Without a cube only lineitem -> part is needed (no order/customer join).
+    """
+    if cube is None:
+        li = table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate", "l_extendedprice",
+                   "l_quantity")
+        part = table(spark, sf_dir, "part", "p_partkey", "p_type")
+        yearly = (li.join(part, li.l_partkey == part.p_partkey)
+                  .groupBy(F.year("l_shipdate").cast("int").alias("year"),
+                           F.col("p_type").alias("crop"))
+                  .agg(F.sum(exact_cents("l_extendedprice")).alias("cents"),
+                       F.sum(F.col("l_quantity").cast("bigint")).alias("qty")))
+    else:
+        yearly = (cube.groupBy(F.year("day").cast("int").alias("year"),
+                               F.col("commodity").alias("crop"))
+                  .agg(F.sum("cents").alias("cents"), F.sum("qty").alias("qty")))
+    return yearly.select("year", "crop", _price().alias("msp_rs_per_quintal"),
+                         (F.col("qty").cast("double") / 1000.0).alias("fci_procurement_mmt"))
 
 
 # ---------------------------------------------------------------------------

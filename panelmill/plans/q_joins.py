@@ -18,8 +18,12 @@ for _name, (_body, _deps) in feature_panel_sql().items():
 
 
 def feature_panel(spark, sf_dir):
-    return build_feature_panel(B.commodity_panel(spark, sf_dir), B.covariates(spark, sf_dir),
-                               B.policy(spark, sf_dir))
+    """Panel and policy table come from one materialised (commodity, nation, day) cube,
+    so the fact table is scanned and joined once for both."""
+    from panelmill.session import materialize
+    cube = materialize(B.commodity_cube(spark, sf_dir))
+    return build_feature_panel(B.commodity_panel(spark, sf_dir, cube),
+                               B.covariates(spark, sf_dir), B.policy(spark, sf_dir, cube))
 
 
 INT_FEATURES = {"day_of_week", "day_of_month", "month", "quarter", "week_of_year", "year",
@@ -102,9 +106,11 @@ def g4_rain_p25(spark, sf_dir):
 @query("j3_asof_policy", B.sql_with("fp_pol0") + f"""
   SELECT commodity, market, date, {r('msp_current', 'msp_current')} FROM fp_pol0""")
 def j3_asof_policy(spark, sf_dir):
-    pol = B.policy(spark, sf_dir).select("crop", F.col("year").alias("_pyear"),
+    from panelmill.session import materialize
+    cube = materialize(B.commodity_cube(spark, sf_dir))
+    pol = B.policy(spark, sf_dir, cube).select("crop", F.col("year").alias("_pyear"),
                                          F.col("msp_rs_per_quintal").alias("msp_current"))
-    df = B.commodity_panel(spark, sf_dir).withColumn("_y", F.year("date"))
+    df = B.commodity_panel(spark, sf_dir, cube).withColumn("_y", F.year("date"))
     df = J.as_of_join(df, pol, "commodity", "crop", "_y", "_pyear", ["msp_current"])
     return rounded(df.select("commodity", "market", "date", "msp_current"))
 

@@ -33,9 +33,9 @@ def archetype(c):
     return F.when(code % 2 == 0, F.lit("wheat")).otherwise(F.lit("rice"))
 
 
-def commodity_forecasts(spark, sf_dir):
+def commodity_forecasts(spark, sf_dir, cube=None):
     """Mean seasonal-naive forecast and its RMSE per commodity over test weeks."""
-    panel = impute_prices(B.commodity_panel(spark, sf_dir), keys=CKEYS)
+    panel = impute_prices(B.commodity_panel(spark, sf_dir, cube), keys=CKEYS)
     w = series_window(CKEYS, "date")
     f = panel.select("commodity", "date", F.lag("price_modal", 7).over(w).alias("y_hat"),
                      F.lead("price_modal", 1).over(w).alias("y"))
@@ -50,8 +50,10 @@ def crop_params(spark, sf_dir, checkpoint: bool = True):
     """One row per commodity. Small but expensive (it scans the fact table), and
     reused by several branches of a plan, so its lineage is cut with an eager
     reliable checkpoint in the shared ``spark.checkpoint.dir``."""
-    fc = commodity_forecasts(spark, sf_dir)
-    cur = (B.policy(spark, sf_dir).groupBy(F.col("crop").alias("commodity"))
+    from panelmill.session import materialize
+    cube = materialize(B.commodity_cube(spark, sf_dir))  # one fact pass for both inputs
+    fc = commodity_forecasts(spark, sf_dir, cube)
+    cur = (B.policy(spark, sf_dir, cube).groupBy(F.col("crop").alias("commodity"))
            .agg(F.max_by("msp_rs_per_quintal", "year").alias("current_msp")))
     df = fc.join(cur, "commodity").withColumn("archetype", archetype(F.col("commodity")))
     ap = archetype_params(F.col("archetype"))
