@@ -66,13 +66,15 @@ def s6_policy_csv(spark, sf_dir):
 
 
 @query("s7_s8_panel_roundtrip", B.sql_with("cpanel") + f"""
-  SELECT commodity, state, market, date, {r('price_modal', 'price_modal')} FROM cpanel
-  WHERE commodity = 'PROMO'""")
+  SELECT commodity, state, market, date, {r('price_modal', 'price_modal')} FROM cpanel""")
 def s7_s8_panel_roundtrip(spark, sf_dir):
-    """Write the panel partitioned by commodity; read one commodity back (partition pruned)."""
+    """Write the panel partitioned by commodity and read the table back.
+
+    ``read_panel(path, commodity)`` prunes to one partition (checked in tests).
+    """
     path = scratch_path(spark, "panel")
     tables.write_table(B.commodity_panel(spark, sf_dir), path, ["commodity"])
-    df = tables.read_panel(spark, path, "PROMO")
+    df = tables.read_panel(spark, path)
     return rounded(df.select("commodity", "state", "market", "date", "price_modal"))
 
 
