@@ -140,16 +140,18 @@ def assign_folds(df: DataFrame, folds: Sequence[tuple], order: str = "date") ->
             .drop("train_end", "test_start", "test_end"))
 
 
-def dense_grid(df: DataFrame, a: str, b: str, value: str, agg=F.sum) -> DataFrame:
-    """Every (a, b) combination present in the data, 0 where absent.
+def dense_grid(values: DataFrame, keys: DataFrame, a: str, b: str, lo: str, hi: str,
+               value: str) -> DataFrame:
+    """Every ``a`` x every integer ``b`` in [lo, hi], ``value`` 0 where absent.
 
-    The grid is the distinct ``a`` values joined to the distinct ``b`` values;
-    both sides are distinct-key lists, so the product is the output itself.
+    ``keys`` holds the distinct ``a`` values joined to a one-row (lo, hi)
+    bounds aggregate; the ``b`` axis is generated by ``sequence`` per key, so
+    no two data-sized sides are ever cross-joined.
     """
-    vals = df.groupBy(a, b).agg(agg(value).alias(value))
-    grid = df.select(a).distinct().crossJoin(df.select(b).distinct())
-    return (grid.join(vals, [a, b], "left")
-            .withColumn(value, F.coalesce(F.col(value), F.lit(0).cast(vals.schema[value].dataType))))
+    grid = keys.select(a, F.explode(F.sequence(lo, hi)).alias(b))
+    dtype = values.schema[value].dataType
+    return (grid.join(values, [a, b], "left")
+            .withColumn(value, F.coalesce(F.col(value), F.lit(0).cast(dtype))))
 
 
 def join_group_stat(df: DataFrame, keys: Sequence[str], stat: Column, out: str,

@@ -174,25 +174,30 @@ def w14_time_trend(spark, sf_dir):
 
 
 @query("j9_dense_grid", B.sql_with("panel", "wfeat") + """
-  SELECT s.state, y.year, CAST(coalesce(v.heat_days, 0) AS BIGINT) AS heat_days
+  SELECT s.state, CAST(y.year AS INTEGER) AS year,
+    CAST(coalesce(v.heat_days, 0) AS BIGINT) AS heat_days
   FROM (SELECT DISTINCT state FROM wfeat) s
-  CROSS JOIN (SELECT DISTINCT CAST(year(date) AS INTEGER) AS year FROM panel) y
+  CROSS JOIN (SELECT min(year(date)) AS y0, max(year(date)) AS y1 FROM panel) b
+  CROSS JOIN LATERAL (SELECT unnest(generate_series(b.y0, b.y1)) AS year) y
   LEFT JOIN (SELECT state, CAST(year(date) AS INTEGER) AS year,
                sum(CAST(max_temp > 40 AS INTEGER)) AS heat_days
              FROM wfeat GROUP BY 1, 2) v ON v.state = s.state AND v.year = y.year""")
 def j9_dense_grid(spark, sf_dir):
-    """Heat-day counts for every (state, panel year), 0 where a state has no rows."""
+    """Heat-day counts on the dense (state x every panel year) grid, 0 where absent.
+
+    The year axis is a ``sequence`` over the panel's year range (a one-row
+    aggregate), exploded per state: no join of two data-sized sides.
+    """
     from panelmill.session import materialize
     wf = materialize(B.covariates(spark, sf_dir))
     heat = (wf.select("state", F.year("date").cast("int").alias("year"),
                       (F.col("max_temp") > 40).cast("int").alias("heat"))
             .groupBy("state", "year").agg(F.sum("heat").cast("bigint").alias("heat_days")))
-    years = B.market_panel(spark, sf_dir).select(F.year("date").cast("int").alias("year")).distinct()
-    states = wf.select("state").distinct()
-    grid = states.crossJoin(years)
-    return (grid.join(heat, ["state", "year"], "left")
-            .select("state", "year", F.coalesce("heat_days", F.lit(0)).cast("bigint")
-                    .alias("heat_days")))
+    bounds = B.market_panel(spark, sf_dir).agg(F.min(F.year("date")).cast("int").alias("y0"),
+                                               F.max(F.year("date")).cast("int").alias("y1"))
+    keys = wf.select("state").distinct().crossJoin(bounds)
+    return J.dense_grid(heat, keys, "state", "year", "y0", "y1", "heat_days").select(
+        "state", "year", "heat_days")
 
 
 @query("j10_group_stat", B.sql_with("panel") + f"""

@@ -215,7 +215,8 @@ def g12_dm_pvalue(spark, sf_dir):
   WHERE date >= DATE '{TEST_START}'""")
 def w19_pad_edge(spark, sf_dir):
     """A forecast defined on the raw rows only, padded with its edge value onto every day."""
-    panel = B.market_panel(spark, sf_dir)
+    from panelmill.session import materialize
+    panel = materialize(B.market_panel(spark, sf_dir))  # feeds the forecast and the spine
     naive = W.seasonal_naive(panel, "price_modal", 7, ("market",), out="y_hat")
     cells = B.spine(spark, sf_dir, panel).select("market", "date")
     df = cells.join(naive.select("market", "date", "y_hat"), ["market", "date"], "left")
