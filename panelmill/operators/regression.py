@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.operators.selection import STAR_LEVELS, month_dummies
-from panelmill.session import materialize
+from panelmill.session import materialize, ship_code
 
 WEATHER_LAGGED = ["rainfall_7d_cum", "temp_anomaly", "extreme_heat_days", "drought_indicator"]
 MONTHS = [f"month_{m}" for m in range(2, 13)]
@@ -136,6 +136,7 @@ def fit_fixed_effects(panel: DataFrame, xcols: Sequence[str], y: str = "price_mo
                       group: Sequence[str] = ("commodity",), entity: str = "market"
                       ) -> DataFrame:
     """M10 + M11 + M13: within estimator, clustered SEs, coefficient table."""
+    ship_code(panel.sparkSession)
     k = len(xcols)
     ent = [*group, entity]
     dm = materialize(within(panel, [y, *xcols], ent))  # read by the Gram and the residuals

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.session import materialize
+from panelmill.session import materialize, ship_code
 
 PERIOD = 7
 ETS_GRID = list(itertools.product([0.1, 0.3, 0.5, 0.7, 0.9], [0.01, 0.1, 0.3],
@@ -187,6 +187,7 @@ def _job(keys: Sequence[str], kind: str):
 
 def forecast_series(train: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
     """Run one of ``ets`` | ``sarima`` | ``sarima_aic`` over every series."""
+    ship_code(train.sparkSession)
     kschema = ", ".join(f"{k} {train.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kschema}, date date, y_hat double, model string, params string"
     return train.groupBy(*keys).applyInPandas(_job(keys, kind), schema)

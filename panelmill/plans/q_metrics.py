@@ -200,6 +200,8 @@ def g12_diebold_mariano(spark, sf_dir):
 
 @query("g12_dm_pvalue")
 def g12_dm_pvalue(spark, sf_dir):
+    from panelmill.session import ship_code
+    ship_code(spark)
     dm = M.diebold_mariano(dm_input(spark, sf_dir), ["market"])
     return dm.select("market", "dm_stat", M.two_sided_normal_p(F.col("dm_stat")).alias("p_value"))
 

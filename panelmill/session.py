@@ -39,6 +39,38 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make ``panelmill`` importable on Python workers (pandas UDFs, applyInPandas).
+
+    Functions run on executors are pickled by reference to this package, so
+    the workers need it on their path wherever the driver was started. The
+    package is zipped once per process and registered with ``addPyFile``
+    (Spark uploads it to every executor, like ``--py-files``); a deployment
+    that already ships it via ``--py-files`` or an installed wheel is left alone.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    if "panelmill" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(key)
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="panelmill-code-"), "panelmill.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -46,6 +78,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset (local tests) do we set a folder of our own.
     """
     global _LOCAL_CHECKPOINT_ROOT
+    ship_code(spark)
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         if spark.sparkContext.getCheckpointDir() is None:
