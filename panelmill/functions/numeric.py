@@ -50,7 +50,3 @@ def nan_to_null(c) -> Column:
 def flag(cond: Column) -> Column:
     """Boolean condition as 0/1 where a missing comparison counts as 0."""
     return F.coalesce(cond, F.lit(False)).cast("int")
-
-
-def sign(c) -> Column:
-    return F.signum(col(c))

@@ -123,10 +123,6 @@ def optimum_stages(p: str = "p", eps_s: str = "eps_s", eps_d: str = "eps_d", eta
     return stages
 
 
-def scratch_columns(stages: Sequence[tuple[str, str]]) -> list[str]:
-    return [n for n, _ in stages if n.startswith("_") or "__" in n or n.split("_")[0] == ""]
-
-
 def apply_stages(df: DataFrame, stages: Sequence[tuple[str, str]], keep_scratch: bool = False
                  ) -> DataFrame:
     """Add staged expressions as columns (Spark side)."""

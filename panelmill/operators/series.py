@@ -27,9 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.params import SARIMA_ORDER, SARIMA_SEASONAL
 from panelmill.session import materialize, ship_code
 
-PERIOD = 7
+PERIOD = SARIMA_SEASONAL[3]
 ETS_GRID = list(itertools.product([0.1, 0.3, 0.5, 0.7, 0.9], [0.01, 0.1, 0.3],
                                   [0.01, 0.1, 0.3], [0.8, 0.9, 0.98]))
 
@@ -166,10 +167,12 @@ def _job(keys: Sequence[str], kind: str):
             fc, params = ets_fit_forecast(y, steps)
             return _forecast_frame(pdf, keys, fc, "ets", params)
         if kind == "sarima":
-            fc, aic = sarima_fit_forecast(y, steps, 1, 1)
+            p0, _, q0 = SARIMA_ORDER
+            fc, aic = sarima_fit_forecast(y, steps, p0, q0)
             if fc is None:
                 return empty
-            return _forecast_frame(pdf, keys, fc, "sarima_fix", f"order=(1,1,1),aic={aic:.4f}")
+            return _forecast_frame(pdf, keys, fc, "sarima_fix",
+                                   f"order=({p0},1,{q0}),aic={aic:.4f}")
         best = None
         for p, q in itertools.product(range(4), range(4)):
             try:

@@ -18,7 +18,7 @@ from panelmill.operators import policy as V
 from panelmill.operators.impute import impute_prices
 from panelmill.operators.windows import series_window
 from panelmill.params import (CONCAVITY_HIGH, CONCAVITY_LOW, CONCAVITY_POINTS, ELASTICITIES,
-                              ETAS, FALLBACK_PRICE, PROCUREMENT, PRODUCTION, SCENARIOS, STRESS,
+                              ETAS, FALLBACK_PRICE, FALLBACK_RMSE, PROCUREMENT, PRODUCTION, SCENARIOS, STRESS,
                               TEST_START, archetype_params)
 from panelmill.plans.common import r, rounded
 import panelmill.plans.q_joins  # noqa: F401  (registers the feature-panel CTEs)
@@ -105,20 +105,28 @@ def g17_forecast_price(spark, sf_dir):
     return rounded(commodity_forecasts(spark, sf_dir))
 
 
+_ARCH_T = "CAST(('0x' || substr(md5(t.commodity), 1, 2)) AS INTEGER) % 2 = 0"
+
+
 @query("s9_default_prices", B.sql_with("cfc") + f"""
-  SELECT t.commodity, {r(f"coalesce(f.forecast_price, CASE WHEN CAST(('0x' || substr(md5(t.commodity), 1, 2)) AS INTEGER) % 2 = 0 THEN {num(FALLBACK_PRICE['wheat'])} ELSE {num(FALLBACK_PRICE['rice'])} END)", 'forecast_price')},
+  SELECT t.commodity,
+    {r(f"coalesce(f.forecast_price, CASE WHEN {_ARCH_T} THEN {num(FALLBACK_PRICE['wheat'])} ELSE {num(FALLBACK_PRICE['rice'])} END)", 'forecast_price')},
+    {r(f"coalesce(f.rmse, CASE WHEN {_ARCH_T} THEN {num(FALLBACK_RMSE['wheat'])} ELSE {num(FALLBACK_RMSE['rice'])} END)", 'rmse')},
     f.forecast_price IS NULL AS used_default
   FROM (SELECT DISTINCT p_type AS commodity FROM part) t
   LEFT JOIN cfc f ON f.commodity = t.commodity""")
 def s9_default_prices(spark, sf_dir):
-    """Every known commodity gets a price; the archetype's fallback where none was forecast."""
+    """Every known commodity gets a price and an RMSE; the archetype's fallback
+    values where no forecast exists."""
     types = B.table(spark, sf_dir, "part", "p_type").select(
         F.col("p_type").alias("commodity")).distinct()
     fc = commodity_forecasts(spark, sf_dir)
-    fb = (F.when(archetype(F.col("commodity")) == "wheat", F.lit(FALLBACK_PRICE["wheat"]))
-          .otherwise(F.lit(FALLBACK_PRICE["rice"])))
+    wheat = archetype(F.col("commodity")) == "wheat"
+    fb_p = F.when(wheat, F.lit(FALLBACK_PRICE["wheat"])).otherwise(F.lit(FALLBACK_PRICE["rice"]))
+    fb_r = F.when(wheat, F.lit(FALLBACK_RMSE["wheat"])).otherwise(F.lit(FALLBACK_RMSE["rice"]))
     df = types.join(fc, "commodity", "left")
-    return rounded(df.select("commodity", F.coalesce("forecast_price", fb).alias("forecast_price"),
+    return rounded(df.select("commodity", F.coalesce("forecast_price", fb_p).alias("forecast_price"),
+                             F.coalesce("rmse", fb_r).alias("rmse"),
                              F.col("forecast_price").isNull().alias("used_default")))
 
 
