@@ -50,9 +50,16 @@ def missing_rate(df: DataFrame, value: str = "price_modal",
 
 
 def group_quantile(df: DataFrame, value: str, keys: Sequence[str], q: float,
-                   out: str) -> DataFrame:
-    """Exact linear-interpolated quantile per group."""
-    return df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), q).alias(out))
+                   out: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Exact linear-interpolated quantile per group.
+
+    The exact aggregate keeps a value -> count map per group; for groups with
+    very many distinct values ``approx=True`` switches to the bounded-memory
+    ``percentile_approx`` sketch (not equal to the linear quantile).
+    """
+    x = F.col(value).cast("double")
+    agg = F.percentile_approx(x, q, accuracy) if approx else F.percentile(x, q)
+    return df.groupBy(*keys).agg(agg.alias(out))
 
 
 def quantile_summary(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:

@@ -46,12 +46,13 @@ def commodity_forecasts(spark, sf_dir, cube=None):
                                       F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def crop_params(spark, sf_dir, checkpoint: bool = True):
+def crop_params(spark, sf_dir, checkpoint: bool = True, cube=None):
     """One row per commodity. Small but expensive (it scans the fact table), and
     reused by several branches of a plan, so its lineage is cut with an eager
     reliable checkpoint in the shared ``spark.checkpoint.dir``."""
     from panelmill.session import materialize
-    cube = materialize(B.commodity_cube(spark, sf_dir))  # one fact pass for both inputs
+    if cube is None:
+        cube = materialize(B.commodity_cube(spark, sf_dir))  # one fact pass for both inputs
     fc = commodity_forecasts(spark, sf_dir, cube)
     cur = (B.policy(spark, sf_dir, cube).groupBy(F.col("crop").alias("commodity"))
            .agg(F.max_by("msp_rs_per_quintal", "year").alias("current_msp")))
@@ -276,16 +277,18 @@ def o6_curve_argmax(spark, sf_dir):
   FROM policy p JOIN (SELECT commodity AS crop, m_star - current_msp AS gap FROM cp_opt
                       WHERE scenario = 'equal_weights') g ON p.crop = g.crop""")
 def v13_counterfactual(spark, sf_dir):
-    params = crop_params(spark, sf_dir)
+    from panelmill.session import materialize
+    cube = materialize(B.commodity_cube(spark, sf_dir))
+    params = crop_params(spark, sf_dir, cube=cube)
     base = V.with_weights(params, [V.EQUAL]).withColumn("eta", F.lit(0.0))
     gaps = V.optimal_floor(base).select(F.col("commodity").alias("crop"),
                                         (F.col("m_star") - F.col("current_msp")).alias("gap"))
-    return rounded(V.counterfactual_path(B.policy(spark, sf_dir), gaps))
+    return rounded(V.counterfactual_path(B.policy(spark, sf_dir, cube), gaps))
 
 
-def commodity_prediction_means(spark, sf_dir):
+def commodity_prediction_means(spark, sf_dir, cube=None):
     """Per (commodity, model): mean actual and mean forecast over the test weeks."""
-    panel = impute_prices(B.commodity_panel(spark, sf_dir), keys=CKEYS)
+    panel = impute_prices(B.commodity_panel(spark, sf_dir, cube), keys=CKEYS)
     w = series_window(CKEYS, "date")
     f = panel.select("commodity", "date", F.lead("price_modal", 1).over(w).alias("y"),
                      F.lag("price_modal", 7).over(w).alias("naive"),
@@ -330,8 +333,10 @@ def _regret_sql() -> str:
   FROM ({_regret_sql()})""")
 def v5_welfare_regret(spark, sf_dir):
     """V5 + O7: regret per (commodity, model), sorted ascending."""
-    means = commodity_prediction_means(spark, sf_dir)
-    params = crop_params(spark, sf_dir).drop("p")
+    from panelmill.session import materialize
+    cube = materialize(B.commodity_cube(spark, sf_dir))
+    means = commodity_prediction_means(spark, sf_dir, cube)
+    params = crop_params(spark, sf_dir, cube=cube).drop("p")
     df = V.welfare_regret(means.join(params, "commodity"))
     return rounded(df.select("commodity", "model", "m_true", "m_pred", "regret")
                    .orderBy("regret", "commodity", "model"))

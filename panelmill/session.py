@@ -17,11 +17,14 @@ _LOCAL_CHECKPOINT_ROOT = None
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "panelmill") -> SparkSession:
+              app_name: str = "panelmill", extra_conf: dict | None = None) -> SparkSession:
     master = master or os.environ.get("PANELMILL_MASTER", "local[8]")
     parts = shuffle_partitions or int(os.environ.get("PANELMILL_SHUFFLE_PARTITIONS", "8"))
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
