@@ -12,9 +12,10 @@ Plan, per group (commodity) with entity = market:
    sums, partial-aggregated on every mapper.
 4. ``solve``: a k x k solve per group inside ``applyInPandas`` (input: one row
    per group), so many groups solve in parallel and nothing is collected.
-5. Residual scores summed per (group, entity), then the sandwich
-   c (X'X)^-1 [sum_g s_g s_g'] (X'X)^-1 with c = G/(G-1) (N-1)/(N-K), K =
-   regressors + G, per group in ``applyInPandas`` (rows = entities).
+5. Residual scores summed per (group, entity); the meat sum_g s_g s_g' is a
+   second grouped aggregation of k(k+1)/2 products, so the sandwich
+   c (X'X)^-1 meat (X'X)^-1, c = G/(G-1) (N-1)/(N-K), K = regressors + G,
+   runs in ``applyInPandas`` on ONE row per group however many entities.
 """
 
 from __future__ import annotations
@@ -100,30 +101,30 @@ def _solve_group(k: int, group: Sequence[str]):
 
 def _sandwich_group(k: int, group: Sequence[str], names: Sequence[str]):
     def sandwich(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        beta = np.array(first["beta"], dtype=float)
-        inv = np.array(first["xtx_inv"], dtype=float).reshape(k, k)
-        n, rank = int(first["n"]), int(first["rank"])
-        scores = np.array([list(s) for s in pdf["score"]], dtype=float)
-        g = len(pdf)
-        meat = np.nan_to_num(scores).T @ np.nan_to_num(scores)
+        row = pdf.iloc[0]
+        beta = np.array(row["beta"], dtype=float)
+        inv = np.array(row["xtx_inv"], dtype=float).reshape(k, k)
+        n, rank, g = int(row["n"]), int(row["rank"]), int(row["n_entities"])
+        meat = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                meat[i, j] = meat[j, i] = row[f"m_{i}_{j}"]
         kk = rank + g
         c = (g / (g - 1)) * ((n - 1) / (n - kk)) if g > 1 and n > kk else float("nan")
-        cov = c * (np.nan_to_num(inv) @ meat @ np.nan_to_num(inv))
+        cov = c * (np.nan_to_num(inv) @ np.nan_to_num(meat) @ np.nan_to_num(inv))
         se = np.sqrt(np.where(np.isnan(beta), np.nan, np.diag(cov)))
-        ssr = float(pdf["ssr"].sum())
-        yy = float(first["yy"])
-        r2 = 1.0 - ssr / yy if yy > 0 else float("nan")
+        yy = float(row["yy"])
+        r2 = 1.0 - float(row["ssr"]) / yy if yy > 0 else float("nan")
         rows = []
         for j, name in enumerate(names):
             z = beta[j] / se[j] if se[j] and not math.isnan(se[j]) and se[j] > 0 else float("nan")
             p = math.erfc(abs(z) / math.sqrt(2.0)) if not math.isnan(z) else float("nan")
             stars = ""
-            for level, s in STAR_LEVELS:
+            for level, st in STAR_LEVELS:
                 if not math.isnan(p) and p < level:
-                    stars = s
+                    stars = st
                     break
-            rec = {gk: first[gk] for gk in group}
+            rec = {gk: row[gk] for gk in group}
             rec.update({"variable": name, "coefficient": float(beta[j]),
                         "std_error": float(se[j]), "p_value": p, "stars": stars,
                         "nobs": n, "r2_within": r2})
@@ -151,9 +152,13 @@ def fit_fixed_effects(panel: DataFrame, xcols: Sequence[str], y: str = "price_mo
     u = F.col(f"{y}_dm") - F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
     scored = fitted.withColumn("_u", u)
     per_entity = scored.groupBy(*ent).agg(
-        F.array(*[F.sum(F.col(f"{c}_dm") * F.col("_u")) for c in xcols]).alias("score"),
+        *[F.sum(F.col(f"{c}_dm") * F.col("_u")).alias(f"s_{i}") for i, c in enumerate(xcols)],
         F.sum(F.col("_u") * F.col("_u")).alias("ssr"))
-    merged = per_entity.join(sol, list(group))
+    meat = per_entity.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_entities"), F.sum("ssr").alias("ssr"),
+        *[F.sum(F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"m_{i}_{j}")
+          for i in range(k) for j in range(i, k)])
+    merged = meat.join(sol, list(group))
     out_schema = (f"{gschema}, variable string, coefficient double, std_error double, "
                   f"p_value double, stars string, nobs long, r2_within double")
     return merged.groupBy(*group).applyInPandas(_sandwich_group(k, group, list(xcols)),
