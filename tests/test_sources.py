@@ -45,3 +45,25 @@ def test_streaming_ingest_is_idempotent(spark):
     ingest_sites(spark, folders, table, ckpt)  # nothing new: no duplicates
     assert spark.read.parquet(table).count() == n1
     assert n1 == prices_csv.read_price_files(spark, root, "all").count()
+
+
+def test_output_tables_written(spark):
+    from panelmill.plans.outputs import write_outputs
+    out = scratch_path(spark, "t-out")
+    paths = write_outputs(spark, SF_SMALL, out, ["welfare_scenarios", "sensitivity_elasticity"])
+    assert spark.read.parquet(paths["welfare_scenarios"]).count() == 24
+    assert spark.read.parquet(paths["sensitivity_elasticity"]).count() == 30
+
+
+def test_feature_importances_sum_to_one(spark):
+    import __spark_entry__ as E
+    imp = E.queries()["m3_o3_top_features"]
+    from panelmill.plans.q_models import regime_predictions
+    _, all_imp = regime_predictions(spark, SF_SMALL, regimes=("B",))
+    sums = {(r.regime, r.model): r.s for r in
+            all_imp.groupBy("regime", "model").agg({"importance": "sum"})
+            .withColumnRenamed("sum(importance)", "s").collect()}
+    assert all(abs(v - 1.0) < 1e-6 for v in sums.values())
+    feats = {r.feature for r in all_imp.collect()}
+    assert "msp_current" not in feats and "price_lag7" in feats  # regime B is policy-neutral
+    assert imp is not None
