@@ -26,7 +26,7 @@ def g2_describe(spark, sf_dir):
 
 
 @query("g3_missing_rate", B.sql_with("spine") + f"""
-  SELECT market, count_if(price_modal IS NULL) AS n_missing, count(*) AS n_rows,
+  SELECT market, CAST(count_if(price_modal IS NULL) AS BIGINT) AS n_missing, count(*) AS n_rows,
     {r('count_if(price_modal IS NULL) * 100.0 / count(*)', 'missing_pct')}
   FROM spine GROUP BY market""")
 def g3_missing_rate(spark, sf_dir):
