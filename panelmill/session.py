@@ -54,7 +54,10 @@ def ship_code(spark: SparkSession) -> None:
     (Spark uploads it to every executor, like ``--py-files``); a deployment
     that already ships it via ``--py-files`` or an installed wheel is left alone.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: code ships with the client)
+        return
     key = sc.applicationId
     if key in _SHIPPED:
         return
@@ -83,17 +86,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     global _LOCAL_CHECKPOINT_ROOT
     ship_code(spark)
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: the server reads the conf)
+        sc = None
     if conf_dir:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(conf_dir)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
-    sc_dir = spark.sparkContext.getCheckpointDir()
+    sc_dir = sc.getCheckpointDir() if sc is not None else None
     if sc_dir:
         return sc_dir
     if _LOCAL_CHECKPOINT_ROOT is None:
         _LOCAL_CHECKPOINT_ROOT = tempfile.mkdtemp(prefix="panelmill-ckpt-")
     spark.conf.set("spark.checkpoint.dir", _LOCAL_CHECKPOINT_ROOT)
-    spark.sparkContext.setCheckpointDir(_LOCAL_CHECKPOINT_ROOT)
+    if sc is not None:
+        sc.setCheckpointDir(_LOCAL_CHECKPOINT_ROOT)
     return _LOCAL_CHECKPOINT_ROOT
 
 
