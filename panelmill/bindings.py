@@ -67,18 +67,17 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spine(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
     """Markets x every day of the global range, left joined to the panel.
 
-    The day list is generated per market with ``sequence`` from a one-row
-    global min/max aggregate, so nothing is collected to the driver and no
-    join multiplies data. The aggregated panel (markets x days, small) feeds
+    The day list is generated per market with ``sequence`` between the global
+    first and last day (scalar subqueries), so nothing is collected to the
+    driver and no join multiplies data. The aggregated panel (markets x days, small) feeds
     three branches, so it is materialised once instead of rescanning the
     fact table per branch.
     """
     panel = panel if panel is not None else materialize(market_panel(spark, sf_dir))
-    bounds = panel.agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
+    d0 = panel.select(F.min("date")).scalar()  # scalar subqueries, merged into one aggregate
+    d1 = panel.select(F.max("date")).scalar()
     markets = panel.select("state", "market").distinct()
-    cells = (markets.crossJoin(bounds)
-             .select("state", "market",
-                     F.explode(F.sequence("d0", "d1")).alias("date")))
+    cells = markets.select("state", "market", F.explode(F.sequence(d0, d1)).alias("date"))
     return cells.join(panel, ["state", "market", "date"], "left")
 
 

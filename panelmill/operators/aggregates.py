@@ -113,12 +113,13 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def impute_with_means(df: DataFrame, means: DataFrame, cols: Sequence[str]) -> DataFrame:  # noqa: E501
-    """G11 (apply part): coalesce each column with the fitted mean (one-row cross join)."""
-    m = means.select(*[F.col(c).alias(f"_m_{c}") for c in cols])
-    out = df.crossJoin(m)
-    for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_m_{c}")))
-    return out.drop(*[f"_m_{c}" for c in cols])
+    """G11 (apply part): coalesce each column with its fitted mean.
+
+    Each mean is a scalar subquery of the one-row ``means`` (Spark merges them
+    into one aggregate), so no join is planned.
+    """
+    return df.select(*[F.coalesce(F.col(c), means.select(c).scalar()).alias(c) if c in cols
+                       else F.col(c) for c in df.columns])
 
 
 def argmax_first(value: Column, order: Column) -> Column:

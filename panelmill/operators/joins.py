@@ -144,9 +144,8 @@ def dense_grid(values: DataFrame, keys: DataFrame, a: str, b: str, lo: str, hi:
                value: str) -> DataFrame:
     """Every ``a`` x every integer ``b`` in [lo, hi], ``value`` 0 where absent.
 
-    ``keys`` holds the distinct ``a`` values joined to a one-row (lo, hi)
-    bounds aggregate; the ``b`` axis is generated by ``sequence`` per key, so
-    no two data-sized sides are ever cross-joined.
+    ``keys`` holds the distinct ``a`` values with their (lo, hi) bounds; the
+    ``b`` axis is generated by ``sequence`` per key, so nothing is cross-joined.
     """
     grid = keys.select(a, F.explode(F.sequence(lo, hi)).alias(b))
     dtype = values.schema[value].dataType

@@ -61,13 +61,12 @@ def standardize(df: DataFrame, cols: Sequence[str], fit_filter=None, reuse: bool
     if reuse:
         df = materialize(df)  # read by the statistics and by the rows
     fit = df.where(fit_filter) if fit_filter is not None else df
-    stats = fit.agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols],
-                    *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols])
-    out = df.crossJoin(stats)
-    for c in cols:
-        sd = F.when(F.col(f"_sd_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_sd_{c}"))
-        out = out.withColumn(f"{c}_z", (F.col(c) - F.col(f"_mu_{c}")) / sd)
-    return out.drop(*[f"_mu_{c}" for c in cols], *[f"_sd_{c}" for c in cols])
+    out = df
+    for c in cols:  # scalar subqueries; Spark merges them into one aggregate over ``fit``
+        mu, sd = fit.select(F.avg(c)).scalar(), fit.select(F.stddev_pop(c)).scalar()
+        sd = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
+        out = out.withColumn(f"{c}_z", (F.col(c) - mu) / sd)
+    return out
 
 
 def fit_regime(panel: DataFrame, regime: str, train_end: str, test_start: str | None,

@@ -46,13 +46,13 @@ def prepare_panel(df: DataFrame, keys=("commodity", "market"), order: str = "dat
     present = [c for c in weather if c in df.columns]
     if reuse:
         df = materialize(df)
-    d0 = df.agg(F.min(order).alias("_d0"))
+    d0 = df.select(F.min(order)).scalar()
     out = df.select(*keys, order, value,
                     *[F.lag(c, 7).over(w).alias(f"{c}_lag7") for c in present],
                     F.lag(value, 1).over(w).alias("price_lag1"),
                     F.lag(value, 7).over(w).alias("price_lag7"))
-    out = out.crossJoin(d0).withColumn("time_trend", F.datediff(order, "_d0").cast("double"))
-    out = out.select("*", *month_dummies(F.month(order))).drop("_d0")
+    out = out.withColumn("time_trend", F.datediff(order, d0).cast("double"))
+    out = out.select("*", *month_dummies(F.month(order)))
     need = [f"{c}_lag7" for c in present] + ["price_lag1", "price_lag7"]
     return out.na.drop(subset=need)
 

@@ -37,14 +37,14 @@ ETS_GRID = list(itertools.product([0.1, 0.3, 0.5, 0.7, 0.9], [0.01, 0.1, 0.3],
 
 def training_windows(df: DataFrame, keys: Sequence[str], value: str, train_end: str,
                      history: int = 730, order: str = "date") -> DataFrame:
-    """O4 per series + the global last date (one-row aggregate) as the horizon end."""
-    df = materialize(df)  # read by the horizon aggregate and by the windows
-    end = df.agg(F.max(order).alias("horizon_end"))
+    """O4 per series + the global last date (a scalar subquery) as the horizon end."""
+    df = materialize(df)  # read by the horizon subquery and by the windows
+    end = df.select(F.max(order)).scalar()
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     tr = (df.where(F.col(order) <= F.lit(train_end).cast("date"))
           .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= history)
           .drop("_rn"))
-    return tr.select(*keys, order, F.col(value).alias("y")).crossJoin(end)
+    return tr.select(*keys, order, F.col(value).alias("y"), end.alias("horizon_end"))
 
 
 # ---------------------------------------------------------------- ETS -----

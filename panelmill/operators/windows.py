@@ -118,8 +118,7 @@ def pad_edge(df: DataFrame, value: str, keys=("market",), order="date", out=None
 
 def add_time_trend(df: DataFrame, order: str = "date", out: str = "trend",
                    reuse: bool = True) -> DataFrame:
-    """Days since the global first date (one-row aggregate, no global window)."""
+    """Days since the global first date (a scalar subquery, no global window)."""
     if reuse:
         df = materialize(df)
-    first = df.agg(F.min(order).alias("_d0"))
-    return df.crossJoin(first).withColumn(out, F.datediff(order, "_d0")).drop("_d0")
+    return df.withColumn(out, F.datediff(order, df.select(F.min(order)).scalar()))

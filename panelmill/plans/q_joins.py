@@ -185,17 +185,18 @@ def w14_time_trend(spark, sf_dir):
 def j9_dense_grid(spark, sf_dir):
     """Heat-day counts on the dense (state x every panel year) grid, 0 where absent.
 
-    The year axis is a ``sequence`` over the panel's year range (a one-row
-    aggregate), exploded per state: no join of two data-sized sides.
+    The year axis is a ``sequence`` over the panel's year range (scalar
+    subqueries), exploded per state: no cross join at all.
     """
     from panelmill.session import materialize
     wf = materialize(B.covariates(spark, sf_dir))
     heat = (wf.select("state", F.year("date").cast("int").alias("year"),
                       (F.col("max_temp") > 40).cast("int").alias("heat"))
             .groupBy("state", "year").agg(F.sum("heat").cast("bigint").alias("heat_days")))
-    bounds = B.market_panel(spark, sf_dir).agg(F.min(F.year("date")).cast("int").alias("y0"),
-                                               F.max(F.year("date")).cast("int").alias("y1"))
-    keys = wf.select("state").distinct().crossJoin(bounds)
+    panel = B.market_panel(spark, sf_dir)
+    keys = wf.select("state").distinct().select(
+        "state", panel.select(F.min(F.year("date")).cast("int")).scalar().alias("y0"),
+        panel.select(F.max(F.year("date")).cast("int")).scalar().alias("y1"))
     return J.dense_grid(heat, keys, "state", "year", "y0", "y1", "heat_days").select(
         "state", "year", "heat_days")
 
