@@ -173,30 +173,29 @@ def w14_time_trend(spark, sf_dir):
     return W.add_time_trend(B.market_panel(spark, sf_dir)).select("market", "date", "trend")
 
 
-@query("j9_dense_grid", B.sql_with("panel", "wfeat") + """
+@query("j9_dense_grid", B.sql_with("wfeat") + """
   SELECT s.state, CAST(y.year AS INTEGER) AS year,
     CAST(coalesce(v.heat_days, 0) AS BIGINT) AS heat_days
   FROM (SELECT DISTINCT state FROM wfeat) s
-  CROSS JOIN (SELECT min(year(date)) AS y0, max(year(date)) AS y1 FROM panel) b
+  CROSS JOIN (SELECT min(year(date)) AS y0, max(year(date)) AS y1 FROM wfeat) b
   CROSS JOIN LATERAL (SELECT unnest(generate_series(b.y0, b.y1)) AS year) y
   LEFT JOIN (SELECT state, CAST(year(date) AS INTEGER) AS year,
                sum(CAST(max_temp > 40 AS INTEGER)) AS heat_days
              FROM wfeat GROUP BY 1, 2) v ON v.state = s.state AND v.year = y.year""")
 def j9_dense_grid(spark, sf_dir):
-    """Heat-day counts on the dense (state x every panel year) grid, 0 where absent.
+    """Heat-day counts on the dense (state x every year) grid, 0 where absent.
 
-    The year axis is a ``sequence`` over the panel's year range (scalar
-    subqueries), exploded per state: no cross join at all.
+    The year axis is a ``sequence`` over the covariate table's year range
+    (scalar subqueries), exploded per state: no cross join at all.
     """
     from panelmill.session import materialize
     wf = materialize(B.covariates(spark, sf_dir))
     heat = (wf.select("state", F.year("date").cast("int").alias("year"),
                       (F.col("max_temp") > 40).cast("int").alias("heat"))
             .groupBy("state", "year").agg(F.sum("heat").cast("bigint").alias("heat_days")))
-    panel = B.market_panel(spark, sf_dir)
     keys = wf.select("state").distinct().select(
-        "state", panel.select(F.min(F.year("date")).cast("int")).scalar().alias("y0"),
-        panel.select(F.max(F.year("date")).cast("int")).scalar().alias("y1"))
+        "state", wf.select(F.min(F.year("date")).cast("int")).scalar().alias("y0"),
+        wf.select(F.max(F.year("date")).cast("int")).scalar().alias("y1"))
     return J.dense_grid(heat, keys, "state", "year", "y0", "y1", "heat_days").select(
         "state", "year", "heat_days")
 
