@@ -7,7 +7,10 @@ value and a trailing gap the last one.
 
 The next known value is read through a date-*descending* running frame
 instead of an ``unboundedFollowing`` frame, which Spark evaluates in
-quadratic time. Both frames share one exchange on the series keys.
+quadratic time. That pass runs first and carries each row's position from
+the end, so the ascending pass (previous value, interpolation) leaves the
+series sorted by date for every later feature window: one exchange on the
+series keys and two sorts in all.
 """
 
 from __future__ import annotations
@@ -22,17 +25,22 @@ def interpolate_linear(df: DataFrame, value: str = "price_modal",
                        keys: Sequence[str] = ("market",), order: str = "date",
                        out: str | None = None) -> DataFrame:
     out = out or value
+    x = F.col(value)
+    # Pass 1, date-descending: next known value and its position counted from the end.
+    back_w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    back = back_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    staged = df.withColumn("_r", F.row_number().over(back_w))
+    known_r = F.when(x.isNotNull(), F.col("_r"))
+    staged = (staged.withColumn("_nv", F.last(x, ignorenulls=True).over(back))
+              .withColumn("_nr", F.last(known_r, ignorenulls=True).over(back)))
+    # Pass 2, date-ascending (the order every later feature window reuses).
     w = Window.partitionBy(*keys).orderBy(order)
     fwd = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    back = (Window.partitionBy(*keys).orderBy(F.col(order).desc())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = F.col(value)
+    staged = staged.withColumn("_t", F.row_number().over(w))
     known_t = F.when(x.isNotNull(), F.col("_t"))
-    staged = (df.withColumn("_t", F.row_number().over(w))
-              .withColumn("_pv", F.last(x, ignorenulls=True).over(fwd))
+    staged = (staged.withColumn("_pv", F.last(x, ignorenulls=True).over(fwd))
               .withColumn("_pt", F.last(known_t, ignorenulls=True).over(fwd))
-              .withColumn("_nv", F.last(x, ignorenulls=True).over(back))
-              .withColumn("_nt", F.last(known_t, ignorenulls=True).over(back)))
+              .withColumn("_nt", F.col("_t") + F.col("_r") - F.col("_nr")))
     pv, nv = F.col("_pv"), F.col("_nv")
     dt = (F.col("_t") - F.col("_pt")).cast("double")
     dn = (F.col("_nt") - F.col("_pt")).cast("double")
@@ -41,7 +49,7 @@ def interpolate_linear(df: DataFrame, value: str = "price_modal",
         F.when(F.col("_pt").isNull(), nv)
          .when(F.col("_nt").isNull(), pv)
          .otherwise(pv + (nv - pv) * dt / dn))
-    return staged.withColumn(out, filled).drop("_t", "_pv", "_pt", "_nv", "_nt")
+    return staged.withColumn(out, filled).drop("_t", "_r", "_pv", "_pt", "_nv", "_nr", "_nt")
 
 
 def fill_series_mean(df: DataFrame, value: str = "price_modal",
