@@ -77,8 +77,13 @@ def spine(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> D
     d0 = panel.select(F.min("date")).scalar()  # scalar subqueries, merged into one aggregate
     d1 = panel.select(F.max("date")).scalar()
     markets = panel.select("state", "market").distinct()
-    cells = markets.select("state", "market", F.explode(F.sequence(d0, d1)).alias("date"))
-    return cells.join(panel, ["state", "market", "date"], "left")
+    cells = markets.select("state", "market", F.explode(F.sequence(d0, d1)).alias("date"),
+                           F.lit(None).cast("double").alias("price_modal"))
+    # Left join expressed as union + max: ONE exchange, by market, which also
+    # satisfies every later per-market window (no join exchanges, no join sorts).
+    rows = cells.unionByName(panel.select("state", "market", "date", "price_modal"))
+    return (rows.repartition("market").groupBy("state", "market", "date")
+            .agg(F.max("price_modal").alias("price_modal")))
 
 
 def commodity_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
