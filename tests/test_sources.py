@@ -67,3 +67,33 @@ def test_feature_importances_sum_to_one(spark):
     feats = {r.feature for r in all_imp.collect()}
     assert "msp_current" not in feats and "price_lag7" in feats  # regime B is policy-neutral
     assert imp is not None
+
+
+def test_weather_payload_text_and_missing_sources(spark):
+    import json
+    from panelmill.sources.weather import first_existing, parse_payload_text, read_weather_csv
+    doc = {"properties": {"parameter": {
+        "T2M_MAX": {"20200101": 30.5, "20200102": 31.0}, "T2M_MIN": {"20200101": 20.0},
+        "PRECTOTCORR": {"20200101": 1.5, "20200102": 0.0}, "RH2M": {"20200102": 55.0}}}}
+    df = spark.createDataFrame([("Somewhere", json.dumps(doc))], "state string, payload string")
+    rows = {r.date.isoformat(): r for r in parse_payload_text(df, "payload").collect()}
+    assert rows["2020-01-01"].max_temp == 30.5 and rows["2020-01-01"].humidity is None
+    assert rows["2020-01-02"].min_temp is None and rows["2020-01-02"].humidity == 55.0
+    missing = scratch_path(spark, "nothing")
+    assert first_existing(spark, [(missing, read_weather_csv)]) is None
+
+
+def test_aic_selection_picks_the_smallest_aic():
+    import numpy as np
+    import pandas as pd
+    from panelmill.operators.series import _job, sarima_fit_forecast
+    rng = np.random.default_rng(5)
+    y = 100 + np.cumsum(rng.normal(0, 1, 300)) + 5 * np.sin(2 * np.pi * np.arange(300) / 7)
+    dates = pd.date_range("2020-01-01", periods=300, freq="D")
+    pdf = pd.DataFrame({"market": "m", "date": dates.date, "y": y,
+                        "horizon_end": [dates[-1].date() + pd.Timedelta(days=10)] * 300})
+    out = _job(["market"], "sarima_aic")(pdf)
+    assert len(out) == 10
+    aics = {(p, q): sarima_fit_forecast(y, 10, p, q)[1] for p in range(4) for q in range(4)}
+    best = min((a, k) for k, a in aics.items() if a is not None)[1]
+    assert out["params"].iloc[0].startswith(f"order=({best[0]},1,{best[1]})")
