@@ -23,7 +23,7 @@ from panelmill.params import (CONCAVITY_HIGH, CONCAVITY_LOW, CONCAVITY_POINTS, E
 from panelmill.plans.common import r, rounded
 import panelmill.plans.q_joins  # noqa: F401  (registers the feature-panel CTEs)
 from panelmill.plans.registry import query
-from panelmill.session import ensure_checkpoint_dir
+from panelmill.session import materialize
 
 CKEYS = ("commodity", "market")
 
@@ -48,9 +48,8 @@ def commodity_forecasts(spark, sf_dir, cube=None):
 
 def crop_params(spark, sf_dir, checkpoint: bool = True, cube=None):
     """One row per commodity. Small but expensive (it scans the fact table), and
-    reused by several branches of a plan, so its lineage is cut with an eager
-    reliable checkpoint in the shared ``spark.checkpoint.dir``."""
-    from panelmill.session import materialize
+    reused by several branches of a plan, so it is materialised as a table in
+    the shared ``spark.checkpoint.dir``."""
     if cube is None:
         cube = materialize(B.commodity_cube(spark, sf_dir))  # one fact pass for both inputs
     fc = commodity_forecasts(spark, sf_dir, cube)
@@ -62,10 +61,7 @@ def crop_params(spark, sf_dir, checkpoint: bool = True, cube=None):
                     "archetype", ap["eps_s"].alias("eps_s"), ap["eps_s_se"].alias("eps_s_se"),
                     ap["eps_d"].alias("eps_d"), ap["eps_d_se"].alias("eps_d_se"),
                     ap["q_proc"].alias("q_proc"), ap["q_total"].alias("q_total"))
-    if checkpoint:
-        ensure_checkpoint_dir(spark)
-        out = out.checkpoint(eager=True)
-    return out
+    return materialize(out) if checkpoint else out
 
 
 def _arch_case(table: dict) -> str:

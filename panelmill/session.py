@@ -112,12 +112,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Cut lineage at a reuse point with a reliable eager checkpoint.
+    """Cut lineage at a reuse point by writing a table to the shared checkpoint folder.
 
     Used where a small derived table (an aggregated panel, a covariate table)
     feeds several branches of one plan: without it Spark recomputes the whole
-    upstream (fact-table scans and joins) once per branch. The files go to the
-    shared ``spark.checkpoint.dir``, so a lost executor never forces a rescan.
+    upstream (fact-table scans and joins) once per branch. The table is
+    written as parquet under ``spark.checkpoint.dir`` (shared storage on a
+    cluster, so a lost executor never forces a rescan) and read back: columnar,
+    vectorised, and with its real size known to AQE for later join choices.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
