@@ -1,8 +1,9 @@
 """Entry 1 of the reference: raw panel -> 39-feature panel (one Spark plan).
 
-Steps (reference order): impute (W5/W6) -> price features (W1-W4, P5) ->
-calendar (F1/F2) -> weather (W10/W11/G4 on the covariate table, J1, P6) ->
-policy (J2/J3, W8/W9) -> cross-market (W12) -> target (W7) -> drop (P4).
+Steps: impute (W5/W6) -> cross-market (W12; it only reads the imputed price,
+so running it first gives the same values as the reference's order) ->
+price features (W1-W4, P5) -> calendar (F1/F2) -> weather (W10/W11/G4 on the
+covariate table, J1, P6) -> policy (J2/J3, W8/W9) -> target (W7) -> drop (P4).
 
 All series windows share the partitioning on ``keys`` so Spark exchanges
 the panel once for them; the weather and policy joins are keyed joins
@@ -39,14 +40,17 @@ def build_feature_panel(panel: DataFrame, covariates: DataFrame | None, policy:
                         keys: Sequence[str] = ("commodity", "market"), order: str = "date",
                         horizon: int = 1) -> DataFrame:
     df = impute_prices(panel, "price_modal", keys, order)
+    # W12 needs only the imputed price, so it runs here: the table it materialises
+    # is the narrow imputed panel, and every series window below (features,
+    # policy lags, target) then shares one exchange on ``keys``.
+    by = ["commodity", order] if "commodity" in df.columns else [order]
+    df = add_cross_features(df, "price_modal", by)
     df = add_price_features(df, "price_modal", keys, order)
     df = add_temporal_features(df, order)
     if covariates is not None:
         df = join_weather(df, weather_features(covariates))
     if policy is not None and "commodity" in df.columns:
         df = add_policy_features(df, policy, keys, order)
-    by = ["commodity", order] if "commodity" in df.columns else [order]
-    df = add_cross_features(df, "price_modal", by)
     df = add_lead_target(df, "price_modal", horizon, keys, order)
     return df.na.drop(subset=["price_target", "price_lag7", "price_ma7"])
 
