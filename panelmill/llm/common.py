@@ -20,10 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-             schema: str) -> DataFrame:
+             schema) -> DataFrame:
     """``mapInArrow`` with batches small enough for very long texts."""
     ensure_checkpoint_dir(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return df.mapInArrow(fn, schema)
 
 
@@ -71,3 +72,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
+
+
+class KeyFilter:
+    """A bitmap of fixed size over 64-bit hash keys, built by Spark and sent to the tasks.
+
+    It spares rows whose key is surely absent a shuffle before an exact join. Its size never
+    grows with the data: more keys only let more rows through, which the join then drops.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 25):
+        place = F.col(column).bitwiseAND(F.lit(bits - 1))
+        words = (keys.select(place.alias("p"))
+                 .groupBy(F.shiftright("p", 6).alias("w"))
+                 .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("m")).toArrow())
+        own = np.zeros(bits // 64, np.int64)
+        own[words.column("w").to_numpy()] = words.column("m").to_numpy()
+        self.mask = bits - 1
+        self.sent = keys.sparkSession.sparkContext.broadcast(own)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        place = keys.astype(np.int64, copy=False) & self.mask
+        return (self.sent.value[place >> 6] >> (place & 63)) & 1 == 1
+
+
+def only_held(df: DataFrame, keys: KeyFilter, column: str) -> DataFrame:
+    """The rows whose key may be among ``keys``."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keys.holds(batch.column(column).to_numpy(zero_copy_only=False))))
+
+    return map_rows(df, run, df.schema)
