@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import decontamination, line_dedup, near_dedup, packing, sharding, token_counts
+from panelmill.llm import decontamination, line_dedup, near_dedup, packing, repeats, sharding, token_counts
 from panelmill.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op3_decontamination, op6_line_dedup, op7_near_dedup, op9_token_counts, op10_sharding)}
+    op1_packing, op3_decontamination, op6_line_dedup, op7_near_dedup, op8_repeats,
+    op9_token_counts, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
