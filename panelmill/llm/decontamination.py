@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +112,27 @@ def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(chars(at[a][0]), chars(at[b - 1][1])) for a, b in ranges]
 
 
+class Benchmark:
+    """Item ids and texts as they are sent to the tasks; each worker builds the automata once."""
+
+    def __init__(self, benchmark: DataFrame, size: int, block_words: int, max_bytes: int):
+        total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if total > max_bytes:
+            raise ValueError(f"the benchmark has {total} bytes, more than {max_bytes}")
+        rows = [(str(r[0]) if r[0] is not None else "null", (r[1] or "").encode())
+                for r in benchmark.select("item_id", "text").toLocalIterator()]
+        self.ids, self.items = [r[0] for r in rows], [r[1] for r in rows]
+        self.size, self.block_words = size, block_words
+        self.key = hashlib.sha256(repr((self.ids, size, block_words)).encode() + b"\0".join(self.items)).hexdigest()
+
+    def automata(self) -> list[Automaton]:
+        return machines(self.key, self.items, self.size, self.block_words)
+
+
+def is_hit(n_words: int, n_hit: int, share: float) -> bool:
+    return n_hit > 0 and round(1 / share) * n_hit >= n_words
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: float = 0.05,
          block_words: int = 1_000_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
@@ -119,20 +141,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: float = 0
     contaminated if words are hit and their share is at least ``share``. A benchmark of more than
     ``max_benchmark_bytes`` is refused, because it is sent to every task.
     """
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > max_benchmark_bytes:
-        raise ValueError(f"the benchmark has {total} bytes, more than {max_benchmark_bytes}")
-    rows = [(str(r[0]) if r[0] is not None else "null", (r[1] or "").encode())
-            for r in benchmark.select("item_id", "text").toLocalIterator()]
-    ids, items = [r[0] for r in rows], [r[1] for r in rows]
-    key = hashlib.sha256(repr((ids, size, block_words)).encode() + b"\0".join(items)).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast((ids, items))
-    per_word = round(1 / share)
+    sent = docs.sparkSession.sparkContext.broadcast(Benchmark(benchmark, size, block_words, max_benchmark_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        ids, items = sent.value
-        automata = machines(key, items, size, block_words)
+        ids, automata = sent.value.ids, sent.value.automata()
         for batch in batches:
             out = []
             for text in blobs(batch.column("text")):
@@ -140,7 +153,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: float = 0
                 names = sorted({ids[i] for i in found})
                 hit = sum(b - a for a, b in ranges)
                 out.append((n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(),
-                            hit > 0 and per_word * hit >= n,
+                            is_hit(n, hit, share),
                             [{"start": a, "end": b} for a, b in original_spans(text, ranges)] if ranges else []))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(),
                      pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
@@ -153,3 +166,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: float = 0
 
 
 SCAN_COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: float = 0.05,
+               block_words: int = 1_000_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, columns unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast(Benchmark(benchmark, size, block_words, max_benchmark_bytes))
+
+    def clean(texts: pd.Series) -> pd.Series:
+        automata = sent.value.automata()
+        out = []
+        for text in texts:
+            n, ranges, _ = hits((text or "").encode(), automata)
+            out.append(not is_hit(n, sum(b - a for a, b in ranges), share))
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(F.pandas_udf(clean, "boolean")(F.col("text")))
