@@ -41,13 +41,43 @@ CALENDAR_SQL = """CAST(isodow({d}) - 1 AS INTEGER) AS day_of_week,
 CYCLICAL_SQL = """sin(2 * pi() * month / 12) AS month_sin, cos(2 * pi() * month / 12) AS month_cos"""
 
 
-DAY_FIRST_FORMATS = ("dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy-MM-dd", "dd MMM yyyy")
-
-
-def parse_day_first(c, formats=DAY_FIRST_FORMATS) -> Column:
-    """day-first text -> date; unparseable -> NULL (never raises under ANSI)."""
-    c = F.trim(col(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("date")
+MONTH_NAMES = "janfebmaraprmayjunjulaugsepoctnovdec"
+_SEP = r"[/.\- ,]+"
+
+
+def parse_day_first(c) -> Column:
+    """day-first text -> date; unparseable -> NULL (never raises under ANSI).
+
+    Day and month of one or two digits or a month name, in any order that is unambiguous
+    (day-month-year, month name-day-year, year-month-day), any of ``/ . - ,`` or blanks between them, years of
+    four or two digits (00-68 are 20xx), and an optional time of day that is ignored.
+    """
+    text = F.regexp_replace(F.trim(col(c).cast("string")), r"[T ]+\d{1,2}:\d{2}.*$", "")
+    numeric = rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{2}})$"
+    iso = rf"^(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})$"
+    named = rf"^(\d{{1,2}}){_SEP}([A-Za-z]{{3,9}}){_SEP}(\d{{4}}|\d{{2}})$"
+    named_first = rf"^([A-Za-z]{{3,9}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{2}})$"
+
+    def group(pattern, i):
+        return F.regexp_extract(text, pattern, i)
+
+    def year(y):
+        short = F.when(y.try_cast("int") <= 68, F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))
+        return F.when(F.length(y) == 2, short).otherwise(y)
+
+    def month(m):
+        at = F.position(F.lower(F.substring(m, 1, 3)), F.lit(MONTH_NAMES))
+        return F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int").cast("string"))
+
+    def date(y, m, d):
+        return F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-M-d")).cast("date")
+
+    return (F.when(text.rlike(numeric), date(year(group(numeric, 3)), group(numeric, 2), group(numeric, 1)))
+            .when(text.rlike(iso), date(group(iso, 1), group(iso, 2), group(iso, 3)))
+            .when(text.rlike(named) & month(group(named, 2)).isNotNull(),
+                  date(year(group(named, 3)), month(group(named, 2)), group(named, 1)))
+            .when(text.rlike(named_first) & month(group(named_first, 1)).isNotNull(),
+                  date(year(group(named_first, 3)), month(group(named_first, 1)), group(named_first, 2))))
 
 
 def parse_compact(c) -> Column:

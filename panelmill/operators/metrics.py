@@ -8,13 +8,10 @@ Diebold-Mariano lags are computed inside each series (decision D10).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from panelmill.session import materialize
 
@@ -114,8 +111,10 @@ def diebold_mariano(d: DataFrame, keys: Sequence[str], t: str = "t", value: str
             .select(*keys, "T", "b", "d_bar", "se_d", "dm_stat"))
 
 
-@F.pandas_udf(DoubleType())
-def two_sided_normal_p(z: pd.Series) -> pd.Series:
-    """2 * (1 - Phi(|z|)) = erfc(|z| / sqrt 2); Spark has no erf, so one small UDF."""
-    return z.abs().map(lambda v: math.erfc(v / math.sqrt(2.0)) if pd.notna(v) else None
-                       ).astype("float64")
+def loss_differential(a: Column, b: Column, y: Column, loss: str = "squared") -> Column:
+    """Loss of forecast ``a`` less loss of forecast ``b``; ``loss`` is squared or absolute."""
+    if loss == "squared":
+        return (y - a) * (y - a) - (y - b) * (y - b)
+    if loss == "absolute":
+        return F.abs(y - a) - F.abs(y - b)
+    raise ValueError(f"unknown loss {loss}")

@@ -5,17 +5,21 @@ Plan, per group (commodity) with entity = market:
 1. ``prepare_panel``: lag-7 covariates, lags 1/7 of price, time trend, month
    dummies 2-12 (one shared window exchange on the series keys), drop rows
    missing any regressor.
-2. ``within``: subtract entity means (window average on the same
-   partitioning -> no new exchange). Market dummies are never built (M12 is
-   only a test).
-3. ``gram``: X'X, X'y, y'y and n as ONE grouped aggregation of k(k+1)/2 + k + 2
-   sums, partial-aggregated on every mapper.
-4. ``solve``: a k x k solve per group inside ``applyInPandas`` (input: one row
-   per group), so many groups solve in parallel and nothing is collected.
-5. Residual scores summed per (group, entity); the meat sum_g s_g s_g' is a
-   second grouped aggregation of k(k+1)/2 products, so the sandwich
-   c (X'X)^-1 meat (X'X)^-1, c = G/(G-1) (N-1)/(N-K), K = regressors + G,
-   runs in ``applyInPandas`` on ONE row per group however many entities.
+2. ``entity_moments``: one pass over the rows gives, per (group, entity), the
+   count, the means and the centred cross products of regressors and target
+   (numpy per batch, merged pairwise, one row per entity and task).
+3. ``fit_fixed_effects``: one grouped job on those rows. The centred cross
+   products ARE the within (entity-demeaned) sums, so their total is the Gram
+   matrix, and the cluster scores and residual sums follow from them without a second
+   look at the data: s_g = X'y_g - X'X_g beta,
+   ssr_g = y'y_g - 2 beta'X'y_g + beta'X'X_g beta.
+   Covariance c (X'X)^-1 (sum s_g s_g') (X'X)^-1 with
+   c = G/(G-1) (N-1)/(N-K), K = regressors used + G.
+
+The Gram matrix is scaled to a unit diagonal before it is solved, so units do not
+matter. A regressor that is constant within every entity, or a linear
+combination of others (pivoted Cholesky on the scaled matrix), has NULL results and does not
+count in K. Market dummies are never built (M12 is only a test).
 """
 
 from __future__ import annotations
@@ -25,14 +29,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.operators.selection import STAR_LEVELS, month_dummies
+from panelmill.operators.selection import month_dummies, significance_stars
 from panelmill.session import materialize, ship_code
 
 WEATHER_LAGGED = ["rainfall_7d_cum", "temp_anomaly", "extreme_heat_days", "drought_indicator"]
 MONTHS = [f"month_{m}" for m in range(2, 13)]
+COLLINEAR = 1e-10  # share of a scaled regressor's variance that the others leave unexplained
 
 
 def regressors(weather: Sequence[str] = WEATHER_LAGGED) -> list[str]:
@@ -57,109 +63,147 @@ def prepare_panel(df: DataFrame, keys=("commodity", "market"), order: str = "dat
     return out.na.drop(subset=need)
 
 
-def within(df: DataFrame, cols: Sequence[str], entity: Sequence[str]) -> DataFrame:
-    """Entity-demeaned columns (suffix ``_dm``)."""
-    w = Window.partitionBy(*entity)
-    return df.select("*", *[(F.col(c).cast("double") - F.avg(F.col(c).cast("double")).over(w))
-                            .alias(f"{c}_dm") for c in cols])
+def merge_moments(a, b):
+    """Count, means, centred cross products and largest magnitudes of two disjoint sets of rows."""
+    n = a[0] + b[0]
+    d = b[1] - a[1]
+    return (n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n),
+            np.maximum(a[3], b[3]))
+
+
+def entity_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(keys, n, mean, cross, top): moments of ``cols`` per entity, one row per entity and task."""
+    keys, cols = list(keys), list(cols)
+
+    def run(batches):
+        held: dict[tuple, tuple] = {}
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols])
+            names = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            number = {k: i for i, k in enumerate(dict.fromkeys(names))}
+            code = np.fromiter((number[k] for k in names), np.int64, len(names))
+            for key, i in number.items():
+                rows = x[code == i]
+                mean = rows.mean(axis=0)
+                own = (len(rows), mean, (rows - mean).T @ (rows - mean), np.abs(rows).max(axis=0))
+                held[key] = merge_moments(held[key], own) if key in held else own
+        out = [pa.array(list(c)) for c in zip(*held)] if held else [pa.array([], pa.string())] * len(keys)
+        values = list(held.values())
+        lists = [pa.array([v[i].ravel().tolist() for v in values], pa.list_(pa.float64())) for i in (1, 2, 3)]
+        yield pa.RecordBatch.from_arrays(
+            [*out, pa.array([v[0] for v in values], pa.int64()), *lists], [*keys, "n", "mean", "cross", "top"])
+
+    ship_code(df.sparkSession)
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+    return rows.mapInArrow(run, f"{kinds}, n long, mean array<double>, cross array<double>, top array<double>")
+
+
+def merged_entities(pdf: pd.DataFrame, entity: str, m: int) -> list[tuple]:
+    out: dict = {}
+    for key, n, mean, cross, top in zip(pdf[entity], pdf["n"], pdf["mean"], pdf["cross"], pdf["top"]):
+        own = (int(n), np.asarray(mean), np.asarray(cross).reshape(m, m), np.asarray(top))
+        out[key] = merge_moments(out[key], own) if key in out else own
+    return [out[k] for k in sorted(out)]
+
+
+def independent(gram: np.ndarray, n: int, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scales, kept columns): pivoted Cholesky of the Gram matrix scaled to a unit diagonal."""
+    diag = np.diag(gram)
+    varies = diag > n * (1e-12 * np.maximum(top, np.finfo(float).tiny)) ** 2
+    scale = np.where(varies, np.sqrt(np.maximum(diag, np.finfo(float).tiny)), 1.0)
+    rest = gram / np.outer(scale, scale)
+    left, kept = list(np.flatnonzero(varies)), []
+    while left:
+        pick = max(left, key=lambda j: (rest[j, j], -j))
+        if rest[pick, pick] <= COLLINEAR:
+            break
+        kept.append(pick)
+        left.remove(pick)
+        rest = rest - np.outer(rest[:, pick], rest[pick]) / rest[pick, pick]
+    return scale, np.array(sorted(kept), int)
+
+
+def fit_group(entities: list[tuple], k: int) -> dict:
+    """Within estimator with clustered errors from the entities' moments (target is the last column)."""
+    gram = sum(e[2] for e in entities)
+    n, g = sum(e[0] for e in entities), len(entities)
+    xx, xy, yy = gram[:k, :k], gram[:k, k], float(gram[k, k])
+    scale, kept = independent(xx, n, np.max([e[3] for e in entities], axis=0)[:k])
+    beta, se = np.full(k, np.nan), np.full(k, np.nan)
+    ssr, rank = yy, len(kept)
+    if rank:
+        s = scale[kept]
+        inv = np.linalg.inv(xx[np.ix_(kept, kept)] / np.outer(s, s)) / np.outer(s, s)
+        beta[kept] = inv @ xy[kept]
+        meat, ssr = np.zeros((rank, rank)), 0.0
+        for _, _, cross, _ in entities:
+            own, y = cross[np.ix_(kept, kept)], cross[kept, k]
+            score = y - own @ beta[kept]
+            meat += np.outer(score, score)
+            ssr += cross[k, k] - 2 * beta[kept] @ y + beta[kept] @ own @ beta[kept]
+        if g > 1 and n > rank + g:
+            c = (g / (g - 1)) * ((n - 1) / (n - rank - g))
+            se[kept] = np.sqrt(np.maximum(np.diag(c * inv @ meat @ inv), 0))
+    r2 = 1.0 - max(ssr, 0.0) / yy if yy > 0 else math.nan
+    free = n - rank - g
+    return {"n": n, "beta": beta, "se": se, "r2": r2,
+            "adj_r2": 1.0 - (1.0 - r2) * (n - g) / free if free > 0 else math.nan}
+
+
+def _grouped(moments: DataFrame, group: Sequence[str], body, columns: str) -> DataFrame:
+    kinds = ", ".join(f"{c} {moments.schema[c].dataType.simpleString()}" for c in group)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = body(pdf)
+        for i, c in enumerate(group):
+            out.insert(i, c, pdf[c].iloc[0])
+        return out
+
+    return moments.groupBy(*group).applyInPandas(run, f"{kinds}, {columns}")
+
+
+def within_slopes(panel: DataFrame, xcols: Sequence[str], y: str = "price_modal",
+                  group: Sequence[str] = ("commodity",), entity: str = "market") -> DataFrame:
+    """(group, variable, slope): one-regressor within slopes; NULL for a constant regressor."""
+    xcols = list(xcols)
+    k = len(xcols)
 
+    def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        entities = merged_entities(pdf, entity, k + 1)
+        gram = sum(e[2] for e in entities)
+        scale, _ = independent(gram[:k, :k], sum(e[0] for e in entities),
+                               np.max([e[3] for e in entities], axis=0)[:k])
+        flat = (np.diag(gram)[:k] != scale ** 2) & (scale == 1.0)
+        with np.errstate(all="ignore"):
+            slope = np.where(flat | (np.diag(gram)[:k] == 0), np.nan, gram[:k, k] / np.diag(gram)[:k])
+        return pd.DataFrame({"variable": xcols, "slope": slope})
 
-def gram(dm: DataFrame, group: Sequence[str], xcols: Sequence[str], y: str) -> DataFrame:
-    """One aggregation of every cross product of the demeaned design."""
-    k = len(xcols)
-    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.col(f"{y}_dm") ** 2).alias("yy")]
-    for i in range(k):
-        sums.append(F.sum(F.col(f"{xcols[i]}_dm") * F.col(f"{y}_dm")).alias(f"xy_{i}"))
-        for j in range(i, k):
-            sums.append(F.sum(F.col(f"{xcols[i]}_dm") * F.col(f"{xcols[j]}_dm"))
-                        .alias(f"xx_{i}_{j}"))
-    return dm.groupBy(*group).agg(*sums)
-
-
-def _solve_group(k: int, group: Sequence[str]):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        xx = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                xx[i, j] = xx[j, i] = row[f"xx_{i}_{j}"]
-        xy = np.array([row[f"xy_{i}"] for i in range(k)], dtype=float)
-        keep = np.diag(xx) > 1e-9 * max(1.0, float(np.max(np.diag(xx))))
-        inv = np.full((k, k), np.nan)
-        beta = np.full(k, np.nan)
-        if keep.any():
-            sub = np.linalg.pinv(xx[np.ix_(keep, keep)])
-            inv[np.ix_(keep, keep)] = sub
-            beta[keep] = sub @ xy[keep]
-        out = {g: [row[g]] for g in group}
-        out.update({"n": [int(row["n"])], "yy": [float(row["yy"])],
-                    "beta": [beta.tolist()], "xtx_inv": [inv.ravel().tolist()],
-                    "rank": [int(keep.sum())]})
-        return pd.DataFrame(out)
-    return solve
-
-
-def _sandwich_group(k: int, group: Sequence[str], names: Sequence[str]):
-    def sandwich(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        beta = np.array(row["beta"], dtype=float)
-        inv = np.array(row["xtx_inv"], dtype=float).reshape(k, k)
-        n, rank, g = int(row["n"]), int(row["rank"]), int(row["n_entities"])
-        meat = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                meat[i, j] = meat[j, i] = row[f"m_{i}_{j}"]
-        kk = rank + g
-        c = (g / (g - 1)) * ((n - 1) / (n - kk)) if g > 1 and n > kk else float("nan")
-        cov = c * (np.nan_to_num(inv) @ np.nan_to_num(meat) @ np.nan_to_num(inv))
-        se = np.sqrt(np.where(np.isnan(beta), np.nan, np.diag(cov)))
-        yy = float(row["yy"])
-        r2 = 1.0 - float(row["ssr"]) / yy if yy > 0 else float("nan")
-        rows = []
-        for j, name in enumerate(names):
-            z = beta[j] / se[j] if se[j] and not math.isnan(se[j]) and se[j] > 0 else float("nan")
-            p = math.erfc(abs(z) / math.sqrt(2.0)) if not math.isnan(z) else float("nan")
-            stars = ""
-            for level, st in STAR_LEVELS:
-                if not math.isnan(p) and p < level:
-                    stars = st
-                    break
-            rec = {gk: row[gk] for gk in group}
-            rec.update({"variable": name, "coefficient": float(beta[j]),
-                        "std_error": float(se[j]), "p_value": p, "stars": stars,
-                        "nobs": n, "r2_within": r2})
-            rows.append(rec)
-        return pd.DataFrame(rows)
-    return sandwich
+    out = _grouped(entity_moments(panel, [*group, entity], [*xcols, y]), group, body,
+                   "variable string, slope double")
+    return out.withColumn("slope", F.when(~F.isnan("slope"), F.col("slope")))
 
 
 def fit_fixed_effects(panel: DataFrame, xcols: Sequence[str], y: str = "price_modal",
                       group: Sequence[str] = ("commodity",), entity: str = "market"
                       ) -> DataFrame:
     """M10 + M11 + M13: within estimator, clustered SEs, coefficient table."""
-    ship_code(panel.sparkSession)
+    from panelmill.functions.special import normal_two_sided
+    xcols = list(xcols)
     k = len(xcols)
-    ent = [*group, entity]
-    dm = materialize(within(panel, [y, *xcols], ent))  # read by the Gram and the residuals
-    g = gram(dm, group, xcols, y)
-    gschema = ", ".join(f"{c} string" for c in group)
-    sol = g.groupBy(*group).applyInPandas(
-        _solve_group(k, group),
-        f"{gschema}, n long, yy double, beta array<double>, xtx_inv array<double>, rank int")
-    fitted = dm.join(sol.select(*group, "beta"), list(group))
-    terms = F.zip_with(F.col("beta"), F.array(*[F.col(f"{c}_dm") for c in xcols]),
-                       lambda b, x: F.coalesce(b, F.lit(0.0)) * x)
-    u = F.col(f"{y}_dm") - F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
-    scored = fitted.withColumn("_u", u)
-    per_entity = scored.groupBy(*ent).agg(
-        *[F.sum(F.col(f"{c}_dm") * F.col("_u")).alias(f"s_{i}") for i, c in enumerate(xcols)],
-        F.sum(F.col("_u") * F.col("_u")).alias("ssr"))
-    meat = per_entity.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_entities"), F.sum("ssr").alias("ssr"),
-        *[F.sum(F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"m_{i}_{j}")
-          for i in range(k) for j in range(i, k)])
-    merged = meat.join(sol, list(group))
-    out_schema = (f"{gschema}, variable string, coefficient double, std_error double, "
-                  f"p_value double, stars string, nobs long, r2_within double")
-    return merged.groupBy(*group).applyInPandas(_sandwich_group(k, group, list(xcols)),
-                                                out_schema)
+
+    def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        fit = fit_group(merged_entities(pdf, entity, k + 1), k)
+        return pd.DataFrame({"variable": xcols, "coefficient": fit["beta"], "std_error": fit["se"],
+                             "nobs": fit["n"], "r2_within": fit["r2"], "adj_r2_within": fit["adj_r2"]})
+
+    out = _grouped(entity_moments(panel, [*group, entity], [*xcols, y]), group, body,
+                   "variable string, coefficient double, std_error double, nobs long, "
+                   "r2_within double, adj_r2_within double")
+    real = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("coefficient", "std_error")]
+    out = out.select(*group, "variable", *real, "nobs", "r2_within", "adj_r2_within")
+    z = F.try_divide(F.col("coefficient"), F.col("std_error"))
+    out = out.withColumn("p_value", normal_two_sided(z))
+    return out.select(*group, "variable", "coefficient", "std_error", "p_value",
+                      F.when(F.col("p_value").isNull(), "").otherwise(significance_stars(F.col("p_value"))).alias("stars"),
+                      "nobs", "r2_within", "adj_r2_within")

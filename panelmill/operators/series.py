@@ -1,16 +1,23 @@
-"""Many-series statistical forecasts (M5, M6, M7) as grouped pandas jobs.
+"""Many-series statistical forecasts (M5, M6, M7) as one grouped pandas job.
 
 Spark selects each series' training window (the last ``history`` points up
 to ``train_end``: a per-series row_number, no driver work), shuffles by the
-series keys, and ``applyInPandas`` fits one series per group with numpy:
+series keys, and ``applyInPandas`` fits one series per group with numpy, all
+requested kinds at once:
 
 * M5 damped-trend additive Holt-Winters (period 7) over a small parameter
   grid run as one vectorised recursion; lowest one-step SSE wins; series
-  shorter than two seasons fall back to the non-seasonal damped trend.
+  shorter than two seasons use the non-seasonal damped trend.
 * M6 seasonal ARIMA (p,1,q)(1,1,1)_7 by Hannan-Rissanen two-pass least
   squares on the differenced series (conditional LS, not Kalman MLE), then a
   recursive forecast integrated back to levels.
-* M7 the (p, q) in 0..3 with the lowest AIC, failed fits skipped.
+* M7 the (p, q) in 0..3 with the lowest AIC. All candidates are fitted on the same
+  sample (one common start), so their AICs compare; the long autoregression
+  that supplies their innovations is computed once per series.
+
+A series that cannot be fitted (too short, no finite forecast) keeps one row per step with a NULL
+forecast and the reason in ``status``; no series disappears. A perfect fit (residual variance
+0) has AIC minus infinity and is a valid forecast.
 
 A group holds at most ``history`` rows, so no group can grow with the data.
 Forecasts are produced for every day up to the panel's last date and joined
@@ -36,9 +43,10 @@ ETS_GRID = list(itertools.product([0.1, 0.3, 0.5, 0.7, 0.9], [0.01, 0.1, 0.3],
 
 
 def training_windows(df: DataFrame, keys: Sequence[str], value: str, train_end: str,
-                     history: int = 730, order: str = "date") -> DataFrame:
+                     history: int = 730, order: str = "date", reuse: bool = True) -> DataFrame:
     """O4 per series + the global last date (a scalar subquery) as the horizon end."""
-    df = materialize(df)  # read by the horizon subquery and by the windows
+    if reuse:
+        df = materialize(df)  # read by the horizon subquery and by the windows
     end = df.select(F.max(order)).scalar()
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     tr = (df.where(F.col(order) <= F.lit(train_end).cast("date"))
@@ -98,99 +106,120 @@ def _lagmat(x: np.ndarray, lags: Sequence[int], start: int) -> np.ndarray:
         np.empty((len(x) - start, 0))
 
 
-def sarima_fit_forecast(y: np.ndarray, steps: int, p: int = 1, q: int = 1, long_ar: int = 21):
-    """Hannan-Rissanen (p,1,q)(1,1,1)_7; returns (forecast, aic) or (None, None)."""
-    y = np.asarray(y, dtype=float)
-    if len(y) < 4 * PERIOD + long_ar:
-        return None, None
+LONG_AR = 3 * PERIOD
+START = LONG_AR + PERIOD + 3  # first usable residual of the largest candidate (p = q = 3)
+
+
+def innovations(y: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(differenced series, long-AR innovations); None if the series is too short."""
+    if len(y) < PERIOD + 1 + START + 1:
+        return None
     w = y[PERIOD + 1:] - y[PERIOD:-1] - y[1:-PERIOD] + y[:-PERIOD - 1]
-    n = len(w)
-    lags_l = list(range(1, long_ar + 1))
-    xl = _lagmat(w, lags_l, long_ar)
-    coef_l, *_ = np.linalg.lstsq(xl, w[long_ar:], rcond=None)
-    ehat = np.zeros(n)
-    ehat[long_ar:] = w[long_ar:] - xl @ coef_l
+    x = _lagmat(w, list(range(1, LONG_AR + 1)), LONG_AR)
+    coef, *_ = np.linalg.lstsq(x, w[LONG_AR:], rcond=None)
+    e = np.zeros(len(w))
+    e[LONG_AR:] = w[LONG_AR:] - x @ coef
+    return w, e
+
+
+def sarima_fit(w: np.ndarray, e: np.ndarray, p: int, q: int):
+    """(coefficients, residuals from START on, AIC) of (p,1,q)(1,1,1)_7; None with fewer rows than parameters."""
     ar, ma = _lags(p), _lags(q)
-    start = long_ar + max(ar + ma)
-    if n - start < 2 * (len(ar) + len(ma)) + 5:
-        return None, None
-    x = np.hstack([_lagmat(w, ar, start), _lagmat(ehat, ma, start)])
-    coef, *_ = np.linalg.lstsq(x, w[start:], rcond=None)
-    resid = w[start:] - x @ coef
+    if len(w) - START < len(ar) + len(ma) + 1:
+        return None
+    x = np.hstack([_lagmat(w, ar, START), _lagmat(e, ma, START)])
+    coef, *_ = np.linalg.lstsq(x, w[START:], rcond=None)
+    resid = w[START:] - x @ coef
     sigma2 = float(resid @ resid) / len(resid)
-    if not np.isfinite(sigma2) or sigma2 <= 0:
-        return None, None
-    aic = len(resid) * np.log(sigma2) + 2 * (len(coef) + 1)
-    a, mcoef = coef[:len(ar)], coef[len(ar):]
-    e = np.concatenate([np.zeros(start), resid])
-    wf, ef, yf = list(w), list(e), list(y)
+    aic = len(resid) * np.log(sigma2) + 2 * (len(coef) + 1) if sigma2 > 0 else -np.inf
+    return coef, resid, float(aic)
+
+
+def sarima_forecast(y: np.ndarray, w: np.ndarray, fit, steps: int, p: int, q: int) -> np.ndarray:
+    """Recursive forecast of the differenced series, integrated back to levels."""
+    ar, ma = _lags(p), _lags(q)
+    coef, resid, _ = fit
+    a, m = coef[:len(ar)], coef[len(ar):]
+    ahead_w, ahead_y = list(w), list(y)
+    ahead_e = [*np.zeros(len(w) - len(resid)), *resid]
     for _ in range(steps):
-        nxt = sum(a[i] * wf[-k] for i, k in enumerate(ar)) + \
-            sum(mcoef[j] * ef[-k] for j, k in enumerate(ma))
-        wf.append(nxt)
-        ef.append(0.0)
-        yf.append(nxt + yf[-1] + yf[-PERIOD] - yf[-PERIOD - 1])
-    fc = np.array(yf[len(y):])
-    if not np.all(np.isfinite(fc)) or np.max(np.abs(fc)) > 100 * np.max(np.abs(y)):
-        return None, None
-    return fc, float(aic)
-
-
-def _forecast_frame(pdf: pd.DataFrame, keys, fc, model: str, params: str):
-    last = pd.Timestamp(pdf["date"].max())
-    dates = [(last + pd.Timedelta(days=int(h))).date() for h in range(1, len(fc) + 1)]
-    out = pd.DataFrame({"date": dates, "y_hat": np.asarray(fc, dtype=float)})
-    for k in keys:
-        out.insert(0, k, pdf[k].iloc[0])
-    out["model"] = model
-    out["params"] = params
-    return out
-
-
-def _steps(pdf: pd.DataFrame) -> int:
-    return max(int((pd.Timestamp(pdf["horizon_end"].iloc[0])
-                    - pd.Timestamp(pdf["date"].max())).days), 0)
-
-
-def _job(keys: Sequence[str], kind: str):
+        nxt = sum(c * ahead_w[-k] for c, k in zip(a, ar)) + sum(c * ahead_e[-k] for c, k in zip(m, ma))
+        ahead_w.append(nxt)
+        ahead_e.append(0.0)
+        ahead_y.append(nxt + ahead_y[-1] + ahead_y[-PERIOD] - ahead_y[-PERIOD - 1])
+    return np.array(ahead_y[len(y):])
+
+
+def sarima_fit_forecast(y: np.ndarray, steps: int, orders: Sequence[tuple[int, int]] = ((1, 1),)):
+    """(forecast, description, status) of the order with the lowest AIC; the forecast is None if there is none."""
+    y = np.asarray(y, dtype=float)
+    base = innovations(y)
+    if base is None:
+        return None, "", "too short"
+    w, e = base
+    fits = {}
+    for p, q in orders:
+        try:
+            fit = sarima_fit(w, e, p, q)
+        except np.linalg.LinAlgError:
+            continue
+        if fit is not None:
+            fits[p, q] = fit
+    if not fits:
+        return None, "", "too short"
+    p, q = min(fits, key=lambda o: (fits[o][2], o))
+    with np.errstate(all="ignore"):
+        fc = sarima_forecast(y, w, fits[p, q], steps, p, q)
+    text = f"order=({p},1,{q}),aic={fits[p, q][2]:.4f}"
+    if not np.all(np.isfinite(fc)):
+        return None, text, "not finite"
+    return fc, text, "ok"
+
+
+ORDERS = list(itertools.product(range(4), range(4)))
+
+
+def fit_kind(y: np.ndarray, steps: int, kind: str):
+    """(model name, forecast or None, parameters, status)."""
+    if kind == "ets":
+        if len(y) < 3:
+            return "ets", None, "", "too short"
+        fc, params = ets_fit_forecast(y, steps)
+        return ("ets", fc, params, "ok") if np.all(np.isfinite(fc)) else ("ets", None, params, "not finite")
+    if kind == "sarima":
+        return "sarima_fix", *sarima_fit_forecast(y, steps, [(SARIMA_ORDER[0], SARIMA_ORDER[2])])
+    return "sarima_aic", *sarima_fit_forecast(y, steps, ORDERS)
+
+
+def _job(keys: Sequence[str], kinds: Sequence[str]):
     keys = list(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         y = pdf["y"].to_numpy(dtype=float)
-        steps = _steps(pdf)
-        empty = pd.DataFrame({**{k: [] for k in keys}, "date": [], "y_hat": [], "model": [],
-                              "params": []})
-        if steps == 0 or len(y) < 3:
-            return empty
-        if kind == "ets":
-            fc, params = ets_fit_forecast(y, steps)
-            return _forecast_frame(pdf, keys, fc, "ets", params)
-        if kind == "sarima":
-            p0, _, q0 = SARIMA_ORDER
-            fc, aic = sarima_fit_forecast(y, steps, p0, q0)
-            if fc is None:
-                return empty
-            return _forecast_frame(pdf, keys, fc, "sarima_fix",
-                                   f"order=({p0},1,{q0}),aic={aic:.4f}")
-        best = None
-        for p, q in itertools.product(range(4), range(4)):
-            try:
-                fc, aic = sarima_fit_forecast(y, steps, p, q)
-            except np.linalg.LinAlgError:
-                continue
-            if fc is not None and (best is None or aic < best[1]):
-                best = (fc, aic, p, q)
-        if best is None:
-            return empty
-        fc, aic, p, q = best
-        return _forecast_frame(pdf, keys, fc, "sarima_aic", f"order=({p},1,{q}),aic={aic:.4f}")
+        last = pd.Timestamp(pdf["date"].iloc[-1])
+        steps = max(int((pd.Timestamp(pdf["horizon_end"].iloc[0]) - last).days), 0)
+        dates = [(last + pd.Timedelta(days=h)).date() for h in range(1, steps + 1)]
+        parts = []
+        for kind in kinds if steps else []:
+            model, fc, params, status = fit_kind(y, steps, kind)
+            parts.append(pd.DataFrame({
+                **{k: [pdf[k].iloc[0]] * steps for k in keys}, "date": dates,
+                "y_hat": np.full(steps, np.nan) if fc is None else np.asarray(fc, dtype=float),
+                "model": model, "params": params, "status": status}))
+        if parts:
+            return pd.concat(parts, ignore_index=True)
+        return pd.DataFrame({**{k: pdf[k].iloc[:0] for k in keys}, "date": pd.Series([], dtype=object),
+                             "y_hat": pd.Series([], dtype=float),
+                             **{c: pd.Series([], dtype=object) for c in ("model", "params", "status")}})
     return run
 
 
-def forecast_series(train: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
-    """Run one of ``ets`` | ``sarima`` | ``sarima_aic`` over every series."""
+def forecast_series(train: DataFrame, keys: Sequence[str], kinds: str | Sequence[str]) -> DataFrame:
+    """Run ``ets`` | ``sarima`` | ``sarima_aic`` (one or several) over every series."""
     ship_code(train.sparkSession)
+    kinds = [kinds] if isinstance(kinds, str) else list(kinds)
     kschema = ", ".join(f"{k} {train.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kschema}, date date, y_hat double, model string, params string"
-    return train.groupBy(*keys).applyInPandas(_job(keys, kind), schema)
+    schema = f"{kschema}, date date, y_hat double, model string, params string, status string"
+    out = train.groupBy(*keys).applyInPandas(_job(keys, kinds), schema)
+    return out.withColumn("y_hat", F.when(~F.isnan("y_hat"), F.col("y_hat")))

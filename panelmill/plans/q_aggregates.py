@@ -80,7 +80,9 @@ def f3_math(spark, sf_dir):
 @query("f4_strings", B.sql_with("panel") + """
   SELECT DISTINCT market, lower(market) AS lower_name, trim('  ' || market || ' ') AS trimmed,
     replace(market, '_', ' ') AS spaced, contains(lower(state), 'east') AS eastern,
-    CAST(length(market) AS INTEGER) AS name_len
+    CAST(length(market) AS INTEGER) AS name_len,
+    array_to_string(list_transform(string_split(lower(replace(state || '_' || market, '_', ' ')), ' '),
+      lambda w: upper(w[1]) || w[2:]), ' ') AS title
   FROM panel""")
 def f4_strings(spark, sf_dir):
     df = B.market_panel(spark, sf_dir)
@@ -88,17 +90,21 @@ def f4_strings(spark, sf_dir):
                      F.trim(F.concat(F.lit("  "), F.col("market"), F.lit(" "))).alias("trimmed"),
                      F.replace(F.col("market"), F.lit("_"), F.lit(" ")).alias("spaced"),
                      F.contains(F.lower("state"), F.lit("east")).alias("eastern"),
-                     F.length("market").cast("int").alias("name_len")).distinct()
+                     F.length("market").cast("int").alias("name_len"),
+                     F.initcap(F.replace(F.concat_ws("_", "state", "market"), F.lit("_"), F.lit(" ")))
+                     .alias("title")).distinct()
 
 
 @query("f5_parse_dates", B.sql_with("panel") + "SELECT market, date, date AS parsed FROM panel")
 def f5_parse_dates(spark, sf_dir):
-    """Day-first text (three spellings by row) parsed back to dates."""
+    """Day-first text (nine spellings by row) parsed back to dates."""
     df = B.market_panel(spark, sf_dir)
-    fmt = F.pmod(F.dayofmonth("date"), F.lit(3))
-    txt = (F.when(fmt == 0, F.date_format("date", "dd/MM/yyyy"))
-           .when(fmt == 1, F.date_format("date", "dd-MM-yyyy"))
-           .otherwise(F.date_format("date", "yyyy-MM-dd")))
+    spellings = ["dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "d/M/yyyy", "dd-MMM-yyyy", "d MMM yyyy", "dd/MM/yy",
+                 "yyyy-MM-dd HH:mm:ss", "MMMM d, yyyy"]
+    which = F.pmod(F.dayofyear("date") + F.length("market"), F.lit(len(spellings)))
+    txt = F.date_format("date", spellings[0])
+    for i, s in enumerate(spellings[1:], 1):
+        txt = F.when(which == i, F.date_format("date", s)).otherwise(txt)
     return df.select("market", "date", parse_day_first(txt).alias("parsed"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelmill import bindings as B
 from panelmill.operators import joins as J
+from panelmill.functions.special import normal_two_sided, two_sided_sql
 from panelmill.operators import metrics as M
 from panelmill.operators import windows as W
 from panelmill.operators.aggregates import column_means, impute_with_means
@@ -156,54 +157,61 @@ def g11_mean_impute(spark, sf_dir):
                    .select("commodity", "market", "date", *IMPUTE_COLS))
 
 
-def dm_input(spark, sf_dir):
+def dm_input(spark, sf_dir, loss="squared"):
     from pyspark.sql import Window
     wide = (predictions(spark, sf_dir).groupBy("market", "date", "y")
             .pivot("model", ["ma", "naive"]).agg(F.max("y_hat")))
-    e1, e2 = F.col("y") - F.col("naive"), F.col("y") - F.col("ma")
     w = Window.partitionBy("market").orderBy("date")
-    return wide.select("market", F.row_number().over(w).alias("t"), (e1 * e1 - e2 * e2).alias("d"))
-
-
-B.register_cte("dmd", """
-  SELECT market, row_number() OVER (PARTITION BY market ORDER BY date) AS t,
-    (y - yn) * (y - yn) - (y - ym) * (y - ym) AS d
-  FROM (SELECT market, date, y, max(CASE WHEN model = 'naive' THEN y_hat END) AS yn,
-          max(CASE WHEN model = 'ma' THEN y_hat END) AS ym FROM pred GROUP BY 1, 2, 3)""",
-               ("pred",))
-B.register_cte("dmb", """
-  SELECT *, CASE WHEN b0 * b0 * b0 > T THEN b0 - 1
-                 WHEN (b0 + 1) * (b0 + 1) * (b0 + 1) <= T THEN b0 + 1 ELSE b0 END AS b
-  FROM (SELECT market, count(d) AS T, avg(d) AS d_bar, var_samp(d) AS gamma0,
-          CAST(floor(pow(CAST(count(d) AS DOUBLE), 1.0 / 3.0)) AS INTEGER) AS b0
-        FROM dmd GROUP BY market)""", ("dmd",))
-
-
-@query("g12_diebold_mariano", B.sql_with("dmb") + f"""
-  , gam AS (
-    SELECT x.market, x.k, x.b, covar_samp(c.d, x.d) AS gk
-    FROM (SELECT dmd.market, dmd.t + g.k AS t, g.k, dmd.d, dmb.b
-          FROM dmd JOIN dmb ON dmd.market = dmb.market,
-          LATERAL generate_series(1, dmb.b) AS g(k)) x
-    JOIN dmd c ON c.market = x.market AND c.t = x.t
-    GROUP BY 1, 2, 3)
-  SELECT market, T, CAST(b AS INTEGER) AS b, {r('d_bar', 'd_bar')}, {r('sqrt(var_d)', 'se_d')},
-    {r('CASE WHEN var_d > 0 THEN d_bar / sqrt(var_d) END', 'dm_stat')}
-  FROM (SELECT dmb.*, (gamma0 + coalesce(gs.gsum, 0.0)) / T AS var_d
-        FROM dmb LEFT JOIN (SELECT market,
-                 sum(2 * (1 - CAST(k AS DOUBLE) / CAST(b + 1 AS DOUBLE)) * gk) AS gsum
-               FROM gam GROUP BY market) gs ON dmb.market = gs.market)""")
+    return wide.select("market", F.row_number().over(w).alias("t"),
+                       M.loss_differential(F.col("naive"), F.col("ma"), F.col("y"), loss).alias("d"))
+
+
+def _dm_ctes(name: str, differential: str) -> None:
+    """Loss differentials, and the DM statistic per market, as CTEs ``name`` and ``name``_stat."""
+    B.register_cte(name, f"""
+      SELECT market, row_number() OVER (PARTITION BY market ORDER BY date) AS t, {differential} AS d
+      FROM (SELECT market, date, y, max(CASE WHEN model = 'naive' THEN y_hat END) AS yn,
+              max(CASE WHEN model = 'ma' THEN y_hat END) AS ym FROM pred GROUP BY 1, 2, 3)""", ("pred",))
+    B.register_cte(f"{name}_b", f"""
+      SELECT market, count(d) AS T, avg(d) AS d_bar, var_samp(d) AS gamma0,
+        CAST(floor(round(power(count(d), 1.0 / 3.0), 9)) AS INTEGER) AS b FROM {name} GROUP BY market""", (name,))
+    B.register_cte(f"{name}_stat", f"""
+      SELECT market, T, CAST(b AS INTEGER) AS b, d_bar, sqrt(var_d) AS se_d,
+        CASE WHEN var_d > 0 THEN d_bar / sqrt(var_d) END AS dm_stat
+      FROM (SELECT o.*, (gamma0 + coalesce(gs.gsum, 0.0)) / T AS var_d
+            FROM {name}_b o LEFT JOIN (
+              SELECT market, sum(2 * (1 - CAST(k AS DOUBLE) / CAST(b + 1 AS DOUBLE)) * gk) AS gsum
+              FROM (SELECT x.market, x.k, x.b, covar_samp(c.d, x.d) AS gk
+                    FROM (SELECT {name}.market, {name}.t + g.k AS t, g.k, {name}.d, {name}_b.b
+                          FROM {name} JOIN {name}_b ON {name}.market = {name}_b.market,
+                          LATERAL generate_series(1, {name}_b.b) AS g(k)) x
+                    JOIN {name} c ON c.market = x.market AND c.t = x.t GROUP BY 1, 2, 3)
+              GROUP BY market) gs ON o.market = gs.market)""", (name, f"{name}_b"))
+
+
+_dm_ctes("dmd", "(y - yn) * (y - yn) - (y - ym) * (y - ym)")
+_dm_ctes("dma", "abs(y - yn) - abs(y - ym)")
+_DM_COLS = f"market, T, b, {r('d_bar', 'd_bar')}, {r('se_d', 'se_d')}, {r('dm_stat', 'dm_stat')}"
+
+
+@query("g12_diebold_mariano", B.sql_with("dmd_stat") + f"SELECT {_DM_COLS} FROM dmd_stat")
 def g12_diebold_mariano(spark, sf_dir):
     """Seasonal naive vs moving average, squared loss, per market."""
     return rounded(M.diebold_mariano(dm_input(spark, sf_dir), ["market"]))
 
 
-@query("g12_dm_pvalue")
+@query("g12_dm_absolute", B.sql_with("dma_stat") + f"SELECT {_DM_COLS} FROM dma_stat")
+def g12_dm_absolute(spark, sf_dir):
+    """The same pair under absolute loss."""
+    return rounded(M.diebold_mariano(dm_input(spark, sf_dir, "absolute"), ["market"]))
+
+
+@query("g12_dm_pvalue", B.sql_with("dmd_stat") + f"""
+  SELECT market, {r('dm_stat', 'dm_stat')}, CASE WHEN dm_stat IS NOT NULL THEN {r(two_sided_sql('dm_stat'))} END
+    AS p_value FROM dmd_stat""")
 def g12_dm_pvalue(spark, sf_dir):
-    from panelmill.session import ship_code
-    ship_code(spark)
     dm = M.diebold_mariano(dm_input(spark, sf_dir), ["market"])
-    return dm.select("market", "dm_stat", M.two_sided_normal_p(F.col("dm_stat")).alias("p_value"))
+    return rounded(dm.select("market", "dm_stat", normal_two_sided(F.col("dm_stat")).alias("p_value")))
 
 
 @query("w19_pad_edge", B.sql_with("spine") + f"""

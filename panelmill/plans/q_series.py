@@ -9,18 +9,23 @@ from panelmill.operators import series as S
 from panelmill.params import TEST_START, TRAIN_END
 from panelmill.plans.common import imputed_spine
 from panelmill.plans.registry import query
+from panelmill.session import materialize
 
 KEYS = ("market",)
 
 
-def series_forecasts(spark, sf_dir, kind: str):
-    panel = imputed_spine(spark, sf_dir)
-    train = S.training_windows(panel, KEYS, "price_modal", TRAIN_END, 730)
-    fc = S.forecast_series(train, KEYS, kind)
+ALL_KINDS = ("ets", "sarima", "sarima_aic")
+
+
+def series_forecasts(spark, sf_dir, kinds):
+    """Test rows of every series with the forecasts of ``kinds``; the panel is built once."""
+    panel = materialize(imputed_spine(spark, sf_dir))
+    train = S.training_windows(panel, KEYS, "price_modal", TRAIN_END, 730, reuse=False)
+    fc = S.forecast_series(train, KEYS, kinds)
     test = panel.where(F.col("date") >= F.lit(TEST_START).cast("date")).select(
         "market", "date", F.col("price_modal").alias("y"))
     return test.join(fc, ["market", "date"]).select("market", "date", "model", "y", "y_hat",
-                                                    "params")
+                                                    "params", "status")
 
 
 @query("m5_ets_forecast")
@@ -40,8 +45,4 @@ def m7_sarima_aic_forecast(spark, sf_dir):
 
 @query("m5_m7_series_metrics")
 def m5_m7_series_metrics(spark, sf_dir):
-    allfc = None
-    for kind in ("ets", "sarima", "sarima_aic"):
-        f = series_forecasts(spark, sf_dir, kind)
-        allfc = f if allfc is None else allfc.unionByName(f)
-    return M.accuracy(allfc, ["model"], ["market"])
+    return M.accuracy(series_forecasts(spark, sf_dir, ALL_KINDS), ["model"], ["market"])

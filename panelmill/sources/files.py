@@ -35,16 +35,3 @@ def list_files(spark: SparkSession, pattern: str, suffix: str = "") -> list[str]
         elif path.endswith(suffix):
             out.append(path)
     return sorted(out)
-
-
-def first_line(spark: SparkSession, path: str) -> str:
-    """The first line of a text file, reading only its first bytes."""
-    p, fs = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-        return "" if line is None else str(line).lstrip("﻿")
-    finally:
-        stream.close()

@@ -2,11 +2,11 @@
 
 Files exported by different sites spell and order their headers
 differently. One glob read would apply the first file's header positions
-to every file, so files are grouped by their header line (read from the
-first bytes of each file on the driver, metadata only), each group is read
-as all-string CSV in one distributed scan, renamed to canonical names, and
-the groups are combined with ``unionByName``. Typing is permissive: bad
-dates or prices become NULL and the row is dropped.
+to every file, so a distributed scan takes the first line of every file, files are
+grouped by that line, each group is read as all-string CSV in one distributed scan, renamed
+to canonical names, and the groups are combined with ``unionByName``. Typing is
+permissive: bad dates or prices become NULL and the row is dropped. A row with more
+fields than its header is skipped; one with fewer has NULLs at its end.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from panelmill.functions.calendar import parse_day_first
 from panelmill.functions.numeric import nan_to_null
-from panelmill.sources.files import first_line, list_files
+from panelmill.sources.files import list_files
 
 CANONICAL = ["date", "state", "market", "price_modal"]
 
 
 def canonical_name(header: str) -> str | None:
-    """Header canonicalisation (first rule that matches wins)."""
+    """Header canonicalisation (first rule that matches wins; the words are fixed values)."""
     h = header.lower().strip()
     if "date" in h or "arrival" in h:
         return "date"
@@ -58,6 +58,49 @@ def header_mapping(headers: Sequence[str]) -> dict[str, str]:
     return {raw: can for can, raw in chosen.items()}
 
 
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(path, header) from text rows that carry ``path`` and ``block`` (start of the file split)."""
+    return (lines.where("block = 0").groupBy("path")
+            .agg(F.first("value").alias("header")))
+
+
+def header_groups(heads: DataFrame) -> dict[tuple[str, ...], list[str]]:
+    """Files by header fields; the driver holds file names only."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, line in sorted(tuple(r) for r in heads.select("path", "header").collect()):
+        header = tuple(next(csv.reader(io.StringIO((line or "").lstrip("\ufeff"))), []))
+        groups.setdefault(header, []).append(path)
+    return groups
+
+
+def read_group(spark: SparkSession, header: Sequence[str], paths: list[str]) -> DataFrame:
+    """Canonical string columns of files with one header; rows with surplus fields are skipped."""
+    names = [f"c{i}" for i in range(len(header))]
+    schema = ", ".join(f"{c} string" for c in [*names, "surplus"])
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+           .csv(paths).where("surplus is null"))
+    mapping = header_mapping(list(header))
+    out = raw.select(*[F.col(names[list(header).index(r)]).alias(c) for r, c in mapping.items()])
+    for c in CANONICAL:
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("string"))
+    return out.select(*CANONICAL)
+
+
+def read_groups(spark: SparkSession, groups: dict[tuple[str, ...], list[str]]) -> DataFrame:
+    parts = [read_group(spark, header, paths) for header, paths in groups.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return type_prices(out)
+
+
+def text_lines(source) -> DataFrame:
+    """Text rows with the file they come from."""
+    return source.select("value", F.col("_metadata.file_path").alias("path"),
+                         F.col("_metadata.file_block_start").alias("block"))
+
+
 def read_price_files(spark: SparkSession, pattern: str, commodity: str | None = None
                      ) -> DataFrame | None:
     """S1 + S2: all files matching ``pattern`` (``*_{commodity}*`` when given)."""
@@ -66,24 +109,7 @@ def read_price_files(spark: SparkSession, pattern: str, commodity: str | None =
     files = list_files(spark, pattern, ".csv")
     if not files:
         return None
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        header = tuple(next(csv.reader(io.StringIO(first_line(spark, f))), []))
-        groups.setdefault(header, []).append(f)
-    parts = []
-    for header, paths in groups.items():
-        raw = (spark.read.option("header", True).option("inferSchema", False)
-               .option("mode", "DROPMALFORMED").csv(paths))
-        mapping = header_mapping(list(header))
-        cols = [F.col(f"`{r}`").alias(c) for r, c in mapping.items()]
-        parts.append(raw.select(*cols))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    for c in CANONICAL:
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
-    return type_prices(out)
+    return read_groups(spark, header_groups(first_lines(text_lines(spark.read.text(files)))))
 
 
 def type_prices(df: DataFrame) -> DataFrame:

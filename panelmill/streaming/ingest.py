@@ -1,57 +1,36 @@
 """Incremental ingest of market-price files with Structured Streaming.
 
-Export sites drop new CSV files into their own folder, one header spelling
-per site. Each site folder is a file stream (all-string schema taken from
-its header), canonicalised and typed exactly like the batch reader, and
-appended to the panel table. ``trigger(availableNow=True)`` processes every
-file present and stops, so the job runs as a scheduled batch while the
-checkpoint (under the shared ``spark.checkpoint.dir``) remembers which files
-were already ingested: a re-run, or a run after an executor loss, never
-ingests a file twice.
+Export sites drop new CSV files into folders, with any mix of header spellings. The folders are
+one file stream of text lines; each micro-batch takes the first line of its new files,
+groups the files by header and reads every group exactly like the batch reader.
+``trigger(availableNow=True)`` processes every file present and stops, so the job runs as a
+scheduled batch while the checkpoint (under the shared ``spark.checkpoint.dir``) remembers which
+files were already ingested. A micro-batch writes one partition ``batch_id=N`` of the table and
+overwrites it when it is run again after a failure, so no file is ever counted twice.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
-
-from panelmill.sources.files import first_line, list_files
-from panelmill.sources.prices_csv import CANONICAL, header_mapping, type_prices
-
-
-def site_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """A streaming DataFrame of one site's folder, canonical string columns."""
-    sample = list_files(spark, folder, ".csv")
-    if not sample:
-        raise FileNotFoundError(f"no csv files under {folder} to take the header from")
-    header = next(csv.reader(io.StringIO(first_line(spark, sample[0]))))
-    schema = StructType([StructField(h, StringType()) for h in header])
-    raw = (spark.readStream.schema(schema).option("header", True)
-           .option("mode", "DROPMALFORMED").csv(folder))
-    mapping = header_mapping(header)
-    out = raw.select(*[F.col(f"`{r}`").alias(c) for r, c in mapping.items()])
-    for c in CANONICAL:
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(None).cast("string"))
-    return type_prices(out)
+
+from panelmill.sources.prices_csv import first_lines, header_groups, read_groups, text_lines
 
 
 def ingest_sites(spark: SparkSession, folders: list[str], table_path: str,
                  checkpoint_root: str) -> None:
-    """Append every not-yet-seen file of every site folder to ``table_path`` (parquet).
+    """Add every not-yet-seen file of every folder to the table at ``table_path`` (parquet)."""
+
+    def add(lines: DataFrame, batch_id: int) -> None:
+        groups = header_groups(first_lines(lines))
+        if groups:
+            (read_groups(lines.sparkSession, groups).write.mode("overwrite")
+             .parquet(f"{table_path}/batch_id={batch_id}"))
 
-    The site streams are unioned into ONE streaming query, so the table has
-    a single sink log and a single checkpoint.
-    """
-    streams = [site_stream(spark, f) for f in folders]
+    streams = [text_lines(spark.readStream.text(f)) for f in folders]
     merged = streams[0]
     for s in streams[1:]:
         merged = merged.unionByName(s)
-    q = (merged.writeStream.format("parquet").option("path", table_path)
+    q = (merged.writeStream.foreachBatch(add)
          .option("checkpointLocation", checkpoint_root)
-         .outputMode("append").trigger(availableNow=True).start())
+         .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions.welfare import welfare_sql
 from panelmill.operators import metrics as M
+from panelmill.functions.special import normal_two_sided
 from panelmill.operators import regression as R
 from panelmill.operators.impute import impute_prices
 from panelmill.operators.joins import as_of_join, assign_folds
@@ -94,9 +95,9 @@ def test_g12_dm_matches_numpy_and_is_antisymmetric(spark):
         assert neg[s] == pytest.approx(-got[s], rel=1e-12)
 
 
-def test_dm_pvalue_udf(spark):
+def test_dm_pvalue(spark):
     df = spark.createDataFrame([(0.0,), (1.959963984540054,), (None,)], "z double")
-    p = [r.p for r in df.select(M.two_sided_normal_p(F.col("z")).alias("p")).collect()]
+    p = [r.p for r in df.select(normal_two_sided(F.col("z")).alias("p")).collect()]
     assert p[0] == pytest.approx(1.0) and p[1] == pytest.approx(0.05) and p[2] is None
 
 
@@ -191,5 +192,36 @@ def test_series_forecasts_track_a_clean_seasonal_series():
     truth = 1000 + 0.5 * (400 + np.arange(14)) + 20 * np.sin(2 * np.pi * (400 + np.arange(14)) / 7)
     fc, _ = ets_fit_forecast(y, 14)
     assert np.max(np.abs(fc - truth)) < 15
-    fc2, aic = sarima_fit_forecast(y + np.random.default_rng(0).normal(0, 0.1, 400), 14)
-    assert fc2 is not None and np.max(np.abs(fc2 - truth)) < 5
+    fc2, _, status = sarima_fit_forecast(y + np.random.default_rng(0).normal(0, 0.1, 400), 14)
+    assert status == "ok" and np.max(np.abs(fc2 - truth)) < 5
+
+
+def test_short_and_constant_series_keep_their_rows(spark):
+    from panelmill.operators.series import forecast_series
+    d0, end = dt.date(2020, 1, 1), dt.date(2021, 2, 10)
+    rng = np.random.default_rng(3)
+    rows = []
+    for name, n, value in (("good", 400, None), ("short", 40, None), ("flat", 400, 7.0), ("two", 2, None)):
+        start = dt.date(2021, 2, 3) - dt.timedelta(days=n)
+        for i in range(n):
+            v = value if value is not None else 100 + 3 * (i % 7) + float(rng.normal())
+            rows.append((name, start + dt.timedelta(days=i), v, end))
+    train = spark.createDataFrame(rows, "market string, date date, y double, horizon_end date")
+    got = forecast_series(train, ["market"], ["ets", "sarima", "sarima_aic"]).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.market, r.model), []).append(r)
+    assert len(by) == 12 and all(len(v) == 8 for v in by.values())
+    for model in ("sarima_fix", "sarima_aic"):
+        assert all(r.y_hat is None and r.status == "too short" for r in by["short", model])
+        assert all(r.y_hat == pytest.approx(7.0) and r.status == "ok" for r in by["flat", model])
+        assert all(r.y_hat is not None for r in by["good", model])
+    assert all(r.y_hat is None and r.status == "too short" for r in by["two", "ets"])
+    assert all(r.y_hat is not None for r in by["short", "ets"])
+
+
+def test_aic_candidates_share_one_sample():
+    from panelmill.operators.series import ORDERS, innovations, sarima_fit
+    y = np.cumsum(np.random.default_rng(5).normal(0, 50, 300)) + 1000
+    w, e = innovations(y)
+    assert len({len(sarima_fit(w, e, p, q)[1]) for p, q in ORDERS}) == 1

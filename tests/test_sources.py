@@ -86,14 +86,48 @@ def test_weather_payload_text_and_missing_sources(spark):
 def test_aic_selection_picks_the_smallest_aic():
     import numpy as np
     import pandas as pd
-    from panelmill.operators.series import _job, sarima_fit_forecast
+    from panelmill.operators.series import ORDERS, _job, innovations, sarima_fit
     rng = np.random.default_rng(5)
     y = 100 + np.cumsum(rng.normal(0, 1, 300)) + 5 * np.sin(2 * np.pi * np.arange(300) / 7)
     dates = pd.date_range("2020-01-01", periods=300, freq="D")
     pdf = pd.DataFrame({"market": "m", "date": dates.date, "y": y,
                         "horizon_end": [dates[-1].date() + pd.Timedelta(days=10)] * 300})
-    out = _job(["market"], "sarima_aic")(pdf)
-    assert len(out) == 10
-    aics = {(p, q): sarima_fit_forecast(y, 10, p, q)[1] for p in range(4) for q in range(4)}
-    best = min((a, k) for k, a in aics.items() if a is not None)[1]
+    out = _job(["market"], ["sarima_aic"])(pdf)
+    assert len(out) == 10 and set(out["status"]) == {"ok"}
+    w, e = innovations(y)
+    best = min((sarima_fit(w, e, p, q)[2], (p, q)) for p, q in ORDERS)[1]
     assert out["params"].iloc[0].startswith(f"order=({best[0]},1,{best[1]})")
+
+
+def _write(path, text):
+    from pathlib import Path
+    folder = Path(path.removeprefix("file:"))
+    folder.parent.mkdir(parents=True, exist_ok=True)
+    folder.write_text(text)
+
+
+def test_mixed_headers_in_one_folder_and_malformed_rows(spark):
+    from panelmill.streaming.ingest import ingest_sites
+    root = scratch_path(spark, "t-mixed")
+    _write(f"{root}/a_all/one.csv", "date,market,state,modal_price\n1/2/2020,M1,S1,10\n"
+           "03/02/2020,M1,S1,11,z,too,many\n4/2/2020,M1,S1,12\n5/2/2020,M9\n")
+    _write(f"{root}/a_all/two.csv", "date,state,market,modal_price\n01-Feb-2020,S2,M2,20\nnever,S2,M2,21\n")
+    want = {("M1", "S1", 10.0), ("M1", "S1", 12.0), ("M2", "S2", 20.0)}
+    got = prices_csv.read_price_files(spark, root, "all").collect()
+    assert {(r.market, r.state, r.price_modal) for r in got} == want and len(got) == 3
+    table, ckpt = scratch_path(spark, "t-mixed-table"), scratch_path(spark, "t-mixed-ckpt")
+    ingest_sites(spark, [f"{root}/a_all"], table, ckpt)
+    _write(f"{root}/a_all/three.csv", "modal_price,market,date,state\n30,M3,2020-02-01 00:00:00,S3\n")
+    ingest_sites(spark, [f"{root}/a_all"], table, ckpt)
+    got = spark.read.parquet(table).collect()
+    assert {(r.market, r.state, r.price_modal) for r in got} == want | {("M3", "S3", 30.0)} and len(got) == 4
+
+
+def test_seven_spellings_of_one_day(spark):
+    import datetime as dt
+    from panelmill.functions.calendar import parse_day_first
+    texts = ["1/2/2020", "01-Feb-2020", "1 Feb 2020", "01/02/20", "2020-02-01 00:00:00", "01.02.2020",
+             "February 1, 2020"]
+    df = spark.createDataFrame([(t,) for t in texts + ["31/02/2020", "1 Foo 2020", "", None]], "t string")
+    got = [r.d for r in df.select(parse_day_first("t").alias("d")).collect()]
+    assert got == [dt.date(2020, 2, 1)] * 7 + [None] * 4
