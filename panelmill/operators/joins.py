@@ -58,28 +58,36 @@ def join_weather(panel: DataFrame, wfeat: DataFrame, on=("state", "date")) -> Da
     return out.drop("rain_p25")
 
 
-def as_of_intervals(dim: DataFrame, key: str, year: str = "year") -> DataFrame:
-    """Turn a yearly dimension into [from, to) intervals per key.
+def as_of_years(dim: DataFrame, key: str, year: str = "year") -> DataFrame:
+    """A yearly dimension as one row per key and year of the table's whole range.
 
-    The first interval starts at -inf (years before the table take the first
-    row, the reference's back-fill) and the last runs to +inf (forward fill).
+    A year without a row takes the last one before it; years before a key's first row take that
+    first row (the reference's back-fill). The result is keys x years, whatever the data's size.
     """
-    w = Window.partitionBy(key).orderBy(year)
-    return (dim.withColumn("_to", F.lead(year).over(w))
-            .withColumn("_from", F.when(F.row_number().over(w) == 1, F.lit(-(2 ** 31)))
-                        .otherwise(F.col(year)))
-            .withColumn("_to", F.coalesce("_to", F.lit(2 ** 31 - 1))))
+    dim = dim.withColumn("_dim_year", F.col(year).cast("int"))
+    first, last = dim.select(F.min("_dim_year")).scalar(), dim.select(F.max("_dim_year")).scalar()
+    w = Window.partitionBy(key).orderBy("_dim_year")
+    spans = (dim.withColumn("_from", F.when(F.row_number().over(w) == 1, first).otherwise(F.col("_dim_year")))
+             .withColumn("_to", F.coalesce(F.lead("_dim_year").over(w) - 1, last)))
+    return (spans.where("_from <= _to")
+            .withColumn("_dim_year", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to"))
 
 
 def as_of_join(df: DataFrame, dim: DataFrame, df_key: str, dim_key: str,
                df_year: str = "year", dim_year: str = "year",
                cols: Sequence[str] = ()) -> DataFrame:
-    """Per-key lookup of the last dimension row with year <= the row's year."""
-    iv = as_of_intervals(dim, dim_key, dim_year).select(
-        F.col(dim_key).alias("_k"), "_from", "_to", *cols)
-    cond = ((F.col(df_key) == F.col("_k")) & (F.col(df_year) >= F.col("_from"))
-            & (F.col(df_year) < F.col("_to")))
-    return df.join(iv, cond, "left").drop("_k", "_from", "_to")
+    """Per-key lookup of the last dimension row with year <= the row's year.
+
+    The dimension has one row per (key, year), and a row's year is clamped to the dimension's
+    range, so it is an equi-join on both and a hot key is spread over its years.
+    """
+    years = as_of_years(dim, dim_key, dim_year).select(F.col(dim_key).alias("_k"), "_dim_year", *cols)
+    y = F.col(dim_year).cast("int")
+    clamped = F.greatest(F.least(F.col(df_year).cast("int"), dim.select(F.max(y)).scalar()),
+                         dim.select(F.min(y)).scalar())
+    left = df.withColumn("_clamped", clamped)
+    return (left.join(years, (F.col(df_key) == F.col("_k")) & (F.col("_clamped") == F.col("_dim_year")), "left")
+            .drop("_k", "_dim_year", "_clamped"))
 
 
 def add_policy_features(df: DataFrame, policy: DataFrame, keys=("commodity", "market"),
@@ -125,19 +133,18 @@ def assign_folds(df: DataFrame, folds: Sequence[tuple], order: str = "date") ->
     """Expanding-window fold membership; a row may belong to several folds.
 
     Each fold (id, train_end, test_start, test_end) is a literal struct; the
-    rows are exploded against the fold array and filtered, so no range join
-    or broadcast is planned.
+    fold array is filtered to a row's own folds before it is exploded, so no row is
+    multiplied in vain and no range join or broadcast is planned.
     """
+    d = F.col(order)
     arr = F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(te).cast("date").alias("train_end"),
                              F.lit(ts).cast("date").alias("test_start"),
                              F.lit(tz).cast("date").alias("test_end"))
                     for i, te, ts, tz in folds])
-    d = F.col(order)
-    out = explode_params(df, arr, "_fold")
-    role = (F.when(d <= F.col("train_end"), F.lit("train"))
-            .when((d >= F.col("test_start")) & (d <= F.col("test_end")), F.lit("test")))
-    return (out.withColumn("role", role).where(F.col("role").isNotNull())
-            .drop("train_end", "test_start", "test_end"))
+    own = F.filter(arr, lambda f: (d <= f["train_end"]) | ((d >= f["test_start"]) & (d <= f["test_end"])))
+    out = explode_params(df, own, "_fold")
+    role = F.when(d <= F.col("train_end"), F.lit("train")).otherwise(F.lit("test"))
+    return out.withColumn("role", role).drop("train_end", "test_start", "test_end")
 
 
 def dense_grid(values: DataFrame, keys: DataFrame, a: str, b: str, lo: str, hi: str,
@@ -155,7 +162,17 @@ def dense_grid(values: DataFrame, keys: DataFrame, a: str, b: str, lo: str, hi:
 
 def join_group_stat(df: DataFrame, keys: Sequence[str], stat: Column, out: str,
                     reuse: bool = True) -> DataFrame:
-    """A grouped statistic joined back to the rows (groupby.transform)."""
+    """A grouped statistic joined back to the rows (groupby.transform).
+
+    The aggregate is partial on every mapper, so a key with a third of the rows costs no more
+    than another; the input feeds both sides, so with ``reuse`` it is written once. Where
+    the rows are already dealt by the series key, ``with_series_stat`` needs no second pass.
+    """
     if reuse:
         df = materialize(df)
     return df.join(df.groupBy(*keys).agg(stat.alias(out)), list(keys))
+
+
+def with_series_stat(df: DataFrame, keys: Sequence[str], stat: Column, out: str) -> DataFrame:
+    """J10 on series keys: a window over rows that the series windows deal by the same keys anyway."""
+    return df.withColumn(out, stat.over(Window.partitionBy(*keys)))

@@ -55,8 +55,8 @@ def first_n_rows(pred: DataFrame, horizons: Sequence[tuple[str, int]], by=("mode
     arr = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("days"))
                     for h, n in horizons])
     return (pred.withColumn("_rn", F.row_number().over(w))
-            .select("*", F.explode(arr).alias("_h")).select("*", "_h.*")
-            .where(F.col("_rn") <= F.col("days")).drop("_h", "_rn", "days"))
+            .select("*", F.explode(F.filter(arr, lambda h: h["days"] >= F.col("_rn"))).alias("_h"))
+            .select("*", "_h.*").drop("_h", "_rn", "days"))
 
 
 def multihorizon(pred: DataFrame, horizons, by=("model",), series=("market",),

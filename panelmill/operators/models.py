@@ -69,6 +69,12 @@ def standardize(df: DataFrame, cols: Sequence[str], fit_filter=None, reuse: bool
     return out
 
 
+def unstandardize(df: DataFrame, col: str, z: str, out: str, fit_rows: DataFrame) -> DataFrame:
+    """Inverse of M4: z * sd + mean with the statistics of ``col`` over ``fit_rows``; sd 0 counts as 1."""
+    mu, sd = fit_rows.select(F.avg(col)).scalar(), fit_rows.select(F.stddev_pop(col)).scalar()
+    return df.withColumn(out, F.col(z) * F.when(sd == 0, F.lit(1.0)).otherwise(sd) + mu)
+
+
 def fit_regime(panel: DataFrame, regime: str, train_end: str, test_start: str | None,
                learners: dict, keys: Sequence[str] = ("commodity", "market"),
                target: str = "price_target", checkpoint: bool = True):

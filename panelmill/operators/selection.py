@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -72,12 +72,18 @@ def month_dummies(month: Column, first: int = 2, last: int = 12) -> list[Column]
 def dense_codes(df: DataFrame, key: str, out: str = "code") -> DataFrame:
     """0-based code of ``key`` in sorted order.
 
-    The distinct keys are range-partitioned by a distributed sort and numbered
-    with ``zipWithIndex`` (one small job counts each partition), so no single
-    task ever holds every key; the codes are joined back on the key.
+    The distinct keys are dealt to ranges in one sort-free exchange and written with their range
+    number (so it is the same in every later read); a range's start is the running count of the
+    ranges before it (a table of one row per range), and keys are numbered within their
+    range. No task holds all keys and nothing leaves the executors.
     """
-    from pyspark.sql.types import LongType, StructField, StructType
-    keys = df.select(key).distinct().orderBy(key)
-    schema = StructType([keys.schema[key], StructField(out, LongType(), False)])
-    codes = keys.rdd.zipWithIndex().map(lambda kv: (kv[0][0], kv[1]))
-    return df.join(df.sparkSession.createDataFrame(codes, schema), key)
+    from panelmill.session import materialize
+    keys = df.select(key).distinct().where(F.col(key).isNotNull())
+    ranged = materialize(keys.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+              .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    inside = Window.partitionBy("_range").orderBy(key)
+    codes = (ranged.withColumn("_i", F.row_number().over(inside) - 1).join(starts, "_range")
+             .select(key, (F.col("_start") + F.col("_i")).cast("long").alias(out)))
+    return df.join(codes, key)

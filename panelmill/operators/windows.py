@@ -109,6 +109,18 @@ def lookback_sequences(df: DataFrame, value: str, lookback: int = 30, keys=("mar
     return df.withColumn(out, seq).where(F.size(out) == lookback)
 
 
+def lookback_windows(df: DataFrame, features: Sequence[str], lookback: int = 30, keys=("market",),
+                     order="date", out: str = "window") -> DataFrame:
+    """W16 with several features: the ``lookback`` rows before t as a (lookback x features) array.
+
+    One pass over one exchange; each row's features are an array and the frame collects
+    those. Rows with a shorter history are dropped.
+    """
+    frame = series_window(keys, order).rowsBetween(-lookback, -1)
+    row = F.array(*[F.col(c).cast("double") for c in features])
+    return df.withColumn(out, F.collect_list(row).over(frame)).where(F.size(out) == lookback)
+
+
 def pad_edge(df: DataFrame, value: str, keys=("market",), order="date", out=None):
     """Carry the last known forecast forward over a step spine (edge padding)."""
     out = out or value

@@ -135,6 +135,22 @@ def o4_last_730(spark, sf_dir):
     return rounded(df.where(F.col("rn") <= 730).select("market", "date", "price_modal"))
 
 
+LOOK = ["price_modal", "price_lag1", "price_ma7"]
+
+
+@query("w16_lookback_multi", B.sql_with("pfeat") + f"""
+  SELECT market, date, seq FROM (
+    SELECT market, date, list_transform(list([{', '.join(LOOK)}]) OVER (PARTITION BY market ORDER BY date
+        ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
+      lambda v: list_transform(v, lambda x: floor(((x * 1e4 + 0.5) + 1e-6) + abs(x) * 1e-8) / 1e4)) AS seq
+    FROM pfeat) WHERE len(seq) = 30""")
+def w16_lookback_multi(spark, sf_dir):
+    """Look-back windows of 30 rows x 3 features."""
+    df = W.lookback_windows(price_features(spark, sf_dir), LOOK, 30, KEYS, out="seq")
+    half_up = lambda x: F.floor(((x * 1e4 + 0.5) + 1e-6) + F.abs(x) * 1e-8).cast("double") / 1e4
+    return df.select("market", "date", F.transform("seq", lambda v: F.transform(v, half_up)).alias("seq"))
+
+
 @query("w16_lookback", B.sql_with("imputed") + """
   SELECT market, date, seq FROM (
     SELECT market, date,

@@ -204,6 +204,5 @@ def j9_dense_grid(spark, sf_dir):
   SELECT market, date, {r('avg(price_modal) OVER (PARTITION BY market)', 'market_mean')}
   FROM panel""")
 def j10_group_stat(spark, sf_dir):
-    df = J.join_group_stat(B.market_panel(spark, sf_dir), ["market"], F.avg("price_modal"),
-                           "market_mean")
+    df = J.with_series_stat(B.market_panel(spark, sf_dir), ["market"], F.avg("price_modal"), "market_mean")
     return rounded(df.select("market", "date", "market_mean"))

@@ -17,7 +17,7 @@ from panelmill.plans.common import r, rounded
 import panelmill.plans.q_joins  # noqa: F401
 from panelmill.plans.q_joins import feature_panel
 from panelmill.plans.registry import query
-from panelmill.session import ensure_checkpoint_dir, scratch_path
+from panelmill.session import ensure_checkpoint_dir, materialize, scratch_path
 
 
 def small_learners():
@@ -73,6 +73,17 @@ def m4_standardize(spark, sf_dir):
     return rounded(z.select("commodity", "market", "date", *[f"{c}_z" for c in M4_COLS]))
 
 
+@query("m4_inverse", B.sql_with("fpanel") + f"""
+  SELECT commodity, market, date, {r('price_target', 'price_target')}, {r('price_target', 'restored')} FROM fpanel""")
+def m4_inverse(spark, sf_dir):
+    """The standardised target, transformed back."""
+    fp = materialize(feature_panel(spark, sf_dir))
+    train = F.col("date") <= F.lit(TRAIN_END).cast("date")
+    z = ML.standardize(fp, ["price_target"], train, reuse=False)
+    out = ML.unstandardize(z, "price_target", "price_target_z", "restored", fp.where(train))
+    return rounded(out.select("commodity", "market", "date", "price_target", "restored"))
+
+
 @query("m8_rolling_cv_models")
 def m8_rolling_cv_models(spark, sf_dir):
     """Expanding-window CV of RF/GBT: fold MAPE, then mean and population SD."""

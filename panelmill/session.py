@@ -7,6 +7,7 @@ tests, the bench and the driver's local runs.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -97,6 +98,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = sc.getCheckpointDir() if sc is not None else None
     if sc_dir:
         return sc_dir
+    if sc is not None and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share; "
+                           "a folder of this machine would lose the tables that executors write")
     if _LOCAL_CHECKPOINT_ROOT is None:
         _LOCAL_CHECKPOINT_ROOT = tempfile.mkdtemp(prefix="panelmill-ckpt-")
     spark.conf.set("spark.checkpoint.dir", _LOCAL_CHECKPOINT_ROOT)
@@ -105,10 +109,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL_CHECKPOINT_ROOT
 
 
+_SCRATCH: list[str] = []  # folders handed out and not yet deleted
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
+    """A fresh folder under the shared checkpoint location.
+
+    It is deleted by ``clear_scratch`` when a job is done with its results, and at the latest
+    when the driver ends.
+    """
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    place, fs = _file_system(spark, path)
+    fs.deleteOnExit(place)
+    _SCRATCH.append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch folders handed out from number ``since`` on; no result may still read them."""
+    while len(_SCRATCH) > since:
+        place, fs = _file_system(spark, _SCRATCH.pop())
+        fs.delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch tables made inside are deleted at the end; use the results before that."""
+    since = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        clear_scratch(spark, since)
 
 
 def materialize(df):
@@ -119,7 +156,8 @@ def materialize(df):
     upstream (fact-table scans and joins) once per branch. The table is
     written as parquet under ``spark.checkpoint.dir`` (shared storage on a
     cluster, so a lost executor never forces a rescan) and read back: columnar,
-    vectorised, and with its real size known to AQE for later join choices.
+    vectorised, and with its real size known to AQE for later join choices. The table is
+    deleted by ``scratch_scope`` or ``clear_scratch``, or when the driver ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
