@@ -7,7 +7,7 @@ The test tables carry no price panel, so one of the same shape is derived:
   date = ship day, price = exact cents / quantity.
 * ``spine``         every market x every day of the global range, left joined
   to the panel (missing prices appear here).
-* ``commodity_panel`` the same at week grain with commodity = part type.
+* ``commodity_panel`` the same per commodity (part type), each series on all its days.
 * ``covariates``    (state, date, max_temp, min_temp, rainfall_daily, humidity)
   from lineitem -> supplier -> nation -> region.
 * ``policy``        (year, crop, msp_rs_per_quintal, fci_procurement_mmt).
@@ -90,7 +90,7 @@ def commodity_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact (commodity, nation, day) sums of cents and quantity.
 
     Bounded by types x nations x days whatever the fact-table size; both the
-    weekly commodity panel and the yearly policy table are re-aggregations of
+    daily commodity panel and the yearly policy table are re-aggregations of
     it, so a plan needing both scans and joins the fact table once.
     """
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate",
@@ -107,35 +107,53 @@ def commodity_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commodity_panel(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None
                     ) -> DataFrame:
-    """(commodity, state, market, date, price_modal) at ISO-week grain."""
-    cube = cube if cube is not None else commodity_cube(spark, sf_dir)
-    weekly = (cube.groupBy("commodity", "nationkey",
-                           F.date_trunc("week", "day").cast("date").alias("date"))
-              .agg(F.sum("cents").alias("cents"), F.sum("qty").alias("qty")))
-    return (weekly.join(_geo(spark, sf_dir), "nationkey")
-            .select("commodity", "state", "market", "date", _price().alias("price_modal")))
+    """(commodity, state, market, date, price_modal) per day, with gaps.
+
+    Every series has all days from its own first to its own last one; a day without sales has a NULL
+    price. Days and prices are one union with a ``max`` under one exchange on the series keys,
+    which every later series window reuses.
+    """
+    cube = cube if cube is not None else materialize(commodity_cube(spark, sf_dir))
+    prices = (cube.join(_geo(spark, sf_dir), "nationkey")
+              .select("commodity", "state", "market", F.col("day").alias("date"), _price().alias("price_modal")))
+    spans = prices.groupBy("commodity", "state", "market").agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
+    cells = spans.select("commodity", "state", "market", F.explode(F.sequence("d0", "d1")).alias("date"),
+                         F.lit(None).cast("double").alias("price_modal"))
+    return (cells.unionByName(prices).repartition("commodity", "market")
+            .groupBy("commodity", "state", "market", "date")
+            .agg(F.max("price_modal").alias("price_modal")))
+
+
+#: The covariates are standardised day means, so their distribution is the same at every table size.
+#: Mean and standard deviation of one row: quantities 1..50, discounts 0..10 cents (fixed values of the tables).
+QTY_MEAN, QTY_SD, DISC_MEAN, DISC_SD = 25.5, 14.43, 5.0, 3.16
+
+
+def _z(total, n, mean: float, sd: float):
+    return ((total.cast("double") - F.lit(mean) * n.cast("double"))
+            / (F.lit(sd) * F.sqrt(n.cast("double"))))
 
 
 def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_quantity",
                "l_discount", "l_tax")
     sup = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-    geo = _geo(spark, sf_dir)
     daily = (li.join(sup, li.l_suppkey == sup.s_suppkey)
              .groupBy(F.col("s_nationkey").alias("nationkey"),
                       F.col("l_shipdate").cast("date").alias("date"))
-             .agg(F.max("l_quantity").alias("mx"), F.min("l_quantity").alias("mn"),
+             .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
                   F.sum(exact_cents("l_discount")).alias("disc"),
                   F.sum(exact_cents("l_tax")).alias("tax"),
                   F.count(F.lit(1)).alias("n")))
-    by_state = (daily.join(geo, "nationkey")
+    by_state = (daily.join(_geo(spark, sf_dir), "nationkey")
                 .groupBy("state", "date")
-                .agg(F.max("mx").alias("max_temp"), F.min("mn").alias("min_temp"),
-                     F.sum("disc").alias("disc"), F.sum("tax").alias("tax"),
-                     F.sum("n").alias("n")))
+                .agg(*[F.sum(c).alias(c) for c in ("qty", "disc", "tax", "n")]))
+    by_state = by_state.select("*", _z(F.col("qty"), F.col("n"), QTY_MEAN, QTY_SD).alias("zq"),
+                               _z(F.col("disc"), F.col("n"), DISC_MEAN, DISC_SD).alias("zd"))
     return by_state.select(
-        "state", "date", "max_temp", "min_temp",
-        F.col("disc").cast("double").alias("rainfall_daily"),
+        "state", "date", (F.lit(35.0) + F.lit(5.0) * F.col("zq")).alias("max_temp"),
+        (F.lit(25.0) + F.lit(5.0) * F.col("zq") - F.lit(2.0) * F.abs("zd")).alias("min_temp"),
+        F.greatest(F.lit(0.0), F.lit(10.0) + F.lit(10.0) * F.col("zd")).alias("rainfall_daily"),
         (F.col("tax").cast("double") * 10.0 / F.col("n").cast("double")).alias("humidity"))
 
 
@@ -187,27 +205,35 @@ SQL_CTES: dict[str, tuple[str, tuple[str, ...]]] = {
                                    FROM generate_series(0, b.d1 - b.d0) t(i)) s
                LEFT JOIN panel p ON p.state = m.state AND p.market = m.market
                                 AND p.date = s.date""", ("panel",)),
-    "cpanel": (f"""SELECT d.commodity, g.state, g.market, d.date,
+    "cdaily": (f"""SELECT d.commodity, g.state, g.market, d.date,
                  CAST(d.cents AS DOUBLE) / CAST(d.qty AS DOUBLE) / 100.0 AS price_modal
-               FROM (SELECT p.p_type AS commodity, o.nationkey,
-                       CAST(date_trunc('week', l.l_shipdate) AS DATE) AS date,
+               FROM (SELECT p.p_type AS commodity, o.nationkey, CAST(l.l_shipdate AS DATE) AS date,
                        sum({CENTS.format(c='l.l_extendedprice')}) AS cents,
                        sum(CAST(l.l_quantity AS BIGINT)) AS qty
                      FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
                      JOIN order_nation o ON l.l_orderkey = o.o_orderkey
                      GROUP BY 1, 2, 3) d
                JOIN geo g ON d.nationkey = g.nationkey""", ("geo", "order_nation")),
-    "covariates": (f"""SELECT g.state, d.date, max(d.mx) AS max_temp, min(d.mn) AS min_temp,
-                 CAST(sum(d.disc) AS DOUBLE) AS rainfall_daily,
-                 CAST(sum(d.tax) AS DOUBLE) * 10.0 / CAST(sum(d.n) AS DOUBLE) AS humidity
-               FROM (SELECT s.s_nationkey AS nationkey, CAST(l.l_shipdate AS DATE) AS date,
-                       max(l.l_quantity) AS mx, min(l.l_quantity) AS mn,
-                       sum({CENTS.format(c='l.l_discount')}) AS disc,
-                       sum({CENTS.format(c='l.l_tax')}) AS tax, count(*) AS n
-                     FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
-                     GROUP BY 1, 2) d
-               JOIN geo g ON d.nationkey = g.nationkey
-               GROUP BY g.state, d.date""", ("geo",)),
+    "cpanel": ("""SELECT s.commodity, s.state, s.market, s.date, p.price_modal
+               FROM (SELECT b.commodity, b.state, b.market, b.d0 + CAST(i AS INTEGER) AS date
+                     FROM (SELECT commodity, state, market, min(date) AS d0, max(date) AS d1
+                           FROM cdaily GROUP BY 1, 2, 3) b,
+                     LATERAL generate_series(0, b.d1 - b.d0) t(i)) s
+               LEFT JOIN cdaily p ON p.commodity = s.commodity AND p.state = s.state
+                 AND p.market = s.market AND p.date = s.date""", ("cdaily",)),
+    "covariates": (f"""SELECT state, date, 35.0e0 + 5.0e0 * zq AS max_temp,
+                 25.0e0 + 5.0e0 * zq - 2.0e0 * abs(zd) AS min_temp,
+                 greatest(0.0e0, 10.0e0 + 10.0e0 * zd) AS rainfall_daily,
+                 CAST(tax AS DOUBLE) * 10.0 / CAST(n AS DOUBLE) AS humidity
+               FROM (SELECT *,
+                   (CAST(qty AS DOUBLE) - 25.5e0 * CAST(n AS DOUBLE)) / (14.43e0 * sqrt(CAST(n AS DOUBLE))) AS zq,
+                   (CAST(disc AS DOUBLE) - 5.0e0 * CAST(n AS DOUBLE)) / (3.16e0 * sqrt(CAST(n AS DOUBLE))) AS zd
+                 FROM (SELECT g.state, CAST(l.l_shipdate AS DATE) AS date,
+                         sum(CAST(l.l_quantity AS BIGINT)) AS qty,
+                         sum({CENTS.format(c='l.l_discount')}) AS disc,
+                         sum({CENTS.format(c='l.l_tax')}) AS tax, count(*) AS n
+                       FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+                       JOIN geo g ON s.s_nationkey = g.nationkey GROUP BY 1, 2))""", ("geo",)),
     "policy": (f"""SELECT CAST(year(l.l_shipdate) AS INTEGER) AS year, p.p_type AS crop,
                  CAST(sum({CENTS.format(c='l.l_extendedprice')}) AS DOUBLE)
                    / CAST(sum(CAST(l.l_quantity AS BIGINT)) AS DOUBLE) / 100.0

@@ -41,7 +41,7 @@ FP_COLS = ["commodity", "market", "date"]
   SELECT commodity, state, market, date, {r('price_modal', 'price_modal')},
     {_sel(ALL_FEATURES)}, {r('price_target', 'price_target')} FROM fpanel""")
 def q_feature_panel(spark, sf_dir):
-    """Entry 1: the 39-feature panel on (commodity, market) weekly series."""
+    """Entry 1: the 39-feature panel on (commodity, market) daily series."""
     df = feature_panel(spark, sf_dir)
     return rounded(df.select("commodity", "state", "market", "date", "price_modal",
                              *ALL_FEATURES, "price_target"))

@@ -1,7 +1,7 @@
 """Queries for the policy tables.
 
 Crop parameters per commodity come from the data: the forecast price is the
-mean seasonal-naive forecast over the test weeks (G17), the current floor
+mean seasonal-naive forecast over the test days (G17), the current floor
 is the latest policy-table price, and each commodity takes the reference's
 elasticities and quantities of one of its two crops (its archetype, chosen
 by a hash of the name).
@@ -34,7 +34,7 @@ def archetype(c):
 
 
 def commodity_forecasts(spark, sf_dir, cube=None):
-    """Mean seasonal-naive forecast and its RMSE per commodity over test weeks."""
+    """Mean seasonal-naive forecast and its RMSE per commodity over test days."""
     panel = impute_prices(B.commodity_panel(spark, sf_dir, cube), keys=CKEYS)
     w = series_window(CKEYS, "date")
     f = panel.select("commodity", "date", F.lag("price_modal", 7).over(w).alias("y_hat"),
@@ -283,7 +283,7 @@ def v13_counterfactual(spark, sf_dir):
 
 
 def commodity_prediction_means(spark, sf_dir, cube=None):
-    """Per (commodity, model): mean actual and mean forecast over the test weeks."""
+    """Per (commodity, model): mean actual and mean forecast over the test days."""
     panel = impute_prices(B.commodity_panel(spark, sf_dir, cube), keys=CKEYS)
     w = series_window(CKEYS, "date")
     f = panel.select("commodity", "date", F.lead("price_modal", 1).over(w).alias("y"),
