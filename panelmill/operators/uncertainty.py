@@ -11,25 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.functions.random import normal_sql
+from panelmill.functions.random import key_sql, normal_sql, uniform_sql
+from panelmill.functions.special import quantile_sql, upper_tail_sql
 from panelmill.functions.welfare import num
 from panelmill.operators.aggregates import quantile_summary
 from panelmill.operators.policy import EQUAL, optimal_floor, with_weights
 from panelmill.params import FORECAST_SD_FRACTION, MC_DRAWS, MC_SEED
 
-SLOTS = 8  # rejection slots for the truncated normals; P(all fail) < 1e-40 here
-
-
 def truncated_draw_sql(mean: str, sd: str, sign: str, seed: int, var: str,
                        dialect: str = "spark", source: str = "mc1") -> str:
-    """First of ``SLOTS`` normal draws with the required sign (the reference's rejection loop)."""
-    cands = []
-    for s in range(SLOTS):
-        z = normal_sql([f"'{seed}'", "commodity", f"'{source}'", "draw", f"'{var}{s}'"], dialect)
-        v = f"({mean} + {sd} * {z})"
-        cond = f"{v} > 0" if sign == "+" else f"{v} < 0"
-        cands.append(f"CASE WHEN {cond} THEN {v} END")
-    return f"coalesce({', '.join(cands)})"
+    """A normal draw conditioned on the required sign, by the inverse distribution function.
+
+    The reference redraws until the sign is right, which gives the same distribution. With c = mean / sd
+    for a positive (-mean / sd for a negative) draw, the tail probability u P(Z > -c) is turned back into a
+    deviation, so no draw is ever lost, however unlikely the sign.
+    """
+    u = uniform_sql(key_sql([f"'{seed}'", "commodity", f"'{source}'", "draw", f"'{var}'"], dialect), dialect)
+    c = f"({mean} / {sd})" if sign == "+" else f"(-{mean} / {sd})"
+    z = f"(-{quantile_sql(f'({u} * {upper_tail_sql(f'(-{c})')})')})"
+    return f"({mean} + {sd} * {z})" if sign == "+" else f"({mean} - {sd} * {z})"
 
 
 def forecast_draw_sql(seed: int, dialect: str = "spark") -> str:
@@ -41,25 +41,27 @@ def with_draws(params: DataFrame, n: int = MC_DRAWS) -> DataFrame:
     return params.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
 
 
-def elasticity_draws(params: DataFrame, n: int = MC_DRAWS, seed: int = MC_SEED) -> DataFrame:
+DRAW_COLUMNS = ["draw", "eps_s", "eps_d", "p", "m_star"]
+
+
+def elasticity_draws(params: DataFrame, n: int = MC_DRAWS, seed: int = MC_SEED, weights=EQUAL) -> DataFrame:
     """V9 (MC-1): elasticities ~ truncated normal, forecast fixed; optimum per draw."""
-    d = with_weights(with_draws(params, n), [EQUAL]).withColumn("eta", F.lit(0.0))
+    d = with_weights(with_draws(params, n), [weights]).withColumn("eta", F.lit(0.0))
     d = (d.withColumn("eps_s", F.expr(truncated_draw_sql("eps_s", "eps_s_se", "+", seed, "s")))
          .withColumn("eps_d", F.expr(truncated_draw_sql("eps_d", "eps_d_se", "-", seed, "d"))))
-    return (optimal_floor(d).select("commodity", F.lit("Elasticity (MC-1)").alias("source"),
-                                    "draw", "m_star"))
+    return optimal_floor(d).select("commodity", F.lit("Elasticity (MC-1)").alias("source"), *DRAW_COLUMNS)
 
 
-def forecast_draws(params: DataFrame, n: int = MC_DRAWS, seed: int = MC_SEED + 500) -> DataFrame:
+def forecast_draws(params: DataFrame, n: int = MC_DRAWS, seed: int = MC_SEED + 500, weights=EQUAL) -> DataFrame:
     """V10 (MC-2): p ~ N(p_hat, 0.3 rmse) floored at p_hat / 2; optimum per draw."""
-    d = with_weights(with_draws(params, n), [EQUAL]).withColumn("eta", F.lit(0.0))
+    d = with_weights(with_draws(params, n), [weights]).withColumn("eta", F.lit(0.0))
     d = d.withColumn("p", F.expr(forecast_draw_sql(seed)))
-    return (optimal_floor(d).select("commodity", F.lit("Forecast (MC-2)").alias("source"),
-                                    "draw", "m_star"))
+    return optimal_floor(d).select("commodity", F.lit("Forecast (MC-2)").alias("source"), *DRAW_COLUMNS)
 
 
-def all_draws(params: DataFrame, n: int = MC_DRAWS) -> DataFrame:
-    return elasticity_draws(params, n).unionByName(forecast_draws(params, n))
+def all_draws(params: DataFrame, n: int = MC_DRAWS, weights=EQUAL) -> DataFrame:
+    return (elasticity_draws(params, n, weights=weights)
+            .unionByName(forecast_draws(params, n, weights=weights)))
 
 
 def dual_summary(draws: DataFrame) -> DataFrame:

@@ -9,17 +9,18 @@ by a hash of the name).
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelmill import bindings as B
-from panelmill.functions.welfare import (components_sql, num, optimum_stages, stages_sql,
-                                         welfare_sql)
+from panelmill.functions.welfare import num
 from panelmill.operators import policy as V
 from panelmill.operators.impute import impute_prices
 from panelmill.operators.windows import series_window
 from panelmill.params import (CONCAVITY_HIGH, CONCAVITY_LOW, CONCAVITY_POINTS, ELASTICITIES,
                               ETAS, FALLBACK_PRICE, FALLBACK_RMSE, PROCUREMENT, PRODUCTION, SCENARIOS, STRESS,
                               TEST_START, archetype_params)
+from panelmill.plans import welfare_twin as T
 from panelmill.plans.common import r, rounded
 import panelmill.plans.q_joins  # noqa: F401  (registers the feature-panel CTEs)
 from panelmill.plans.registry import query
@@ -92,8 +93,7 @@ B.register_cte("cparams", f"""
 EQ = [s for s in SCENARIOS if s[0] == "equal_weights"]
 B.register_cte("cp_all", f"SELECT * FROM cparams, {V.weights_sql()}", ("cparams",))
 B.register_cte("cp_eq", f"SELECT * FROM cparams, {V.weights_sql(EQ)}", ("cparams",))
-B.register_cte("cp_opt", stages_sql("(SELECT *, 0.0e0 AS eta FROM cp_all)", optimum_stages()),
-               ("cp_all",))
+B.register_cte("cp_opt", T.optimum("(SELECT *, 0.0e0 AS eta FROM cp_all)"), ("cp_all",))
 
 
 @query("g17_forecast_price", B.sql_with("cfc") + f"""
@@ -110,13 +110,13 @@ _ARCH_T = "CAST(('0x' || substr(md5(t.commodity), 1, 2)) AS INTEGER) % 2 = 0"
     {r(f"coalesce(f.forecast_price, CASE WHEN {_ARCH_T} THEN {num(FALLBACK_PRICE['wheat'])} ELSE {num(FALLBACK_PRICE['rice'])} END)", 'forecast_price')},
     {r(f"coalesce(f.rmse, CASE WHEN {_ARCH_T} THEN {num(FALLBACK_RMSE['wheat'])} ELSE {num(FALLBACK_RMSE['rice'])} END)", 'rmse')},
     f.forecast_price IS NULL AS used_default
-  FROM (SELECT DISTINCT p_type AS commodity FROM part) t
+  FROM (SELECT DISTINCT p_type AS commodity FROM part UNION SELECT lower(p_type) FROM part) t
   LEFT JOIN cfc f ON f.commodity = t.commodity""")
 def s9_default_prices(spark, sf_dir):
     """Every known commodity gets a price and an RMSE; the archetype's fallback
-    values where no forecast exists."""
+    values where no forecast exists (here the lower-case names, which nothing is sold under)."""
     types = B.table(spark, sf_dir, "part", "p_type").select(
-        F.col("p_type").alias("commodity")).distinct()
+        F.explode(F.array("p_type", F.lower("p_type"))).alias("commodity")).distinct()
     fc = commodity_forecasts(spark, sf_dir)
     wheat = archetype(F.col("commodity")) == "wheat"
     fb_p = F.when(wheat, F.lit(FALLBACK_PRICE["wheat"])).otherwise(F.lit(FALLBACK_PRICE["rice"]))
@@ -128,14 +128,14 @@ def s9_default_prices(spark, sf_dir):
 
 
 @query("v1_welfare_at_current", B.sql_with("cp_all") + f"""
-  SELECT commodity, scenario, {r(welfare_sql('current_msp'), 'welfare')}
+  SELECT commodity, scenario, {r(T.welfare('current_msp'), 'welfare')}
   FROM (SELECT *, 0.0e0 AS eta FROM cp_all)""")
 def v1_welfare_at_current(spark, sf_dir):
     df = V.with_weights(crop_params(spark, sf_dir)).withColumn("eta", F.lit(0.0))
     return rounded(V.welfare_at(df, "current_msp").select("commodity", "scenario", "welfare"))
 
 
-_C = components_sql("current_msp", cs_kink_only_positive=True)
+_C = T.parts("current_msp", v2=True)
 
 
 @query("v2_components", B.sql_with("cp_all") + f"""
@@ -153,6 +153,36 @@ def v3_optimal_floor(spark, sf_dir):
     return rounded(V.optimal_floor(df).select("commodity", "scenario", "m_star", "w_star"))
 
 
+#: Weights with a deadweight-loss term, for which the optimum lies inside the search interval.
+INTERIOR = [("interior_low", 0.6, 0.1, 0.1, 1.0), ("interior_high", 0.5, 0.05, 0.1, 0.6)]
+B.register_cte("cp_int", f"SELECT * FROM cparams, {V.weights_sql(INTERIOR)}", ("cparams",))
+
+
+@query("v3_interior_optima", B.sql_with("cp_int") + f"""
+  SELECT commodity, scenario, {r('m_star', 'm_star')}, {r('w_star', 'w_star')}, m_star - p NOT IN (-200, 0, 1500) AS interior
+  FROM ({T.optimum("(SELECT *, 0.0e0 AS eta FROM cp_int)")})""")
+def v3_interior_optima(spark, sf_dir):
+    """Optima at stationary points."""
+    df = V.with_weights(crop_params(spark, sf_dir), INTERIOR).withColumn("eta", F.lit(0.0))
+    out = V.optimal_floor(df)
+    return rounded(out.select("commodity", "scenario", "m_star", "w_star",
+                              (~(F.col("m_star") - F.col("p")).isin(-200.0, 0.0, 1500.0)).alias("interior")))
+
+
+@query("v7_interior_sensitivity", B.sql_with("cp_int") + f"""
+  SELECT commodity, scenario, eta, {r('m_star', 'optimal_msp')},
+    {r('m_star - max(CASE WHEN eta = 0 THEN m_star END) OVER (PARTITION BY commodity, scenario)', 'delta_from_baseline')}
+  FROM ({T.optimum("(SELECT * FROM cp_int, (VALUES " + ", ".join(f"({num(e)})" for e in ETAS) + ") AS et(eta))")})""")
+def v7_interior_sensitivity(spark, sf_dir):
+    """W18 where procurement moves the optimum."""
+    base = V.with_weights(crop_params(spark, sf_dir), INTERIOR)
+    opt = V.optimal_floor(base.select("*", F.explode(F.array(*[F.lit(float(e)) for e in ETAS])).alias("eta")))
+    w = Window.partitionBy("commodity", "scenario")
+    zero = F.max(F.when(F.col("eta") == 0, F.col("m_star"))).over(w)
+    return rounded(opt.select("commodity", "scenario", "eta", F.col("m_star").alias("optimal_msp"),
+                              (F.col("m_star") - zero).alias("delta_from_baseline")))
+
+
 def concavity_sql(src: str, keys: str, points: int = CONCAVITY_POINTS) -> str:
     lo, hi = num(CONCAVITY_LOW), num(CONCAVITY_HIGH)
     step = f"((p + {hi}) - (p + {lo})) / {num(points - 1)}"
@@ -171,7 +201,7 @@ def concavity_sql(src: str, keys: str, points: int = CONCAVITY_POINTS) -> str:
            + ((lead(m) OVER w - m) - (m - lag(m) OVER w)) / ((m - lag(m) OVER w) * (lead(m) OVER w - m)) * w
            + (m - lag(m) OVER w) / ((lead(m) OVER w - m) * ((m - lag(m) OVER w) + (lead(m) OVER w - m))) * lead(w) OVER w
         END AS d1
-      FROM (SELECT *, {welfare_sql('m')} AS w FROM (
+      FROM (SELECT *, {T.welfare('m')} AS w FROM (
               SELECT *, i * ({step}) + (p + {lo}) AS m
               FROM (SELECT *, 0.0e0 AS eta FROM {src}), generate_series(0, {points - 1}) AS g(i)))
       WINDOW w AS (PARTITION BY {keys} ORDER BY i))
@@ -186,7 +216,7 @@ def v4_concavity(spark, sf_dir):
     return rounded(V.concavity(df, ["commodity", "scenario"]))
 
 
-_C2 = components_sql("m_star", cs_kink_only_positive=True)
+_C2 = T.parts("m_star", v2=True)
 
 
 @query("v6_scenarios", B.sql_with("cp_opt") + f"""
@@ -202,8 +232,7 @@ def v6_scenarios(spark, sf_dir):
 
 
 _ETAS = ", ".join(f"({num(e)})" for e in ETAS)
-B.register_cte("cp_eta", stages_sql(f"(SELECT * FROM cp_eq, (VALUES {_ETAS}) AS et(eta))",
-                                    optimum_stages()), ("cp_eq",))
+B.register_cte("cp_eta", T.optimum(f"(SELECT * FROM cp_eq, (VALUES {_ETAS}) AS et(eta))"), ("cp_eq",))
 
 
 @query("v7_procurement_sensitivity", B.sql_with("cp_eta") + f"""
@@ -216,11 +245,10 @@ def v7_procurement_sensitivity(spark, sf_dir):
 
 
 _ST = ", ".join(f"('{n}', {num(s)}, {num(d)})" for n, s, d in STRESS)
-B.register_cte("cp_stress", stages_sql(
+B.register_cte("cp_stress", T.optimum(
     f"""(SELECT * EXCLUDE (scenario, eps_s, eps_d), st.scenario, eps_s * supply_mult AS eps_s,
            eps_d * demand_mult AS eps_d, 0.0e0 AS eta
-         FROM cp_eq, (VALUES {_ST}) AS st(scenario, supply_mult, demand_mult))""",
-    optimum_stages()), ("cp_eq",))
+         FROM cp_eq, (VALUES {_ST}) AS st(scenario, supply_mult, demand_mult))"""), ("cp_eq",))
 
 
 @query("v8_elasticity_stress", B.sql_with("cp_stress") + f"""
@@ -245,7 +273,7 @@ def g18_robustness(spark, sf_dir):
 
 def curve_sql(points: int = 200, low: float = -300.0, high: float = 800.0) -> str:
     step = f"((p + {num(high)}) - (p + {num(low)})) / {num(points - 1)}"
-    return f"""SELECT commodity, i, m, {welfare_sql('m')} AS w FROM (
+    return f"""SELECT commodity, i, m, {T.welfare('m')} AS w FROM (
       SELECT *, i * ({step}) + (p + {num(low)}) AS m
       FROM (SELECT *, 0.0e0 AS eta FROM cp_eq), generate_series(0, {points - 1}) AS g(i))"""
 
@@ -312,15 +340,12 @@ B.register_cte("cpr", f"""
 
 
 def _regret_sql() -> str:
-    st1 = optimum_stages(p="p_true")
     src = (f"(SELECT m.*, c.* EXCLUDE (commodity, p), 0.0e0 AS eta FROM cmeans m "
            f"JOIN cp_eq c ON m.commodity = c.commodity)")
-    s1 = stages_sql(src, st1)
-    s1 = f"SELECT * EXCLUDE (m_star, w_star), m_star AS m_true, w_star AS w_true FROM ({s1})"
-    s2 = stages_sql(f"({s1})", optimum_stages(p="p_pred"))
-    s2 = f"SELECT * EXCLUDE (m_star, w_star), m_star AS m_pred FROM ({s2})"
-    return f"""SELECT commodity, model, m_true, m_pred, w_true,
-        {welfare_sql('m_pred', p='p_true')} AS w_at_pred FROM ({s2})"""
+    true = T.optimum(src, "p_true", "m_true", "w_true")
+    pred = T.optimum(f"({true})", "p_pred", "m_pred", "w_unused")
+    return f"""SELECT commodity, model, m_true, m_pred, w_true, {T.welfare('m_pred', 'p_true')} AS w_at_pred
+      FROM ({pred})"""
 
 
 @query("v5_welfare_regret", B.sql_with("cmeans", "cp_eq") + f"""

@@ -37,14 +37,16 @@ def s4_weather_json(spark, sf_dir):
     return rounded(df.select("state", "date", "max_temp", "min_temp", "rainfall_daily", "humidity"))
 
 
-@query("s3_source_fallback", B.sql_with("covariates") + f"SELECT {_COV} FROM covariates")
+@query("s3_source_fallback", B.sql_with("covariates") + f"""SELECT {_COV} FROM (
+  SELECT state, date, max_temp + CASE WHEN year(date) <= 1998 THEN 1.5e0 ELSE 0.0e0 END AS max_temp, min_temp,
+    rainfall_daily, humidity FROM covariates)""")
 def s3_source_fallback(spark, sf_dir):
-    """Missing first source is skipped; of two present sources the first wins per key."""
+    """Missing first source is skipped; of two present sources, which differ, the first wins per key."""
     cov = B.covariates(spark, sf_dir)
     jroot, croot = scratch_path(spark, "wx-json"), scratch_path(spark, "wx-csv")
     weather.write_weather_json(cov, jroot)
     cov.where(F.year("date") <= 1998).select(
-        "date", "state", "max_temp", "min_temp", "rainfall_daily", "humidity"
+        "date", "state", (F.col("max_temp") + 1.5).alias("max_temp"), "min_temp", "rainfall_daily", "humidity"
     ).write.mode("overwrite").option("header", True).csv(croot)
     primary = weather.first_existing(spark, [(croot + "-missing", weather.read_weather_csv),
                                              (croot, weather.read_weather_csv)])
@@ -61,7 +63,7 @@ def s6_policy_csv(spark, sf_dir):
     path = scratch_path(spark, "policy-csv")
     pol = B.policy(spark, sf_dir).withColumn(
         "source_notes", F.concat(F.lit("mean unit price; "), F.col("crop")))
-    pol.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    pol.write.mode("overwrite").option("header", True).csv(path)
     return rounded(tables.read_policy_csv(spark, path))
 
 

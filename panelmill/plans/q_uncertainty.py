@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from panelmill import bindings as B
-from panelmill.functions.welfare import optimum_stages, stages_sql
 from panelmill.operators import uncertainty as U
 from panelmill.operators.aggregates import density_histogram
 from panelmill.params import MC_DRAWS, MC_SEED
 from panelmill.plans.common import r, rounded
-from panelmill.plans.q_policy import crop_params
+from panelmill.plans import welfare_twin as T
+from panelmill.plans.q_policy import INTERIOR, crop_params
 import panelmill.plans.q_policy  # noqa: F401  (registers the parameter CTEs)
 from panelmill.plans.registry import query
+from panelmill.session import materialize
+
+
 
-_MC1_SRC = f"""(SELECT * EXCLUDE (eps_s, eps_d),
-    {U.truncated_draw_sql('eps_s', 'eps_s_se', '+', MC_SEED, 's', 'duckdb')} AS eps_s,
-    {U.truncated_draw_sql('eps_d', 'eps_d_se', '-', MC_SEED, 'd', 'duckdb')} AS eps_d,
-    0.0e0 AS eta
-  FROM cp_eq, generate_series(0, {MC_DRAWS - 1}) AS g(draw))"""
-_MC2_SRC = f"""(SELECT * EXCLUDE (p), {U.forecast_draw_sql(MC_SEED + 500, 'duckdb')} AS p,
-    0.0e0 AS eta
-  FROM cp_eq, generate_series(0, {MC_DRAWS - 1}) AS g(draw))"""
-
-B.register_cte("mc_draws", f"""
-  SELECT commodity, 'Elasticity (MC-1)' AS source, CAST(draw AS INTEGER) AS draw, m_star
-  FROM ({stages_sql(_MC1_SRC, optimum_stages())})
-  UNION ALL
-  SELECT commodity, 'Forecast (MC-2)' AS source, CAST(draw AS INTEGER) AS draw, m_star
-  FROM ({stages_sql(_MC2_SRC, optimum_stages())})""", ("cp_eq",))
-B.register_cte("mc_summary", """
-  SELECT commodity, source, q[2] AS median_msp, q[1] AS ci_lower, q[3] AS ci_upper,
-    q[3] - q[1] AS ci_width, sd
-  FROM (SELECT commodity, source, quantile_cont(m_star, [0.05, 0.5, 0.95]) AS q,
-          stddev_pop(m_star) AS sd FROM mc_draws GROUP BY 1, 2)""", ("mc_draws",))
+def _draw_ctes(name: str, params: str) -> None:
+    """Draws and their summary as CTEs ``name`` and ``name``_summary over the parameter CTE ``params``."""
+    mc1 = f"""(SELECT * EXCLUDE (eps_s, eps_d),
+        {U.truncated_draw_sql('eps_s', 'eps_s_se', '+', MC_SEED, 's', 'duckdb')} AS eps_s,
+        {U.truncated_draw_sql('eps_d', 'eps_d_se', '-', MC_SEED, 'd', 'duckdb')} AS eps_d, 0.0e0 AS eta
+      FROM {params}, generate_series(0, {MC_DRAWS - 1}) AS g(draw))"""
+    mc2 = f"""(SELECT * EXCLUDE (p), {U.forecast_draw_sql(MC_SEED + 500, 'duckdb')} AS p, 0.0e0 AS eta
+      FROM {params}, generate_series(0, {MC_DRAWS - 1}) AS g(draw))"""
+    B.register_cte(name, f"""
+      SELECT commodity, 'Elasticity (MC-1)' AS source, CAST(draw AS INTEGER) AS draw, eps_s, eps_d, p, m_star
+      FROM ({T.optimum(mc1)}) UNION ALL
+      SELECT commodity, 'Forecast (MC-2)' AS source, CAST(draw AS INTEGER) AS draw, eps_s, eps_d, p, m_star
+      FROM ({T.optimum(mc2)})""", (params,))
+    B.register_cte(f"{name}_summary", f"""
+      SELECT commodity, source, q[2] AS median_msp, q[1] AS ci_lower, q[3] AS ci_upper,
+        q[3] - q[1] AS ci_width, sd
+      FROM (SELECT commodity, source, quantile_cont(m_star, [0.05, 0.5, 0.95]) AS q,
+              stddev_pop(m_star) AS sd FROM {name} GROUP BY 1, 2)""", (name,))
 
 
+_draw_ctes("mc_draws", "cp_eq")
+B.register_cte("cp_int_low", "SELECT * FROM cp_int WHERE scenario = 'interior_low'", ("cp_int",))
+_draw_ctes("mci_draws", "cp_int_low")
+B.register_cte("mc_summary", "SELECT * FROM mc_draws_summary", ("mc_draws_summary",))
 @query("v9_v10_draws", B.sql_with("mc_draws") + f"""
-  SELECT commodity, source, draw, {r('m_star', 'm_star')} FROM mc_draws""")
+  SELECT commodity, source, draw, {r('eps_s', 'eps_s')}, {r('eps_d', 'eps_d')}, {r('p', 'p')},
+    {r('m_star', 'm_star')} FROM mc_draws""")
 def v9_v10_draws(spark, sf_dir):
     return rounded(U.all_draws(crop_params(spark, sf_dir)))
 
@@ -56,6 +64,18 @@ def g14_ci_ratio(spark, sf_dir):
     return rounded(U.ci_ratio(U.dual_summary(U.all_draws(crop_params(spark, sf_dir)))))
 
 
+@query("g14_interior_ratio", B.sql_with("mci_draws_summary") + f"""
+  SELECT commodity, {r("max(CASE WHEN source LIKE 'Elasticity%' THEN ci_width END)", 'elasticity_width')},
+    {r("max(CASE WHEN source LIKE 'Forecast%' THEN ci_width END) / greatest(max(CASE WHEN source LIKE 'Elasticity%' THEN ci_width END), 1.0e0)", 'ci_ratio')}
+  FROM mci_draws_summary GROUP BY commodity""")
+def g14_interior_ratio(spark, sf_dir):
+    """V9-V11 and G14 with weights for which both sources move the optimum."""
+    summary = materialize(U.dual_summary(U.all_draws(crop_params(spark, sf_dir), weights=INTERIOR[0])))
+    width = summary.where(F.col("source").startswith("Elasticity")).select(
+        "commodity", F.col("ci_width").alias("elasticity_width"))
+    return rounded(width.join(U.ci_ratio(summary), "commodity"))
+
+
 @query("g15_combined_band", B.sql_with("mc_summary", "cparams") + f"""
   SELECT b.commodity, {r('band_lower', 'band_lower')}, {r('band_upper', 'band_upper')},
     {r('c.current_msp', 'current_msp')},

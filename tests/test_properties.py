@@ -225,3 +225,35 @@ def test_aic_candidates_share_one_sample():
     y = np.cumsum(np.random.default_rng(5).normal(0, 50, 300)) + 1000
     w, e = innovations(y)
     assert len({len(sarima_fit(w, e, p, q)[1]) for p, q in ORDERS}) == 1
+
+
+def test_no_truncated_draw_is_lost(spark):
+    from panelmill.operators.uncertainty import truncated_draw_sql
+    d = spark.range(1000).selectExpr("'c' AS commodity", "cast(id as int) AS draw", "-1.0D AS m", "1.0D AS s", "-9.0D AS far")
+    out = d.select(F.expr(truncated_draw_sql("m", "s", "+", 7, "a")).alias("x"),
+                   F.expr(truncated_draw_sql("far", "s", "+", 7, "b")).alias("y"),
+                   F.expr(truncated_draw_sql("m", "s", "-", 7, "c")).alias("z")).collect()
+    assert all(r.x > 0 and r.y > 0 and r.z < 0 for r in out)
+    # mean of a normal(-1, 1) above 0: -1 + phi(1) / (1 - Phi(1)) = 0.525
+    assert np.mean([r.x for r in out]) == pytest.approx(0.525, abs=0.05)
+    assert np.mean([r.z for r in out]) == pytest.approx(-1.288, abs=0.08)
+
+
+def test_regressor_units_do_not_matter(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(5):
+        for t in range(60):
+            a, b = rng.normal(), rng.normal()
+            rows.append(("c", f"m{g}", float(3 * a - 2 * b + g + rng.normal()), float(a), float(b), float(b) * 1e5,
+                         4.0, float(a + b)))
+    df = spark.createDataFrame(rows, "commodity string, market string, y double, a double, b double, big double, "
+                                     "flat double, both double")
+    one = {r.variable: r for r in R.fit_fixed_effects(df, ["a", "b", "flat"], y="y").collect()}
+    two = {r.variable: r for r in R.fit_fixed_effects(df, ["a", "big", "flat"], y="y").collect()}
+    assert one["flat"].coefficient is None and one["a"].coefficient == pytest.approx(two["a"].coefficient, rel=1e-9)
+    assert one["b"].coefficient == pytest.approx(two["big"].coefficient * 1e5, rel=1e-9)
+    assert one["b"].std_error == pytest.approx(two["big"].std_error * 1e5, rel=1e-9)
+    dup = {r.variable: r for r in R.fit_fixed_effects(df, ["a", "b", "both"], y="y").collect()}
+    assert sum(r.coefficient is None for r in dup.values()) == 1
+    assert dup["a"].adj_r2_within == pytest.approx(one["a"].adj_r2_within, rel=1e-9)
