@@ -23,8 +23,8 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
              schema) -> DataFrame:
     """``mapInArrow`` with batches small enough for very long texts."""
     ensure_checkpoint_dir(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df.mapInArrow(fn, schema)
 
 

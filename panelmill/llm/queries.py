@@ -60,4 +60,50 @@ QUERIES = {f.__name__: f for f in (
     op1_packing, op2_top_k, op3_decontamination, op4_language_id, op5_toxicity, op6_line_dedup, op7_near_dedup,
     op8_repeats, op9_token_counts, op10_sharding, pipeline)}
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_DEDUP_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+#: The other operators' results come from models, tokenizers, sketches, bin packing or byte strings that SQL cannot
+#: express or is too slow for; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_top_k": """
+      WITH v AS (
+        SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS e
+        FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+      SELECT query_id, rank, vec_id, score FROM (
+        SELECT query_id, vec_id, score,
+          CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+        FROM (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id))
+      WHERE rank <= 20""",
+    "op3_decontamination": f"""
+      WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_BENCH_WORDS} AS w FROM benchmark),
+      win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n,
+                array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s
+              FROM item, LATERAL generate_series(1, greatest(len(w) - 12, 1)) t(i) WHERE len(w) > 0),
+      doc AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+      place AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+                FROM doc, (SELECT DISTINCT n FROM win), LATERAL generate_series(1, len(w) - n + 1) t(i)),
+      hit AS (SELECT place.doc_id, place.i, place.n, win.item_id FROM place JOIN win ON place.n = win.n AND place.s = win.s),
+      words AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, LATERAL generate_series(0, n - 1) t(k) GROUP BY 1),
+      items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS h
+                FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
+      SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+      FROM doc LEFT JOIN words ON doc.doc_id = words.doc_id LEFT JOIN items ON doc.doc_id = items.doc_id""",
+    "op7_near_dedup": f"""
+      WITH RECURSIVE doc AS (SELECT doc_id, {_DEDUP_WORDS} AS w FROM documents),
+      sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+             FROM doc, LATERAL generate_series(1, greatest(len(w) - 2, 1)) t(i) WHERE len(w) > 0),
+      n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+      both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+                GROUP BY 1, 2),
+      link AS (SELECT x, y FROM both_ JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+               WHERE 100 * c >= 85 * (a.n + b.n - c)),
+      reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, link.y FROM reach JOIN link ON reach.b = link.x),
+      least_ AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+      SELECT doc.doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, doc.doc_id = c AS kept
+      FROM doc JOIN least_ ON doc.doc_id = a LEFT JOIN n ON doc.doc_id = n.doc_id""",
+}
