@@ -1,11 +1,11 @@
 """Tree-ensemble forecasts with MLlib.
 
-Regime A uses every feature, regime B drops the policy columns (P2). The
-prepared design (mean-imputed on train, G11) is checkpointed to the shared
-``spark.checkpoint.dir`` before fitting: the iterative learners re-read it
-many times and a lost executor then recomputes from the checkpoint instead
-of re-running the whole feature lineage. Predictions come back long:
-(keys, date, regime, model, y, y_hat).
+Regime A uses every feature, regime B drops the policy columns (P2). One pooled model per regime and learner is
+fitted over all commodities, with the commodity as an indexed categorical feature, so the trees can split by
+it; metrics and ranks are per commodity. The split and imputed design (G11) is written once to the
+shared ``spark.checkpoint.dir`` and feeds both regimes and all learners: the iterative learners re-read it many
+times and a lost executor re-reads files instead of re-running the feature lineage. Predictions
+come back long: (keys, date, regime, model, y, y_hat).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,16 +42,34 @@ def boosted(max_iter: int = GB_PARAMS["max_iter"], max_depth: int = GB_PARAMS["m
                         subsamplingRate=GB_PARAMS["subsample"], seed=seed)
 
 
-def prepare(panel: DataFrame, features: Sequence[str], train_end: str,
-            test_start: str | None, checkpoint: bool = True) -> DataFrame:
-    """P3 split + G11 train-mean imputation + vector assembly."""
+GROUP = "commodity"
+INDEX = "commodity_index"
+
+
+def design(panel: DataFrame, features: Sequence[str], train_end: str, test_start: str | None,
+           checkpoint: bool = True) -> DataFrame:
+    """P3 split, G11 train-mean imputation and the indexed commodity."""
     df = temporal_split(panel, train_end, test_start)
     if checkpoint:
-        df = materialize(df)  # read by the train means and by the rows
-    means = column_means(df.where(F.col("split") == "train"), features)
-    df = impute_with_means(df, means, features)
-    df = VectorAssembler(inputCols=list(features), outputCol="features",
-                         handleInvalid="keep").transform(df)
+        df = materialize(df)  # read by the train means, by the index and by the rows
+    train = df.where(F.col("split") == "train")
+    df = impute_with_means(df, column_means(train, features), features)
+    if GROUP in df.columns:
+        df = StringIndexer(inputCol=GROUP, outputCol=INDEX, handleInvalid="keep",
+                           stringOrderType="alphabetAsc").fit(train).transform(df)
+    return df
+
+
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The feature vector; the commodity index keeps its categorical metadata."""
+    cols = [*features, INDEX] if INDEX in df.columns else list(features)
+    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(df)
+
+
+def prepare(panel: DataFrame, features: Sequence[str], train_end: str,
+            test_start: str | None, checkpoint: bool = True) -> DataFrame:
+    """``design`` with its vector, cut off from its lineage."""
+    df = assembled(design(panel, features, train_end, test_start, checkpoint), features)
     return df.checkpoint(eager=True) if checkpoint else df
 
 
@@ -75,29 +93,30 @@ def unstandardize(df: DataFrame, col: str, z: str, out: str, fit_rows: DataFrame
     return df.withColumn(out, F.col(z) * F.when(sd == 0, F.lit(1.0)).otherwise(sd) + mu)
 
 
-def fit_regime(panel: DataFrame, regime: str, train_end: str, test_start: str | None,
-               learners: dict, keys: Sequence[str] = ("commodity", "market"),
-               target: str = "price_target", checkpoint: bool = True):
-    """M9: fit every learner on one regime; returns (predictions, importances)."""
-    feats = feature_columns(panel, policy_neutral=(regime == "B"), target=target)
-    data = prepare(panel, feats, train_end, test_start, checkpoint)
-    train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
+def fit_regimes(panel: DataFrame, train_end: str, test_start: str | None, learners: dict,
+                regimes: Sequence[str] = ("A", "B"), keys: Sequence[str] = ("commodity", "market"),
+                target: str = "price_target"):
+    """M9: fit every learner on every regime over one shared design; returns (predictions, importances)."""
+    every = feature_columns(panel, target=target)
+    data = design(panel, every, train_end, test_start)
     preds, imps = [], []
-    for name, learner in learners.items():
-        model = learner.fit(train)
-        p = model.transform(test).select(*keys, "date", F.lit(regime).alias("regime"),
-                                         F.lit(name).alias("model"), F.col(target).alias("y"),
-                                         F.col("prediction").alias("y_hat"))
-        preds.append(p)
-        weights = model.featureImportances.toArray().tolist()
-        imps.append([(regime, name, f, float(w)) for f, w in zip(feats, weights)])
+    for regime in regimes:
+        feats = feature_columns(panel, policy_neutral=(regime == "B"), target=target)
+        vectors = (assembled(data, feats).where(F.col("split").isin("train", "test"))
+                   .select(*keys, "date", "split", target, "features").checkpoint(eager=True))
+        train, test = (vectors.where(F.col("split") == s) for s in ("train", "test"))
+        for name, learner in learners.items():
+            model = learner.fit(train)
+            preds.append(model.transform(test).select(
+                *keys, "date", F.lit(regime).alias("regime"), F.lit(name).alias("model"),
+                F.col(target).alias("y"), F.col("prediction").alias("y_hat")))
+            names = [*feats, INDEX] if INDEX in data.columns else feats
+            imps += [(regime, name, f, float(w)) for f, w in zip(names, model.featureImportances.toArray())]
     out = preds[0]
     for p in preds[1:]:
         out = out.unionByName(p)
-    spark = panel.sparkSession
-    imp = spark.createDataFrame([r for rows in imps for r in rows],
-                                "regime string, model string, feature string, importance double")
-    return out, imp
+    return out, panel.sparkSession.createDataFrame(
+        imps, "regime string, model string, feature string, importance double")
 
 
 def top_features(importances: DataFrame, n: int = 3) -> DataFrame:
@@ -107,27 +126,35 @@ def top_features(importances: DataFrame, n: int = 3) -> DataFrame:
 
 
 def rolling_cv(panel: DataFrame, folds: Sequence[tuple], learners: dict,
-               keys: Sequence[str] = ("commodity", "market"), target: str = "price_target"
-               ) -> DataFrame:
-    """M8: expanding-window folds; every learner refit per fold; fold MAPE rows."""
+               keys: Sequence[str] = ("commodity", "market"), target: str = "price_target",
+               naive: str | None = "price_lag7") -> DataFrame:
+    """M8: expanding-window folds; every learner refit per fold; fold MAPE rows per commodity.
+
+    The seasonal naive (column ``naive``) is scored on the same test rows.
+    """
     rows = []
     for fold, train_end, test_start, test_end in folds:
         window = panel.where(F.col("date") <= F.lit(test_end).cast("date"))
-        preds, _ = fit_regime(window, "A", train_end, test_start, learners, keys, target,
-                              checkpoint=False)
+        preds, _ = fit_regimes(window, train_end, test_start, learners, ("A",), keys, target)
+        preds = preds.drop("regime")
+        if naive:
+            test = window.where(F.col("date") >= F.lit(test_start).cast("date"))
+            preds = preds.unionByName(test.select(*keys, "date", F.lit("naive").alias("model"),
+                                                  F.col(target).alias("y"), F.col(naive).alias("y_hat")))
         rows.append(preds.withColumn("fold", F.lit(fold)))
     allp = rows[0]
     for r in rows[1:]:
         allp = allp.unionByName(r)
     e = F.abs((F.col("y") - F.col("y_hat")) / F.col("y"))
-    return allp.groupBy("fold", "model").agg(
-        (F.avg(F.when(F.col("y") != 0, e)) * 100).alias("mape"))
+    by = ["fold", GROUP, "model"] if GROUP in allp.columns else ["fold", "model"]
+    return allp.groupBy(*by).agg((F.avg(F.when(F.col("y") != 0, e)) * 100).alias("mape"))
 
 
 def save_pipeline(train: DataFrame, features: Sequence[str], learner, path: str) -> PipelineModel:
-    """Assemble + learner as one PipelineModel, written with overwrite."""
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features",
-                                            handleInvalid="keep"), learner])
+    """Commodity index, assembly and learner as one PipelineModel, written with overwrite."""
+    pipe = Pipeline(stages=[
+        StringIndexer(inputCol=GROUP, outputCol=INDEX, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        VectorAssembler(inputCols=[*features, INDEX], outputCol="features", handleInvalid="keep"), learner])
     model = pipe.fit(train)
     model.write().overwrite().save(path)
     return model

@@ -57,11 +57,14 @@ def training_windows(df: DataFrame, keys: Sequence[str], value: str, train_end:
 
 # ---------------------------------------------------------------- ETS -----
 
-def ets_fit_forecast(y: np.ndarray, steps: int, period: int = PERIOD):
+ETS_FIXED = (0.3, 0.1, 0.1, 0.9)  # one parameter set, for a forecast that SQL can follow
+
+
+def ets_fit_forecast(y: np.ndarray, steps: int, period: int = PERIOD, grid=ETS_GRID):
     """Return (forecast, params) of the best damped additive Holt-Winters on the grid."""
     n = len(y)
     seasonal = n >= 2 * period
-    grid = np.array(ETS_GRID, dtype=float)
+    grid = np.array(grid, dtype=float)
     a, b, g, phi = grid[:, 0], grid[:, 1], grid[:, 2], grid[:, 3]
     if not seasonal:
         g = np.zeros_like(g)
@@ -181,11 +184,11 @@ ORDERS = list(itertools.product(range(4), range(4)))
 
 def fit_kind(y: np.ndarray, steps: int, kind: str):
     """(model name, forecast or None, parameters, status)."""
-    if kind == "ets":
+    if kind in ("ets", "ets_fixed"):
         if len(y) < 3:
-            return "ets", None, "", "too short"
-        fc, params = ets_fit_forecast(y, steps)
-        return ("ets", fc, params, "ok") if np.all(np.isfinite(fc)) else ("ets", None, params, "not finite")
+            return kind, None, "", "too short"
+        fc, params = ets_fit_forecast(y, steps, grid=ETS_GRID if kind == "ets" else [ETS_FIXED])
+        return (kind, fc, params, "ok") if np.all(np.isfinite(fc)) else (kind, None, params, "not finite")
     if kind == "sarima":
         return "sarima_fix", *sarima_fit_forecast(y, steps, [(SARIMA_ORDER[0], SARIMA_ORDER[2])])
     return "sarima_aic", *sarima_fit_forecast(y, steps, ORDERS)
@@ -216,7 +219,7 @@ def _job(keys: Sequence[str], kinds: Sequence[str]):
 
 
 def forecast_series(train: DataFrame, keys: Sequence[str], kinds: str | Sequence[str]) -> DataFrame:
-    """Run ``ets`` | ``sarima`` | ``sarima_aic`` (one or several) over every series."""
+    """Run ``ets`` | ``ets_fixed`` | ``sarima`` | ``sarima_aic`` (one or several) over every series."""
     ship_code(train.sparkSession)
     kinds = [kinds] if isinstance(kinds, str) else list(kinds)
     kschema = ", ".join(f"{k} {train.schema[k].dataType.simpleString()}" for k in keys)

@@ -47,13 +47,22 @@ def commodity_forecasts(spark, sf_dir, cube=None):
                                       F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def crop_params(spark, sf_dir, checkpoint: bool = True, cube=None):
-    """One row per commodity. Small but expensive (it scans the fact table), and
+def with_defaults(prices):
+    """(commodity, forecast_price, rmse) with the archetype's fallback values where there is no forecast."""
+    wheat = archetype(F.col("commodity")) == "wheat"
+    pick = lambda table: F.when(wheat, F.lit(table["wheat"])).otherwise(F.lit(table["rice"]))
+    return prices.select("commodity", F.coalesce("forecast_price", pick(FALLBACK_PRICE)).alias("forecast_price"),
+                         F.coalesce("rmse", pick(FALLBACK_RMSE)).alias("rmse"),
+                         F.col("forecast_price").isNull().alias("used_default"))
+
+
+def crop_params(spark, sf_dir, checkpoint: bool = True, cube=None, fc=None):
+    """One row per commodity; ``fc`` has forecast prices and RMSEs, by default the naive ones. Small but expensive (it scans the fact table), and
     reused by several branches of a plan, so it is materialised as a table in
     the shared ``spark.checkpoint.dir``."""
     if cube is None:
         cube = materialize(B.commodity_cube(spark, sf_dir))  # one fact pass for both inputs
-    fc = commodity_forecasts(spark, sf_dir, cube)
+    fc = fc if fc is not None else commodity_forecasts(spark, sf_dir, cube)
     cur = (B.policy(spark, sf_dir, cube).groupBy(F.col("crop").alias("commodity"))
            .agg(F.max_by("msp_rs_per_quintal", "year").alias("current_msp")))
     df = fc.join(cur, "commodity").withColumn("archetype", archetype(F.col("commodity")))
@@ -117,14 +126,7 @@ def s9_default_prices(spark, sf_dir):
     values where no forecast exists (here the lower-case names, which nothing is sold under)."""
     types = B.table(spark, sf_dir, "part", "p_type").select(
         F.explode(F.array("p_type", F.lower("p_type"))).alias("commodity")).distinct()
-    fc = commodity_forecasts(spark, sf_dir)
-    wheat = archetype(F.col("commodity")) == "wheat"
-    fb_p = F.when(wheat, F.lit(FALLBACK_PRICE["wheat"])).otherwise(F.lit(FALLBACK_PRICE["rice"]))
-    fb_r = F.when(wheat, F.lit(FALLBACK_RMSE["wheat"])).otherwise(F.lit(FALLBACK_RMSE["rice"]))
-    df = types.join(fc, "commodity", "left")
-    return rounded(df.select("commodity", F.coalesce("forecast_price", fb_p).alias("forecast_price"),
-                             F.coalesce("rmse", fb_r).alias("rmse"),
-                             F.col("forecast_price").isNull().alias("used_default")))
+    return rounded(with_defaults(types.join(commodity_forecasts(spark, sf_dir), "commodity", "left")))
 
 
 @query("v1_welfare_at_current", B.sql_with("cp_all") + f"""

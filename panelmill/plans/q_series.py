@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelmill import bindings as B
 from panelmill.operators import metrics as M
 from panelmill.operators import series as S
 from panelmill.params import TEST_START, TRAIN_END
-from panelmill.plans.common import imputed_spine
+from panelmill.plans.common import imputed_spine, r, rounded
 from panelmill.plans.registry import query
 from panelmill.session import materialize
 
@@ -33,6 +34,37 @@ def m5_ets_forecast(spark, sf_dir):
     return series_forecasts(spark, sf_dir, "ets")
 
 
+_A, _B, _G, _P = (f"{x!r}e0" for x in S.ETS_FIXED)
+_AHEAD = (f"lev + tr * {_P} * (1.0e0 - power({_P}, h)) / (1.0e0 - {_P}) "
+          "+ s[(start.n + h - 1) % 7 + 1]")
+
+
+@query("m5_fixed_parameters", B.sql_with("imputed").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+  , y AS (SELECT market, date, price_modal AS y, row_number() OVER (PARTITION BY market ORDER BY date) - 1 AS t,
+            count(*) OVER (PARTITION BY market) AS n
+          FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date DESC) AS back
+                FROM imputed WHERE date <= DATE '{TRAIN_END}') WHERE back <= 730),
+  start AS (SELECT market, any_value(n) AS n, max(date) AS last, avg(y) FILTER (t < 7) AS l0,
+              avg(y) FILTER (t >= 7 AND t < 14) AS l1, list(y ORDER BY t) FILTER (t < 7) AS first FROM y GROUP BY 1),
+  state AS (
+    SELECT market, CAST(0 AS BIGINT) AS t, l0 AS lev, (l1 - l0) / 7.0e0 AS tr,
+      list_transform(first, lambda v: v - l0) AS s FROM start
+    UNION ALL
+    SELECT market, t + 1, nl, {_B} * (nl - lev) + (1.0e0 - {_B}) * {_P} * tr,
+      list_transform(s, lambda v, i: CASE WHEN i = t % 7 + 1 THEN {_G} * (y - nl) + (1.0e0 - {_G}) * si ELSE v END)
+    FROM (SELECT state.*, y.y, s[t % 7 + 1] AS si,
+            {_A} * (y.y - s[t % 7 + 1]) + (1.0e0 - {_A}) * (lev + {_P} * tr) AS nl
+          FROM state JOIN y USING (market, t)))
+  SELECT state.market, last + CAST(h AS INTEGER) AS date, {r(_AHEAD, 'y_hat')}
+  FROM state JOIN start ON state.market = start.market AND state.t = start.n, LATERAL generate_series(1, 28) g(h)""")
+def m5_fixed_parameters(spark, sf_dir):
+    """The smoothing recursion with one parameter set, 28 days ahead of every market's training window."""
+    panel = imputed_spine(spark, sf_dir)
+    train = S.training_windows(panel, KEYS, "price_modal", TRAIN_END, 730)
+    fc = S.forecast_series(train, KEYS, "ets_fixed")
+    return rounded(fc.where(F.datediff("date", F.lit(TRAIN_END).cast("date")) <= 28).select("market", "date", "y_hat"))
+
+
 @query("m6_sarima_forecast")
 def m6_sarima_forecast(spark, sf_dir):
     return series_forecasts(spark, sf_dir, "sarima")

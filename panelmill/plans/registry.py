@@ -35,4 +35,4 @@ def load_all() -> None:
         importlib.import_module(f"panelmill.plans.{mod}")
 
 
-PLAN_MODULES = ["q_features", "q_joins", "q_metrics", "q_policy", "q_uncertainty", "q_regression", "q_sources", "q_aggregates", "q_models", "q_series"]
+PLAN_MODULES = ["q_features", "q_joins", "q_metrics", "q_policy", "q_uncertainty", "q_regression", "q_sources", "q_aggregates", "q_models", "q_series", "q_chain"]

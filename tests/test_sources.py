@@ -55,18 +55,53 @@ def test_output_tables_written(spark):
     assert spark.read.parquet(paths["sensitivity_elasticity"]).count() == 30
 
 
-def test_feature_importances_sum_to_one(spark):
-    import __spark_entry__ as E
-    imp = E.queries()["m3_o3_top_features"]
-    from panelmill.plans.q_models import regime_predictions
-    _, all_imp = regime_predictions(spark, SF_SMALL, regimes=("B",))
-    sums = {(r.regime, r.model): r.s for r in
-            all_imp.groupBy("regime", "model").agg({"importance": "sum"})
+@pytest.fixture
+def small_trees(monkeypatch):
+    """Small ensembles: the tests look at shapes and keys, not at accuracy."""
+    from panelmill.operators import models as ML
+    from panelmill.plans import q_models as Q
+    monkeypatch.setattr(Q, "learners", lambda: {"rf": ML.forest(3, 3), "gb": ML.boosted(3, 2)})
+    monkeypatch.setattr(Q, "_FITTED", {})
+    return Q
+
+
+def test_long_predictions_of_all_models(spark, small_trees):
+    Q = small_trees
+    p = Q.long_predictions(spark, SF_SMALL)
+    n = {(r.regime, r.model): r["count"] for r in p.groupBy("regime", "model").count().collect()}
+    assert set(n) == {(g, m) for g in "AB" for m in ("naive", "sarima_fix", "sarima_aic", "ets", "rf", "gb")}
+    assert len(set(n.values())) == 1  # as many rows for every model
+    _, imp = Q.regime_predictions(spark, SF_SMALL)
+    sums = {(r.regime, r.model): r.s for r in imp.groupBy("regime", "model").agg({"importance": "sum"})
             .withColumnRenamed("sum(importance)", "s").collect()}
-    assert all(abs(v - 1.0) < 1e-6 for v in sums.values())
-    feats = {r.feature for r in all_imp.collect()}
-    assert "msp_current" not in feats and "price_lag7" in feats  # regime B is policy-neutral
-    assert imp is not None
+    assert len(sums) == 4 and all(abs(v - 1.0) < 1e-6 for v in sums.values())
+    feats = {(r.regime, r.feature) for r in imp.collect()}
+    assert ("A", "msp_current") in feats and ("B", "msp_current") not in feats  # regime B is policy-neutral
+    assert ("B", "commodity_index") in feats
+    board = Q.o2_leaderboard(spark, SF_SMALL).collect()
+    assert {r["rank"] for r in board} == set(range(1, 7)) and len({r.commodity for r in board}) * 12 == len(board)
+    dm = Q.g12_models_vs_naive(spark, SF_SMALL).collect()
+    assert len(dm) == len({r.commodity for r in board}) * 2 * 5 * 2
+    keys = Q.m1_m2_m9_keys(spark, SF_SMALL)
+    assert keys.where("not inside").count() == 0
+
+
+def test_policy_tables_from_forest_prices(spark, small_trees):
+    from panelmill.plans import q_chain as C
+    params = C.forest_params(spark, SF_SMALL).collect()
+    prices = {r.commodity: r for r in small_trees.g17_model_prices(spark, SF_SMALL).where("regime = 'B' AND model = 'rf'").collect()}
+    assert {r.commodity: r.p for r in params} == {k: v.forecast_price for k, v in prices.items()}
+    assert C.v6_scenarios_forest(spark, SF_SMALL).count() == 4 * len(params)
+    regret = C.v5_regret_models(spark, SF_SMALL).collect()
+    assert len(regret) == len(params) * 2 * 6 and all(r.regret >= 0 for r in regret)
+
+
+def test_rolling_cv_has_the_naive_and_every_commodity(spark, small_trees):
+    from panelmill.operators import models as ML
+    Q = small_trees
+    fm = ML.rolling_cv(Q.panel(spark, SF_SMALL), Q.FOLDS, {"rf": ML.forest(2, 2)}).collect()
+    assert {r.model for r in fm} == {"rf", "naive"} and {r.fold for r in fm} == {1, 2, 3}
+    assert len({r.commodity for r in fm}) * 6 == len(fm)
 
 
 def test_weather_payload_text_and_missing_sources(spark):
