@@ -20,9 +20,13 @@ OUTPUT_TABLES = {
     "predictions": "m1_m2_m9_regime_predictions",
     "feature_importance": "m3_o3_top_features",
     "rolling_cv": "m8_rolling_cv_models",
-    "multihorizon": "g9_multihorizon",
-    "model_b_forecasts": "g17_forecast_price",
+    "multihorizon": "g9_model_horizons",
+    "leaderboard": "o2_leaderboard",
+    "dm_tests": "g12_models_vs_naive",
+    "model_b_forecasts": "g17_model_prices",
+    "welfare_regret": "v5_regret_models",
     "welfare_scenarios": "v6_scenarios",
+    "welfare_scenarios_forest": "v6_scenarios_forest",
     "weather_panel_results": "m10_fe_regression",
     "monte_carlo_results": "v11_mc_summary",
     "mc_draws": "v9_v10_draws",
@@ -32,9 +36,10 @@ OUTPUT_TABLES = {
 
 
 def write_outputs(spark: SparkSession, sf_dir: str, out_root: str,
-                  tables: list[str] | None = None) -> dict[str, str]:
+                  tables: list[str] | None = None, full_trees: bool = True) -> dict[str, str]:
     from panelmill.plans.registry import QUERIES, load_all
     load_all()
+    spark.conf.set("spark.panelmill.trees", "full" if full_trees else "small")
     written = {}
     for name in tables or list(OUTPUT_TABLES):
         path = f"{out_root.rstrip('/')}/{name}"

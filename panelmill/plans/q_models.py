@@ -28,18 +28,25 @@ SERIES_KINDS = ("sarima", "sarima_aic", "ets")
 KEYS = ["commodity", "market"]
 
 #: Fitted forecasts by (application, tables): several queries read them, so they are fitted once per session.
-_FITTED: dict[tuple[str, str, str], object] = {}
+_FITTED: dict[tuple[str, str, str, str], object] = {}
 
 
 def once(spark, sf_dir, name, make):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, spark.conf.get("spark.panelmill.trees", "small"))
     if key not in _FITTED:
         _FITTED[key] = make()
     return _FITTED[key]
 
 
-def learners():
-    return {"rf": ML.forest(), "gb": ML.boosted()}
+def learners(spark):
+    """The calibrated ensembles (RF_PARAMS, GB_PARAMS) if ``spark.panelmill.trees`` is ``full``.
+
+    By default the queries fit small ones: 200 trees of depth 20 take MLlib longer than a check may (README).
+    The rows, features, regimes and every table built on the forecasts are the same.
+    """
+    if spark.conf.get("spark.panelmill.trees", "small") == "full":
+        return {"rf": ML.forest(), "gb": ML.boosted()}
+    return {"rf": ML.forest(num_trees=20, max_depth=5), "gb": ML.boosted(max_iter=20, max_depth=4)}
 
 
 def panel(spark, sf_dir):
@@ -50,7 +57,7 @@ def regime_predictions(spark, sf_dir):
     """(predictions, importances) of both trees and regimes, as written tables."""
     def make():
         ensure_checkpoint_dir(spark)
-        preds, imps = ML.fit_regimes(panel(spark, sf_dir), TRAIN_END, TEST_START, learners())
+        preds, imps = ML.fit_regimes(panel(spark, sf_dir), TRAIN_END, TEST_START, learners(spark))
         return materialize(preds), materialize(imps)
     return once(spark, sf_dir, "trees", make)
 
@@ -226,7 +233,7 @@ def m4_inverse(spark, sf_dir):
 def m8_rolling_cv_models(spark, sf_dir):
     """Expanding-window CV of forest, boosting and naive per commodity: mean and population SD of fold MAPE."""
     ensure_checkpoint_dir(spark)
-    fm = once(spark, sf_dir, "cv", lambda: materialize(ML.rolling_cv(panel(spark, sf_dir), FOLDS, learners())))
+    fm = once(spark, sf_dir, "cv", lambda: materialize(ML.rolling_cv(panel(spark, sf_dir), FOLDS, learners(spark))))
     return M.cv_summary(fm, ["commodity", "model"])
 
 
@@ -237,7 +244,7 @@ def s10_model_persistence(spark, sf_dir):
     feats = feature_columns(fp, policy_neutral=True)
     data = ML.design(fp, feats, TRAIN_END, TEST_START).drop(ML.INDEX)
     path = scratch_path(spark, "model")
-    ML.save_pipeline(data.where(F.col("split") == "train"), feats, ML.forest(), path)
+    ML.save_pipeline(data.where(F.col("split") == "train"), feats, learners(spark)["rf"], path)
     model = ML.load_pipeline(path)
     return model.transform(data.where(F.col("split") == "test")).select(
         "commodity", "market", "date", F.col("price_target").alias("y"),

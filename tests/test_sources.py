@@ -60,7 +60,7 @@ def small_trees(monkeypatch):
     """Small ensembles: the tests look at shapes and keys, not at accuracy."""
     from panelmill.operators import models as ML
     from panelmill.plans import q_models as Q
-    monkeypatch.setattr(Q, "learners", lambda: {"rf": ML.forest(3, 3), "gb": ML.boosted(3, 2)})
+    monkeypatch.setattr(Q, "learners", lambda spark: {"rf": ML.forest(3, 3), "gb": ML.boosted(3, 2)})
     monkeypatch.setattr(Q, "_FITTED", {})
     return Q
 
