@@ -20,11 +20,6 @@ from panelmill.operators.windows import add_rolling_anomaly, add_rolling_sum
 from panelmill.session import materialize
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once (a left join on them would fan out)."""
-    return df.groupBy(*keys).count().where(F.col("count") > 1)
-
-
 def weather_features(cov: DataFrame, keys=("state",), order="date",
                      fit_until: str | None = None, reuse: bool = True) -> DataFrame:
     """W10, W11, G4 on the covariate table, per state by date (decisions D3/D4).
@@ -160,19 +155,6 @@ def dense_grid(values: DataFrame, keys: DataFrame, a: str, b: str, lo: str, hi:
             .withColumn(value, F.coalesce(F.col(value), F.lit(0).cast(dtype))))
 
 
-def join_group_stat(df: DataFrame, keys: Sequence[str], stat: Column, out: str,
-                    reuse: bool = True) -> DataFrame:
-    """A grouped statistic joined back to the rows (groupby.transform).
-
-    The aggregate is partial on every mapper, so a key with a third of the rows costs no more
-    than another; the input feeds both sides, so with ``reuse`` it is written once. Where
-    the rows are already dealt by the series key, ``with_series_stat`` needs no second pass.
-    """
-    if reuse:
-        df = materialize(df)
-    return df.join(df.groupBy(*keys).agg(stat.alias(out)), list(keys))
-
-
 def with_series_stat(df: DataFrame, keys: Sequence[str], stat: Column, out: str) -> DataFrame:
     """J10 on series keys: a window over rows that the series windows deal by the same keys anyway."""
     return df.withColumn(out, stat.over(Window.partitionBy(*keys)))

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from panelmill.functions.numeric import flag
-
 KEY_COLUMNS = ("date", "market", "state", "commodity")
 POLICY_COLUMNS = ("msp_current", "price_to_msp_ratio", "msp_change_pct",
                   "msp_current_lag7", "price_to_msp_ratio_lag7", "msp_change_pct_lag7")
@@ -34,23 +30,6 @@ def temporal_split(df: DataFrame, train_end: str, test_start: str | None = None,
     return df.withColumn(out, F.when(d <= te, "train").when(test, "test").otherwise("val"))
 
 
-def drop_missing(df: DataFrame, subset: Sequence[str]) -> DataFrame:
-    """P4."""
-    return df.na.drop(subset=list(subset))
-
-
-def threshold_flag(c: Column, op: str, bound) -> Column:
-    """0/1 indicator; a missing comparison gives 0."""
-    b = bound if isinstance(bound, Column) else F.lit(bound)
-    cond = {">": c > b, ">=": c >= b, "<": c < b, "<=": c <= b}[op]
-    return flag(cond)
-
-
-def classify_band(value: Column, lower: Column, upper: Column) -> Column:
-    """Below / within / above a band."""
-    return (F.when(value < lower, "below").when(value > upper, "above").otherwise("within"))
-
-
 # Star thresholds of the reference's coefficient tables:
 # "***" p < 0.001, "**" p < 0.01, "*" p < 0.05, else "".
 STAR_LEVELS = [(0.001, "***"), (0.01, "**"), (0.05, "*")]
