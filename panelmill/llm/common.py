@@ -45,8 +45,8 @@ def text_key(text: Column) -> Column:
 class Scratch:
     """Tables written under ``spark.checkpoint.dir`` between the steps of one operator.
 
-    A written table cuts the lineage and outlives a lost executor. ``drop`` removes a
-    table that no later step reads.
+    A written table cuts the lineage and outlives a lost executor. ``session.scratch_scope``
+    or ``clear_scratch`` deletes the tables when the result has been used.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -55,13 +55,7 @@ class Scratch:
     def put(self, df: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, self.name)
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._pm_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._pm_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

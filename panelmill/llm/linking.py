@@ -1,29 +1,38 @@
 """From band keys to verified links to components, distributed and safe against hot buckets.
 
-Members of a bucket (equal band key) are candidates. Pairs are never listed bucket by bucket:
-
-1. every member is compared with one head of its bucket (the least node), verified links are
-   merged into components;
-2. buckets whose members still lie in several components get other heads, drawn anew for every
-   band by a hash, for ``rounds`` rounds; only members of another component than the head's are compared;
-3. what then still lies apart within a bucket is compared across components, so no
-   candidate pair of two components stays unverified. Within a component no pair is needed.
-
-A hot head is salted: its members are compared in chunks, each with a copy of the head's data.
-Components come from union-find steps over the links: every node hooks to its least
-smaller neighbour, pointers are halved until flat, links between roots remain for the next step.
+Members of a bucket (equal band key) are candidates; a family is what buckets connect. Pairs are never
+listed, and no task or table holds all pairs of a group:
+
+1. a family of at most ``BLOCK`` members (and ``BYTES`` of payload) is one group of one task: it takes the full
+   sets, gets all intersection sizes by products of 0/1 matrices, and gives a spanning forest of the links;
+2. in a larger family every member is compared with the head of its bucket (its least node). A hot head is
+   salted: its members are compared in chunks, each with a copy of the head's data. A bucket is settled when
+   its other members are all linked with one node; the members of the rest (bands with the same members make one
+   bucket) meet in blocks of at most ``BLOCK`` x ``BLOCK``, solved like a small family.
+
+So every candidate pair that is not already connected is decided on the full sets. Components come
+from union-find steps over the links: every node hooks to its least smaller neighbour,
+pointers are halved until flat, links between roots remain for the next step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import Scratch
+from panelmill.llm.common import Scratch, map_rows
 
 CHUNK = 256  # members of a head that are compared in one salted chunk
+BLOCK = 1024  # members of a family in one group, or of one side of a block
+BYTES = 32 << 20  # payload of them
+SMALL = 64  # so many pairs are intersected one by one
+COLUMNS = 8192  # columns of the 0/1 matrices that are multiplied at once
+
+Shingles = Callable[[bytes], set]  # payload -> full set
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -58,6 +67,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame | None:
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    members = members.drop("label")
     if labels is None:
         return members.withColumn("label", F.col("node"))
     return (members.join(labels.withColumnRenamed("root", "label"), "node", "left")
@@ -78,51 +88,164 @@ def salted(pairs: DataFrame, data: DataFrame) -> DataFrame:
     return left.join(heads, ["a", "chunk"]).select("a", "b", "pa", "pb")
 
 
+def confirm(pairs: DataFrame, data: DataFrame, shingles: Shingles, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+
+    def run(batches):
+        head, own = None, None
+        for batch in batches:
+            keep = []
+            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "pa", "pb"))):
+                if a != head:
+                    head, own = a, shingles(x)
+                other = shingles(y)
+                both = len(own & other)
+                keep.append(100 * both >= percent * (len(own) + len(other) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_rows(salted(pairs, data), run, "a long, b long")
+
+
+def intersections(left: list[set], right: list[set]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets."""
+    sets = left if left is right else left + right
+    number: dict = {}
+    place = np.array([number.setdefault(x, len(number)) for s in sets for x in s], np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    many = np.bincount(place, minlength=len(number)) > 1  # elements that more than one set has
+    column = (np.cumsum(many) - 1)[place]
+    own = many[place]
+    owner, column = owner[own], column[own]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(many.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        table = np.zeros((len(sets), COLUMNS), np.float32)
+        table[owner[lo:hi], column[lo:hi] - at] = 1
+        out += table[:len(left)] @ (table if left is right else table[len(left):]).T
+    return out
+
+
+def forest(nodes_a, labels_a, sets_a, nodes_b, labels_b, sets_b, percent: int) -> list[tuple[int, int]]:
+    """Links between different labels that join them, at most one less than there are labels."""
+    if len(sets_a) * len(sets_b) <= SMALL:
+        both = np.array([[len(x & y) if p != q else 0 for y, q in zip(sets_b, labels_b)]
+                         for x, p in zip(sets_a, labels_a)], np.float32)
+    else:
+        both = intersections(sets_a, sets_b)
+    size_a = np.array([len(s) for s in sets_a], np.float32)[:, None]
+    size_b = np.array([len(s) for s in sets_b], np.float32)[None, :]
+    linked = 100 * both >= percent * (size_a + size_b - both)
+    linked &= np.array(labels_a)[:, None] != np.array(labels_b)[None, :]
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+        a, b = root(labels_a[i]), root(labels_b[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((nodes_a[i], nodes_b[j]))
+    return out
+
+
+def sized(rows: DataFrame, data: DataFrame, group: str) -> DataFrame:
+    """(group, chunks): into how many chunks a group must be cut to keep within BLOCK and BYTES."""
+    own = rows.join(data.select("node", F.octet_length("payload").alias("bytes")), "node")
+    return own.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BYTES))
+                                  .cast("int").alias("chunks"))
+
+
+def block_links(open_: DataFrame, sizes: DataFrame, data: DataFrame, shingles: Shingles, percent: int) -> DataFrame:
+    """Links between different labels within the groups (column band) of ``open_``, in blocks."""
+    rows = (open_.join(sizes, "band").join(data, "node")
+            .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")))
+    rows = (rows.select("band", "i", "j", "chunk", "node", "label", "payload")
+            .repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "chunk", "node"))
+
+    def solve(name, group):
+        a = [r for r in group if r[0] == name[1]]
+        b = a if name[1] == name[2] else [r for r in group if r[0] == name[2]]
+        if not a or not b or len({r[2] for r in group}) < 2:
+            return []
+        sets = [[shingles(r[3]) for r in side] for side in ((a,) if a is b else (a, b))]
+        return forest([r[1] for r in a], [r[2] for r in a], sets[0],
+                      [r[1] for r in b], [r[2] for r in b], sets[-1], percent)
+
+    def run(batches):
+        name, group = None, []
+
+        def give(links):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "chunk", "node", "label", "payload"))):
+                if row[:3] != name:
+                    if group:
+                        yield give(solve(name, group))
+                    name, group = row[:3], []
+                group.append(row[3:])
+        if group:
+            yield give(solve(name, group))
+
+    return map_rows(rows, run, "a long, b long")
+
+
 def bucket_members(bands: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (band, node, size) of the buckets with more than one node."""
     shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     return scratch.put(bands.join(shared.select("band"), "band"))
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, scratch: Scratch,
-         rounds: int = 4) -> tuple[DataFrame | None, DataFrame | None]:
-    """(labels, links): components of the verified candidate pairs of ``members``.
-
-    ``verify`` keeps the rows (a, b) of a pair table that really are links. ``ratio`` is the least
-    similarity: sets whose sizes differ by more cannot reach it.
+def large_family_links(members: DataFrame, data: DataFrame, shingles: Shingles, percent: int,
+                       scratch: Scratch) -> DataFrame:
+    """Verified links that connect what is connected within the buckets of ``members``."""
+    heads = members.groupBy("band").agg(F.min(F.struct("node", "size")).alias("head"))
+    fits = (F.least(F.col("size"), F.col("head.size"))
+            >= F.greatest(F.col("size"), F.col("head.size")) * F.lit(percent / 100) - F.lit(1e-9))
+    # the head meets every member of its bucket, so it leaves the bucket
+    met = scratch.put(members.join(heads, "band").where(F.col("node") != F.col("head.node"))
+                      .select("band", "node", F.col("head.node").alias("a"), fits.alias("fits")))
+    pairs = scratch.put(met.where("fits").select("a", F.col("node").alias("b")).distinct())
+    links = scratch.put(confirm(pairs, data, shingles, percent))
+    # nodes with one label are linked with that node, so they need not be compared with each other
+    labels = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    now = labelled(met.select("band", "node"), scratch.put(labels))
+    buckets = (now.groupBy("band")
+               .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"),
+                    F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+               .where("lo < hi"))
+    # bands with the same members make one bucket
+    bands = buckets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")
+    open_ = scratch.put(now.join(bands, "band"))
+    return links.union(scratch.put(block_links(open_, sized(open_, data, "band"), data, shingles, percent)))
+
+
+def link(members: DataFrame, data: DataFrame, shingles: Shingles, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Components (node, root) of the verified candidate pairs of ``members``; None without links.
+
+    ``data`` has the payload of every node, ``shingles`` its full set. ``size`` is a set's size (0: unknown):
+    sets whose sizes differ by more than the similarity allows are not compared with a head.
     """
-    open_, labels, links, checked = labelled(members, None), None, None, None
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(ratio) - F.lit(1e-9)
-    for r in range(rounds + 1):
-        if r < rounds:
-            order = F.struct("node", "size", "label") if r == 0 else F.struct(
-                F.xxhash64("node", "band", F.lit(r)).alias("h"), "node", "size", "label")
-            heads = open_.groupBy("band").agg(F.min(order).alias("head"))
-            pairs = (open_.join(heads, "band")
-                     .where((F.col("label") != F.col("head.label")) & fits(F.col("size"), F.col("head.size")))
-                     .select(F.col("head.node").alias("a"), F.col("node").alias("b")))
-        else:
-            other = open_.select("band", F.col("node").alias("b"), F.col("size").alias("b_size"),
-                                 F.col("label").alias("b_label"))
-            pairs = (open_.join(other, "band")
-                     .where((F.col("node") < F.col("b")) & (F.col("label") != F.col("b_label"))
-                            & fits(F.col("size"), F.col("b_size")))
-                     .select(F.col("node").alias("a"), "b"))
-        pairs = pairs.distinct()
-        if checked is not None:  # no pair is compared twice
-            done = checked.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-            pairs = pairs.join(done, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")),
-                               "left_anti")
-        pairs = scratch.put(pairs)
-        checked = pairs if checked is None else checked.union(pairs)
-        found = scratch.put(verify(pairs).select("a", "b"))
-        links = found if links is None else links.union(found)
-        labels = components(links, scratch)
-        if r == rounds:
-            break
-        now = labelled(members, labels)
-        split = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        open_ = scratch.put(now.join(split.select("band"), "band"))
-        if open_.isEmpty():
-            break
-    return labels, links
+    heads = members.groupBy("band").agg(F.min("node").alias("a"))
+    families = components(members.join(heads, "band").select("a", F.col("node").alias("b")), scratch)
+    if families is None:
+        return None
+    every = scratch.put(families.union(families.select("root", "root").distinct()))
+    sizes = scratch.put(sized(every, data, "root"))
+    small = sizes.where("chunks = 1").select(F.col("root").alias("band"), "chunks")
+    groups = every.select(F.col("root").alias("band"), "node", F.col("node").alias("label"))
+    links = scratch.put(block_links(groups, small, data, shingles, percent))
+    large = sizes.where("chunks > 1").select("root")
+    rest = scratch.put(members.join(every.join(large, "root").select("node"), "node", "left_semi"))
+    if not rest.isEmpty():
+        links = links.union(large_family_links(rest, data, shingles, percent, scratch))
+    return components(links, scratch)

@@ -18,6 +18,8 @@ id and keeps its rows. Other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.common import KeyFilter, Scratch, blobs, map_rows, only_held, text_key
-from panelmill.llm.linking import bucket_members, link, salted
+from panelmill.llm.linking import bucket_members, link
 from panelmill.llm.sketching import WordHashes, bands, fast_sketch, word_shingles
 
 _WORDS = WordHashes()  # per worker process
@@ -58,34 +60,14 @@ def sketches(docs: DataFrame, k: int, t: int, rows: int) -> DataFrame:
                     f"doc_id {kind}, key binary, n_shingles long, node long, bands array<long>")
 
 
-def similar(a: set, b: set, percent: int) -> bool:
-    both = len(a & b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def shingle_set(text: bytes, k: int) -> set:
+    """The full set: word tuples. Callers give texts with words."""
     own = words(text)
     return set(zip(*(own[i:] for i in range(k)))) if len(own) >= k else {tuple(own)}
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-
-    def run(batches):
-        head, own = None, set()
-        for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), blobs(batch.column("pa")), blobs(batch.column("pb"))):
-                if a != head:
-                    head, own = a, shingle_set(x, k)
-                keep.append(similar(own, shingle_set(y, k), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return map_rows(salted(pairs, texts), run, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, t: int = 64, rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links, text key: one row per row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept, text key: one row per row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     all_rows = scratch.put(sketches(docs, k, t, rows))
     some = all_rows.where("n_shingles > 0")
@@ -94,28 +76,22 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, t: int = 64,
     wanted = scratch.put(some.join(members.select("node").distinct(), "node", "left_semi")
                          .groupBy("node").agg(F.min(F.struct("key", "doc_id")).alias("one"))
                          .select("node", F.col("one.key").alias("key"), F.col("one.doc_id").alias("doc_id")))
-    short = F.xxhash64("key").alias("short")
-    source = only_held(docs.select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").alias("payload"))
-                       .withColumn("short", F.xxhash64("key")),
+    short = F.xxhash64("key", "doc_id").alias("short")  # of copies only the wanted one moves
+    source = only_held(docs.select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("payload"))
+                       .withColumn("short", F.xxhash64("key", "doc_id")),
                        KeyFilter(wanted.select(short), "short"), "short")
     texts = scratch.put(wanted.join(source, (wanted["key"] == source["key"])
                                     & wanted["doc_id"].eqNullSafe(source["doc_id"]))
                         .select("node", "payload").dropDuplicates(["node"]))
-    labels, links = link(members, lambda p: confirm(p, texts, k, percent), percent / 100, scratch)
+    labels = link(members, texts, partial(shingle_set, k=k), percent, scratch)
     named = all_rows.select("doc_id", "n_shingles", "node", "key")
-    if labels is None:
-        named = named.withColumn("root", F.col("node")).withColumn("n_links", F.lit(0).cast("long"))
-    else:
-        degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
-                  .agg(F.count("*").alias("n_links")))
-        named = (named.join(labels, "node", "left").join(degree, "node", "left")
-                 .withColumn("root", F.coalesce("root", "node"))
-                 .withColumn("n_links", F.coalesce("n_links", F.lit(0))))
+    named = named.withColumn("root", F.col("node")) if labels is None else (
+        named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = (named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")))
     out = named.join(least, "root", "left").withColumn(
         "component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links", "key")
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -31,7 +31,8 @@ def fast_sketch(elements: np.ndarray, owner: np.ndarray, n_sets: int, t: int) ->
     for r in range(2 * t):
         if not len(elements):
             break
-        x = mix(elements + np.uint64((int(_STEP) * (r + 1)) & 0xFFFFFFFFFFFFFFFF))
+        # the elements are hashes already: the first round takes them as they are
+        x = mix(elements + np.uint64((int(_STEP) * r) & 0xFFFFFFFFFFFFFFFF)) if r else elements
         at = (x & mask).astype(np.int64) if r < t else r - t
         np.minimum.at(out, owner * t + at, (np.uint64(r) << np.uint64(56)) | (x >> shift))
         wanted &= (grid == _EMPTY).any(axis=1)
@@ -54,7 +55,7 @@ def bands(grid: np.ndarray, rows: int) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, with a bounded memo."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.memo, self.most = {}, most
 
     def of(self, words: list[bytes]) -> np.ndarray:

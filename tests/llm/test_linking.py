@@ -22,13 +22,13 @@ def test_components_of_random_graphs_paths_and_stars(spark):
 
 def test_intersections_by_matrix_products():
     rnd = np.random.default_rng(1)
-    a = [np.unique(rnd.integers(0, 60, rnd.integers(1, 40)).astype(np.uint64)) for _ in range(12)]
-    b = [np.unique(rnd.integers(0, 60, rnd.integers(1, 40)).astype(np.uint64)) for _ in range(7)]
-    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    a = [set(rnd.integers(0, 60, rnd.integers(1, 40)).tolist()) for _ in range(12)]
+    b = [set(rnd.integers(0, 60, rnd.integers(1, 40)).tolist()) for _ in range(7)]
+    want = [[len(x & y) for y in b] for x in a]
     assert intersections(a, b).tolist() == want
     own, others = intersections(a, a), ~np.eye(len(a), dtype=bool)  # a set and itself are no pair
-    assert np.array_equal(own[others], np.array([[len(np.intersect1d(x, y)) for y in a] for x in a])[others])
-    one = [np.array([1], np.uint64)]
+    assert np.array_equal(own[others], np.array([[len(x & y) for y in a] for x in a])[others])
+    one = [{1}]
     assert forest([1], [1], one, [2], [2], list(one), 85) == [(1, 2)]
     assert forest([1], [7], one, [2], [7], list(one), 85) == []
 

@@ -66,6 +66,3 @@ def test_edges(spark):
         assert keep_clean(docs, model).columns == docs.columns
         assert keep_clean(docs, model).count() == sum(not r.rejected for r in out)
     assert score(empty_docs(spark), model).count() == 0 and keep_clean(empty_docs(spark), model).count() == 0
-    shuffled = learn(docs, labels, broadcast_rows=0)  # labels joined by a shuffle
-    again = learn(docs, labels)
-    assert shuffled.chosen == again.chosen
