@@ -1,9 +1,9 @@
 """Toxicity severity by cumulative-link ordinal regression (operator 5).
 
 Features of a text are its distinct words (lower-cased runs of word characters) and their
-prefixes of 4, 5 and 6 characters, hashed. Document frequencies by label are counted over all labelled
-texts, and a feature is selected if its frequency among toxic texts is ``z`` standard deviations
-from the expected one. So the model is sparse and a long clean text has few features.
+prefixes of 4, 5 and 6 characters, hashed to 64 bits. A feature is selected if its document frequency among
+toxic training texts is ``z`` standard deviations above or below the expected one. So the model is sparse
+and a long clean text has few features.
 
 Severity grades 0 < 1 < ... < K-1 share one weight vector: P(grade >= k) = sigmoid(w x - t_k) with ordered
 thresholds t_1 < t_2 < ... (kept ordered by positive steps). The expected severity is the sum of
@@ -11,9 +11,9 @@ these probabilities. ``fit`` takes any number of grades. The given labels are 0
 three of them: a toxic text is grade 2 if more of its distinct words have selected features than in the
 median toxic text, else 1.
 
-The fit takes at most ``sample`` labelled texts of each label (those with the least hash of doc_id; a
-documented bound) and only their selected features, on the driver. Labels are broadcast if they
-are at most ``broadcast_rows`` rows, else joined by a shuffle. Scoring is one pass without a shuffle.
+The model is trained on a bounded sample: at most ``toxic_sample`` and ``clean_sample`` labelled
+texts, those with the least hash of doc_id. Spark picks them, counts their features and selects; the driver
+gets selected features only. Scoring is one pass over all rows without a shuffle.
 
 A null or empty text has no features and severity near 0. Null labels, labels other than 0 and 1 and labels
 of unknown documents teach nothing; a document with several labels takes the largest. Without labels of both
@@ -24,6 +24,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import map_rows
+from panelmill.llm.common import Scratch, map_rows
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -45,10 +46,14 @@ def word_features(word: str) -> list[int]:
 
 
 class Features:
-    """Feature hashes of words, with a bounded memo; with ``chosen``, numbers of chosen features only."""
+    """Feature hashes of texts, with a bounded memo by word.
 
-    def __init__(self, chosen: dict[int, int] | None = None, most: int = 400_000):
-        self.chosen, self.most, self.memo = chosen, most, {}
+    With ``chosen``, only the numbers of chosen features are given, and words that do not begin like a word
+    of the training sample that has one (``starts``) are not hashed at all.
+    """
+
+    def __init__(self, chosen: dict[int, int] | None = None, starts: frozenset[str] | None = None, most: int = 100_000):
+        self.chosen, self.starts, self.most, self.memo = chosen, starts, most, {}
 
     def word(self, word: str) -> list[int]:
         if len(self.memo) >= self.most:
@@ -59,9 +64,10 @@ class Features:
         self.memo[word] = own
         return own
 
-    def text(self, text: str | None) -> tuple[set[int], int, int]:
-        """(features, words that have any, distinct words)."""
-        words = set(WORD.findall((text or "").lower()))
+    def of(self, words: set[str]) -> tuple[set[int], int]:
+        """(features, words that have any)."""
+        if self.starts is not None:
+            words = [w for w in words if w[:4] in self.starts]
         out, having = set(), 0
         for w in words:
             own = self.memo.get(w)
@@ -70,7 +76,11 @@ class Features:
             if own:
                 out.update(own)
                 having += 1
-        return out, having, len(words)
+        return out, having
+
+
+def words(text: str | None) -> set[str]:
+    return set(WORD.findall((text or "").lower()))
 
 
 class CumulativeLink:
@@ -114,24 +124,27 @@ class CumulativeLink:
         return self
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, broadcast_rows: int) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents."""
-    own = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, sample: dict[int, int]) -> DataFrame:
+    """(label, text) of at most ``sample[k]`` documents of each label k."""
+    own = (labels.where(F.col(label).isin(*sample) & F.col("doc_id").isNotNull())
            .groupBy("doc_id").agg(F.max(label).cast("int").alias("label")))
-    if labels.count() <= broadcast_rows:
-        own = F.broadcast(own)
-    return docs.select("doc_id", "text").join(own, "doc_id")
+    taken = [own.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in sample.items()]
+    ids = taken[0]
+    for t in taken[1:]:
+        ids = ids.union(t)
+    # the ids are bounded by the sample sizes
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
 
 
 def frequencies(rows: DataFrame) -> DataFrame:
-    """(feature, n, n_toxic): in how many labelled texts a feature is."""
+    """(feature, n, n_toxic): in how many training texts a feature is."""
 
     def run(batches):
         features = Features()
         for batch in batches:
             own, toxic = [], []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                found = np.fromiter(features.text(text)[0], np.int64)
+                found = np.fromiter(features.of(words(text))[0], np.int64)
                 own.append(found)
                 toxic.append(np.full(len(found), label, np.int64))
             if not own:
@@ -142,23 +155,25 @@ def frequencies(rows: DataFrame) -> DataFrame:
                  pa.array(np.bincount(place, np.concatenate(toxic), len(each)).astype(np.int64))],
                 ["feature", "n", "n_toxic"])
 
-    return (map_rows(rows.select("text", "label"), run, "feature long, n long, n_toxic long")
+    return (map_rows(rows, run, "feature long, n long, n_toxic long")
             .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")))
 
 
 def chosen_rows(rows: DataFrame, chosen: dict[int, int]) -> DataFrame:
-    """(label, features, having, words): the chosen features of each text."""
+    """(label, features, having, starts): chosen features of each text, and how the words begin that have any."""
 
     def run(batches):
         features = Features(chosen)
         for batch in batches:
-            found = [features.text(t) for t in batch.column("text").to_pylist()]
+            sets = [words(t) for t in batch.column("text").to_pylist()]
+            found = [features.of(s) for s in sets]
+            starts = [sorted({w[:4] for w in s if features.memo.get(w) or features.word(w)}) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([sorted(f) for f, _, _ in found], pa.list_(pa.int32())),
-                 pa.array([h for _, h, _ in found], pa.int64()), pa.array([w for _, _, w in found], pa.int64())],
-                ["label", "features", "having", "words"])
+                [batch.column("label"), pa.array([sorted(f) for f, _ in found], pa.list_(pa.int32())),
+                 pa.array([h for _, h in found], pa.int64()), pa.array(starts, pa.list_(pa.string()))],
+                ["label", "features", "having", "starts"])
 
-    return map_rows(rows.select("text", "label"), run, "label int, features array<int>, having long, words long")
+    return map_rows(rows, run, "label int, features array<int>, having long, starts array<string>")
 
 
 def graded(label: np.ndarray, having: np.ndarray) -> np.ndarray:
@@ -170,38 +185,41 @@ def graded(label: np.ndarray, having: np.ndarray) -> np.ndarray:
 class Severity:
     """The fitted model as it is sent to the tasks."""
 
-    def __init__(self, chosen: dict[int, int], model: CumulativeLink | None):
-        self.chosen, self.model = chosen, model
+    def __init__(self, chosen: dict[int, int], starts: frozenset[str], model: CumulativeLink | None):
+        self.chosen, self.starts, self.model = chosen, starts, model
+
+    def features(self) -> Features:
+        return Features(self.chosen, self.starts)
 
     def of(self, features: Features, texts: list[str | None]) -> np.ndarray:
         """P(grade >= k), a row per text."""
         if self.model is None:
             return np.zeros((len(texts), 1))
         w = self.model.weights
-        return self.model.exceed(np.array([sum(w[f] for f in sorted(features.text(t)[0])) for t in texts], float))
+        return self.model.exceed(np.array([sum(w[f] for f in sorted(features.of(words(t))[0])) for t in texts], float))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8000, z: float = 4.5,
-          ridge: float = 1e-6, rounds: int = 600, broadcast_rows: int = 2_000_000) -> Severity:
-    """Fit the model on labelled documents."""
-    rows = labelled(docs, labels, label, broadcast_rows)
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic_sample: int = 8000,
+          clean_sample: int = 16000, z: float = 8.0, ridge: float = 1e-6, rounds: int = 600) -> Severity:
+    """Fit the model on a bounded sample of labelled documents."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.put(training_texts(docs, labels, label, {0: clean_sample, 1: toxic_sample}))
     sizes = dict(rows.groupBy("label").agg(F.count("*")).collect())
     n, toxic = sum(sizes.values()), sizes.get(1, 0)
     if not toxic or toxic == n:
-        return Severity({}, None)
+        return Severity({}, frozenset(), None)
     p = toxic / n
     deviation = (F.col("n_toxic") - p * F.col("n")) / F.sqrt(p * (1 - p) * F.col("n"))
     picked = frequencies(rows).where(F.abs(deviation) >= z).select("feature").toArrow().column("feature").to_pylist()
     chosen = {f: i for i, f in enumerate(sorted(picked))}
-    ids = [rows.where(F.col("label") == k).select("doc_id").distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    taken = rows.join(F.broadcast(ids[0].union(ids[1])), "doc_id")
-    got = chosen_rows(taken, chosen).toArrow().sort_by([("label", "ascending"), ("words", "ascending")])
-    label_, lists = got.column("label").to_numpy(), got.column("features").to_pylist()
-    grades = graded(label_, got.column("having").to_numpy())
-    at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    columns = np.array([f for x in lists for f in x], np.int64)
-    return Severity(chosen, CumulativeLink(len(chosen), 3).fit(at, columns, grades, ridge, rounds))
+    got = chosen_rows(rows, chosen).toArrow()
+    rows_ = sorted(zip(got.column("label").to_pylist(), got.column("features").to_pylist(), got.column("having").to_pylist()))
+    starts = frozenset(s for own in got.column("starts").to_pylist() for s in own)
+    label_ = np.array([r[0] for r in rows_])
+    grades = graded(label_, np.array([r[2] for r in rows_]))
+    at = np.repeat(np.arange(len(rows_)), [len(r[1]) for r in rows_])
+    columns = np.array([f for r in rows_ for f in r[1]], np.int64)
+    return Severity(chosen, starts, CumulativeLink(len(chosen), 3).fit(at, columns, grades, ridge, rounds))
 
 
 def score(docs: DataFrame, model: Severity, reject: float = 0.5) -> DataFrame:
@@ -211,7 +229,7 @@ def score(docs: DataFrame, model: Severity, reject: float = 0.5) -> DataFrame:
 
     def run(batches):
         own = sent.value
-        features = Features(own.chosen)
+        features = own.features()
         for batch in batches:
             p = own.of(features, batch.column("text").to_pylist())
             mass = -np.diff(np.column_stack([np.ones(len(p)), p, np.zeros(len(p))]), axis=1)
@@ -228,8 +246,10 @@ def keep_clean(docs: DataFrame, model: Severity, reject: float = 0.5) -> DataFra
     """The rows of ``docs`` that are not rejected, columns unchanged."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def clean(texts: pd.Series) -> pd.Series:
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = sent.value
-        return pd.Series(own.of(Features(own.chosen), texts.tolist())[:, 0] < reject)
+        features = own.features()
+        for texts in parts:
+            yield pd.Series(own.of(features, texts.tolist())[:, 0] < reject)
 
     return docs.where(F.pandas_udf(clean, "boolean")(F.col("text")))
