@@ -161,14 +161,16 @@ B.register_cte("cp_int", f"SELECT * FROM cparams, {V.weights_sql(INTERIOR)}", ("
 
 
 @query("v3_interior_optima", B.sql_with("cp_int") + f"""
-  SELECT commodity, scenario, {r('m_star', 'm_star')}, {r('w_star', 'w_star')}, m_star - p NOT IN (-200, 0, 1500) AS interior
+  SELECT commodity, scenario, {r('m_star', 'm_star')}, {r('w_star', 'w_star')},
+    least(abs(m_star - p + 200), abs(m_star - p), abs(m_star - p - 1500)) > 1e-3 AS interior
   FROM ({T.optimum("(SELECT *, 0.0e0 AS eta FROM cp_int)")})""")
 def v3_interior_optima(spark, sf_dir):
     """Optima at stationary points."""
     df = V.with_weights(crop_params(spark, sf_dir), INTERIOR).withColumn("eta", F.lit(0.0))
     out = V.optimal_floor(df)
     return rounded(out.select("commodity", "scenario", "m_star", "w_star",
-                              (~(F.col("m_star") - F.col("p")).isin(-200.0, 0.0, 1500.0)).alias("interior")))
+                              (F.least(*[F.abs(F.col("m_star") - F.col("p") - F.lit(x)) for x in (-200.0, 0.0, 1500.0)])
+                               > 1e-3).alias("interior")))
 
 
 @query("v7_interior_sensitivity", B.sql_with("cp_int") + f"""
