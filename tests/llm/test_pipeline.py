@@ -1,26 +1,30 @@
 from tests.conftest import SF_SMALL
 
+SF = SF_SMALL.replace("sf0.001", "sf0.01")  # enough labels for the toxicity model
+
 
 def test_stages_take_effect_in_order(spark):
     import corpus_pipeline as p
     from panelmill.llm import decontamination, near_dedup, toxicity
     from panelmill.llm.common import Scratch, table
     assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontaminate", "pack"] and p.ORACLE_SQL is None
-    docs = table(spark, SF_SMALL, "documents")
+    docs = table(spark, SF, "documents")
     scratch, seen = Scratch(spark, "t-pipeline"), [docs]
     for name, stage in p.STAGES[:-1]:
-        out = scratch.put(stage(spark, seen[-1], SF_SMALL))
+        out = scratch.put(stage(spark, seen[-1], SF))
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
         seen.append(out)
     raw, clean, lines, near, uncontaminated = seen
-    rejected = {r.doc_id for r in toxicity.score(raw, toxicity.learn(raw, table(spark, SF_SMALL, "labels"))).where("rejected").collect()}
+    rejected = {r.doc_id for r in toxicity.score(raw, toxicity.learn(raw, table(spark, SF, "labels"))).where("rejected").collect()}
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     assert rejected and ids(clean) == ids(raw) - rejected and ids(lines) == ids(clean)
     kept = {r.doc_id for r in near_dedup.near_duplicates(lines, 5, 80).where("kept").collect()}
-    assert ids(near) == kept and len(kept) < lines.count()
-    bad = {r.doc_id for r in decontamination.scan(near, table(spark, SF_SMALL, "benchmark")).where("contaminated").collect()}
+    assert ids(near) == kept
+    direct = {r.doc_id for r in near_dedup.near_duplicates(clean, 5, 80).where("kept").collect()}
+    assert ids(p.near_once(spark, clean, SF)) == direct and len(direct) < clean.count()
+    bad = {r.doc_id for r in decontamination.scan(near, table(spark, SF, "benchmark")).where("contaminated").collect()}
     assert ids(uncontaminated) == ids(near) - bad
-    pieces = p.run(spark, SF_SMALL).collect()
+    pieces = p.run(spark, SF).collect()
     assert {r.doc_id for r in pieces} == ids(uncontaminated)
     assert all(sum(r.length for r in pieces if r.doc_id == d) == next(r.doc_tokens for r in pieces if r.doc_id == d)
                for d in sorted(ids(uncontaminated))[:30])
