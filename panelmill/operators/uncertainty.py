@@ -18,18 +18,28 @@ from panelmill.operators.aggregates import quantile_summary
 from panelmill.operators.policy import EQUAL, optimal_floor, with_weights
 from panelmill.params import FORECAST_SD_FRACTION, MC_DRAWS, MC_SEED
 
+def truncated_tail_sql(mean: str, sd: str, sign: str, seed: int, var: str,
+                       dialect: str = "spark", source: str = "mc1") -> str:
+    """u P(Z > -c) with c = mean / sd for a positive, -mean / sd for a negative draw; u is the draw's uniform."""
+    u = uniform_sql(key_sql([f"'{seed}'", "commodity", f"'{source}'", "draw", f"'{var}'"], dialect), dialect)
+    c = f"({mean} / {sd})" if sign == "+" else f"(-{mean} / {sd})"
+    return f"({u} * {upper_tail_sql(f'(-{c})')})"
+
+
+def truncated_from_tail_sql(mean: str, sd: str, sign: str, tail: str) -> str:
+    """The draw of a tail probability: mean +- sd z with P(Z > z) = tail."""
+    z = f"(-{quantile_sql(tail)})"
+    return f"({mean} + {sd} * {z})" if sign == "+" else f"({mean} - {sd} * {z})"
+
+
 def truncated_draw_sql(mean: str, sd: str, sign: str, seed: int, var: str,
                        dialect: str = "spark", source: str = "mc1") -> str:
     """A normal draw conditioned on the required sign, by the inverse distribution function.
 
-    The reference redraws until the sign is right, which gives the same distribution. With c = mean / sd
-    for a positive (-mean / sd for a negative) draw, the tail probability u P(Z > -c) is turned back into a
-    deviation, so no draw is ever lost, however unlikely the sign.
+    The reference redraws until the sign is right, which gives the same distribution; here no draw is
+    ever lost, however unlikely the sign.
     """
-    u = uniform_sql(key_sql([f"'{seed}'", "commodity", f"'{source}'", "draw", f"'{var}'"], dialect), dialect)
-    c = f"({mean} / {sd})" if sign == "+" else f"(-{mean} / {sd})"
-    z = f"(-{quantile_sql(f'({u} * {upper_tail_sql(f'(-{c})')})')})"
-    return f"({mean} + {sd} * {z})" if sign == "+" else f"({mean} - {sd} * {z})"
+    return truncated_from_tail_sql(mean, sd, sign, truncated_tail_sql(mean, sd, sign, seed, var, dialect, source))
 
 
 def forecast_draw_sql(seed: int, dialect: str = "spark") -> str:
@@ -47,8 +57,11 @@ DRAW_COLUMNS = ["draw", "eps_s", "eps_d", "p", "m_star"]
 def elasticity_draws(params: DataFrame, n: int = MC_DRAWS, seed: int = MC_SEED, weights=EQUAL) -> DataFrame:
     """V9 (MC-1): elasticities ~ truncated normal, forecast fixed; optimum per draw."""
     d = with_weights(with_draws(params, n), [weights]).withColumn("eta", F.lit(0.0))
-    d = (d.withColumn("eps_s", F.expr(truncated_draw_sql("eps_s", "eps_s_se", "+", seed, "s")))
-         .withColumn("eps_d", F.expr(truncated_draw_sql("eps_d", "eps_d_se", "-", seed, "d"))))
+    # the tails are columns of their own, so the quantile does not repeat the hash
+    d = (d.withColumn("_ts", F.expr(truncated_tail_sql("eps_s", "eps_s_se", "+", seed, "s")))
+         .withColumn("_td", F.expr(truncated_tail_sql("eps_d", "eps_d_se", "-", seed, "d"))))
+    d = (d.withColumn("eps_s", F.expr(truncated_from_tail_sql("eps_s", "eps_s_se", "+", "_ts")))
+         .withColumn("eps_d", F.expr(truncated_from_tail_sql("eps_d", "eps_d_se", "-", "_td"))).drop("_ts", "_td"))
     return optimal_floor(d).select("commodity", F.lit("Elasticity (MC-1)").alias("source"), *DRAW_COLUMNS)
 
 

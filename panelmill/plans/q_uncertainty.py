@@ -19,10 +19,12 @@ from panelmill.session import materialize
 
 def _draw_ctes(name: str, params: str) -> None:
     """Draws and their summary as CTEs ``name`` and ``name``_summary over the parameter CTE ``params``."""
-    mc1 = f"""(SELECT * EXCLUDE (eps_s, eps_d),
-        {U.truncated_draw_sql('eps_s', 'eps_s_se', '+', MC_SEED, 's', 'duckdb')} AS eps_s,
-        {U.truncated_draw_sql('eps_d', 'eps_d_se', '-', MC_SEED, 'd', 'duckdb')} AS eps_d, 0.0e0 AS eta
-      FROM {params}, generate_series(0, {MC_DRAWS - 1}) AS g(draw))"""
+    mc1 = f"""(SELECT * EXCLUDE (eps_s, eps_d, _ts, _td),
+        {U.truncated_from_tail_sql('eps_s', 'eps_s_se', '+', '_ts')} AS eps_s,
+        {U.truncated_from_tail_sql('eps_d', 'eps_d_se', '-', '_td')} AS eps_d, 0.0e0 AS eta
+      FROM (SELECT *, {U.truncated_tail_sql('eps_s', 'eps_s_se', '+', MC_SEED, 's', 'duckdb')} AS _ts,
+              {U.truncated_tail_sql('eps_d', 'eps_d_se', '-', MC_SEED, 'd', 'duckdb')} AS _td
+            FROM {params}, generate_series(0, {MC_DRAWS - 1}) AS g(draw)))"""
     mc2 = f"""(SELECT * EXCLUDE (p), {U.forecast_draw_sql(MC_SEED + 500, 'duckdb')} AS p, 0.0e0 AS eta
       FROM {params}, generate_series(0, {MC_DRAWS - 1}) AS g(draw))"""
     B.register_cte(name, f"""
