@@ -2,30 +2,6 @@
 
 Fixed values: these numbers must equal the reference's calibration for the
 results to be comparable. They are stated plainly, in the reference's order.
-
-    elasticities      wheat: supply 0.45 (se 0.090), demand -0.32 (se 0.064)
-                      rice:  supply 0.38 (se 0.076), demand -0.30 (se 0.060)
-    kappa             0.15
-    scenarios         farmer_centric   alpha 0.6  beta 0.2  gamma 0.2  delta 0.0
-                      consumer_centric alpha 0.2  beta 0.6  gamma 0.2  delta 0.0
-                      fiscal_conserv   alpha 0.33 beta 0.33 gamma 0.34 delta 0.0
-                      equal_weights    alpha 0.33 beta 0.33 gamma 0.33 delta 0.0
-    current floor     wheat 2425, rice 2800
-    procurement 2024  wheat 26.64, rice 52.89
-    production        wheat 112.0, rice 137.0
-    monte carlo       1000 draws, seed 2024, forecast sd = 0.30 * rmse
-    etas              0, 0.5, 1.0, 2.0, 3.0
-    stress            (supply, demand) multipliers: Baseline 1.0/1.0;
-                      Low supply, low demand 0.5/0.5; High supply, high demand 1.5/1.5;
-                      Low supply, high demand 0.5/1.5; High supply, low demand 1.5/0.5
-    horizons          1-month 30, 3-month 90, 6-month 180
-    lags              1, 2, 3, 7, 14, 30; moving means 7, 14, 30
-    rf                200 trees, depth 20, min split 10, seed 42
-    gb                200 rounds, depth 8, learning rate 0.1, subsample 0.8, seed 42
-    sarima            (1,1,1)(1,1,1) period 7
-    search interval   [p - 200, p + 1500]; concavity grid [p - 500, p + 1500], 500 points
-    unit scale        10 (gap x MMT -> crore)
-    fallback prices   wheat 2350, rice 2967; fallback rmse wheat 241.62, rice 189.43
 """
 
 from __future__ import annotations
