@@ -133,11 +133,11 @@ def m1_m2_m9_keys(spark, sf_dir):
     return rounded(preds.select(*KEYS, "date", "regime", "model", "y", inside.alias("inside")))
 
 
-@query("m3_importance_sum", "SELECT regime, model, 1.0 AS total FROM (VALUES ('A'), ('B')) v(regime), "
+@query("m3_importance_sum", "SELECT regime, model, 1.0e0 AS total FROM (VALUES ('A'), ('B')) v(regime), "
        "(VALUES ('rf'), ('gb')) w(model)")
 def m3_importance_sum(spark, sf_dir):
     _, imp = regime_predictions(spark, sf_dir)
-    return imp.groupBy("regime", "model").agg(F.round(F.sum("importance"), 6).cast("decimal(10,1)").alias("total"))
+    return imp.groupBy("regime", "model").agg(F.round(F.sum("importance"), 6).alias("total"))
 
 
 @query("m9_regime_metrics")

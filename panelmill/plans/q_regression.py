@@ -57,7 +57,7 @@ def m10_fe_regression(spark, sf_dir):
     return R.fit_fixed_effects(reg_panel(spark, sf_dir), XCOLS)
 
 
-@query("m10_normal_equations", B.sql_with("regp") + "SELECT commodity, variable, 0.0 AS score FROM "
+@query("m10_normal_equations", B.sql_with("regp") + "SELECT commodity, variable, 0.0e0 AS score FROM "
        + "(SELECT DISTINCT commodity FROM regp), (VALUES "
        + ", ".join(f"('{c}')" for c in XCOLS) + ") v(variable)")
 def m10_normal_equations(spark, sf_dir):
@@ -82,7 +82,7 @@ def m10_normal_equations(spark, sf_dir):
         F.coalesce(F.try_divide(F.col(f"s_{c}"), F.sqrt(F.col(f"q_{c}") * F.col("yy"))), F.lit(0.0)).alias("score"))
         for c in XCOLS]))
     out = sums.select("commodity", each.alias("e")).select("commodity", "e.*")
-    return out.withColumn("score", F.round(F.abs("score"), 6).cast("decimal(10,1)"))
+    return out.withColumn("score", F.round(F.abs("score"), 6))
 
 
 TWO = ["price_lag1", "price_lag7"]
