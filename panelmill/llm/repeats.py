@@ -17,6 +17,9 @@ the repeated places alone:
    dealt out by the symbol, and the common length of neighbours follows as the least over the range
    between them, plus one. No suffix is sorted anew. Where a neighbour shares ``size`` symbols, the window
    that ends at the column is a repeated interval.
+   An anchor with more than ``BLOCK`` context places is no group of one task: its contexts are dealt by a 128-bit
+   hash of every window (a window fixes its anchor and its offset from it), and a window that two
+   contexts have is a repeated interval of both.
 4. intervals go back to the places of their contexts and are merged per text.
 
 Exact copies are one text with a count; all of a text that has copies goes (from ``size`` bytes on).
@@ -24,7 +27,7 @@ Texts move only where part of them goes.
 
 A null or empty text has no bytes and loses none. Repeated rows are copies like any others. A null
 doc_id is kept. Other columns are ignored; an empty table gives an empty result. A very long text is
-scanned in overlapping pieces. Contexts of one anchor meet in one task as bytes of distinct contexts only.
+scanned in overlapping pieces. Distinct contexts of one anchor meet in one task as bytes, at most ``BLOCK`` of them.
 """
 
 from __future__ import annotations
@@ -41,7 +44,8 @@ from panelmill.llm.common import KeyFilter, Scratch, blobs, map_rows, mix, only_
 
 PIECE = 2 << 20  # bytes scanned at once
 PLACE_BITS = np.uint64(24)
-BLOCK = 20_000  # contexts refined together, more only if one anchor has more
+BLOCK = 20_000  # contexts refined together, less than twice as many with the last anchor; larger anchors go by windows
+WINDOWS = 1 << 16  # rows of windows given at once
 #: Odd multipliers of the words of a gram (arbitrary).
 WORDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -287,6 +291,49 @@ def repeated_intervals(table: DataFrame, size: int) -> DataFrame:
     return map_rows(rows, run, "anchor long, c1 long, c2 long, spans array<struct<start: long, end: long>>")
 
 
+def window_rows(table: DataFrame, size: int, held: KeyFilter | None = None) -> DataFrame:
+    """(w1, w2, anchor, c1, c2, start) of every window of the contexts, the start relative to the anchor."""
+
+    def run(batches):
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("context", "left", "anchor", "c1", "c2"))))
+            for at in range(0, len(rows), max(1, WINDOWS // size)):
+                some = rows[at:at + max(1, WINDOWS // size)]
+                hashes = b"".join(xxhash.xxh3_128_digest(part[i:i + size])
+                                  for part, *_ in some for i in range(len(part) - size + 1))
+                w1, w2 = np.frombuffer(hashes, "<i8").reshape(-1, 2).T
+                counts = np.array([len(r[0]) - size + 1 for r in some], np.int64)
+                inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                left, anchor, c1, c2 = (np.repeat(np.array(x, np.int64), counts) for x in list(zip(*some))[1:])
+                columns = [np.ascontiguousarray(x) for x in (w1, w2, anchor, c1, c2, inside - left)]
+                if held is not None:
+                    keep = held.holds(columns[0])
+                    columns = [x[keep] for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["w1", "w2", "anchor", "c1", "c2", "start"])
+
+    return map_rows(table.where("context is not null").select("anchor", "c1", "c2", "context", "left"), run,
+                    "w1 long, w2 long, anchor long, c1 long, c2 long, start long")
+
+
+def window_intervals(table: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """``repeated_intervals`` for anchors of any number of contexts, by hashes of their windows."""
+    shared = scratch.put(window_rows(table, size).groupBy("w1", "w2")
+                         .agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("c1", "c2")))
+                         .where("min_c1 < max_c1 or min_c2 < max_c2").select("w1", "w2"))
+    found = (window_rows(table, size, KeyFilter(shared, "w1")).join(shared, ["w1", "w2"])
+             .groupBy("anchor", "c1", "c2").agg(F.collect_set("start").alias("starts")))
+
+    def run(batches):
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in merge_spans([(x, x + size) for x in starts])]
+                     for starts in batch.column("starts").to_pylist()]
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("anchor", "c1", "c2")), pa.array(spans, kind)],
+                                             ["anchor", "c1", "c2", "spans"])
+
+    return map_rows(found, run, "anchor long, c1 long, c2 long, spans array<struct<start: long, end: long>>")
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes."""
     out: list[tuple[int, int]] = []
@@ -332,7 +379,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int, gram: int) -> t
     place = F.struct("key", "place")
     kinds = (found.groupBy("anchor", "c1", "c2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
              .select("anchor", "c1", "c2", (F.col("lo") < F.col("hi")).alias("whole")))
-    solved = scratch.put(repeated_intervals(found, size))
+    hot = scratch.put(found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("anchor"))
+    if hot.isEmpty():
+        solved = scratch.put(repeated_intervals(found, size))
+    else:
+        solved = scratch.put(repeated_intervals(found.join(hot, "anchor", "left_anti"), size)
+                             .union(window_intervals(found.join(hot, "anchor", "left_semi"), scratch, size)))
     outcome = scratch.put(kinds.join(solved, ["anchor", "c1", "c2"], "left").where("whole or spans is not null"))
     places = (found.select("anchor", "c1", "c2", "key", "place", "left", "size")
               .join(copies, "key", "left_anti").join(outcome, ["anchor", "c1", "c2"]))

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from panelmill.llm import repeats
 from panelmill.llm.repeats import refine, remove_repeats
@@ -96,3 +97,26 @@ def test_refinement_equals_window_comparison():
 def test_whole_small_table(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
     assert result(remove_repeats(docs)) == brute([tuple(r) for r in docs.collect()], 400)
+
+
+def test_no_anchor_is_one_group(spark, monkeypatch):
+    """A phrase shorter than a window with other surroundings in every text: its contexts are dealt by windows."""
+    rnd = random.Random(29)
+    phrase = prose(rnd, 7)[:40]
+    ends = ["".join(rnd.choice("abcdef") for _ in range(60)) for _ in range(6)]
+    rows = [(i, "".join(rnd.choice("xyz") for _ in range(30)) + phrase + rnd.choice(ends)[:rnd.randint(20, 60)]) for i in range(60)]
+    rows += [(70, rows[0][1]), (71, "q" + rows[1][1] + "q" + rows[1][1]), (72, None)]
+    largest = []
+
+    def watched(table, size):
+        largest.extend(r.n for r in table.where("context is not null").groupBy("anchor")
+                       .agg(F.countDistinct("c1", "c2").alias("n")).collect())
+        return whole(table, size)
+
+    whole = repeats.repeated_intervals
+    monkeypatch.setattr(repeats, "repeated_intervals", watched)
+    monkeypatch.setattr(repeats, "BLOCK", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = result(remove_repeats(df, size=64, gram=8))
+    assert got == brute(rows, 64) and any(r[3] for r in got[2:60])
+    assert max(largest, default=0) <= 4
