@@ -121,8 +121,6 @@ class Mixtures:
                 continue
             better = worth > value
             best[:, better], value[better] = own[:, better], worth[better]
-            if not better.any():
-                break
         top = best.argmax(axis=0)
         return [self.langs[i] for i in top], np.clip(best[top, np.arange(n)], 0, 1).astype(float).tolist()
 

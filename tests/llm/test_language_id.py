@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from panelmill.llm.language_id import Mixtures, count_grams, letters, predict
 from tests.conftest import SF_SMALL
@@ -59,3 +60,21 @@ def test_mixtures_are_found(spark):
         hits += lang == a and 0.55 <= share <= 0.8
     assert hits >= 26
     assert model.infer([by["fr"][0]]) == (["fr"], [1.0])  # a single language is not split
+
+
+def test_mixture_of_a_text_does_not_hang_on_its_batch():
+    """A triple that pays where no pair does is found whatever else is in the batch."""
+    texts = [b"abcabc", b"defdef", b"ghighi"]
+
+    class Fixed(Mixtures):
+        def fit(self, prob, count, doc, first, total, share, steps):
+            size = (share > 0).sum(axis=0)  # text 0 improves at three languages only, text 1 at two, text 2 never
+            gain = np.array([[0, 0, -9, 50], [0, 0, 50, 50], [0, 0, -9, -9]], float)
+            return share, gain[which, size]
+
+    model = Fixed(pa.table({"lang": ["a", "b", "c"], "gram": [1, 2, 3], "n": [5, 5, 5]}), 1 << 14, 0.5, 0.0, 1)
+    sizes = []
+    for batch in ([0], [0, 1], [0, 2], [0, 1, 2]):
+        which = np.array(batch)
+        sizes.append(model.infer([texts[i] for i in batch])[1][0])
+    assert len(set(sizes)) == 1 and sizes[0] < 0.5  # a third each, not all of one
