@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import (decontamination, language_id, line_dedup, near_dedup, packing, repeats, sharding,
+from panelmill.llm import (decontamination, language_id, line_dedup, merkle, near_dedup, packing, repeats, sharding,
                            token_counts, top_k, toxicity)
 from panelmill.llm.common import table
 
@@ -51,6 +51,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered={"n_chars": docs["n_chars"] + 1}, where=merkle.sevenths(docs["doc_id"])).drop("path")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -58,12 +63,35 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_top_k, op3_decontamination, op4_language_id, op5_toxicity, op6_line_dedup, op7_near_dedup,
-    op8_repeats, op9_token_counts, op10_sharding, pipeline)}
+    op8_repeats, op9_token_counts, op10_sharding, op11_merkle, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _DEDUP_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+#: CRC-32 as a linear code: t(k, b, v) has the part of byte b with k bytes after it, z(n, v) the rest, which hangs on the length.
+#: bytes(key, n, k, b) must stand before; crc(key, v) is the result. The constant is the reflected polynomial.
+_CRC = """
+  b256 AS (SELECT i AS b, CAST(list_reduce(list_concat([i], range(8)),
+             lambda a, x: xor(a >> 1, 3988292384 * (a & 1))) AS BIGINT) AS v FROM range(256) r(i)),
+  t AS (SELECT CAST(0 AS BIGINT) AS k, b, v FROM b256
+        UNION ALL SELECT t.k + 1, t.b, xor(t.v >> 8, b256.v) FROM t JOIN b256 ON b256.b = (t.v & 255)
+        WHERE t.k + 1 < (SELECT max(n) FROM bytes)),
+  z AS (SELECT CAST(0 AS BIGINT) AS n, CAST(4294967295 AS BIGINT) AS v
+        UNION ALL SELECT z.n + 1, xor(z.v >> 8, b256.v) FROM z JOIN b256 ON b256.b = (z.v & 255)
+        WHERE z.n < (SELECT max(n) FROM bytes)),
+  crc AS (SELECT key, xor(xor(bit_xor(t.v), any_value(z.v)), 4294967295) AS v
+          FROM bytes JOIN t USING (k, b) JOIN z USING (n) GROUP BY key)"""
+
+
+def _bytes_of(keys: str) -> str:
+    """The CTE ``bytes`` over a query of distinct strings ``key``."""
+    return f"""
+  keys AS ({keys}), hexed AS (SELECT key, hex(encode(key)) AS x FROM keys),
+  bytes AS (SELECT key, n, n - i AS k, CAST('0x' || substr(x, CAST(2 * i - 1 AS INTEGER), 2) AS BIGINT) AS b
+            FROM (SELECT key, x, CAST(length(x) // 2 AS BIGINT) AS n FROM hexed), LATERAL generate_series(1, n) s(i))"""
+
+
 #: The other operators' results come from models, tokenizers, sketches, bin packing or byte strings that SQL cannot
 #: express or is too slow for; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {
@@ -106,4 +134,45 @@ ORACLES: dict[str, str] = {
       least_ AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
       SELECT doc.doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, doc.doc_id = c AS kept
       FROM doc JOIN least_ ON doc.doc_id = a LEFT JOIN n ON doc.doc_id = n.doc_id""",
+    "op11_merkle": f"""
+      WITH RECURSIVE {_bytes_of("SELECT DISTINCT CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id IS NOT NULL")},
+      {_CRC},
+      named AS (SELECT doc_id, lang, n_chars, coalesce('=' || lang, '') AS g,
+                  coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') AS a,
+                  coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS b,
+                  coalesce(strlen(text) || ':' || text, '-') AS d FROM documents),
+      leaf AS (SELECT doc_id, g, sha256(a || b || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || d) AS h,
+                 sha256(a || b || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || d) AS other
+               FROM named),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM leaf),
+      -- levels within groups: (level, g, idx, h, parent)
+      tree AS (SELECT 0 AS level, g, pos AS idx, h FROM placed
+               UNION ALL SELECT level + 1, g, idx // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tree
+               WHERE g IN (SELECT g FROM placed GROUP BY g HAVING count(*) > power(2, level)) GROUP BY level, g, idx // 2),
+      sub AS (SELECT g, arg_max(h, level) AS h, row_number() OVER (ORDER BY g) - 1 AS pos FROM
+                (SELECT g, h, level FROM tree QUALIFY level = max(level) OVER (PARTITION BY g)) GROUP BY g),
+      top AS (SELECT 0 AS level, pos AS idx, h FROM sub
+              UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM top
+              WHERE (SELECT count(*) FROM sub) > power(2, level) GROUP BY level, idx // 2),
+      root AS (SELECT arg_max(h, level) AS h FROM top),
+      steps AS (SELECT placed.doc_id, placed.g, placed.pos, t.level, coalesce(s.h, '') AS sib, (t.idx % 2) = 1 AS at_right
+                FROM placed JOIN tree t ON t.g = placed.g AND t.idx = placed.pos // CAST(power(2, t.level) AS BIGINT)
+                LEFT JOIN tree s ON s.g = t.g AND s.level = t.level AND s.idx = xor(t.idx, 1)
+                WHERE t.level < (SELECT max(level) FROM tree m WHERE m.g = placed.g)
+                UNION ALL
+                SELECT placed.doc_id, placed.g, placed.pos, 1000 + t.level, coalesce(s.h, ''), (t.idx % 2) = 1
+                FROM placed JOIN sub ON sub.g = placed.g
+                JOIN top t ON t.idx = sub.pos // CAST(power(2, t.level) AS BIGINT)
+                LEFT JOIN top s ON s.level = t.level AND s.idx = xor(t.idx, 1)
+                WHERE t.level < (SELECT max(level) FROM top)),
+      path AS (SELECT g, pos, list((CASE WHEN at_right THEN 'R' ELSE 'L' END) || sib ORDER BY level) AS p FROM steps GROUP BY g, pos),
+      done AS (SELECT placed.doc_id, placed.g, placed.h, coalesce(path.p, []) AS p,
+                 CASE WHEN crc.v % 7 = 0 THEN other ELSE placed.h END AS given
+               FROM placed LEFT JOIN path USING (g, pos) LEFT JOIN crc ON crc.key = CAST(placed.doc_id AS VARCHAR)),
+      folded AS (SELECT *, list_reduce(list_concat([given], p), lambda a, x:
+                   sha256(CASE WHEN x[1] = 'R' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root FROM done)
+      SELECT folded.doc_id, folded.h AS leaf, sub.h AS subroot, root.h AS root,
+        sha256(array_to_string(list_transform(p, lambda x: x[2:]), '')) AS proof_sha256, folded_root,
+        folded_root = root.h AS verified
+      FROM folded JOIN sub USING (g), root""",
 }
