@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import (decontamination, language_id, line_dedup, merkle, near_dedup, packing, repeats, sharding,
-                           token_counts, top_k, toxicity)
+from panelmill.llm import (decontamination, language_id, line_dedup, merkle, near_dedup, packing, repeats,
+                           resampling, sharding, token_counts, top_k, toxicity)
 from panelmill.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, tampered={"n_chars": docs["n_chars"] + 1}, where=merkle.sevenths(docs["doc_id"])).drop("path")
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -63,7 +67,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_top_k, op3_decontamination, op4_language_id, op5_toxicity, op6_line_dedup, op7_near_dedup,
-    op8_repeats, op9_token_counts, op10_sharding, op11_merkle, pipeline)}
+    op8_repeats, op9_token_counts, op10_sharding, op11_merkle, op13_resampling,
+    pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -175,4 +180,27 @@ ORACLES: dict[str, str] = {
         sha256(array_to_string(list_transform(p, lambda x: x[2:]), '')) AS proof_sha256, folded_root,
         folded_root = root.h AS verified
       FROM folded JOIN sub USING (g), root""",
+    "op13_resampling": f"""
+      WITH RECURSIVE texts AS (
+        SELECT row_number() OVER () AS r, * FROM (SELECT doc_id, false AS bench, {_BENCH_WORDS} AS w FROM documents
+                                                  UNION ALL SELECT NULL, true, {_BENCH_WORDS} FROM benchmark)),
+      runs AS (SELECT r, unnest(w) AS key FROM texts
+               UNION ALL SELECT r, w[i] || ' ' || w[i + 1] FROM texts, LATERAL generate_series(1, len(w) - 1) s(i)),
+      counted AS (SELECT r, key, count(*) AS c FROM runs GROUP BY 1, 2),
+      {_bytes_of("SELECT DISTINCT key FROM counted")}, {_CRC},
+      found AS (SELECT r, v % 10000 AS bucket, sum(c) AS c FROM counted JOIN crc USING (key) GROUP BY 1, 2),
+      bucket AS (SELECT bucket, sum(CASE WHEN bench THEN 0 ELSE c END) AS s, sum(CASE WHEN bench THEN c ELSE 0 END) AS t
+                 FROM found JOIN texts USING (r) GROUP BY 1),
+      whole AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM bucket),
+      gain AS (SELECT bucket, CAST(floor(1000 * ln(((CAST(b.t AS DOUBLE) + 1) * (whole.s + 10000))
+                 / ((CAST(b.s AS DOUBLE) + 1) * (whole.t + 10000)))) AS BIGINT) AS gain FROM bucket b, whole),
+      weighed AS (SELECT r, CAST(sum(c) AS BIGINT) AS n_features, CAST(floor(sum(c * gain) / CAST(sum(c) AS DOUBLE)) AS BIGINT) AS weight
+                  FROM found JOIN gain USING (bucket) GROUP BY 1),
+      scored AS (SELECT doc_id, r, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)
+                     AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+                 FROM texts LEFT JOIN weighed USING (r) WHERE NOT bench),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST) AS k,
+                   count(*) OVER (PARTITION BY able) AS n FROM scored)
+      SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 25 * n // 100 THEN k END AS rank FROM placed""",
 }
