@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import (decontamination, language_id, line_dedup, merkle, near_dedup, packing, repeats,
+from panelmill.llm import (decontamination, language_id, license_scan, line_dedup, merkle, near_dedup, packing, repeats,
                            resampling, sharding, token_counts, top_k, toxicity)
 from panelmill.llm.common import table
 
@@ -56,6 +56,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, tampered={"n_chars": docs["n_chars"] + 1}, where=merkle.sevenths(docs["doc_id"])).drop("path")
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,7 +71,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_top_k, op3_decontamination, op4_language_id, op5_toxicity, op6_line_dedup, op7_near_dedup,
-    op8_repeats, op9_token_counts, op10_sharding, op11_merkle, op13_resampling,
+    op8_repeats, op9_token_counts, op10_sharding, op11_merkle, op12_licenses,
+    op13_resampling,
     pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,6 +102,13 @@ def _bytes_of(keys: str) -> str:
             FROM (SELECT key, x, CAST(length(x) // 2 AS BIGINT) AS n FROM hexed), LATERAL generate_series(1, n) s(i))"""
 
 
+def _license_templates() -> str:
+    """The templates as SQL rows (t, label, base, k, word, must)."""
+    rows = [f"({i}, '{t.label}', {t.base}, {k}, '{w}', {m})" for i, t in enumerate(license_scan.templates())
+            for k, (w, m) in enumerate(zip(t.words, t.must))]
+    return f"(VALUES {', '.join(rows)}) x(t, label, base, k, word, must)"
+
+
 #: The other operators' results come from models, tokenizers, sketches, bin packing or byte strings that SQL cannot
 #: express or is too slow for; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {
@@ -203,4 +215,30 @@ ORACLES: dict[str, str] = {
       placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST) AS k,
                    count(*) OVER (PARTITION BY able) AS n FROM scored)
       SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 25 * n // 100 THEN k END AS rank FROM placed""",
+    "op12_licenses": f"""
+      WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {_BENCH_WORDS} AS w FROM documents),
+      tpl AS (SELECT * FROM {_license_templates()}),
+      size_ AS (SELECT t, any_value(label) AS label, any_value(base) AS base, count(*) AS n FROM tpl GROUP BY t),
+      place AS (SELECT r, i - 1 AS i, w[i] AS word FROM texts, LATERAL generate_series(1, len(w)) s(i)
+                WHERE list_contains((SELECT list(DISTINCT word) FROM tpl), w[i])),
+      held AS (SELECT word, count(DISTINCT r) AS df FROM place GROUP BY word),
+      able AS (SELECT t FROM tpl LEFT JOIN held USING (word) GROUP BY t HAVING bool_and(NOT must OR df IS NOT NULL)),
+      rarest AS (SELECT t, word, df, row_number() OVER (PARTITION BY t ORDER BY df, word) AS k
+                 FROM (SELECT DISTINCT t, word FROM tpl) JOIN able USING (t) JOIN held USING (word)),
+      rare AS (SELECT t, word FROM rarest WHERE k = 1 OR (k <= 3 AND df <= 0.05 * (SELECT count(*) FROM documents))),
+      need AS (SELECT t, least(2, count(*)) AS need FROM rare GROUP BY t),
+      vote AS (SELECT r, tpl.t, place.i - tpl.k AS start FROM place JOIN tpl USING (word) JOIN rare USING (t, word)),
+      aligned AS (SELECT r, t, start FROM vote JOIN need USING (t) GROUP BY r, t, start, need HAVING count(*) >= need),
+      found AS (SELECT aligned.r, t, start, size_.label, size_.base, count(p.word) / CAST(any_value(size_.n) AS DOUBLE) AS share
+                FROM aligned JOIN tpl USING (t) JOIN size_ USING (t)
+                LEFT JOIN place p ON p.r = aligned.r AND p.i = aligned.start + tpl.k AND p.word = tpl.word
+                GROUP BY aligned.r, t, start, size_.label, size_.base HAVING bool_and(NOT tpl.must OR p.word IS NOT NULL)),
+      summed AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
+                   max(start) FILTER (base) AS last_word, max(CASE WHEN base THEN 0.5 ELSE share END) AS score,
+                   list_sort(list(DISTINCT label) FILTER (base)) AS b, list_sort(list(DISTINCT label) FILTER (base OR share >= 0.6)) AS l
+                 FROM found GROUP BY r)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+        CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(b, ','), '') AS base_labels,
+        coalesce(array_to_string(l, ','), '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+      FROM texts LEFT JOIN summed USING (r)""",
 }
