@@ -82,25 +82,29 @@ def climb(nodes: DataFrame, fanout: int, levels: int) -> DataFrame:
             .withColumnRenamed(up, "head").drop(*runs))
 
 
-def rounds(nodes: DataFrame, fanout: int, levels: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
-    """The nodes of every round (the leaves first) and what remains of each group, as (g, h)."""
-    out, most = [nodes], nodes.agg(F.max("n")).first()[0] or 0
+def rounds(nodes: DataFrame, fanout: int, levels: int, scratch: Scratch) -> tuple[list[tuple[DataFrame, int]], DataFrame]:
+    """The nodes of every round (the leaves first) with the levels they climb, and what remains of each group, as (g, h)."""
+    out, most = [], nodes.agg(F.max("n")).first()[0] or 0
     while True:
-        heads = (climb(out[-1], fanout, levels).where(F.pmod("pos", F.lit(fanout ** levels)) == 0)
-                 .select("g", F.col("block").alias("pos"), F.col("head").alias("h"),
-                         F.expr(f"(n + {fanout ** levels - 1}) div {fanout ** levels}").alias("n")))
-        heads = scratch.put(heads)
-        most = -(-most // fanout ** levels)
+        k = 1
+        while k < levels and fanout ** k < most:  # no more levels than the largest group has
+            k += 1
+        out.append((nodes, k))
+        block = fanout ** k
+        nodes = scratch.put(climb(nodes, fanout, k).where(F.pmod("pos", F.lit(block)) == 0)
+                            .select("g", F.col("block").alias("pos"), F.col("head").alias("h"),
+                                    F.expr(f"(n + {block - 1}) div {block}").alias("n")))
+        most = -(-most // block)
         if most <= 1:
-            return out, heads.select("g", "h")
-        out.append(heads)
+            return out, nodes.select("g", "h")
 
 
-def paths(tables: list[DataFrame], top: DataFrame, fanout: int, levels: int, scratch: Scratch) -> DataFrame:
+def paths(tables: list[tuple[DataFrame, int]], top: DataFrame, fanout: int, scratch: Scratch) -> DataFrame:
     """The leaves with the runs from each to the root. ``top``: (g, path, subroot, root) above the groups."""
     above = top.withColumn("block", F.lit(0).cast("long"))
     for i in range(len(tables) - 1, -1, -1):
-        rows = (climb(tables[i], fanout, levels).join(above, ["g", "block"])
+        nodes, k = tables[i]
+        rows = (climb(nodes, fanout, k).join(above, ["g", "block"])
                 .withColumn("path", F.concat("own", "path")).drop("own", "head"))
         if i == 0:
             return rows
@@ -138,9 +142,9 @@ def manifest(docs: DataFrame, id_: str = "doc_id", group: str = "lang", fields:
     over, root = rounds(whole, fanout, k, scratch)
     top = root.select("g", F.array().cast(PATH).alias("path"), F.lit(None).cast("string").alias("subroot"),
                       F.col("h").alias("root"))
-    top = scratch.put(paths(over, top, fanout, k, scratch)
+    top = scratch.put(paths(over, top, fanout, scratch)
                       .select(F.col("own_g").alias("g"), "path", F.col("h").alias("subroot"), "root"))
-    rows = paths(tables, top, fanout, k, scratch)
+    rows = paths(tables, top, fanout, scratch)
     rows = rows.select("id", "h", "subroot", "root", "path", F.coalesce("other", "h").alias("given"))
     out = rows.select(F.col("id").alias(id_), F.col("h").alias("leaf"), "subroot", "root",
                       proof_hash(F.col("path")).alias("proof_sha256"),
