@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from panelmill.functions.numeric import safe_div
+from panelmill.operators.quantiles import exact_quantiles
 from panelmill.session import materialize
 
 
@@ -50,26 +51,30 @@ def missing_rate(df: DataFrame, value: str = "price_modal",
 
 
 def group_quantile(df: DataFrame, value: str, keys: Sequence[str], q: float,
-                   out: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+                   out: str, method: str = "map") -> DataFrame:
     """Exact linear-interpolated quantile per group.
 
-    The exact aggregate keeps a value -> count map per group; for groups with
-    very many distinct values ``approx=True`` switches to the bounded-memory
-    ``percentile_approx`` sketch (not equal to the linear quantile).
+    ``map`` keeps a value -> count map per group in one task: for groups bounded by the calendar, such as the days of a
+    month. ``select`` is exact for groups of any size (``quantiles.exact_quantiles``).
     """
-    x = F.col(value).cast("double")
-    agg = F.percentile_approx(x, q, accuracy) if approx else F.percentile(x, q)
-    return df.groupBy(*keys).agg(agg.alias(out))
-
-
-def quantile_summary(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Median, p5, p95, CI width and population SD of draws."""
-    qs = F.percentile(F.col(value).cast("double"), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return (df.groupBy(*keys)
-            .agg(qs.alias("_q"), F.stddev_pop(value).alias("sd"))
-            .select(*keys, F.col("_q")[1].alias("median_msp"), F.col("_q")[0].alias("ci_lower"),
-                    F.col("_q")[2].alias("ci_upper"),
-                    (F.col("_q")[2] - F.col("_q")[0]).alias("ci_width"), "sd"))
+    if method == "select":
+        return exact_quantiles(df, value, keys, {out: q})
+    return df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), q).alias(out))
+
+
+def quantile_summary(df: DataFrame, value: str, keys: Sequence[str], method: str = "map") -> DataFrame:
+    """Median, p5, p95, CI width and population SD of draws; ``method`` as in ``group_quantile``."""
+    wanted = {"ci_lower": 0.05, "median_msp": 0.5, "ci_upper": 0.95}
+    if method == "select":
+        df = materialize(df)
+        sd = df.groupBy(*keys).agg(F.stddev_pop(value).alias("sd"))
+        found = exact_quantiles(df, value, keys, wanted).join(sd, list(keys))
+    else:
+        x = F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, wanted.values())))
+        found = (df.groupBy(*keys).agg(x.alias("_q"), F.stddev_pop(value).alias("sd"))
+                 .select(*keys, *[F.col("_q")[i].alias(c) for i, c in enumerate(wanted)], "sd"))
+    return found.select(*keys, "median_msp", "ci_lower", "ci_upper",
+                        (F.col("ci_upper") - F.col("ci_lower")).alias("ci_width"), "sd")
 
 
 def density_histogram(df: DataFrame, value: str, keys: Sequence[str], bins: int = 40

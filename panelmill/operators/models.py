@@ -1,10 +1,8 @@
-"""Tree-ensemble forecasts with MLlib.
+"""Tree-ensemble forecasts.
 
-Regime A uses every feature, regime B drops the policy columns (P2). One pooled model per regime and learner is
-fitted over all commodities, with the commodity as an indexed categorical feature, so the trees can split by
-it; metrics and ranks are per commodity. The split and imputed design (G11) is written once to the
-shared ``spark.checkpoint.dir`` and feeds both regimes and all learners: the iterative learners re-read it many
-times and a lost executor re-reads files instead of re-running the feature lineage. Predictions
+Regime A uses every feature, regime B drops the policy columns (P2). One model per commodity, regime and learner
+(and fold), all fitted by one Spark job over one binned design (``operators.ensembles``). A commodity with more training rows than one
+group holds is fitted by MLlib's distributed trees instead. Predictions
 come back long: (keys, date, regime, model, y, y_hat).
 """
 
@@ -12,65 +10,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.operators.aggregates import column_means, impute_with_means
+from panelmill.operators import ensembles as E
 from panelmill.operators.selection import feature_columns, temporal_split
-from panelmill.params import GB_PARAMS, RF_PARAMS
 from panelmill.session import materialize
 
-
-def forest(num_trees: int = RF_PARAMS["num_trees"], max_depth: int = RF_PARAMS["max_depth"],
-           seed: int = RF_PARAMS["seed"], target: str = "price_target"):
-    """M1: all features tried at every split (the reference's setting); ``'auto'``
-    would mean one third for regression. min_samples_split 10 ~ 5 rows per leaf."""
-    return RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees,
-                                 maxDepth=max_depth, featureSubsetStrategy="all",
-                                 minInstancesPerNode=RF_PARAMS["min_samples_split"] // 2,
-                                 seed=seed, maxMemoryInMB=512)
-
-
-def boosted(max_iter: int = GB_PARAMS["max_iter"], max_depth: int = GB_PARAMS["max_depth"],
-            seed: int = GB_PARAMS["seed"], target: str = "price_target"):
-    """M2."""
-    return GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter,
-                        maxDepth=max_depth, stepSize=GB_PARAMS["step_size"],
-                        subsamplingRate=GB_PARAMS["subsample"], seed=seed)
-
-
 GROUP = "commodity"
-INDEX = "commodity_index"
 
 
-def design(panel: DataFrame, features: Sequence[str], train_end: str, test_start: str | None,
-           checkpoint: bool = True) -> DataFrame:
-    """P3 split, G11 train-mean imputation and the indexed commodity."""
-    df = temporal_split(panel, train_end, test_start)
-    if checkpoint:
-        df = materialize(df)  # read by the train means, by the index and by the rows
-    train = df.where(F.col("split") == "train")
-    df = impute_with_means(df, column_means(train, features), features)
-    if GROUP in df.columns:
-        df = StringIndexer(inputCol=GROUP, outputCol=INDEX, handleInvalid="keep",
-                           stringOrderType="alphabetAsc").fit(train).transform(df)
-    return df
-
+def mllib(learner, target: str):
+    """The distributed learner with the same settings. All features are tried at every split (the reference's setting);
+    min_samples_split 10 ~ 5 rows per leaf."""
+    if isinstance(learner, E.Forest):
+        return RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=learner.trees, maxDepth=learner.max_depth,
+                                     featureSubsetStrategy="all", minInstancesPerNode=max(learner.min_split // 2, 1),
+                                     seed=learner.seed, maxMemoryInMB=512)
+    return GBTRegressor(featuresCol="features", labelCol=target, maxIter=learner.rounds, maxDepth=learner.max_depth,
+                        stepSize=learner.rate, subsamplingRate=learner.subsample, seed=learner.seed)
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The feature vector; the commodity index keeps its categorical metadata."""
-    cols = [*features, INDEX] if INDEX in df.columns else list(features)
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(df)
 
-
-def prepare(panel: DataFrame, features: Sequence[str], train_end: str,
-            test_start: str | None, checkpoint: bool = True) -> DataFrame:
-    """``design`` with its vector, cut off from its lineage."""
-    df = assembled(design(panel, features, train_end, test_start, checkpoint), features)
-    return df.checkpoint(eager=True) if checkpoint else df
+def fit_large(df: DataFrame, made: E.Design, learners: dict, regimes: dict[str, Sequence[str]], target: str):
+    """(predictions, importances) of the models above a group's size, one MLlib fit each; empty lists without one."""
+    preds, imps = [], []
+    for name in E.large_models(made).collect():  # each has tens of thousands of rows at least
+        own = df.where(" AND ".join("true" if name[k] is None else f"`{k}` <=> cast('{name[k]}' AS {df.schema[k].dataType.simpleString()})"
+                                    for k in made.keys))
+        train = own.where("split = 'train'")
+        means = train.agg(*[F.coalesce(F.avg(f), F.lit(0.0)).alias(f) for f in made.features]).first()
+        for regime, feats in regimes.items():
+            vectors = (VectorAssembler(inputCols=list(feats), outputCol="features")
+                       .transform(own.fillna({f: means[f] for f in feats}))
+                       .select(*made.keys, *made.ids, "split", target, "features").checkpoint(eager=True))
+            for model, learner in learners.items():
+                fitted = mllib(learner, target).fit(vectors.where("split = 'train'"))
+                preds.append(fitted.transform(vectors.where("split = 'test'")).select(
+                    *made.keys, *made.ids, F.lit(regime).alias("regime"), F.lit(model).alias("model"),
+                    F.col(target).cast("double").alias("y"), F.col("prediction").alias("y_hat")))
+                imps += [(*[name[k] for k in made.keys], regime, model, f, float(w))
+                         for f, w in zip(feats, fitted.featureImportances.toArray())]
+    return preds, imps
+
+
+def fit_models(df: DataFrame, made: E.Design, learners: dict, regimes: dict[str, Sequence[str]], target: str):
+    """(predictions, importances) of every learner and regime for every model of ``df`` (column ``split``) and its design."""
+    preds, imps, _ = E.fit(made, learners, regimes)
+    more, shares = fit_large(df, made, learners, regimes, target)
+    for p in more:
+        preds = preds.unionByName(p)
+    if shares:
+        imps = imps.union(df.sparkSession.createDataFrame(shares, imps.schema))
+    return preds, imps
 
 
 def standardize(df: DataFrame, cols: Sequence[str], fit_filter=None, reuse: bool = True
@@ -93,72 +86,76 @@ def unstandardize(df: DataFrame, col: str, z: str, out: str, fit_rows: DataFrame
     return df.withColumn(out, F.col(z) * F.when(sd == 0, F.lit(1.0)).otherwise(sd) + mu)
 
 
+def regime_features(panel: DataFrame, regimes: Sequence[str], target: str) -> dict[str, list[str]]:
+    return {r: feature_columns(panel, policy_neutral=(r == "B"), target=target) for r in regimes}
+
+
+def regime_design(panel: DataFrame, train_end: str, test_start: str | None, keys: Sequence[str] = ("commodity", "market"),
+                  target: str = "price_target") -> tuple[DataFrame, E.Design]:
+    """The split panel and its binned design, one model per commodity."""
+    df = temporal_split(panel, train_end, test_start)
+    by = [k for k in keys if k == GROUP]
+    return df, E.design(df, feature_columns(panel, target=target), by, [*[k for k in keys if k not in by], "date"], target)
+
+
 def fit_regimes(panel: DataFrame, train_end: str, test_start: str | None, learners: dict,
                 regimes: Sequence[str] = ("A", "B"), keys: Sequence[str] = ("commodity", "market"),
                 target: str = "price_target"):
-    """M9: fit every learner on every regime over one shared design; returns (predictions, importances)."""
-    every = feature_columns(panel, target=target)
-    data = design(panel, every, train_end, test_start)
-    preds, imps = [], []
-    for regime in regimes:
-        feats = feature_columns(panel, policy_neutral=(regime == "B"), target=target)
-        vectors = (assembled(data, feats).where(F.col("split").isin("train", "test"))
-                   .select(*keys, "date", "split", target, "features").checkpoint(eager=True))
-        train, test = (vectors.where(F.col("split") == s) for s in ("train", "test"))
-        for name, learner in learners.items():
-            model = learner.fit(train)
-            preds.append(model.transform(test).select(
-                *keys, "date", F.lit(regime).alias("regime"), F.lit(name).alias("model"),
-                F.col(target).alias("y"), F.col("prediction").alias("y_hat")))
-            names = [*feats, INDEX] if INDEX in data.columns else feats
-            imps += [(regime, name, f, float(w)) for f, w in zip(names, model.featureImportances.toArray())]
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
-    return out, panel.sparkSession.createDataFrame(
-        imps, "regime string, model string, feature string, importance double")
+    """M9: every learner on every regime for every commodity; returns (predictions, importances per commodity)."""
+    df, made = regime_design(panel, train_end, test_start, keys, target)
+    return fit_models(df, made, learners, regime_features(panel, regimes, target), target)
 
 
 def top_features(importances: DataFrame, n: int = 3) -> DataFrame:
-    """M3 + O3: the ``n`` most important features per (regime, model) and the top share."""
-    w = Window.partitionBy("regime", "model").orderBy(F.desc("importance"), "feature")
+    """M3 + O3: the ``n`` most important features per (commodity, regime, model) and the top share."""
+    by = [c for c in importances.columns if c not in ("feature", "importance")]
+    w = Window.partitionBy(*by).orderBy(F.desc("importance"), "feature")
     return (importances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
 
 
+def in_folds(panel: DataFrame, folds: Sequence[tuple]) -> DataFrame:
+    """The rows of every fold (number, train end, test start, test end) with their ``split``."""
+    day = lambda d: F.lit(d).cast("date")
+    every = F.array(*[F.struct(F.lit(n).alias("fold"), day(a).alias("train_end"), day(b).alias("test_start"),
+                               day(c).alias("test_end")) for n, a, b, c in folds])
+    rows = panel.withColumn("_f", F.explode(every)).withColumn("fold", F.col("_f.fold"))
+    date = F.col("date")
+    split = (F.when(date <= F.col("_f.train_end"), "train")
+             .when(date.between(F.col("_f.test_start"), F.col("_f.test_end")), "test"))
+    return rows.withColumn("split", split).where("split IS NOT NULL").drop("_f")
+
+
 def rolling_cv(panel: DataFrame, folds: Sequence[tuple], learners: dict,
                keys: Sequence[str] = ("commodity", "market"), target: str = "price_target",
                naive: str | None = "price_lag7") -> DataFrame:
-    """M8: expanding-window folds; every learner refit per fold; fold MAPE rows per commodity.
+    """M8: expanding-window folds; every learner refit per fold and commodity, all of them in one job; fold MAPE rows.
 
     The seasonal naive (column ``naive``) is scored on the same test rows.
     """
-    rows = []
-    for fold, train_end, test_start, test_end in folds:
-        window = panel.where(F.col("date") <= F.lit(test_end).cast("date"))
-        preds, _ = fit_regimes(window, train_end, test_start, learners, ("A",), keys, target)
-        preds = preds.drop("regime")
-        if naive:
-            test = window.where(F.col("date") >= F.lit(test_start).cast("date"))
-            preds = preds.unionByName(test.select(*keys, "date", F.lit("naive").alias("model"),
-                                                  F.col(target).alias("y"), F.col(naive).alias("y_hat")))
-        rows.append(preds.withColumn("fold", F.lit(fold)))
-    allp = rows[0]
-    for r in rows[1:]:
-        allp = allp.unionByName(r)
+    rows = in_folds(panel, folds)
+    by = ["fold", *[k for k in keys if k == GROUP]]
+    feats = feature_columns(panel, target=target)
+    made = E.design(rows, feats, by, [*[k for k in keys if k not in by], "date"], target)
+    preds, _ = fit_models(rows, made, learners, {"A": feats}, target)
+    preds = preds.select(*by, "model", "y", "y_hat")
+    if naive:
+        preds = preds.unionByName(rows.where("split = 'test'").select(
+            *by, F.lit("naive").alias("model"), F.col(target).alias("y"), F.col(naive).alias("y_hat")))
     e = F.abs((F.col("y") - F.col("y_hat")) / F.col("y"))
-    by = ["fold", GROUP, "model"] if GROUP in allp.columns else ["fold", "model"]
-    return allp.groupBy(*by).agg((F.avg(F.when(F.col("y") != 0, e)) * 100).alias("mape"))
+    return preds.groupBy(*by, "model").agg((F.avg(F.when(F.col("y") != 0, e)) * 100).alias("mape"))
 
 
-def save_pipeline(train: DataFrame, features: Sequence[str], learner, path: str) -> PipelineModel:
-    """Commodity index, assembly and learner as one PipelineModel, written with overwrite."""
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol=GROUP, outputCol=INDEX, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=[*features, INDEX], outputCol="features", handleInvalid="keep"), learner])
-    model = pipe.fit(train)
-    model.write().overwrite().save(path)
-    return model
+def save_models(made: E.Design, trees: DataFrame, path: str) -> None:
+    """Trees, edges and feature names as tables, written with overwrite."""
+    trees.write.mode("overwrite").parquet(f"{path}/trees")
+    made.stats.write.mode("overwrite").parquet(f"{path}/design")
+    names = [(i, f) for i, f in enumerate(made.features)]
+    made.stats.sparkSession.createDataFrame(names, "place int, feature string").write.mode("overwrite").parquet(f"{path}/features")
 
 
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def apply_saved(path: str, df: DataFrame, keys: Sequence[str], ids: Sequence[str], target: str = "price_target") -> DataFrame:
+    """Predictions of written models for the rows of ``df``."""
+    spark = df.sparkSession
+    features = [r.feature for r in spark.read.parquet(f"{path}/features").orderBy("place").collect()]
+    made = E.apply_design(df, spark.read.parquet(f"{path}/design"), features, keys, ids, target)
+    return E.predict(spark.read.parquet(f"{path}/trees"), made)

@@ -12,12 +12,14 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from panelmill.params import RF_PARAMS
+
 # table name -> registered query
 OUTPUT_TABLES = {
     "daily_panel": "feature_panel",
     "daily_agg": "p7_daily_agg",
     "model_results": "m9_regime_metrics",
-    "predictions": "m1_m2_m9_regime_predictions",
+    "predictions": "m9_predictions_wide",
     "feature_importance": "m3_o3_top_features",
     "rolling_cv": "m8_rolling_cv_models",
     "multihorizon": "g9_model_horizons",
@@ -28,18 +30,18 @@ OUTPUT_TABLES = {
     "welfare_scenarios": "v6_scenarios",
     "welfare_scenarios_forest": "v6_scenarios_forest",
     "weather_panel_results": "m10_fe_regression",
-    "monte_carlo_results": "v11_mc_summary",
-    "mc_draws": "v9_v10_draws",
-    "sensitivity_procurement": "v7_procurement_sensitivity",
-    "sensitivity_elasticity": "v8_elasticity_stress",
+    "monte_carlo_results": "v11_mc_summary_forest",
+    "mc_draws": "v9_v10_draws_forest",
+    "sensitivity_procurement": "v7_sensitivity_forest",
+    "sensitivity_elasticity": "v8_stress_forest",
 }
 
 
 def write_outputs(spark: SparkSession, sf_dir: str, out_root: str,
-                  tables: list[str] | None = None, full_trees: bool = True) -> dict[str, str]:
+                  tables: list[str] | None = None, forest_trees: int = RF_PARAMS["num_trees"]) -> dict[str, str]:
     from panelmill.plans.registry import QUERIES, load_all
     load_all()
-    spark.conf.set("spark.panelmill.trees", "full" if full_trees else "small")
+    spark.conf.set("spark.panelmill.forest.trees", str(forest_trees))
     written = {}
     for name in tables or list(OUTPUT_TABLES):
         path = f"{out_root.rstrip('/')}/{name}"

@@ -60,6 +60,11 @@ def v11_mc_summary_forest(spark, sf_dir):
     return U.dual_summary(U.all_draws(forest_params(spark, sf_dir)))
 
 
+@query("v9_v10_draws_forest")
+def v9_v10_draws_forest(spark, sf_dir):
+    return U.all_draws(forest_params(spark, sf_dir))
+
+
 @query("v12_curve_forest")
 def v12_curve_forest(spark, sf_dir):
     return V.welfare_curve(forest_params(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelmill import bindings as B
 from panelmill.functions.calendar import CALENDAR_SQL, CYCLICAL_SQL, add_temporal_features
+from panelmill.operators import blocked as BL
 from panelmill.operators import windows as W
 from panelmill.operators.aggregates import daily_mean
 from panelmill.params import MOVING_WINDOWS, PRICE_LAGS
@@ -81,6 +82,31 @@ def w7_target(spark, sf_dir):
     return rounded(price_features(spark, sf_dir).select("market", "date", "price_target"))
 
 
+def blocked_spine(spark, sf_dir, rows):
+    """The imputed spine by blocks of ``rows`` rows, with its places."""
+    return BL.interpolate_in_blocks(BL.numbered(B.spine(spark, sf_dir), KEYS, "date"), "price_modal", KEYS, "date", rows)
+
+
+@query("w5_interpolate_blocked", B.sql_with("imputed") + f"""
+  SELECT state, market, date, {r('price_modal', 'price_modal')} FROM imputed""")
+def w5_interpolate_blocked(spark, sf_dir):
+    """W5/W6 with the carry by block summaries: the path of a series too long for one task."""
+    return rounded(blocked_spine(spark, sf_dir, 512).select("state", "market", "date", "price_modal"))
+
+
+BLOCKED = ([f"price_lag{k}" for k in PRICE_LAGS] + [f"price_ma{n}" for n in MOVING_WINDOWS]
+           + ["price_std7", "price_std30", "price_ret1", "price_ret7", "price_target"])
+
+
+@query("w1_w7_blocked", B.sql_with("pfeat") + "SELECT market, date, " + ", ".join(r(c, c) for c in BLOCKED) + " FROM pfeat")
+def w1_w7_blocked(spark, sf_dir):
+    """W1-W4, W7 (and W15, which is the lag of 7) over blocks of 512 rows with halos of 30 rows and one row."""
+    def features(df, keys):
+        return W.add_lead_target(W.add_price_features(df, keys=keys), keys=keys)
+    df = BL.in_blocks(blocked_spine(spark, sf_dir, 512), KEYS, "date", features, 30, 1, 512, placed=True)
+    return rounded(df.select("market", "date", *BLOCKED))
+
+
 @query("f1_calendar", B.sql_with("panel") + f"""
   SELECT market, date, {CALENDAR_SQL.format(d='date')} FROM panel""")
 def f1_calendar(spark, sf_dir):

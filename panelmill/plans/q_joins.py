@@ -8,6 +8,7 @@ from panelmill import bindings as B
 from panelmill.operators import joins as J
 from panelmill.operators import selection as P
 from panelmill.operators import windows as W
+from panelmill.operators.blocked import in_blocks
 from panelmill.params import FOLDS, TEST_START, TRAIN_END
 from panelmill.plans.common import imputed_spine, r, rounded
 from panelmill.plans.features import ALL_FEATURES, build_feature_panel, feature_panel_sql
@@ -78,6 +79,11 @@ def j1_weather_join(spark, sf_dir):
                              "extreme_heat_days", "drought_indicator"))
 
 
+B.register_cte("fact_quantiles", """SELECT l_returnflag, quantile_cont(x, 0.5) AS median_msp, quantile_cont(x, 0.05) AS ci_lower,
+    quantile_cont(x, 0.95) AS ci_upper, quantile_cont(x, 0.95) - quantile_cont(x, 0.05) AS ci_width, stddev_pop(x) AS sd
+  FROM (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem) GROUP BY 1""", ())
+
+
 @query("w10_temp_anomaly", B.sql_with("wfeat") + f"""
   SELECT state, date, {r('temp_anomaly', 'temp_anomaly')} FROM wfeat""")
 def w10_temp_anomaly(spark, sf_dir):
@@ -103,6 +109,38 @@ def g4_rain_p25(spark, sf_dir):
     return rounded(group_quantile(cov, "rainfall_daily", ["state", "month"], 0.25, "rain_p25"))
 
 
+@query("w10_w11_blocked", B.sql_with("wfeat") + f"""
+  SELECT state, date, {r('temp_anomaly', 'temp_anomaly')}, {r('rainfall_7d_cum', 'rainfall_7d_cum')} FROM wfeat""")
+def w10_w11_blocked(spark, sf_dir):
+    """W10 and W11 over blocks of 256 rows with halos of 30 rows."""
+    def features(df, keys):
+        df = W.add_rolling_anomaly(df, "max_temp", keys, "date", 30, 7, "temp_anomaly")
+        return W.add_rolling_sum(df, "rainfall_daily", keys, "date", 7)
+    df = in_blocks(B.covariates(spark, sf_dir), ["state"], "date", features, 30, 0, 256)
+    return rounded(df.select("state", "date", "temp_anomaly", "rainfall_7d_cum"))
+
+
+@query("g4_rain_p25_selected", B.sql_with("covariates") + f"""
+  SELECT state, CAST(month(date) AS INTEGER) AS month,
+    {r('quantile_cont(CAST(rainfall_daily AS DOUBLE), 0.25)', 'rain_p25')}
+  FROM covariates GROUP BY 1, 2""")
+def g4_rain_p25_selected(spark, sf_dir):
+    """G4 by distributed selection."""
+    from panelmill.operators.aggregates import group_quantile
+    cov = B.covariates(spark, sf_dir).withColumn("month", F.month("date").cast("int"))
+    return rounded(group_quantile(cov, "rainfall_daily", ["state", "month"], 0.25, "rain_p25", "select"))
+
+
+@query("g13_price_quantiles", B.sql_with("fact_quantiles") + f"""
+  SELECT l_returnflag, {r('median_msp', 'median_msp')}, {r('ci_lower', 'ci_lower')}, {r('ci_upper', 'ci_upper')},
+    {r('ci_width', 'ci_width')}, {r('sd', 'sd')} FROM fact_quantiles""")
+def g13_price_quantiles(spark, sf_dir):
+    """G13 over all fact rows: three groups, each too large for one task's map at scale, by distributed selection."""
+    from panelmill.operators.aggregates import quantile_summary
+    x = B.table(spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice")
+    return rounded(quantile_summary(x.withColumn("x", F.col("l_extendedprice").cast("double")), "x", ["l_returnflag"], "select"))
+
+
 @query("j3_asof_policy", B.sql_with("fp_pol0") + f"""
   SELECT commodity, market, date, {r('msp_current', 'msp_current')} FROM fp_pol0""")
 def j3_asof_policy(spark, sf_dir):

@@ -12,54 +12,62 @@ from pyspark.sql import functions as F
 
 from panelmill import bindings as B
 from panelmill.functions.special import normal_two_sided
+from panelmill.operators import ensembles as E
 from panelmill.operators import metrics as M
 from panelmill.operators import models as ML
 from panelmill.operators import series as S
 from panelmill.operators.impute import impute_prices
-from panelmill.operators.selection import feature_columns
+from panelmill.operators.selection import feature_columns, temporal_split
 from panelmill.params import FOLDS, HORIZONS, TEST_START, TRAIN_END
 from panelmill.plans.common import r, rounded
 import panelmill.plans.q_joins  # noqa: F401
 from panelmill.plans.q_joins import feature_panel
 from panelmill.plans.registry import query
-from panelmill.session import ensure_checkpoint_dir, materialize, scratch_path
+from panelmill.session import ensure_checkpoint_dir, materialize, remembered, scratch_path
+from panelmill.sources.files import listing
 
 SERIES_KINDS = ("sarima", "sarima_aic", "ets")
 KEYS = ["commodity", "market"]
 
-#: Fitted forecasts by (application, tables): several queries read them, so they are fitted once per session.
-_FITTED: dict[tuple[str, str, str, str], object] = {}
-
-
 def once(spark, sf_dir, name, make):
-    key = (spark.sparkContext.applicationId, sf_dir, name, spark.conf.get("spark.panelmill.trees", "small"))
-    if key not in _FITTED:
-        _FITTED[key] = make()
-    return _FITTED[key]
+    """A fitted table that several queries read: made once for the same files, as long as its scratch tables stand."""
+    return remembered(spark, (sf_dir, name, repr(learners(spark)), listing(spark, sf_dir)), make)
 
 
 def learners(spark):
-    """The calibrated ensembles (RF_PARAMS, GB_PARAMS) if ``spark.panelmill.trees`` is ``full``.
-
-    By default the queries fit small ones: 200 trees of depth 20 take MLlib longer than a check may (README).
-    The rows, features, regimes and every table built on the forecasts are the same.
-    """
-    if spark.conf.get("spark.panelmill.trees", "small") == "full":
-        return {"rf": ML.forest(), "gb": ML.boosted()}
-    return {"rf": ML.forest(num_trees=20, max_depth=5), "gb": ML.boosted(max_iter=20, max_depth=4)}
+    """The calibrated boosting and forest; the forest of the registered queries has 50 of its 200 trees (README), unless
+    ``spark.panelmill.forest.trees`` says otherwise."""
+    trees = int(spark.conf.get("spark.panelmill.forest.trees", "50"))
+    return {"rf": E.Forest(trees=trees), "gb": E.Boosted()}
 
 
 def panel(spark, sf_dir):
     return once(spark, sf_dir, "panel", lambda: materialize(feature_panel(spark, sf_dir)))
 
 
-def regime_predictions(spark, sf_dir):
-    """(predictions, importances) of both trees and regimes, as written tables."""
+def design(spark, sf_dir):
+    return once(spark, sf_dir, "design", lambda: ML.regime_design(panel(spark, sf_dir), TRAIN_END, TEST_START))
+
+
+def regime_piece(spark, sf_dir, regime, model):
+    """(predictions, importances) of one learner and regime, all commodities, as written tables: a run that was
+    stopped goes on after the pieces it has."""
     def make():
-        ensure_checkpoint_dir(spark)
-        preds, imps = ML.fit_regimes(panel(spark, sf_dir), TRAIN_END, TEST_START, learners(spark))
+        df, made = design(spark, sf_dir)
+        feats = ML.regime_features(panel(spark, sf_dir), [regime], "price_target")
+        preds, imps = ML.fit_models(df, made, {model: learners(spark)[model]}, feats, "price_target")
         return materialize(preds), materialize(imps)
-    return once(spark, sf_dir, "trees", make)
+    return once(spark, sf_dir, f"trees-{regime}-{model}", make)
+
+
+def regime_predictions(spark, sf_dir):
+    """(predictions, importances) of both trees and regimes."""
+    ensure_checkpoint_dir(spark)
+    pieces = [regime_piece(spark, sf_dir, g, m) for g in ("A", "B") for m in learners(spark)]
+    out = pieces[0]
+    for p in pieces[1:]:
+        out = tuple(a.unionByName(b) for a, b in zip(out, p))
+    return out
 
 
 def naive_predictions(spark, sf_dir):
@@ -133,11 +141,36 @@ def m1_m2_m9_keys(spark, sf_dir):
     return rounded(preds.select(*KEYS, "date", "regime", "model", "y", inside.alias("inside")))
 
 
-@query("m3_importance_sum", "SELECT regime, model, 1.0e0 AS total FROM (VALUES ('A'), ('B')) v(regime), "
-       "(VALUES ('rf'), ('gb')) w(model)")
+@query("m3_importance_sum", B.sql_with("fpanel") + """
+  SELECT commodity, regime, model, 1.0e0 AS total, CASE regime WHEN 'A' THEN 39 ELSE 33 END AS n_features
+  FROM (SELECT DISTINCT commodity FROM fpanel), (VALUES ('A'), ('B')) v(regime), (VALUES ('rf'), ('gb')) w(model)""")
 def m3_importance_sum(spark, sf_dir):
+    """Importances of every commodity, regime and learner: shares of all its features."""
     _, imp = regime_predictions(spark, sf_dir)
-    return imp.groupBy("regime", "model").agg(F.round(F.sum("importance"), 6).alias("total"))
+    return imp.groupBy("commodity", "regime", "model").agg(
+        F.round(F.sum("importance"), 6).alias("total"), F.countDistinct("feature").cast("int").alias("n_features"))
+
+
+MODELS = ["naive", "sarima_aic", "sarima_fix", "ets", "rf", "gb"]
+
+
+@query("j7_predictions_models", B.sql_with("fpanel") + f"""
+  SELECT commodity, market, date, regime, {r('price_target', 'actual')}, {r('price_lag7', 'naive')}, 5 AS n_others
+  FROM fpanel, (VALUES ('A'), ('B')) v(regime) WHERE date >= DATE '{TEST_START}'""")
+def j7_predictions_models(spark, sf_dir):
+    """One row per test day with one column per model; the twin checks actual, naive and that no model is missing."""
+    wide = predictions_wide(spark, sf_dir)
+    others = sum(F.col(m).isNotNull().cast("int") for m in MODELS[1:])
+    return rounded(wide.select(*KEYS, "date", "regime", "actual", "naive", others.alias("n_others")))
+
+
+@query("m9_predictions_wide")
+def predictions_wide(spark, sf_dir):
+    """The reference's prediction table: date, actual and one column per model."""
+    p = long_predictions(spark, sf_dir)
+    return (p.groupBy(*KEYS, "date", "regime").pivot("model", MODELS).agg(F.max("y_hat"))
+            .join(p.where("model = 'naive'").select(*KEYS, "date", "regime", F.col("y").alias("actual")),
+                  [*KEYS, "date", "regime"]).select(*KEYS, "date", "regime", "actual", *MODELS))
 
 
 @query("m9_regime_metrics")
@@ -233,19 +266,71 @@ def m4_inverse(spark, sf_dir):
 def m8_rolling_cv_models(spark, sf_dir):
     """Expanding-window CV of forest, boosting and naive per commodity: mean and population SD of fold MAPE."""
     ensure_checkpoint_dir(spark)
-    fm = once(spark, sf_dir, "cv", lambda: materialize(ML.rolling_cv(panel(spark, sf_dir), FOLDS, learners(spark))))
+    fp, fm = panel(spark, sf_dir), None
+    for i, (name, learner) in enumerate(learners(spark).items()):  # the naive is scored once
+        piece = once(spark, sf_dir, f"cv-{name}", lambda: materialize(ML.rolling_cv(
+            fp, FOLDS, {name: learner}, naive=None if i else "price_lag7")))
+        fm = piece if fm is None else fm.unionByName(piece)
     return M.cv_summary(fm, ["commodity", "model"])
 
 
-@query("s10_model_persistence")
+@query("s10_model_persistence", B.sql_with("fpanel") + f"""
+  SELECT commodity, market, date, {r('price_target', 'y')}, true AS same FROM fpanel WHERE date >= DATE '{TEST_START}'""")
 def s10_model_persistence(spark, sf_dir):
-    """Fit a pipeline, write it, load it back and score the test rows."""
+    """Fit the policy-neutral forests, write them, load them and score the test rows: as the fitted ones do."""
     fp = panel(spark, sf_dir)
     feats = feature_columns(fp, policy_neutral=True)
-    data = ML.design(fp, feats, TRAIN_END, TEST_START).drop(ML.INDEX)
+    df = temporal_split(fp, TRAIN_END, TEST_START)
+    made = E.design(df, feats, ["commodity"], ["market", "date"], "price_target")
+    preds, _, trees = E.fit(made, {"rf": E.Forest(trees=20)}, {"B": feats}, keep=True)
     path = scratch_path(spark, "model")
-    ML.save_pipeline(data.where(F.col("split") == "train"), feats, learners(spark)["rf"], path)
-    model = ML.load_pipeline(path)
-    return model.transform(data.where(F.col("split") == "test")).select(
-        "commodity", "market", "date", F.col("price_target").alias("y"),
-        F.col("prediction").alias("y_hat"))
+    ML.save_models(made, trees, path)
+    again = ML.apply_saved(path, df.where("split = 'test'"), ["commodity"], ["market", "date"])
+    both = again.join(preds.select("commodity", "market", "date", F.col("y_hat").alias("fitted")), ["commodity", "market", "date"])
+    return rounded(both.select(*KEYS, "date", "y", (F.abs(F.col("y_hat") - F.col("fitted")) < 1e-6).alias("same")))
+
+
+SPLIT_FEATURES = ["month", "day_of_week", "year", "extreme_heat_days", "drought_indicator"]
+
+
+def _tree_sql() -> str:
+    """A tree of depth 2 by hand: the best split of every node by the decrease of the squared error over whole numbers."""
+    level = """
+      t{n} AS (SELECT commodity, node, count(*) AS n, sum(q) AS s FROM r{n} GROUP BY 1, 2),
+      c{n} AS (SELECT commodity, node, f, x, sum(n) OVER w AS nl, sum(s) OVER w AS sl FROM (
+                 SELECT commodity, node, f, v[f] AS x, count(*) AS n, sum(q) AS s FROM r{n}, range(1, {k}) g(f) GROUP BY 1, 2, 3, 4)
+               WINDOW w AS (PARTITION BY commodity, node, f ORDER BY x)),
+      g{n} AS (SELECT commodity, node, f, x, n, s, CASE WHEN nl < n THEN
+                 pow(sl - nl * (CAST(s AS DOUBLE) / n), 2) / (nl * (n - nl)) * n ELSE 0 END AS gain
+               FROM c{n} JOIN t{n} USING (commodity, node)),
+      b{n} AS (SELECT * FROM g{n} QUALIFY row_number() OVER (PARTITION BY commodity, node ORDER BY gain DESC, f, x) = 1),"""
+    k, names = len(SPLIT_FEATURES) + 1, ", ".join(f"CAST({f} AS DOUBLE)" for f in SPLIT_FEATURES)
+    return B.sql_with("fpanel") + f""",
+      r1 AS (SELECT commodity, 'root' AS node, [{names}] AS v, CAST(floor(price_target + 0.5) AS BIGINT) AS q
+             FROM fpanel WHERE date <= DATE '{TRAIN_END}'), {level.format(n=1, k=k)}
+      r2 AS (SELECT r1.commodity, CASE WHEN v[f] <= x THEN 'left' ELSE 'right' END AS node, v, q FROM r1 JOIN b1 USING (commodity)),
+      {level.format(n=2, k=k)}
+      every AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2)
+      SELECT commodity, node, [{", ".join(f"'{f}'" for f in SPLIT_FEATURES)}][f] AS feature, CAST(x AS DOUBLE) AS threshold,
+        {r('CAST(s AS DOUBLE) / n', 'mean')} FROM every"""
+
+
+@query("m1_tree_splits", _tree_sql())
+def m1_tree_splits(spark, sf_dir):
+    """The splits of a regression tree of depth 2 per commodity, grown on all training rows (target in whole units)."""
+    fp = panel(spark, sf_dir)
+    df = fp.withColumn("whole", F.floor(F.col("price_target") + 0.5)).withColumn(
+        "split", F.when(F.col("date") <= F.lit(TRAIN_END).cast("date"), "train"))
+    made = E.design(df, SPLIT_FEATURES, ["commodity"], ["market", "date"], "whole")
+    one = E.Forest(trees=1, max_depth=2, min_split=2, sampled=False)
+    _, _, trees = E.fit(made, {"tree": one}, {"A": SPLIT_FEATURES}, keep=True)
+    first = F.col("left")[0]
+    spots = F.explode(F.array(*[F.struct(F.lit(name).alias("node"), at.alias("at")) for name, at in
+                                (("root", F.lit(0)), ("left", first), ("right", first + 1))])).alias("spot")
+    nodes = trees.join(made.stats.select("commodity", "edges"), "commodity").select(
+        "commodity", "feature", "bin", "value", "edges", spots)
+    at = F.col("spot.at")
+    f = F.get("feature", at)
+    name = F.get(F.array(*map(F.lit, SPLIT_FEATURES)), f)
+    return rounded(nodes.select("commodity", F.col("spot.node").alias("node"), name.alias("feature"),
+                                F.get(F.get("edges", f), F.get("bin", at)).alias("threshold"), F.get("value", at).alias("mean")))

@@ -131,8 +131,21 @@ def _file_system(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+_REMEMBERED: dict[tuple, object] = {}  # results of ``remembered``; their tables are scratch tables
+
+
+def remembered(spark: SparkSession, key: tuple, make):
+    """The result of ``make``, made once per application and key until scratch tables are cleared."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _REMEMBERED:
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
 def clear_scratch(spark: SparkSession, since: int = 0) -> None:
     """Delete the scratch folders handed out from number ``since`` on; no result may still read them."""
+    if len(_SCRATCH) > since:
+        _REMEMBERED.clear()
     while len(_SCRATCH) > since:
         place, fs = _file_system(spark, _SCRATCH.pop())
         fs.delete(place, True)

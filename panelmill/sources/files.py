@@ -35,3 +35,12 @@ def list_files(spark: SparkSession, pattern: str, suffix: str = "") -> list[str]
         elif path.endswith(suffix):
             out.append(path)
     return sorted(out)
+
+
+def listing(spark: SparkSession, folder: str) -> tuple:
+    """(name, bytes, time) of the files of a folder and its folders: changes when a table under it does."""
+    out = []
+    for pattern in (f"{folder}/*", f"{folder}/*/*"):
+        p, fs = _fs(spark, pattern)
+        out += [(str(s.getPath()), s.getLen(), s.getModificationTime()) for s in (fs.globStatus(p) or []) if s.isFile()]
+    return tuple(sorted(out))

@@ -10,7 +10,7 @@ from tools.check_oracle import TABLES, rows_of
 
 # Values of fitted models; their keys, targets, ranges and sums have queries with an oracle.
 ROWS_ONLY = {"m10_fe_regression", "m1_m2_m9_regime_predictions", "m9_regime_metrics", "m3_o3_top_features",
-             "m8_rolling_cv_models", "s10_model_persistence", "m5_ets_forecast", "m6_sarima_forecast",
+             "m8_rolling_cv_models", "m9_predictions_wide", "v9_v10_draws_forest", "m5_ets_forecast", "m6_sarima_forecast",
              "m7_sarima_aic_forecast", "m5_m7_series_metrics", "o2_leaderboard", "g9_model_horizons",
              "j8_regime_pairs", "g12_models_vs_naive", "g17_model_prices", "v5_regret_models",
              "v6_scenarios_forest", "v7_sensitivity_forest", "v8_stress_forest", "v11_mc_summary_forest",
@@ -18,7 +18,7 @@ ROWS_ONLY = {"m10_fe_regression", "m1_m2_m9_regime_predictions", "m9_regime_metr
 
 SAMPLE = ["g1_daily_mean", "w5_interpolate", "feature_panel", "j3_asof_policy",
           "g12_diebold_mariano", "g9_multihorizon", "v6_scenarios", "v8_elasticity_stress",
-          "v11_mc_summary", "m10_within_slopes", "m10_two_regressors", "m10_normal_equations", "g12_dm_pvalue",
+          "v11_mc_summary", "w5_interpolate_blocked", "w1_w7_blocked", "g13_price_quantiles", "m1_tree_splits", "m10_within_slopes", "m10_two_regressors", "m10_normal_equations", "g12_dm_pvalue",
           "m5_fixed_parameters", "v3_interior_optima", "v7_interior_sensitivity", "s3_source_fallback", "s9_default_prices",
           "s1_s2_price_files", "g16_draw_histogram", "p11_dense_codes", "j4_cv_folds", "w16_lookback_multi"]
 

@@ -58,10 +58,11 @@ def test_output_tables_written(spark):
 @pytest.fixture
 def small_trees(monkeypatch):
     """Small ensembles: the tests look at shapes and keys, not at accuracy."""
-    from panelmill.operators import models as ML
+    from panelmill import session
+    from panelmill.operators import ensembles as E
     from panelmill.plans import q_models as Q
-    monkeypatch.setattr(Q, "learners", lambda spark: {"rf": ML.forest(3, 3), "gb": ML.boosted(3, 2)})
-    monkeypatch.setattr(Q, "_FITTED", {})
+    monkeypatch.setattr(Q, "learners", lambda spark: {"rf": E.Forest(3, 3), "gb": E.Boosted(3, 2)})
+    monkeypatch.setattr(session, "_REMEMBERED", {})
     return Q
 
 
@@ -72,12 +73,13 @@ def test_long_predictions_of_all_models(spark, small_trees):
     assert set(n) == {(g, m) for g in "AB" for m in ("naive", "sarima_fix", "sarima_aic", "ets", "rf", "gb")}
     assert len(set(n.values())) == 1  # as many rows for every model
     _, imp = Q.regime_predictions(spark, SF_SMALL)
-    sums = {(r.regime, r.model): r.s for r in imp.groupBy("regime", "model").agg({"importance": "sum"})
+    sums = {(r.commodity, r.regime, r.model): r.s for r in imp.groupBy("commodity", "regime", "model").agg({"importance": "sum"})
             .withColumnRenamed("sum(importance)", "s").collect()}
-    assert len(sums) == 4 and all(abs(v - 1.0) < 1e-6 for v in sums.values())
+    assert len(sums) == 4 * imp.select("commodity").distinct().count() and all(abs(v - 1.0) < 1e-6 for v in sums.values())
     feats = {(r.regime, r.feature) for r in imp.collect()}
     assert ("A", "msp_current") in feats and ("B", "msp_current") not in feats  # regime B is policy-neutral
-    assert ("B", "commodity_index") in feats
+    top = Q.m3_o3_top_features(spark, SF_SMALL).collect()
+    assert {r["rank"] for r in top} == {1, 2, 3} and len(top) == 3 * len(sums)  # per commodity, regime and model
     board = Q.o2_leaderboard(spark, SF_SMALL).collect()
     assert {r["rank"] for r in board} == set(range(1, 7)) and len({r.commodity for r in board}) * 12 == len(board)
     dm = Q.g12_models_vs_naive(spark, SF_SMALL).collect()
@@ -97,9 +99,10 @@ def test_policy_tables_from_forest_prices(spark, small_trees):
 
 
 def test_rolling_cv_has_the_naive_and_every_commodity(spark, small_trees):
+    from panelmill.operators import ensembles as E
     from panelmill.operators import models as ML
     Q = small_trees
-    fm = ML.rolling_cv(Q.panel(spark, SF_SMALL), Q.FOLDS, {"rf": ML.forest(2, 2)}).collect()
+    fm = ML.rolling_cv(Q.panel(spark, SF_SMALL), Q.FOLDS, {"rf": E.Forest(2, 2)}).collect()
     assert {r.model for r in fm} == {"rf", "naive"} and {r.fold for r in fm} == {1, 2, 3}
     assert len({r.commodity for r in fm}) * 6 == len(fm)
 
