@@ -19,7 +19,7 @@ ROWS_ONLY = {"m10_fe_regression", "m1_m2_m9_regime_predictions", "m9_regime_metr
 SAMPLE = ["g1_daily_mean", "w5_interpolate", "feature_panel", "j3_asof_policy",
           "g12_diebold_mariano", "g9_multihorizon", "v6_scenarios", "v8_elasticity_stress",
           "v11_mc_summary", "w5_interpolate_blocked", "w1_w7_blocked", "g13_price_quantiles", "m1_tree_splits", "m10_within_slopes", "m10_two_regressors", "m10_normal_equations", "g12_dm_pvalue",
-          "m5_fixed_parameters", "v3_interior_optima", "v7_interior_sensitivity", "s3_source_fallback", "s9_default_prices",
+          "m5_grid", "m6_seasonal_ar", "v3_interior_optima", "v7_interior_sensitivity", "s3_source_fallback", "s9_default_prices",
           "s1_s2_price_files", "g16_draw_histogram", "p11_dense_codes", "j4_cv_folds", "w16_lookback_multi"]
 
 

@@ -55,15 +55,16 @@ def test_output_tables_written(spark):
     assert spark.read.parquet(paths["sensitivity_elasticity"]).count() == 30
 
 
-@pytest.fixture
-def small_trees(monkeypatch):
-    """Small ensembles: the tests look at shapes and keys, not at accuracy."""
+@pytest.fixture(scope="module")
+def small_trees():
+    """Small ensembles: the tests look at shapes and keys, not at accuracy. The fits are shared by the tests."""
     from panelmill import session
     from panelmill.operators import ensembles as E
     from panelmill.plans import q_models as Q
-    monkeypatch.setattr(Q, "learners", lambda spark: {"rf": E.Forest(3, 3), "gb": E.Boosted(3, 2)})
-    monkeypatch.setattr(session, "_REMEMBERED", {})
-    return Q
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Q, "learners", lambda spark: {"rf": E.Forest(3, 3), "gb": E.Boosted(3, 2)})
+        patch.setattr(session, "_REMEMBERED", {})
+        yield Q
 
 
 def test_long_predictions_of_all_models(spark, small_trees):
@@ -121,20 +122,24 @@ def test_weather_payload_text_and_missing_sources(spark):
     assert first_existing(spark, [(missing, read_weather_csv)]) is None
 
 
-def test_aic_selection_picks_the_smallest_aic():
+def test_aic_selection_picks_the_smallest_aic(spark):
     import numpy as np
     import pandas as pd
-    from panelmill.operators.series import ORDERS, _job, innovations, sarima_fit
+    from panelmill.operators.series import ORDERS, forecast_series, innovations, sarima_fit, select_orders
     rng = np.random.default_rng(5)
     y = 100 + np.cumsum(rng.normal(0, 1, 300)) + 5 * np.sin(2 * np.pi * np.arange(300) / 7)
     dates = pd.date_range("2020-01-01", periods=300, freq="D")
     pdf = pd.DataFrame({"market": "m", "date": dates.date, "y": y,
                         "horizon_end": [dates[-1].date() + pd.Timedelta(days=10)] * 300})
-    out = _job(["market"], ["sarima_aic"])(pdf)
+    pdf = pd.concat([pdf, pdf.iloc[:12].assign(market="short")])
+    train = spark.createDataFrame(pdf, "market string, date date, y double, horizon_end date")
+    out = forecast_series(train, ["market"], ["sarima_aic"]).where("market = 'm'").toPandas()
     assert len(out) == 10 and set(out["status"]) == {"ok"}
     w, e = innovations(y)
-    best = min((sarima_fit(w, e, p, q)[2], (p, q)) for p, q in ORDERS)[1]
-    assert out["params"].iloc[0].startswith(f"order=({best[0]},1,{best[1]})")
+    best = min((sarima_fit(w, e, p, q)[2], (p, q)) for p, q in ORDERS)
+    assert out["params"].iloc[0].startswith(f"order=({best[1][0]},1,{best[1][1]})")
+    orders = select_orders(train, ["market"]).collect()  # one row: nothing fits the short series
+    assert [(r.market, r.p, r.q) for r in orders] == [("m", *best[1])] and abs(orders[0].aic - best[0]) < 1e-9
 
 
 def _write(path, text):
