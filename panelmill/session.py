@@ -131,6 +131,14 @@ def _file_system(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one scratch folder whose rows nobody reads any more."""
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+    place, fs = _file_system(spark, path)
+    fs.delete(place, True)
+
+
 _REMEMBERED: dict[tuple, object] = {}  # results of ``remembered``; their tables are scratch tables
 
 
