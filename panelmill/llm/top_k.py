@@ -137,7 +137,7 @@ def top_k(table: DataFrame, every: int = 20, k: int = 20, scale: int = 64, block
     rows = (table.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
             .where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(finite)
             .select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v")))
-    rows = scratch.put(rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    rows = scratch.put(rows.distinct().withColumn("dim", F.size("v")))  # only equal rows are one
     same = Window.partitionBy("v").orderBy("id")
     points = (rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
               .groupBy("dim", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")))

@@ -9,17 +9,13 @@ SCHEMA = "vec_id long, embedding array<double>, rank int, score int, v string, d
 
 
 def brute(rows, every=20, k=20, scale=64):
-    vectors = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        w = [math.floor(scale * x) for x in v]
-        vectors[i] = min(vectors.get(i, w), w)
+    vectors = {(i, tuple(math.floor(scale * x) for x in v)) for i, v in rows
+               if i is not None and v is not None and not any(x is None or not math.isfinite(x) for x in v)}
     out = []
-    for q, a in sorted(vectors.items()):
-        if q % every == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors.items() if i != q and len(b) == len(a))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    for q in sorted({i for i, _ in vectors if i % every == 0}):  # rows that share an id are one query
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for p, a in vectors if p == q
+                        for i, b in vectors if i != q and len(b) == len(a))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return out
 
 
@@ -42,6 +38,13 @@ def test_clusters_ties_copies_and_broken_rows(spark):
     assert result(top_k(df, k=3)) == brute(rows, k=3)
 
 
+def test_rows_that_share_an_id_are_candidates_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = result(top_k(df))
+    assert got == brute(rows) and [g[2:] for g in got if g[0] == 0][:2] == [(1, 12288), (1, 8192)]
+
+
 def test_few_and_no_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert result(top_k(df)) == brute([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])])
