@@ -6,10 +6,10 @@ the benchmark items (an item of fewer words, but not none, is one window). Each
 normalised and scanned once; a match's end gives its word range, and word ranges map back
 to offsets in the original text.
 
-The benchmark is the one thing sent to all tasks. Its words are summed by Spark first, and
-the windows are built in blocks of ``block_words`` item words, one automaton each, so a large
-benchmark costs more passes and not more memory per automaton. Documents stay in their
-partitions: no shuffle.
+The benchmark is the one thing sent to all tasks. Its bytes are summed by Spark first, and
+the windows are built in blocks of ``block_words`` item words. A worker holds one block's automaton at a time: that of a
+benchmark of one block is built once, those of a larger one are built anew for every batch of texts, which costs time and
+not memory. Documents stay in their partitions: no shuffle.
 
 A null text has no words and no hits; an empty benchmark gives no hits; an item with a
 null id counts under the string "null" only if it occurs (benchmark ids are expected to be
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +32,8 @@ from panelmill.llm.common import blobs, map_rows
 #: Lower-cases A-Z and turns every separator byte into a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
                for c in range(256))
+#: Words of a block: an automaton takes some 4 KB a window of 13 words, so about 400 MB.
+BLOCK_WORDS = 100_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -64,52 +67,69 @@ class Automaton:
         return () if self.empty else self.machine.iter(text)
 
 
-_MACHINES: dict[str, list[Automaton]] = {}  # per worker process, for the last benchmark
+_MACHINE: dict[str, Automaton] = {}  # per worker process: the last automaton
 
 
-def machines(key: str, items: list[bytes], size: int, block_words: int) -> list[Automaton]:
-    if key not in _MACHINES:
-        _MACHINES.clear()
-        out, block, n = [], [], 0
-        for number, item in enumerate(items):
-            own = words(item)
-            if block and n + len(own) > block_words:
-                out.append(Automaton(block, size))
-                block, n = [], 0
-            block.append((number, own))
-            n += len(own)
-        _MACHINES[key] = out + [Automaton(block, size)]
-    return _MACHINES[key]
+def machines(key: str, items: list[bytes], size: int, block_words: int) -> Iterator[Automaton]:
+    """The automata of the blocks of items, one held at a time; that of a benchmark of one block stays."""
+    block, n, number_of_block = [], 0, 0
 
+    def built() -> Automaton:
+        name = f"{key}-{number_of_block}"
+        if name not in _MACHINE:
+            _MACHINE.clear()
+            _MACHINE[name] = Automaton([(i, words(items[i])) for i in block], size)
+        return _MACHINE[name]
 
-def hits(text: bytes, automata: list[Automaton]) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """(number of words, merged hit word ranges, items that occur) of one text."""
-    own = words(text)
-    joined = (b" " + b" ".join(own) + b" ").decode("latin-1")
-    ranges, items = [], set()
+    for number, item in enumerate(items):
+        own = len(item) // 2 + 1  # words, at most
+        if block and n + own > block_words:
+            yield built()
+            block, n, number_of_block = [], 0, number_of_block + 1
+        block.append(number)
+        n += own
+    yield built()
+
+
+def hits(texts: list[bytes], automata: Iterator[Automaton]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
+    """(number of words, merged hit word ranges, items that occur) of every text."""
+    found: list[tuple[list, set]] = [([], set()) for _ in texts]
+    joined = [b" " + b" ".join(words(text)) + b" " for text in texts]
     for automaton in automata:
-        done, at = 0, 0  # words that end before a place of the joined text; matches come in order of their ends
-        for end, (n, who) in automaton.scan(joined):
-            at += joined.count(" ", done, end + 1)
-            done = end + 1
-            last = at - 1  # the space at ``end`` closes word ``last``
-            ranges.append((last - n, last))
-            items.update(who)
-    ranges.sort()
-    merged: list[tuple[int, int]] = []
-    for a, b in ranges:
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        for (ranges, items), line in zip(found, joined):
+            line = line.decode("latin-1")
+            done, at = 0, 0  # words that end before a place of the joined text; matches come in order of their ends
+            for end, (n, who) in automaton.scan(line):
+                at += line.count(" ", done, end + 1)
+                done = end + 1
+                last = at - 1  # the space at ``end`` closes word ``last``
+                ranges.append((last - n, last))
+                items.update(who)
+    return [(line.count(b" ") - 1 if len(line) > 2 else 0, merged(ranges), items) for (ranges, items), line in zip(found, joined)]
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            merged.append((a, b))
-    return len(own), merged, items
+            out.append((a, b))
+    return out
 
 
 def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Word ranges as character offsets [start, end) of the original text."""
+    """Word ranges, in order, as character offsets [start, end) of the original text; the text is decoded once."""
     at = [m.span() for m in WORD.finditer(text.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))]
-    chars = lambda b: len(text[:b].decode("utf-8"))
-    return [(chars(at[a][0]), chars(at[b - 1][1])) for a, b in ranges]
+    out, done, chars = [], 0, 0
+    for a, b in ranges:
+        start, end = at[a][0], at[b - 1][1]
+        chars += len(text[done:start].decode("utf-8"))
+        first = chars
+        chars += len(text[start:end].decode("utf-8"))
+        done = end
+        out.append((first, chars))
+    return out
 
 
 class Benchmark:
@@ -125,7 +145,7 @@ class Benchmark:
         self.size, self.block_words = size, block_words
         self.key = hashlib.sha256(repr((self.ids, size, block_words)).encode() + b"\0".join(self.items)).hexdigest()
 
-    def automata(self) -> list[Automaton]:
+    def automata(self) -> Iterator[Automaton]:
         return machines(self.key, self.items, self.size, self.block_words)
 
 
@@ -134,7 +154,7 @@ def is_hit(n_words: int, n_hit: int, share: float) -> bool:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: float = 0.05,
-         block_words: int = 1_000_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+         block_words: int = BLOCK_WORDS, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     ``spans`` are the hit word runs as character offsets of the original text. A document is
@@ -145,11 +165,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: float = 0
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        ids, automata = sent.value.ids, sent.value.automata()
+        ids = sent.value.ids
         for batch in batches:
             out = []
-            for text in blobs(batch.column("text")):
-                n, ranges, found = hits(text, automata)
+            texts = blobs(batch.column("text"))
+            for text, (n, ranges, found) in zip(texts, hits(texts, sent.value.automata())):
                 names = sorted({ids[i] for i in found})
                 hit = sum(b - a for a, b in ranges)
                 out.append((n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(),
@@ -169,16 +189,12 @@ SCAN_COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contam
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: float = 0.05,
-               block_words: int = 1_000_000, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
+               block_words: int = BLOCK_WORDS, max_benchmark_bytes: int = 256 << 20) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, columns unchanged."""
     sent = docs.sparkSession.sparkContext.broadcast(Benchmark(benchmark, size, block_words, max_benchmark_bytes))
 
     def clean(texts: pd.Series) -> pd.Series:
-        automata = sent.value.automata()
-        out = []
-        for text in texts:
-            n, ranges, _ = hits((text or "").encode(), automata)
-            out.append(not is_hit(n, sum(b - a for a, b in ranges), share))
-        return pd.Series(out, dtype=bool)
+        found = hits([(text or "").encode() for text in texts], sent.value.automata())
+        return pd.Series([not is_hit(n, sum(b - a for a, b in ranges), share) for n, ranges, _ in found], dtype=bool)
 
     return docs.where(F.pandas_udf(clean, "boolean")(F.col("text")))

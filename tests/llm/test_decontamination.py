@@ -62,6 +62,19 @@ def test_spans_are_offsets_of_the_original(spark):
     assert [text[s.start:s.end] for s in r.spans] == ["café--TWO three"] and r.n_hit == 3
 
 
+def test_spans_of_long_texts_take_time_in_proportion(spark):
+    import time
+    from panelmill.llm.decontamination import original_spans
+    took = []
+    for n in (4000, 32000):
+        text = "é word " * n
+        began = time.perf_counter()
+        spans = original_spans(text.encode(), [(2 * i, 2 * i + 1) for i in range(n)])
+        took.append(time.perf_counter() - began)
+        assert len(spans) == n and text[spans[-1][0]:spans[-1][1]] == "é"
+    assert took[1] < 30 * took[0]
+
+
 def test_random_texts_equal_brute_force(spark):
     rnd = random.Random(6)
     make = lambda n: " ".join(rnd.choice(WORDS[:3]) for _ in range(n))
