@@ -199,9 +199,18 @@ class Severity:
         return self.model.exceed(np.array([sum(w[f] for f in sorted(features.of(words(t))[0])) for t in texts], float))
 
 
+def deviations(n: int, full: int) -> float:
+    """8 for a full sample; down to 4.5, the noise of some 100,000 features, for small ones, where nothing reaches 8."""
+    return min(8.0, max(4.5, 8.0 * (n / full) ** (1 / 6)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic_sample: int = 8000,
-          clean_sample: int = 16000, z: float = 8.0, ridge: float = 1e-6, rounds: int = 600) -> Severity:
-    """Fit the model on a bounded sample of labelled documents."""
+          clean_sample: int = 16000, z: float | None = None, ridge: float = 1e-6, rounds: int = 600) -> Severity:
+    """Fit the model on a bounded sample of labelled documents.
+
+    A feature is chosen if its share of toxic texts is ``z`` deviations off; by default ``deviations`` of the sample's size.
+    Without any chosen feature there is no model, and nothing is rejected.
+    """
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = scratch.put(training_texts(docs, labels, label, {0: clean_sample, 1: toxic_sample}))
     sizes = dict(rows.groupBy("label").agg(F.count("*")).collect())
@@ -210,7 +219,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic_sample
         return Severity({}, frozenset(), None)
     p = toxic / n
     deviation = (F.col("n_toxic") - p * F.col("n")) / F.sqrt(p * (1 - p) * F.col("n"))
+    z = deviations(n, toxic_sample + clean_sample) if z is None else z
     picked = frequencies(rows).where(F.abs(deviation) >= z).select("feature").toArrow().column("feature").to_pylist()
+    if not picked:
+        return Severity({}, frozenset(), None)
     chosen = {f: i for i, f in enumerate(sorted(picked))}
     got = chosen_rows(rows, chosen).toArrow()
     rows_ = sorted(zip(got.column("label").to_pylist(), got.column("features").to_pylist(), got.column("having").to_pylist()))

@@ -56,6 +56,24 @@ def test_held_out_documents(spark):
     assert np.mean([got[i].severity for i, t in held.items() if t == 1]) > 5 * np.mean([got[i].severity for i, t in held.items() if t == 0])
 
 
+def test_small_and_one_sided_labels_reject_nothing_without_a_reason(spark):
+    """No word tells toxic from clean texts: nothing is selected, so nothing goes, though most labels are toxic."""
+    rnd = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(list("abcdefgh"), 12))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 25)) for i in range(40)], "doc_id long, toxic int")
+    model = learn(docs, labels)
+    assert keep_clean(docs, model).count() == 40 and not any(r.rejected for r in score(docs, model).collect())
+
+
+def test_few_labels_still_teach_something(spark):
+    docs, labels = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    model = learn(docs, labels)
+    got = {r.doc_id: r.rejected for r in score(docs, model).collect()}
+    assert model.chosen and sum(got[i] for i, t in toxic.items() if t == 1) >= 0.6 * sum(toxic.values())
+    assert sum(got[i] for i, t in toxic.items() if t == 0) <= 0.02 * len(toxic)
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, None), (6, 7), (None, 1), (999, 1), (10, 0), (13, 0)], "doc_id long, toxic int")
