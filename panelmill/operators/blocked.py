@@ -1,4 +1,4 @@
-"""Window features of very long series: blocks of rows with halos.
+"""Window features and as-of joins of very long series: blocks of rows.
 
 A window over a series runs in one task, whatever the series' length. Here a series is cut into blocks of ``rows``
 consecutive rows, and every block also gets the ``before`` last rows of the block ahead of it and the ``after`` first ones of the next.
@@ -100,6 +100,34 @@ def interpolate_in_blocks(df: DataFrame, value: str, keys: Sequence[str], order:
     return joined.withColumn(value, filled).drop("_known", "_nx", "_pv", "_before", "_after", "_block")
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], date: str, cols: Sequence[str],
+          rows: int = BLOCK) -> DataFrame:
+    """J3 at any grain: every row of ``left`` with ``as_of`` and ``cols`` of the last row of ``right`` at or before its date.
+
+    The rows of both sides are one series by date (of equal dates ``right`` comes first; of equal rows there the greatest
+    ``cols`` counts), in which the last known dimension row is carried forward: inside blocks by a running window,
+    across blocks by one summary row each. Rows without an earlier dimension row, or with a null key or date, have nulls.
+    """
+    keys, cols = list(keys), list(cols)
+    dim = F.struct(F.col(date).alias("as_of"), *cols)
+    fact = left.select(*keys, F.col(date).alias("_date"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    usable = F.col(date).isNotNull()
+    for k in keys:
+        usable &= F.col(k).isNotNull()
+    known = right.where(usable).select(*keys, F.col(date).alias("_date"), F.lit(0).alias("_side"), dim.alias("_dim"))
+    both = fact.unionByName(known, allowMissingColumns=True)
+    both = both.withColumn("_order", F.struct("_date", "_side", "_dim"))
+    placed = numbered(both, keys, "_order").withColumn("_block", F.expr(f"_pos div {rows}"))
+    last = F.max(F.when(F.col("_side") == 0, F.struct("_pos", "_dim"))).alias("_last")
+    line = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (placed.groupBy(*keys, "_block").agg(last)
+              .select(*keys, "_block", F.last("_last", True).over(line)["_dim"].alias("_carry")))
+    own = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = placed.withColumn("_seen", F.last("_dim", True).over(own)).where("_side = 1")
+    found = found.join(blocks, [*keys, "_block"], "left")  # a null key meets no block, and has no dimension row
+    return found.withColumn("_at", F.coalesce("_seen", "_carry")).select("_row.*", "_at.*")
+
+
 def longest(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the largest series."""
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from panelmill.functions.numeric import flag, safe_div
 from panelmill.operators.aggregates import group_quantile
+from panelmill.operators.blocked import in_blocks
 from panelmill.operators.windows import add_rolling_anomaly, add_rolling_sum
 from panelmill.session import materialize
 
 
 def weather_features(cov: DataFrame, keys=("state",), order="date",
-                     fit_until: str | None = None, reuse: bool = True) -> DataFrame:
+                     fit_until: str | None = None, reuse: bool = True,
+                     block_rows: int | None = None) -> DataFrame:
     """W10, W11, G4 on the covariate table, per state by date (decisions D3/D4).
 
     Adds ``temp_range``, ``temp_anomaly``, ``rainfall_7d_cum`` and the
@@ -34,8 +36,12 @@ def weather_features(cov: DataFrame, keys=("state",), order="date",
     if reuse:
         cov = materialize(cov)
     cov = cov.withColumn("temp_range", F.col("max_temp") - F.col("min_temp"))
-    cov = add_rolling_anomaly(cov, "max_temp", keys, order, 30, 7, "temp_anomaly")
-    cov = add_rolling_sum(cov, "rainfall_daily", keys, order, 7, "rainfall_7d_cum")
+
+    def rolling(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        df = add_rolling_anomaly(df, "max_temp", keys, order, 30, 7, "temp_anomaly")
+        return add_rolling_sum(df, "rainfall_daily", keys, order, 7, "rainfall_7d_cum")
+
+    cov = in_blocks(cov, keys, order, rolling, 30, 0, block_rows) if block_rows else rolling(cov, keys)
     cov = cov.withColumn("_month", F.month(order))
     sample = cov if fit_until is None else cov.where(F.col(order) <= F.lit(fit_until))
     p25 = group_quantile(sample, "rainfall_daily", [*keys, "_month"], 0.25, "rain_p25")

@@ -17,12 +17,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from panelmill.functions.calendar import CALENDAR_SQL, CYCLICAL_SQL, add_temporal_features
+from panelmill.operators.blocked import in_blocks, interpolate_in_blocks, numbered
 from panelmill.operators.impute import impute_prices, interpolate_sql
 from panelmill.operators.joins import (add_cross_features, add_policy_features,
                                        join_weather, weather_features)
 from panelmill.operators.windows import add_lead_target, add_price_features
 from panelmill.params import MOVING_WINDOWS, PRICE_LAGS
 
+LOOK_BACK = 30  # rows that any feature looks back: the longest lag and window; a policy change is lagged by 1 + 7 rows
+
 PRICE_FEATURES = ([f"price_lag{k}" for k in PRICE_LAGS] + [f"price_ma{n}" for n in MOVING_WINDOWS]
                   + ["price_std7", "price_std30", "price_ret1", "price_ret7", "price_momentum"])
 CALENDAR_FEATURES = ["day_of_week", "day_of_month", "month", "quarter", "week_of_year", "year",
@@ -38,20 +41,32 @@ ALL_FEATURES = (PRICE_FEATURES + CALENDAR_FEATURES + WEATHER_FEATURES + POLICY_F
 
 def build_feature_panel(panel: DataFrame, covariates: DataFrame | None, policy: DataFrame | None,
                         keys: Sequence[str] = ("commodity", "market"), order: str = "date",
-                        horizon: int = 1) -> DataFrame:
-    df = impute_prices(panel, "price_modal", keys, order)
+                        horizon: int = 1, block_rows: int | None = None) -> DataFrame:
+    """``block_rows``: compute all series windows block by block (``operators.blocked``), for series too long for a task."""
+    if block_rows:
+        df = interpolate_in_blocks(numbered(panel, keys, order), "price_modal", keys, order, block_rows)
+    else:
+        df = impute_prices(panel, "price_modal", keys, order)
     # W12 needs only the imputed price, so it runs here: the table it materialises
     # is the narrow imputed panel, and every series window below (features,
     # policy lags, target) then shares one exchange on ``keys``.
     by = ["commodity", order] if "commodity" in df.columns else [order]
     df = add_cross_features(df, "price_modal", by)
-    df = add_price_features(df, "price_modal", keys, order)
-    df = add_temporal_features(df, order)
-    if covariates is not None:
-        df = join_weather(df, weather_features(covariates))
-    if policy is not None and "commodity" in df.columns:
-        df = add_policy_features(df, policy, keys, order)
-    df = add_lead_target(df, "price_modal", horizon, keys, order)
+    weather = weather_features(covariates, block_rows=block_rows) if covariates is not None else None
+
+    def features(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        df = add_price_features(df, "price_modal", keys, order)
+        df = add_temporal_features(df, order)
+        if weather is not None:
+            df = join_weather(df, weather)
+        if policy is not None and "commodity" in df.columns:
+            df = add_policy_features(df, policy, keys, order)
+        return add_lead_target(df, "price_modal", horizon, keys, order)
+
+    if block_rows:
+        df = in_blocks(df, keys, order, features, LOOK_BACK, horizon, block_rows, placed=True).drop("_pos")
+    else:
+        df = features(df, keys)
     return df.na.drop(subset=["price_target", "price_lag7", "price_ma7"])
 
 

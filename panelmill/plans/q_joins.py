@@ -8,7 +8,7 @@ from panelmill import bindings as B
 from panelmill.operators import joins as J
 from panelmill.operators import selection as P
 from panelmill.operators import windows as W
-from panelmill.operators.blocked import in_blocks
+from panelmill.operators.blocked import as_of, in_blocks
 from panelmill.params import FOLDS, TEST_START, TRAIN_END
 from panelmill.plans.common import imputed_spine, r, rounded
 from panelmill.plans.features import ALL_FEATURES, build_feature_panel, feature_panel_sql
@@ -153,6 +153,18 @@ def j3_asof_policy(spark, sf_dir):
     return rounded(df.select("commodity", "market", "date", "msp_current"))
 
 
+@query("j3_asof_daily", B.sql_with("panel", "covariates") + f"""
+  SELECT panel.state, panel.market, panel.date, dim.date AS as_of, {r('dim.max_temp', 'max_temp')}, {r('dim.rainfall_daily', 'rainfall_daily')}
+  FROM panel ASOF LEFT JOIN (SELECT * FROM covariates WHERE max_temp > 45 AND day(date) % 3 = 0) dim
+    ON panel.state = dim.state AND panel.date >= dim.date""")
+def j3_asof_daily(spark, sf_dir):
+    """J3 at day grain: the last very hot day of the state at or before each price, over blocks of 1,000 rows."""
+    hot = B.covariates(spark, sf_dir).where("max_temp > 45 AND day(date) % 3 = 0")
+    df = as_of(B.market_panel(spark, sf_dir).select("state", "market", "date"), hot, ["state"], "date",
+               ["max_temp", "rainfall_daily"], 1000)
+    return rounded(df.select("state", "market", "date", "as_of", "max_temp", "rainfall_daily"))
+
+
 @query("j2_policy_features", B.sql_with("fpanel") + f"""
   SELECT commodity, market, date, {_sel(P.POLICY_COLUMNS)} FROM fpanel""")
 def j2_policy_features(spark, sf_dir):

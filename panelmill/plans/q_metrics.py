@@ -149,9 +149,8 @@ IMPUTE_COLS = ["price_std30", "temp_anomaly", "rainfall_7d_cum", "max_temp", "hu
        + ", ".join(r(f"coalesce({c}, (SELECT avg({c}) FROM fpanel WHERE date <= DATE '{TRAIN_END}'))",
                      c) for c in IMPUTE_COLS) + " FROM fpanel")
 def g11_mean_impute(spark, sf_dir):
-    from panelmill.plans.q_joins import feature_panel
-    from panelmill.session import materialize
-    fp = materialize(feature_panel(spark, sf_dir))
+    from panelmill.plans.q_models import panel
+    fp = panel(spark, sf_dir)
     means = column_means(fp.where(F.col("date") <= F.lit(TRAIN_END).cast("date")), IMPUTE_COLS)
     return rounded(impute_with_means(fp, means, IMPUTE_COLS)
                    .select("commodity", "market", "date", *IMPUTE_COLS))

@@ -246,8 +246,8 @@ M4_COLS = ["price_lag1", "price_ma7", "price_target"]
     r(f"({c} - mu_{c}) / CASE WHEN sd_{c} = 0 THEN 1.0 ELSE sd_{c} END", f"{c}_z")
     for c in M4_COLS) + " FROM fpanel, st")
 def m4_standardize(spark, sf_dir):
-    fp = feature_panel(spark, sf_dir)
-    z = ML.standardize(fp, M4_COLS, F.col("date") <= F.lit(TRAIN_END).cast("date"))
+    fp = panel(spark, sf_dir)
+    z = ML.standardize(fp, M4_COLS, F.col("date") <= F.lit(TRAIN_END).cast("date"), reuse=False)
     return rounded(z.select("commodity", "market", "date", *[f"{c}_z" for c in M4_COLS]))
 
 
@@ -255,7 +255,7 @@ def m4_standardize(spark, sf_dir):
   SELECT commodity, market, date, {r('price_target', 'price_target')}, {r('price_target', 'restored')} FROM fpanel""")
 def m4_inverse(spark, sf_dir):
     """The standardised target, transformed back."""
-    fp = materialize(feature_panel(spark, sf_dir))
+    fp = panel(spark, sf_dir)
     train = F.col("date") <= F.lit(TRAIN_END).cast("date")
     z = ML.standardize(fp, ["price_target"], train, reuse=False)
     out = ML.unstandardize(z, "price_target", "price_target_z", "restored", fp.where(train))

@@ -80,6 +80,19 @@ def s7_s8_panel_roundtrip(spark, sf_dir):
     return rounded(df.select("commodity", "state", "market", "date", "price_modal"))
 
 
+@query("s7_bucketed_windows", B.sql_with("pfeat") + "SELECT market, date, "
+       + ", ".join(r(c, c) for c in ("price_modal", "price_lag7", "price_ma30", "price_std7", "price_target")) + " FROM pfeat")
+def s7_bucketed_windows(spark, sf_dir):
+    """The imputed spine as a bucketed table; all window features of a series are read from it without an exchange."""
+    from uuid import uuid4
+    from panelmill.operators import windows as W
+    from panelmill.plans.common import imputed_spine
+    df = tables.write_bucketed(imputed_spine(spark, sf_dir), f"panel_{uuid4().hex[:8]}", ["market"], "date", 8,
+                               scratch_path(spark, "bucketed"))
+    df = W.add_lead_target(W.add_price_features(df, keys=["market"]), keys=["market"])
+    return rounded(df.select("market", "date", "price_modal", "price_lag7", "price_ma30", "price_std7", "price_target"))
+
+
 @query("f7_event_props", """
   SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
   FROM events""")

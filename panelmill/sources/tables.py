@@ -25,6 +25,20 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("commod
     w.format(fmt).save(path)
 
 
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], order: str, buckets: int, path: str | None = None) -> DataFrame:
+    """S8 as a table that is shuffled once and for all: bucketed by the series keys, sorted by date inside.
+
+    Windows and joins by ``keys`` read it without an exchange (``path``: files outside the warehouse). One task writes a bucket, so
+    it has one file.
+    """
+    w = (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet")
+         .bucketBy(buckets, *keys).sortBy(*keys, order))
+    if path is not None:
+        w = w.option("path", path)
+    w.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_panel(spark: SparkSession, path: str, commodity: str | None = None) -> DataFrame:
     """The processed panel, pruned to one commodity's partition when given.
 

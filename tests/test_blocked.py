@@ -90,3 +90,49 @@ def test_selection_equals_percentile(spark, few, buckets):
             assert (r[c] is None and got[g][c] is None) or math.isclose(r[c], got[g][c], rel_tol=1e-12), (g, c)
     whole = exact_quantiles(df.where("g = 'even'"), "v", [], {"m": 0.5}, few, buckets).collect()
     assert whole[0].m == 49.5 and exact_quantiles(df.limit(0), "v", ["g"], qs).count() == 0
+
+
+@pytest.mark.parametrize("rows", [2, 7, 1000])
+def test_as_of_takes_the_last_row_at_or_before(spark, rows):
+    rnd = random.Random(rows)
+    left = [(rnd.choice(["a", "b", "c", None]), rnd.randint(0, 60), i) for i in range(150)] + [("a", None, 999)]
+    right = [(rnd.choice(["a", "b", None]), rnd.randint(5, 55), rnd.randint(0, 9)) for _ in range(40)] + [("a", 5, None), ("a", None, 3)]
+    got = BL.as_of(spark.createDataFrame(left, "k string, day int, i int"), spark.createDataFrame(right, "k string, day int, v int"),
+                   ["k"], "day", ["v"], rows).collect()
+    value = lambda x: (x is not None, x or 0)
+    want = {}
+    for k, d, i in left:
+        own = [(e, value(v), v) for q, e, v in right if k is not None and q == k and d is not None and e is not None and e <= d]
+        best = max(own, key=lambda x: x[:2], default=(None, None, None))
+        want[i] = (best[0], best[2])
+    assert {r.i: (r.as_of, r.v) for r in got} == want and len(got) == len(left)
+
+
+def test_a_bucketed_table_needs_no_exchange(spark, series):
+    from panelmill.session import scratch_path
+    from panelmill.sources.tables import write_bucketed
+    df = write_bucketed(series, "t_bucketed", ["market"], "day", 4, scratch_path(spark, "t-bucketed"))
+    out = W.add_lead_target(W.add_price_features(df, keys=["market"], order="day"), keys=["market"], order="day")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = W.add_price_features(series, keys=["market"], order="day")
+    assert values(out, ["price_lag7", "price_ma30"]) == values(want, ["price_lag7", "price_ma30"])
+    spark.sql("DROP TABLE t_bucketed")
+
+
+def test_the_whole_feature_panel_in_blocks(spark):
+    """One series of 150 days beside a short one, with weather and policy."""
+    from panelmill.plans.features import ALL_FEATURES, build_feature_panel
+    rnd = random.Random(2)
+    day = "date_add(date'2000-11-01', cast({} as int))"
+    rows = [("c", "s", m, i, None if rnd.random() < 0.2 else rnd.uniform(90, 110)) for m, n in (("m", 150), ("n", 40)) for i in range(n)]
+    panel = spark.createDataFrame(rows, "commodity string, state string, market string, i int, price_modal double").withColumn(
+        "date", F.expr(day.format("i"))).drop("i")
+    cov = spark.range(150).select(F.lit("s").alias("state"), F.expr(day.format("id")).alias("date"), (F.rand(1) * 20 + 30).alias("max_temp"),
+                                  (F.rand(2) * 10).alias("min_temp"), (F.rand(3) * 5).alias("rainfall_daily"), F.rand(4).alias("humidity"))
+    policy = spark.createDataFrame([("c", 2000, 100.0), ("c", 2001, 104.0)], "crop string, year int, msp_rs_per_quintal double")
+    plain = build_feature_panel(panel, cov, policy)
+    blocked = build_feature_panel(panel, cov, policy, block_rows=32)
+    assert blocked.columns == plain.columns
+    read = lambda df: sorted(tuple([r.market, r.date, *[None if r[c] is None else round(float(r[c]), 8) for c in ALL_FEATURES]])
+                             for r in df.collect())
+    assert read(blocked) == read(plain) and blocked.count() > 170
