@@ -5,32 +5,31 @@ Plan, per group (commodity) with entity = market:
 1. ``prepare_panel``: lag-7 covariates, lags 1/7 of price, time trend, month
    dummies 2-12 (one shared window exchange on the series keys), drop rows
    missing any regressor.
-2. ``entity_moments``: one pass over the rows gives, per (group, entity), the
-   count, the means and the centred cross products of regressors and target
-   (numpy per batch, merged pairwise, one row per entity and task).
-3. ``fit_fixed_effects``: one grouped job on those rows. The centred cross
+2. ``entity_moments``: one pass over the rows gives, per (group, entity), the count and the centred cross
+   products of regressors and target (numpy per Arrow batch, one row per entity and task: 190 aggregates in the JVM take
+   four times as long), merged on Spark without cancellation, one column per pair. What follows is Catalyst expressions.
+3. ``solved``: one row per group. The centred cross
    products ARE the within (entity-demeaned) sums, so their total is the Gram
-   matrix, and the cluster scores and residual sums follow from them without a second
-   look at the data: s_g = X'y_g - X'X_g beta,
-   ssr_g = y'y_g - 2 beta'X'y_g + beta'X'X_g beta.
-   Covariance c (X'X)^-1 (sum s_g s_g') (X'X)^-1 with
+   matrix. A sweep operator over an array of arrays turns it into the inverse, the coefficients and the residual sum at once:
+   pivots are taken in the order of what is left on the diagonal, and none that is too small.
+4. ``fit_fixed_effects``: the cluster scores follow from the entities' products without a second
+   look at the data: s_g = X'y_g - X'X_g beta. The diagonal of
+   c (X'X)^-1 (sum s_g s_g') (X'X)^-1 is c sum ((X'X)^-1 s_g)^2, one vector per entity, with
    c = G/(G-1) (N-1)/(N-K), K = regressors used + G.
 
 The Gram matrix is scaled to a unit diagonal before it is solved, so units do not
 matter. A regressor that is constant within every entity, or a linear
-combination of others (pivoted Cholesky on the scaled matrix), has NULL results and does not
+combination of others (what the sweep leaves of its unit diagonal), has NULL results and does not
 count in K. Market dummies are never built (M12 is only a test).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.operators.selection import month_dummies, significance_stars
@@ -71,7 +70,7 @@ def merge_moments(a, b):
             np.maximum(a[3], b[3]))
 
 
-def entity_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def task_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """(keys, n, mean, cross, top): moments of ``cols`` per entity, one row per entity and task."""
     keys, cols = list(keys), list(cols)
 
@@ -99,89 +98,101 @@ def entity_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
     return rows.mapInArrow(run, f"{kinds}, n long, mean array<double>, cross array<double>, top array<double>")
 
 
-def merged_entities(pdf: pd.DataFrame, entity: str, m: int) -> list[tuple]:
-    out: dict = {}
-    for key, n, mean, cross, top in zip(pdf[entity], pdf["n"], pdf["mean"], pdf["cross"], pdf["top"]):
-        own = (int(n), np.asarray(mean), np.asarray(cross).reshape(m, m), np.asarray(top))
-        out[key] = merge_moments(out[key], own) if key in out else own
-    return [out[k] for k in sorted(out)]
-
-
-def independent(gram: np.ndarray, n: int, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scales, kept columns): pivoted Cholesky of the Gram matrix scaled to a unit diagonal."""
-    diag = np.diag(gram)
-    varies = diag > n * (1e-12 * np.maximum(top, np.finfo(float).tiny)) ** 2
-    scale = np.where(varies, np.sqrt(np.maximum(diag, np.finfo(float).tiny)), 1.0)
-    rest = gram / np.outer(scale, scale)
-    left, kept = list(np.flatnonzero(varies)), []
-    while left:
-        pick = max(left, key=lambda j: (rest[j, j], -j))
-        if rest[pick, pick] <= COLLINEAR:
-            break
-        kept.append(pick)
-        left.remove(pick)
-        rest = rest - np.outer(rest[:, pick], rest[pick]) / rest[pick, pick]
-    return scale, np.array(sorted(kept), int)
-
-
-def fit_group(entities: list[tuple], k: int) -> dict:
-    """Within estimator with clustered errors from the entities' moments (target is the last column)."""
-    gram = sum(e[2] for e in entities)
-    n, g = sum(e[0] for e in entities), len(entities)
-    xx, xy, yy = gram[:k, :k], gram[:k, k], float(gram[k, k])
-    scale, kept = independent(xx, n, np.max([e[3] for e in entities], axis=0)[:k])
-    beta, se = np.full(k, np.nan), np.full(k, np.nan)
-    ssr, rank = yy, len(kept)
-    if rank:
-        s = scale[kept]
-        inv = np.linalg.inv(xx[np.ix_(kept, kept)] / np.outer(s, s)) / np.outer(s, s)
-        beta[kept] = inv @ xy[kept]
-        meat, ssr = np.zeros((rank, rank)), 0.0
-        for _, _, cross, _ in entities:
-            own, y = cross[np.ix_(kept, kept)], cross[kept, k]
-            score = y - own @ beta[kept]
-            meat += np.outer(score, score)
-            ssr += cross[k, k] - 2 * beta[kept] @ y + beta[kept] @ own @ beta[kept]
-        if g > 1 and n > rank + g:
-            c = (g / (g - 1)) * ((n - 1) / (n - rank - g))
-            se[kept] = np.sqrt(np.maximum(np.diag(c * inv @ meat @ inv), 0))
-    r2 = 1.0 - max(ssr, 0.0) / yy if yy > 0 else math.nan
-    free = n - rank - g
-    return {"n": n, "beta": beta, "se": se, "r2": r2,
-            "adj_r2": 1.0 - (1.0 - r2) * (n - g) / free if free > 0 else math.nan}
-
+def pairs(m: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(m) for j in range(i, m)]
 
-def _grouped(moments: DataFrame, group: Sequence[str], body, columns: str) -> DataFrame:
-    kinds = ", ".join(f"{c} {moments.schema[c].dataType.simpleString()}" for c in group)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = body(pdf)
-        for i, c in enumerate(group):
-            out.insert(i, c, pdf[c].iloc[0])
-        return out
-
-    return moments.groupBy(*group).applyInPandas(run, f"{kinds}, {columns}")
+def entity_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(keys, n, top<i>, p<i>_<j>): count, largest magnitudes and centred cross products of ``cols`` per entity.
+
+    The tasks' products are centred on their own means; merging moves them to the entity's mean,
+    so there is no difference of large sums.
+    """
+    m = len(cols)
+    parts = materialize(task_moments(df, keys, cols))  # one row per entity and task
+    means = parts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.array(*[
+        F.sum(F.col("n") * F.col("mean")[i]) / F.sum("n") for i in range(m)]).alias("_mean"))
+    moved = parts.join(means, list(keys)).withColumn("off", F.zip_with("mean", "_mean", lambda a, b: a - b))
+    return moved.groupBy(*keys).agg(
+        F.sum("n").alias("n"), *[F.max(F.col("top")[i]).alias(f"top{i}") for i in range(m)],
+        *[F.sum(F.col("cross")[i * m + j] + F.col("n") * F.col("off")[i] * F.col("off")[j]).alias(f"p{i}_{j}")
+          for i, j in pairs(m)])
+
+
+def matrix(m: int) -> Column:
+    """The symmetric array of arrays of the pair columns."""
+    return F.array(*[F.array(*[F.col(f"p{min(i, j)}_{max(i, j)}") for j in range(m)]) for i in range(m)])
+
+
+def swept(a: Column, p: Column) -> Column:
+    """Matrix ``a`` after a sweep of pivot ``p``."""
+    d, row_p = a[p][p], a[p]
+    return F.transform(a, lambda row, i: F.transform(row, lambda v, j: (
+        F.when((i == p) & (j == p), 1 / d).when(i == p, v / d).when(j == p, -v / d).otherwise(v - row[p] * row_p[j] / d))))
+
+
+def sweep_step(k: int):
+    """One step of the sweep over (a, open): the open regressor with the largest rest is swept, if the rest is no rounding."""
+
+    def step(state: Column, _: Column) -> Column:
+        rests = F.transform(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: state["open"][i]),
+                            lambda i: F.struct(state["a"][i][i].alias("rest"), (-i).alias("place")))
+        best = F.array_max(rests)
+        # an array of one pivot or none, so that the pivot is found once
+        pivot = F.when(best["rest"] > COLLINEAR, F.array(-best["place"])).otherwise(F.array().cast("array<int>"))
+        done = F.transform(pivot, lambda p: F.struct(swept(state["a"], p).alias("a"), F.transform(
+            state["open"], lambda o, i: o & (i != p)).alias("open")))
+        return F.coalesce(F.get(done, F.lit(0)), state)
+
+    return step
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def gram(entities: DataFrame, group: Sequence[str], m: int) -> DataFrame:
+    """(group, n, g, cross, top) from the entities' moments."""
+    sums = entities.groupBy(*group).agg(
+        F.sum("n").alias("n"), F.count("*").alias("g"), F.array(*[F.max(f"top{i}") for i in range(m)]).alias("top"),
+        *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in pairs(m)])
+    return sums.select(*group, "n", "g", "top", matrix(m).alias("cross"))
+
+
+def varies(i: Column | int) -> Column:
+    """Whether a column moves within entities by more than rounding."""
+    return F.get("cross", F.lit(i))[F.lit(i)] > F.col("n") * F.pow(F.lit(1e-12) * F.get("top", F.lit(i)), F.lit(2.0))
+
+
+def solved(entities: DataFrame, group: Sequence[str], k: int) -> DataFrame:
+    """(group, n, g, kept, beta, inverse, ssr, yy); zeros in ``beta`` and ``inverse`` for regressors that are left out."""
+    rows = gram(entities, group, k + 1).withColumn("moves", F.array(*[varies(i) for i in range(k)]))
+    size = F.array(*[F.when(F.get("moves", F.lit(i)), F.sqrt(F.get(F.get("cross", F.lit(i)), F.lit(i)))).otherwise(1.0)
+                     for i in range(k)], F.greatest(F.sqrt(F.get(F.get("cross", F.lit(k)), F.lit(k))), F.lit(1e-300)))
+    rows = rows.withColumn("size", size)
+    scaled = F.transform("cross", lambda row, i: F.transform(row, lambda v, j: v / (F.get("size", i) * F.get("size", j))))
+    start = F.struct(scaled.alias("a"), F.col("moves").alias("open"))
+    rows = rows.withColumn("end", F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, sweep_step(k)))
+    rows = rows.withColumn("kept", F.zip_with("moves", "end.open", lambda m, o: m & ~o))
+    places = F.sequence(F.lit(0), F.lit(k - 1))
+    kept = lambda i: F.get("kept", i)
+    beta = F.transform(places, lambda i: F.when(kept(i), F.col("end.a")[i][k] * F.get("size", F.lit(k)) / F.get("size", i)).otherwise(0.0))
+    inverse = F.transform(places, lambda i: F.transform(places, lambda j: F.when(
+        kept(i) & kept(j), F.col("end.a")[i][j] / (F.get("size", i) * F.get("size", j))).otherwise(0.0)))
+    yy = F.get(F.get("cross", F.lit(k)), F.lit(k))
+    return rows.select(*group, "n", "g", "kept", beta.alias("beta"), inverse.alias("inverse"), yy.alias("yy"),
+                       F.greatest(F.col("end.a")[k][k] * yy, F.lit(0.0)).alias("ssr"))
 
 
 def within_slopes(panel: DataFrame, xcols: Sequence[str], y: str = "price_modal",
                   group: Sequence[str] = ("commodity",), entity: str = "market") -> DataFrame:
     """(group, variable, slope): one-regressor within slopes; NULL for a constant regressor."""
-    xcols = list(xcols)
     k = len(xcols)
-
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        entities = merged_entities(pdf, entity, k + 1)
-        gram = sum(e[2] for e in entities)
-        scale, _ = independent(gram[:k, :k], sum(e[0] for e in entities),
-                               np.max([e[3] for e in entities], axis=0)[:k])
-        flat = (np.diag(gram)[:k] != scale ** 2) & (scale == 1.0)
-        with np.errstate(all="ignore"):
-            slope = np.where(flat | (np.diag(gram)[:k] == 0), np.nan, gram[:k, k] / np.diag(gram)[:k])
-        return pd.DataFrame({"variable": xcols, "slope": slope})
-
-    out = _grouped(entity_moments(panel, [*group, entity], [*xcols, y]), group, body,
-                   "variable string, slope double")
-    return out.withColumn("slope", F.when(~F.isnan("slope"), F.col("slope")))
+    rows = gram(entity_moments(panel, [*group, entity], [*xcols, y]), group, k + 1)
+    cell = lambda i, j: F.get(F.get("cross", F.lit(i)), F.lit(j))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.when(varies(i), cell(i, k) / cell(i, i)).alias("slope"))
+                               for i, c in enumerate(xcols)])).alias("x")
+    return rows.select(*group, each).select(*group, "x.*")
 
 
 def fit_fixed_effects(panel: DataFrame, xcols: Sequence[str], y: str = "price_modal",
@@ -189,19 +200,27 @@ def fit_fixed_effects(panel: DataFrame, xcols: Sequence[str], y: str = "price_mo
                       ) -> DataFrame:
     """M10 + M11 + M13: within estimator, clustered SEs, coefficient table."""
     from panelmill.functions.special import normal_two_sided
-    xcols = list(xcols)
     k = len(xcols)
-
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit = fit_group(merged_entities(pdf, entity, k + 1), k)
-        return pd.DataFrame({"variable": xcols, "coefficient": fit["beta"], "std_error": fit["se"],
-                             "nobs": fit["n"], "r2_within": fit["r2"], "adj_r2_within": fit["adj_r2"]})
-
-    out = _grouped(entity_moments(panel, [*group, entity], [*xcols, y]), group, body,
-                   "variable string, coefficient double, std_error double, nobs long, "
-                   "r2_within double, adj_r2_within double")
-    real = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("coefficient", "std_error")]
-    out = out.select(*group, "variable", *real, "nobs", "r2_within", "adj_r2_within")
+    entities = materialize(entity_moments(panel, [*group, entity], [*xcols, y]))  # one row per entity
+    fits = materialize(solved(entities, group, k))
+    own = entities.select(*group, matrix(k + 1).alias("cross")).join(fits.select(*group, "beta", "inverse"), list(group))
+    score = F.transform(F.slice("cross", 1, k), lambda row: row[k] - dot(F.slice(row, 1, k), F.col("beta")))
+    own = own.withColumn("score", score)
+    part = F.transform("inverse", lambda row: dot(row, F.col("score")))
+    meat = own.select(*group, F.posexplode(part).alias("place", "z")).groupBy(*group, "place").agg(F.sum(F.col("z") ** 2).alias("meat"))
+    n, g, rank = F.col("n"), F.col("g"), F.size(F.filter("kept", lambda v: v))
+    free = n - rank - g
+    r2 = F.when(F.col("yy") > 0, 1 - F.col("ssr") / F.col("yy"))
+    names = F.array(*map(F.lit, xcols))
+    out = fits.withColumns({"free": free, "r2_within": r2}).select(
+        "*", F.posexplode("kept").alias("place", "used")).join(meat, [*group, "place"])
+    scale = (g / (g - 1)) * ((n - 1) / F.col("free"))
+    out = out.select(
+        *group, F.get(names, F.col("place")).alias("variable"), F.when(F.col("used"), F.get("beta", F.col("place"))).alias("coefficient"),
+        F.when(F.col("used") & (g > 1) & (F.col("free") > 0), F.sqrt(F.when((g > 1) & (F.col("free") > 0), scale) * F.col("meat")))
+        .alias("std_error"),
+        n.alias("nobs"), "r2_within", F.when(F.col("free") > 0, 1 - (1 - F.col("r2_within")) * (n - g)
+                                             / F.when(F.col("free") > 0, F.col("free"))).alias("adj_r2_within"))
     z = F.try_divide(F.col("coefficient"), F.col("std_error"))
     out = out.withColumn("p_value", normal_two_sided(z))
     return out.select(*group, "variable", "coefficient", "std_error", "p_value",

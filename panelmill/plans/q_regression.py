@@ -51,10 +51,43 @@ def m10_within_slopes(spark, sf_dir):
     return rounded(R.within_slopes(reg_panel(spark, sf_dir), XCOLS))
 
 
-@query("m10_fe_regression")
+def _sweep_sql() -> str:
+    """The whole estimator by hand: Gram matrix of demeaned rows, scaled, swept pivot by pivot, clustered errors."""
+    k = len(XCOLS)
+    dm = [f"{c}_dm" for c in [*XCOLS, "price_modal"]]
+    products = ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in dm) + "]" for a in dm)
+    score = "+".join(f"a[i][{j}] * s[{j}]" for j in range(1, k + 1))
+    names = ", ".join(f"'{c}'" for c in XCOLS)
+    return B.sql_with("regdm").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+  , e AS (SELECT commodity, market, count(*) AS n, [{products}] AS m FROM regdm GROUP BY 1, 2),
+  t AS (SELECT commodity, sum(n) AS n, count(*) AS g, [{", ".join("[" + ", ".join(f"sum(m[{i}][{j}])" for j in range(1, k + 2)) + "]" for i in range(1, k + 2))}] AS m
+        FROM e GROUP BY 1),
+  sweep AS (
+    SELECT commodity, 1 AS p, list_transform(m, lambda row, i: list_transform(row, lambda v, j: v / sqrt(m[i][i] * m[j][j]))) AS a FROM t
+    UNION ALL
+    SELECT commodity, p + 1, list_transform(a, lambda row, i: list_transform(row, lambda v, j:
+      CASE WHEN i = p AND j = p THEN 1 / a[p][p] WHEN i = p THEN v / a[p][p] WHEN j = p THEN -v / a[p][p]
+           ELSE v - row[p] * a[p][j] / a[p][p] END)) FROM sweep WHERE p <= {k}),
+  fit AS (SELECT commodity, n, g, m, list_transform(a, lambda row, i: list_transform(row, lambda v, j: v / sqrt(m[i][i] * m[j][j]))) AS a,
+            list_transform(range(1, {k + 1}), lambda i: a[i][{k + 1}] * sqrt(m[{k + 1}][{k + 1}] / m[i][i])) AS b, a[{k + 1}][{k + 1}] AS rest
+          FROM sweep JOIN t USING (commodity) WHERE p = {k + 1}),
+  scores AS (SELECT commodity, fit.a, list_transform(range(1, {k + 1}), lambda i:
+               e.m[i][{k + 1}] - list_sum(list_transform(range(1, {k + 1}), lambda j: e.m[i][j] * fit.b[j]))) AS s
+             FROM e JOIN fit USING (commodity)),
+  meat AS (SELECT commodity, i, sum(power({score}, 2)) AS z FROM scores, range(1, {k + 1}) r(i) GROUP BY 1, 2),
+  w AS (SELECT commodity, [{names}][i] AS variable, b[i] AS coef, sqrt((g / (g - 1.0e0)) * ((n - 1.0e0) / (n - {k} - g)) * z) AS se,
+          n, 1.0e0 - rest AS r2, 1.0e0 - rest * (n - g) / (n - {k}.0e0 - g) AS ar2 FROM fit JOIN meat USING (commodity))
+  SELECT commodity, variable, {r('coef', 'coefficient')}, {r('se', 'std_error')}, {r(two_sided_sql('(coef / se)'), 'p_value')},
+    CASE WHEN {two_sided_sql('(coef / se)')} < 0.001 THEN '***'
+         WHEN {two_sided_sql('(coef / se)')} < 0.01 THEN '**'
+         WHEN {two_sided_sql('(coef / se)')} < 0.05 THEN '*' ELSE '' END AS stars,
+    CAST(n AS BIGINT) AS nobs, {r('r2', 'r2_within')}, {r('ar2', 'adj_r2_within')} FROM w"""
+
+
+@query("m10_fe_regression", _sweep_sql())
 def m10_fe_regression(spark, sf_dir):
     """Within estimator, market-clustered SEs, p-values and stars."""
-    return R.fit_fixed_effects(reg_panel(spark, sf_dir), XCOLS)
+    return rounded(R.fit_fixed_effects(reg_panel(spark, sf_dir), XCOLS))
 
 
 @query("m10_normal_equations", B.sql_with("regp") + "SELECT commodity, variable, 0.0e0 AS score FROM "
