@@ -9,7 +9,7 @@ from tests.conftest import SF_SMALL
 from tools.check_oracle import TABLES, rows_of
 
 # Values of fitted models; their keys, targets, ranges and sums have queries with an oracle.
-ROWS_ONLY = {"m10_fe_regression", "m1_m2_m9_regime_predictions", "m9_regime_metrics", "m3_o3_top_features",
+ROWS_ONLY = {"m1_m2_m9_regime_predictions", "m9_regime_metrics", "m3_o3_top_features",
              "m8_rolling_cv_models", "m9_predictions_wide", "v9_v10_draws_forest", "m5_ets_forecast", "m6_sarima_forecast",
              "m7_sarima_aic_forecast", "m5_m7_series_metrics", "o2_leaderboard", "g9_model_horizons",
              "j8_regime_pairs", "g12_models_vs_naive", "g17_model_prices", "v5_regret_models",
