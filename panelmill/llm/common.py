@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,9 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.session import ensure_checkpoint_dir, scratch_path
+from panelmill.session import drop_scratch, ensure_checkpoint_dir, scratch_path
 
-TOKENIZER_DIR = "/opt/tokenizers"
+
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """A vocabulary's file on this machine: in ``folder``, else where the installed package has it."""
+    if folder is not None:
+        return f"{folder}/{name}"
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,17 +52,34 @@ def text_key(text: Column) -> Column:
 class Scratch:
     """Tables written under ``spark.checkpoint.dir`` between the steps of one operator.
 
-    A written table cuts the lineage and outlives a lost executor. ``session.scratch_scope``
-    or ``clear_scratch`` deletes the tables when the result has been used.
+    A written table cuts the lineage and outlives a lost executor. ``drop`` deletes tables after their last reader; what
+    a result still reads goes with ``session.scratch_scope`` or ``clear_scratch``, at the latest when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def put(self, df: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, self.name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df, path in [x for x in self.tables if any(x[0] is t for t in tables)]:
+            drop_scratch(self.spark, path)
+        self.tables = [x for x in self.tables if not any(x[0] is t for t in tables)]
+
+    def keep_only(self, *tables: DataFrame | None) -> None:
+        self.drop(*[t for t, _ in self.tables if not any(t is k for k in tables)])
+        self.release()
+
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished jobs, which stay until the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

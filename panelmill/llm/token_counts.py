@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from panelmill.llm.common import TOKENIZER_DIR, map_rows
+from panelmill.llm.common import map_rows, tokenizer_path
 
 #: The piece pattern of the byte-level tokenizers (fixed value, part of their format).
 PIECES = regex.compile(
@@ -132,12 +132,10 @@ def counter(path: str) -> TextCounter:
 
 
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024,
-                 tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+                 tokenizer_dir: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs``."""
-    path = os.path.join(tokenizer_dir, vocabulary)
-
     def count(batches):
-        own = counter(path)
+        own = counter(tokenizer_path(vocabulary, tokenizer_dir))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n = [own.text(t) if t else 0 for t in texts]

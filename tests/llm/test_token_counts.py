@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-from panelmill.llm.common import TOKENIZER_DIR
+from panelmill.llm.common import tokenizer_path
 from panelmill.llm.token_counts import TextCounter, token_counts
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import edge_docs, edge_rows, empty_docs
 
-PATH = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+PATH = tokenizer_path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
