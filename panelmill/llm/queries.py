@@ -114,7 +114,7 @@ def _license_templates() -> str:
 ORACLES: dict[str, str] = {
     "op2_top_k": """
       WITH v AS (
-        SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS e
+        SELECT DISTINCT vec_id, CAST(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS e
         FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
       SELECT query_id, rank, vec_id, score FROM (
