@@ -39,30 +39,39 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(node, root) for every node that is not its component's least node; None without links."""
     edges = scratch.put(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .where("a < b").distinct())
+    scratch.release()
     labels = None
     while True:
         hook = scratch.put(edges.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node"))
         if hook.isEmpty():
+            scratch.drop(edges, hook)
             return labels
         while True:  # pointer jumping
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
             if hook.join(up, "root", "left_semi").isEmpty():
                 break
-            hook = scratch.put(hook.join(up, "root", "left")
+            flat = scratch.put(hook.join(up, "root", "left")
                                .select("node", F.coalesce("above", "root").alias("root")))
-        if labels is None:
+            scratch.drop(hook)
+            hook = flat
+        scratch.release()
+        before = labels
+        if before is None:
             labels = hook
         else:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            labels = scratch.put(labels.join(up, "root", "left")
+            labels = scratch.put(before.join(up, "root", "left")
                                  .select("node", F.coalesce("above", "root").alias("root")).union(hook))
         to_a = hook.select(F.col("node").alias("a"), F.col("root").alias("a_root"))
         to_b = hook.select(F.col("node").alias("b"), F.col("root").alias("b_root"))
         moved = edges.join(to_a, "a", "left").join(to_b, "b", "left").select(
             F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        edges = scratch.put(moved.where("a != b").select(
+        rest = scratch.put(moved.where("a != b").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        scratch.drop(edges, before, None if hook is labels else hook)
+        edges = rest
         if edges.isEmpty():
+            scratch.drop(edges)
             return labels
 
 
@@ -226,6 +235,8 @@ def large_family_links(members: DataFrame, data: DataFrame, shingles: Shingles,
     # bands with the same members make one bucket
     bands = buckets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")
     open_ = scratch.put(now.join(bands, "band"))
+    scratch.drop(met, pairs)
+    scratch.release()
     return links.union(scratch.put(block_links(open_, sized(open_, data, "band"), data, shingles, percent)))
 
 
@@ -240,12 +251,19 @@ def link(members: DataFrame, data: DataFrame, shingles: Shingles, percent: int,
     if families is None:
         return None
     every = scratch.put(families.union(families.select("root", "root").distinct()))
+    scratch.drop(families)
+    scratch.release()
     sizes = scratch.put(sized(every, data, "root"))
     small = sizes.where("chunks = 1").select(F.col("root").alias("band"), "chunks")
     groups = every.select(F.col("root").alias("band"), "node", F.col("node").alias("label"))
-    links = scratch.put(block_links(groups, small, data, shingles, percent))
+    few = scratch.put(block_links(groups, small, data, shingles, percent))
+    scratch.release()
     large = sizes.where("chunks > 1").select("root")
     rest = scratch.put(members.join(every.join(large, "root").select("node"), "node", "left_semi"))
+    links = few
     if not rest.isEmpty():
-        links = links.union(large_family_links(rest, data, shingles, percent, scratch))
-    return components(links, scratch)
+        links = scratch.put(few.union(large_family_links(rest, data, shingles, percent, scratch)))
+    out = components(links, scratch)
+    scratch.drop(every, sizes, few, rest, links)
+    scratch.release()
+    return out

@@ -69,6 +69,13 @@ def shingle_set(text: bytes, k: int) -> set:
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, t: int = 64, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text key: one row per row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
+    out = scratch.put(grouped(docs, scratch, k, percent, t, rows).drop("root"))
+    scratch.keep_only(out)
+    return out
+
+
+def grouped(docs: DataFrame, scratch: Scratch, k: int, percent: int, t: int = 64, rows: int = 4) -> DataFrame:
+    """``near_duplicates`` with the component's root; reads scratch tables."""
     all_rows = scratch.put(sketches(docs, k, t, rows))
     some = all_rows.where("n_shingles > 0")
     nodes = some.groupBy("node").agg(F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
@@ -91,13 +98,27 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, t: int = 64,
     out = named.join(least, "root", "left").withColumn(
         "component_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key")
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key", "root")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without near duplicates: one document of each group stays, columns unchanged."""
-    found = near_duplicates(docs, k, percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
+    """``docs`` without near duplicates: one document of each group stays, columns unchanged.
+
+    It is the one with the least doc_id (null last), then the least key of its text; of rows that share both, any one.
+    Documents without words all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    found = scratch.put(grouped(docs, scratch, k, percent).where("n_shingles > 0").select("doc_id", "key", "root"))
+    scratch.keep_only(found)
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    first = found.groupBy("root").agg(F.min(at).alias("first"))
+    counts = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")).join(first, "root")
+    stays = at.eqNullSafe(F.col("first"))
+    marked = scratch.put(counts.where(~stays | (F.col("n") > 1)).select(
+        F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key"), stays.alias("_again")))
+    scratch.keep_only(marked)
     own = docs.withColumn("_own_key", text_key(F.col("text")))
-    return own.join(gone, own["doc_id"].eqNullSafe(gone["_gone_id"]) & (own["_own_key"] == gone["_gone_key"]),
-                    "left_anti").select(*docs.columns)
+    same = own["doc_id"].eqNullSafe(marked["_gone_id"]) & (own["_own_key"] == marked["_gone_key"])
+    again = own.join(marked.where("_again"), same)  # rows that are chosen and repeated: one of them
+    once = again.groupBy("_gone_id", "_gone_key").agg(F.first(F.struct(*[own[c] for c in docs.columns])).alias("_row"))
+    return own.join(marked, same, "left_anti").select(*docs.columns).union(once.select("_row.*"))

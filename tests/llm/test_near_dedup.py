@@ -46,11 +46,23 @@ def test_edges(spark):
         assert result(near_duplicates(edge_docs(spark), k, percent)) == brute(rows, k, percent)
     kept = keep_one(edge_docs(spark))
     assert kept.columns == edge_docs(spark).columns
-    want = brute(rows, 5, 80)
-    assert kept.count() == sum(w[4] for w in want)
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and 100 * len(a & b) >= 80 * len(a | b)]
+    roots = union_find(len(rows), links)
+    assert kept.count() == len({r for r, s in zip(roots, sets) if s}) + sum(not s for s in sets)
     assert near_duplicates(empty_docs(spark)).count() == 0 and keep_one(empty_docs(spark)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rnd = random.Random(4)
+    a, b = prose(rnd, 60), prose(rnd, 60)
+    rows = [(1, a), (1, a), (3, a + " more"), (None, b), (None, b), (None, b + " x"), (2, ""), (2, ""), (2, None), (7, b.upper()), (9, "z")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, doc long")
+    got = keep_one(docs).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(1, a), (2, ""), (2, ""), (2, ""), (7, b.upper()), (9, "z")])
+    assert len({r.doc for r in got}) == 6
+
+
 def test_hot_group_of_near_copies_equals_brute_force(spark):
     """Copies of one text with 0 to 25 changed words: some are linked directly, some by others, some not at all."""
     rnd = random.Random(9)

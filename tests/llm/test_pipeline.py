@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tests.conftest import SF_SMALL
 
 SF = SF_SMALL.replace("sf0.001", "sf0.01")  # enough labels for the toxicity model
@@ -30,7 +32,23 @@ def test_stages_take_effect_in_order(spark):
                for d in sorted(ids(uncontaminated))[:30])
 
 
+def test_the_chain_on_empty_null_and_unlabelled_tables(spark, tmp_path):
+    import corpus_pipeline as p
+    from tests.llm.helpers import edge_docs, empty_docs
+    own = ["doc_id", "text", "lang", "source", "n_chars"]
+    bench = spark.createDataFrame([(1, "alpha bravo")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    nulls = edge_docs(spark).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in
+                                                 (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))])
+    for name, docs in (("edge", edge_docs(spark).select(*own)), ("empty", empty_docs(spark).select(*own)), ("null", nulls)):
+        for table, df in (("documents", docs), ("benchmark", bench), ("labels", labels)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        rows = p.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(rows) > 0) == (name != "empty")
+        assert name == "edge" or {r.doc_tokens for r in rows} <= {1}
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
     names = [n for n in e.queries() if n.startswith("op") or n == "pipeline"]
-    assert len(names) == 11 and {n.split("_")[0] for n in names if n != "pipeline"} == {f"op{i}" for i in range(1, 11)}
+    assert len(names) == 14 and {n.split("_")[0] for n in names if n != "pipeline"} == {f"op{i}" for i in range(1, 14)}
