@@ -1,25 +1,24 @@
-"""Packing into full sequences, single-tier best fit with cuts (operator 1).
-
-Every task tokenizes its rows and packs them on its own, a window of tokens at a time:
-
-1. a document longer than the longest context gives whole sequences of that length; what is
-   left of it, and every shorter document, waits in one list sorted by length (not routed to tiers);
-2. the longest waiting item opens a sequence of the longest context, and the gap is filled by
-   the longest items that fit (best fit over the sorted lengths);
-3. a gap that no item fits is closed by a piece cut from the longest remaining item, so the
-   sequence is always full;
-4. what does not fill a sequence waits for the next window; at the end of the task it is cut
-   into sequences of shorter powers of two, at most one of each, each full. Nothing is padded.
-
-So on a large table practically all sequences have the longest tier, whatever the lengths of the documents.
-
-Step groups: the sequences of one tier in one task are dealt to groups of ``step_tokens``
-tokens. Groups do not span tasks: the last group of the longest tier in a task may hold fewer
-tokens, and a shorter tier's group holds one sequence.
-
-No shuffle and no driver state: the sequence id holds the task's partition number, which
-is the same when a lost executor's task runs again. A task holds one window of ids and one
-document. A null or empty text is the one end id; repeated rows are packed each on their
+"""Packing into full sequences of several context sizes, with cuts (operator 1).
+
+The tiers are context sizes: powers of two from ``shortest`` to ``longest``, a queue for each. Every task tokenizes
+its rows, routes them and packs them on its own, a window of tokens at a time:
+
+1. a document longer than the longest context gives whole sequences of that length; what is left of it, and every
+   shorter document, is routed to the queue of the least tier that holds it;
+2. when a window of tokens waits, every tier, the longest first, makes whole sequences of its own length: the longest
+   item of its queue opens one, and the gap is filled by the longest items that fit, those of the shorter queues included;
+3. a gap that no item fits is closed by a piece cut from the longest remaining item of the tier or below, whose rest
+   is routed again by its new length, so the sequence is always full;
+4. a queue that cannot fill a sequence waits for the next window; at the end of the task the rest, less than one
+   longest sequence, is cut into sequences of powers of two, at most one of each, each full. Nothing is padded.
+
+Step groups: all sequences of one length, of all tasks, are dealt in turn to as few groups as hold at most
+``step_tokens`` tokens each (at least one sequence). The number of sequences per task and length, one row each, places a task's
+sequences among all, so the groups of a length differ by one sequence at most.
+
+No texts or ids are shuffled; the pieces are written once, since the counts are known only then. The sequence id holds
+the task's partition number, which is the same when a lost executor's task runs again. A task holds one window of ids
+and one document. A null or empty text is the one end id; repeated rows are packed each on their
 own; other columns are ignored; an empty table gives no pieces.
 """
 
@@ -29,15 +28,17 @@ import json
 import os
 import re
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from panelmill.llm.common import map_rows, tokenizer_path
+from panelmill.llm.common import Scratch, map_rows, tokenizer_path
 
 #: Characters on which every library agrees about class, case and composition; texts with
 #: any other character are encoded by the tokenizer library in one go.
@@ -121,10 +122,28 @@ def encoder(path: str) -> Encoder:
 
 
 class Window:
-    """Items (length, item, start) waiting to be packed, sorted by length."""
+    """Items (length, item, start) waiting to be packed: a queue for each tier, sorted by length."""
+
+    def __init__(self, longest: int, shortest: int | None = None):
+        self.longest, shortest = longest, shortest or max(longest // 4, 1)
+        self.tiers = [shortest << k for k in range((longest // shortest).bit_length())]
+        self.queues: list[list[tuple[int, int, int]]] = [[] for _ in self.tiers]
+        self.waiting = [0] * len(self.tiers)  # tokens of each queue
+
+    @property
+    def tokens(self) -> int:
+        return sum(self.waiting)
 
-    def __init__(self, longest: int):
-        self.longest, self.items, self.tokens = longest, [], 0
+    def route(self, length: int, item: int, start: int) -> None:
+        """Into the queue of the least tier that holds the item."""
+        k = bisect_left(self.tiers, length)
+        insort(self.queues[k], (length, item, start))
+        self.waiting[k] += length
+
+    def _pop(self, k: int, at: int = -1) -> tuple[int, int, int]:
+        got = self.queues[k].pop(at)
+        self.waiting[k] -= got[0]
+        return got
 
     def add(self, item: int, tokens: int) -> Iterator[list[tuple[int, int, int]]]:
         """Take a document; yields the whole sequences that its body fills."""
@@ -133,72 +152,90 @@ class Window:
             yield [(item, start, self.longest)]
             start += self.longest
         if tokens > start:
-            insort(self.items, (tokens - start, item, start))
-            self.tokens += tokens - start
-
-    def _take(self, room: int) -> tuple[int, int, int] | None:
-        """The longest waiting item that fits."""
-        k = bisect_right(self.items, (room, float("inf")))
-        return self.items.pop(k - 1) if k else None
-
-    def fill(self, size: int) -> list[tuple[int, int, int]]:
-        """One full sequence of ``size`` tokens; at least as many must wait."""
+            self.route(tokens - start, item, start)
+
+    def _take(self, room: int, top: int) -> tuple[int, int, int] | None:
+        """The longest item that fits, from tier number ``top`` down."""
+        for k in range(top, -1, -1):
+            at = bisect_right(self.queues[k], (room, float("inf")))
+            if at:
+                return self._pop(k, at - 1)
+        return None
+
+    def fill(self, size: int, top: int) -> list[tuple[int, int, int]]:
+        """One full sequence of ``size`` tokens from tier number ``top`` down; at least as many must wait there."""
         out, room = [], size
         while room:
-            got = self._take(room)
-            if got is None:  # no item fits: cut the longest one, its rest waits on
-                length, item, start = self.items.pop()
+            got = self._take(room, top)
+            if got is None:  # no item fits: cut the longest one, its rest is routed again
+                length, item, start = self._pop(max(k for k in range(top + 1) if self.queues[k]))
                 out.append((item, start, room))
-                insort(self.items, (length - room, item, start + room))
+                self.route(length - room, item, start + room)
                 break
             out.append((got[1], got[2], got[0]))
             room -= got[0]
-        self.tokens -= size
         return out
 
     def full(self) -> Iterator[list[tuple[int, int, int]]]:
-        """Pack the longest tier as long as it can be filled."""
-        while self.tokens >= self.longest:
-            yield self.fill(self.longest)
+        """Whole sequences of every tier, the longest first, as long as a tier's queue opens one that can be filled."""
+        for k in range(len(self.tiers) - 1, -1, -1):
+            while self.queues[k] and sum(self.waiting[:k + 1]) >= self.tiers[k]:
+                yield self.fill(self.tiers[k], k)
 
     def rest(self) -> Iterator[list[tuple[int, int, int]]]:
-        """Shorter tiers, each a power of two, until nothing waits."""
+        """What no tier can fill, in powers of two, until nothing waits."""
         yield from self.full()
-        size = self.longest
+        size, top = self.longest, len(self.tiers) - 1
         while self.tokens:
-            size //= 2
             if self.tokens >= size:
-                yield self.fill(size)
+                yield self.fill(size, top)
+            else:
+                size //= 2
+
+
+def in_groups(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """``pieces`` with ``step_group`` in place of ``task`` and ``nth`` (a sequence's number within its task and tier)."""
+    own = pieces.where("offset = 0").groupBy("task", "tier").agg(F.count("*").alias("n"))
+    every = W.Window.partitionBy("tier")
+    groups = F.ceil(F.sum("n").over(every) * F.col("tier") / F.greatest(F.lit(step_tokens), F.col("tier")))
+    own = own.select("task", "tier", groups.alias("groups"),
+                     (F.sum("n").over(every.orderBy("task")) - F.col("n")).alias("before"))
+    group = F.pmod(F.col("before") + F.col("nth"), F.col("groups"))
+    return (pieces.join(F.broadcast(own), ["task", "tier"])
+            .select(*COLUMNS[:-1], (F.col("tier") * F.lit(1 << 32) + group).alias("step_group")))
 
 
 def pack(docs: DataFrame, longest: int = 4096, vocabulary: str = "word_bpe_49k.json", end_id: int = 2,
          window_tokens: int = 1 << 20, step_tokens: int = 1 << 17,
-         tokenizer_dir: str | None = None) -> DataFrame:
+         tokenizer_dir: str | None = None, shortest: int = 512) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
-    ``longest`` is a power of two. Sequences are full at ``longest`` or at a shorter power of two.
+    ``longest`` and ``shortest`` are the longest and the shortest tier, powers of two. Sequences are full at a tier, at
+    the end of a task at a shorter power of two.
     """
     if longest & (longest - 1) or longest < 2:
         raise ValueError("the longest context must be a power of two")
+    if shortest & (shortest - 1) or shortest < 1:
+        raise ValueError("the shortest context must be a power of two")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [*COLUMNS[:-1], "task", "nth"]
 
     def run(batches):
         own, end = encoder(tokenizer_path(vocabulary, tokenizer_dir)), np.asarray([end_id], "<u4").tobytes()
-        base = TaskContext.get().partitionId() << 32
-        window, held, rows, made, in_tier = Window(longest), {}, [], 0, {}
+        task = TaskContext.get().partitionId()
+        window, held, rows, made, in_tier = Window(longest, min(shortest, longest)), {}, [], 0, {}
         item = 0
 
         def put(sequence):
             nonlocal made
             size = sum(n for _, _, n in sequence)
-            k = in_tier.get(size, 0)
-            in_tier[size] = k + 1
-            group = base | (size.bit_length() << 26) | (k * size // step_tokens)
+            nth = in_tier.get(size, 0)
+            in_tier[size] = nth + 1
             offset = 0
             for i, start, n in sequence:
                 doc_id, ids, left = held[i]
                 rows.append((doc_id, start, n, zlib.crc32(ids[4 * start:4 * (start + n)]), len(ids) // 4,
-                             base | made, offset, size, group))
+                             task << 32 | made, offset, size, task, nth))
                 offset += n
                 if left == n:
                     del held[i]
@@ -208,14 +245,14 @@ def pack(docs: DataFrame, longest: int = 4096, vocabulary: str = "word_bpe_49k.j
 
         def flush():
             out = pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=COLUMNS) if rows else None
+                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names) if rows else None
             rows.clear()
             return out
 
         kinds = None
         for batch in batches:
             if kinds is None:
-                kinds = [batch.column("doc_id").type, *[pa.int64()] * 8]
+                kinds = [batch.column("doc_id").type, *[pa.int64()] * 9]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.batch(batch.column("text").to_pylist())):
                 ids += end
                 held[item] = (doc_id, ids, len(ids) // 4)
@@ -232,5 +269,5 @@ def pack(docs: DataFrame, longest: int = 4096, vocabulary: str = "word_bpe_49k.j
         if out := flush():
             yield out
 
-    return map_rows(docs.select("doc_id", "text"), run,
-                    f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COLUMNS[1:]))
+    pieces = map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
+    return in_groups(Scratch(docs.sparkSession, "packing").put(pieces), step_tokens)

@@ -76,3 +76,37 @@ def test_gaps_are_filled_by_shorter_tiers():
     assert [sum(n for _, _, n in s) for s in rest] == [8, 4, 1]
     with pytest.raises(ValueError):
         pack(None, longest=100)
+
+
+def test_documents_are_routed_to_tiers():
+    """Short documents make whole sequences of their own tier; a long one's gap takes from the shorter queues."""
+    w = Window(64, 8)
+    for item in range(12):
+        assert list(w.add(item, 7)) == []
+    assert list(w.add(20, 50)) == [] and list(w.add(21, 14)) == []
+    assert w.waiting == [84, 14, 0, 50]
+    made = list(w.full())
+    assert [n for _, _, n in made[0]] == [50, 14]  # the gap's best fit is in a shorter queue
+    assert [sum(n for _, _, n in s) for s in made[1:]] == [8] * 10  # not one sequence of 64
+    assert [sum(n for _, _, n in s) for s in w.rest()] == [4]
+
+
+def test_tiers_follow_lengths_and_groups_are_even(spark):
+    """Whole sequences in every tier; groups span tasks, and those of a tier differ by one sequence at most."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").repartition(4)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    pieces = pack(docs, step_tokens=1 << 14).collect()
+    check(pieces, rows)
+    per_tier, per_group, tasks = defaultdict(set), defaultdict(set), defaultdict(set)
+    for p in pieces:
+        per_tier[p.tier].add(p.sequence_id)
+        per_group[p.tier, p.step_group].add(p.sequence_id)
+        tasks[p.tier].add(p.sequence_id >> 32)
+    assert all(len(per_tier[t]) > len(tasks[t]) for t in (512, 1024, 2048, 4096))
+    assert sum(len(v) for v in per_group.values()) == sum(len(v) for v in per_tier.values())
+    for tier, sequences in per_tier.items():
+        sizes = [len(v) for (t, _), v in per_group.items() if t == tier]
+        assert max(sizes) - min(sizes) <= 1 and max(sizes) * tier <= max(1 << 14, tier)
+        assert len(sizes) == -(-len(sequences) * tier // (1 << 14))
+        if tier < 512:  # leftovers of all tasks share groups
+            assert len(sizes) == 1
