@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -120,3 +121,15 @@ def test_no_anchor_is_one_group(spark, monkeypatch):
     got = result(remove_repeats(df, size=64, gram=8))
     assert got == brute(rows, 64) and any(r[3] for r in got[2:60])
     assert max(largest, default=0) <= 4
+
+
+def test_scan_holds_a_bounded_piece():
+    """The arrays of a scan follow the piece, not the batch or the text: two tasks and the JVM share an executor's memory."""
+    text = random.Random(31).randbytes(6 << 20)
+    tracemalloc.start()
+    try:
+        found = sum(len(at) for _, at, *_ in repeats.scanned([text, text[:5000]], 400, 32))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found > 20_000 and most < 32 << 20
