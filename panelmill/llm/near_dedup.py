@@ -87,9 +87,11 @@ def grouped(docs: DataFrame, scratch: Scratch, k: int, percent: int, t: int = 64
     source = only_held(docs.select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("payload"))
                        .withColumn("short", F.xxhash64("key", "doc_id")),
                        KeyFilter(wanted.select(short), "short"), "short")
-    texts = scratch.put(wanted.join(source, (wanted["key"] == source["key"])
-                                    & wanted["doc_id"].eqNullSafe(source["doc_id"]))
-                        .select("node", "payload").dropDuplicates(["node"]))
+
+    def texts(families: DataFrame) -> DataFrame:
+        return (wanted.join(source, (wanted["key"] == source["key"]) & wanted["doc_id"].eqNullSafe(source["doc_id"]))
+                .select("node", "payload").dropDuplicates(["node"]).join(families, "node"))
+
     labels = link(members, texts, partial(shingle_set, k=k), percent, scratch)
     named = all_rows.select("doc_id", "n_shingles", "node", "key")
     named = named.withColumn("root", F.col("node")) if labels is None else (

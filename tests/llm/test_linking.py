@@ -2,8 +2,11 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from panelmill.llm import linking
 from panelmill.llm.common import KeyFilter, Scratch, only_held
-from panelmill.llm.linking import components, forest, intersections
+from panelmill.llm.linking import components, forest, intersections, link
 from panelmill.llm.sketching import bands, fast_sketch
 from tests.llm.helpers import union_find
 
@@ -66,3 +69,27 @@ def test_key_filter_lets_every_key_through(spark):
     got = {r.id for r in only_held(rows, f, "k").collect()}
     assert set(range(0, 3000, 3)) <= got and len(got) < 1100
     assert only_held(rows, KeyFilter(keys.limit(0), "k", bits=1 << 10), "k").count() == 0
+
+
+def test_payloads_move_with_their_family(spark, monkeypatch):
+    """Payloads are gathered once, by family; the steps of large families see theirs only."""
+    monkeypatch.setattr(linking, "BLOCK", 4)
+    whole, seen, gathered = linking.large_family_links, [], []
+
+    def watched(members, data, *rest):
+        seen.append({r.node for r in data.collect()})
+        return whole(members, data, *rest)
+
+    monkeypatch.setattr(linking, "large_family_links", watched)
+    words = {i: f"a b c d e {'f' if i % 2 else 'g'}" for i in range(20)} | {30: "x y z", 31: "x y z", 40: "p q r", 41: "u v w"}
+    members = spark.createDataFrame([(1, i) for i in range(20)] + [(2, 30), (2, 31), (3, 40), (3, 41)], "band long, node long")
+    data = spark.createDataFrame([(i, t.encode()) for i, t in words.items()], "node long, payload binary")
+
+    def texts(families):
+        gathered.append(sorted((r.node, r.root) for r in families.collect()))
+        return families.join(data, "node")
+
+    labels = link(members.withColumn("size", F.lit(0)), texts, lambda b: set(b.split()), 80, Scratch(spark, "t"))
+    assert seen == [set(range(20))]
+    assert gathered == [[(i, 0) for i in range(20)] + [(30, 30), (31, 30), (40, 40), (41, 40)]]
+    assert {r.node: r.root for r in labels.collect()} == {i: i % 2 for i in range(2, 20)} | {31: 30}
