@@ -43,9 +43,10 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _order_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    customer = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    # customers, parts and orders grow with the facts: sorted, as a broadcast passes through the driver
+    customer = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").hint("merge")
     return (orders.join(customer, orders.o_custkey == customer.c_custkey)
-            .select("o_orderkey", F.col("c_nationkey").alias("nationkey")))
+            .select("o_orderkey", F.col("c_nationkey").alias("nationkey")).hint("merge"))
 
 
 def _price(cents: str = "cents", qty: str = "qty"):
@@ -95,7 +96,7 @@ def commodity_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate",
                "l_extendedprice", "l_quantity")
-    part = table(spark, sf_dir, "part", "p_partkey", "p_type")
+    part = table(spark, sf_dir, "part", "p_partkey", "p_type").hint("merge")
     on = _order_nation(spark, sf_dir)
     return (li.join(part, li.l_partkey == part.p_partkey)
             .join(on, li.l_orderkey == on.o_orderkey)

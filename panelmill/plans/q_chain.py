@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from panelmill import bindings as B
 from panelmill.operators import policy as V
 from panelmill.operators import uncertainty as U
-from panelmill.plans.q_models import g17_model_prices, once
+from panelmill.plans.q_models import cube, g17_model_prices, once
 from panelmill.plans.q_policy import crop_params, with_defaults
 from panelmill.plans.registry import query
-from panelmill.session import materialize
 
 
 def forest_params(spark, sf_dir):
@@ -24,7 +23,7 @@ def forest_params(spark, sf_dir):
                   .select("commodity", "forecast_price", "rmse"))
         types = B.table(spark, sf_dir, "part", "p_type").select(F.col("p_type").alias("commodity")).distinct()
         full = with_defaults(types.join(prices, "commodity", "left"))
-        return crop_params(spark, sf_dir, fc=full.select("commodity", "forecast_price", "rmse"))
+        return crop_params(spark, sf_dir, cube=cube(spark, sf_dir), fc=full.select("commodity", "forecast_price", "rmse"))
     return once(spark, sf_dir, "forest-params", make)
 
 
@@ -72,8 +71,7 @@ def v12_curve_forest(spark, sf_dir):
 
 @query("v13_counterfactual_forest")
 def v13_counterfactual_forest(spark, sf_dir):
-    cube = materialize(B.commodity_cube(spark, sf_dir))
     base = V.with_weights(forest_params(spark, sf_dir), [V.EQUAL]).withColumn("eta", F.lit(0.0))
     gaps = V.optimal_floor(base).select(F.col("commodity").alias("crop"),
                                         (F.col("m_star") - F.col("current_msp")).alias("gap"))
-    return V.counterfactual_path(B.policy(spark, sf_dir, cube), gaps)
+    return V.counterfactual_path(B.policy(spark, sf_dir, cube(spark, sf_dir)), gaps)

@@ -18,11 +18,11 @@ for _name, (_body, _deps) in feature_panel_sql().items():
     B.register_cte(_name, _body, _deps)
 
 
-def feature_panel(spark, sf_dir):
+def feature_panel(spark, sf_dir, cube=None):
     """Panel and policy table come from one materialised (commodity, nation, day) cube,
     so the fact table is scanned and joined once for both."""
     from panelmill.session import materialize
-    cube = materialize(B.commodity_cube(spark, sf_dir))
+    cube = cube if cube is not None else materialize(B.commodity_cube(spark, sf_dir))
     return build_feature_panel(B.commodity_panel(spark, sf_dir, cube),
                                B.covariates(spark, sf_dir), B.policy(spark, sf_dir, cube))
 

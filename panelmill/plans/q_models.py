@@ -41,8 +41,13 @@ def learners(spark):
     return {"rf": E.Forest(trees=trees), "gb": E.Boosted()}
 
 
+def cube(spark, sf_dir):
+    """The (commodity, nation, day) sums: the facts are joined once for the panel, the series and the policy."""
+    return once(spark, sf_dir, "cube", lambda: materialize(B.commodity_cube(spark, sf_dir)))
+
+
 def panel(spark, sf_dir):
-    return once(spark, sf_dir, "panel", lambda: materialize(feature_panel(spark, sf_dir)))
+    return once(spark, sf_dir, "panel", lambda: materialize(feature_panel(spark, sf_dir, cube(spark, sf_dir))))
 
 
 def design(spark, sf_dir):
@@ -79,7 +84,7 @@ def naive_predictions(spark, sf_dir):
 def series_predictions(spark, sf_dir):
     """The statistical models on the daily commodity mean, for every market of the commodity."""
     fp = panel(spark, sf_dir)
-    daily = impute_prices(B.commodity_panel(spark, sf_dir), keys=KEYS).groupBy("commodity", "date").agg(
+    daily = impute_prices(B.commodity_panel(spark, sf_dir, cube(spark, sf_dir)), keys=KEYS).groupBy("commodity", "date").agg(
         F.avg("price_modal").alias("price_modal"))
     train = S.training_windows(daily, ["commodity"], "price_modal", TRAIN_END, 730)
     fc = S.forecast_series(train, ["commodity"], SERIES_KINDS).select("commodity", "date", "model", "y_hat")
