@@ -30,6 +30,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +44,37 @@ from panelmill.llm.common import Scratch, map_rows, tokenizer_path
 #: Characters on which every library agrees about class, case and composition; texts with
 #: any other character are encoded by the tokenizer library in one go.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ‐-‧‰-⁞€]*")
-#: A full stop or comma that ends a word of letters is a piece of its own.
-WORD_END = re.compile(r"(?<=[^\W\d_])([.,])(?=\s|$)")
 MEMO = 250_000  # words in the younger of two generations of the memo
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
            "tier", "step_group"]
 
 
+def for_words(tokenizer, source: dict):
+    """``tokenizer`` for lower-case words of letters between blanks, or None where its rules are not the known ones.
+
+    Such a word of a plain text is composed and in lower case, and one run of letters: blanks give the same pieces
+    as the normalizers and the pattern.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+    steps = (source["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+        return None
+    if "|[\\p{L}]+|" not in steps[0]["pattern"].get("Regex", "") or [
+            x["type"] for x in (source["normalizer"] or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
+        return None
+    out = Tokenizer(tokenizer.model)
+    out.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
+
+
 class Encoder:
     """Ids of texts as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins across it, so the ids of a plain text are
     those of its words. Words are encoded once and remembered (a bounded memo of two
     generations). New words of letters only are encoded together: the ids of each end at the
-    first token that carries the end-of-word mark.
+    first token that carries the end-of-word mark. A word of letters and one full stop or comma is two pieces.
     """
 
     def __init__(self, path: str):
@@ -64,12 +82,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        mark = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        source = json.loads(self.tokenizer.to_str())
+        mark = source["model"]["end_of_word_suffix"]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if mark:
             self.ends[[i for w, i in vocab.items() if w.endswith(mark)]] = True
-        self.marked = bool(mark)
+        self.words = for_words(self.tokenizer, source) if mark else None
+        self.stops = {x: self.whole(x) for x in ".,"}
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -77,22 +97,40 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        memo = self.memo
-        for w in words & self.old.keys():
-            memo[w] = self.old[w]
-        words = words.difference(self.old)
-        plain = sorted(w for w in words if w.isalpha()) if self.marked else []
-        for at in range(0, len(plain), 64):
-            block = plain[at:at + 64]
-            ids = np.asarray(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) != len(block):
+        memo, old = self.memo, self.old
+        plain, stopped, other = set(), [], []
+        for w in words:
+            if w in old:
+                memo[w] = old[w]
+            elif self.words is None:
+                other.append(w)
+            elif w.isalpha():
+                plain.add(w)
+            elif w[-1] in ".," and w[:-1].isalpha():
+                stopped.append(w)
+            else:
+                other.append(w)
+        for w in stopped:
+            if (body := w[:-1]) not in memo:
+                if body in old:
+                    memo[body] = old[body]
+                else:
+                    plain.add(body)
+        plain = list(plain)
+        blocks = [" ".join(plain[at:at + 64]) for at in range(0, len(plain), 64)]
+        for at in range(0, len(blocks), 64):
+            own = plain[64 * at:64 * (at + 64)]
+            ids = np.asarray([i for e in self.words.encode_batch_fast(blocks[at:at + 64], add_special_tokens=False)
+                              for i in e.ids], "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(own):
                 raise ValueError("a word of letters is more than one piece")
-            start = 0
-            for w, end in zip(block, ends):
-                memo[w] = ids[start:end].tobytes()
+            start, ids = 0, ids.tobytes()
+            for w, end in zip(own, ends):
+                memo[w] = ids[start:end]
                 start = end
-        other = sorted(words.difference(plain))
+        for w in stopped:
+            memo[w] = memo[w[:-1]] + self.stops[w[-1]]
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             memo[w] = np.asarray(e.ids, "<u4").tobytes()
 
@@ -100,15 +138,18 @@ class Encoder:
         """Ids of each text; null is empty."""
         if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, {}
+        memo = self.memo
         cut: list[list[str] | None] = []
+        new: set[str] = set()
         for text in texts:
             if text and (not PLAIN.fullmatch(text) or any(s in text for s in self.special)):
                 cut.append(None)
             else:
-                cut.append(WORD_END.sub(r" \1", text.lower()).split() if text else [])
-        self.learn(set().union(*(words for words in cut if words)).difference(self.memo))
-        memo = self.memo
-        return [self.whole(text) if words is None else b"".join([memo[w] for w in words])
+                words = text.lower().split() if text else []
+                new.update(filterfalse(memo.__contains__, words))
+                cut.append(words)
+        self.learn(new)
+        return [self.whole(text) if words is None else b"".join(map(memo.__getitem__, words))
                 for text, words in zip(texts, cut)]
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from panelmill.llm.common import tokenizer_path
-from panelmill.llm.packing import Window, pack
+from panelmill.llm.packing import Encoder, Window, pack
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import edge_docs, edge_rows, empty_docs
 
@@ -110,3 +110,21 @@ def test_tiers_follow_lengths_and_groups_are_even(spark):
         assert len(sizes) == -(-len(sequences) * tier // (1 << 14))
         if tier < 512:  # leftovers of all tasks share groups
             assert len(sizes) == 1
+
+
+def test_words_of_letters_skip_the_rules_of_the_tokenizer():
+    """Letters, and letters with one full stop or comma, need no pass of the whole rules; all ids are the library's."""
+    own = Encoder(tokenizer_path("word_bpe_49k.json"))
+    odd = ["It's, a.b. x., É. ½. ª, º. 3. 3, a1. foo.. bar,. 'S, ., . , _a. ŉ, ſt. µm. straße, ĲSSEL.", "d'été, l'an.", None, "",
+           "don't. WE'LL, <|endoftext|>, x.", "naïve\u2009word.", "日本, é."]
+    assert own.batch(odd) == [own.whole(t or "") for t in odd]
+    plain = "Une école, deux écoles. three SCHOOLS, four,\nfive."
+    want = own.whole(plain)
+
+    class Rules:
+        def encode_batch_fast(self, texts, **_):
+            assert texts == []
+            return []
+
+    own.tokenizer, own.memo, own.old = Rules(), {}, {}
+    assert own.batch([plain]) == [want]
