@@ -93,3 +93,15 @@ def test_payloads_move_with_their_family(spark, monkeypatch):
     assert seen == [set(range(20))]
     assert gathered == [[(i, 0) for i in range(20)] + [(30, 30), (31, 30), (40, 40), (41, 40)]]
     assert {r.node: r.root for r in labels.collect()} == {i: i % 2 for i in range(2, 20)} | {31: 30}
+
+
+def test_only_long_payloads_are_joined_to_size_a_bucket(spark):
+    """Chunks keep within BLOCK and BYTES; rows of short payloads are counted and not joined."""
+    few, many = [(0, 3000), (0, 3001), (0, 1)], [(1, i) for i in range(2000)]
+    rows = spark.createDataFrame(few + many, "band long, node long")
+    data = spark.createDataFrame([(i, b"x") for i in range(2000)] + [(3000, bytes(20 << 20)), (3001, bytes(30 << 20))],
+                                 "node long, payload binary")
+    sizes = linking.sized(rows, data, "band")
+    assert {r.band: r.chunks for r in sizes.collect()} == {0: 4, 1: 2}
+    plan = sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert f"> {linking.LONG})" in plan
